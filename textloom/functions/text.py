@@ -66,19 +66,25 @@ def truncate_text(text, n: int) -> Column:
     return F.when(F.length(t) > n, F.concat(F.substring(t, 1, n), F.lit("..."))).otherwise(t)
 
 
+PY_DOC_RE = r'(?s)""".*?"""\n'
+PY_COMMENT_RE = r"# [^\n]*\n"
+JS_BLOCK_RE = r"(?s)/\*.*?\*/"
+JS_LINE_RE = r"// [^\n]*\n"
+
+
 def strip_py_doc(text) -> Column:
     """Remove triple-double-quote blocks followed by a newline, then ``# ...\\n`` comments.
 
     Like the reference this is textual: it also hits ``# `` inside strings and eats the newline.
     """
-    t = F.regexp_replace(_c(text), r'(?s)""".*?"""\n', "")
-    return F.regexp_replace(t, r"# [^\n]*\n", "")
+    t = F.regexp_replace(_c(text), PY_DOC_RE, "")
+    return F.regexp_replace(t, PY_COMMENT_RE, "")
 
 
 def strip_js_doc(text) -> Column:
     """Remove ``/* ... */`` blocks, then ``// ...\\n`` comments (also inside URLs like ``https:// x``)."""
-    t = F.regexp_replace(_c(text), r"(?s)/\*.*?\*/", "")
-    return F.regexp_replace(t, r"// [^\n]*\n", "")
+    t = F.regexp_replace(_c(text), JS_BLOCK_RE, "")
+    return F.regexp_replace(t, JS_LINE_RE, "")
 
 
 def strip_doc(text, lang, enabled: bool = True) -> Column:

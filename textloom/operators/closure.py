@@ -13,7 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.operators.resolve import contains_expand
+from textloom.operators.resolve import contains_expand, prepare_contains
 from textloom.session import cut_lineage
 
 DEFAULT_DEPTH = 9999
@@ -56,6 +56,11 @@ def import_closure(
 
     e = edges.select(F.col("src").alias("node"), F.col("pos").cast("long").alias("pos"), "dst").repartition("node")
     e = e.persist(StorageLevel.MEMORY_AND_DISK)
+    fileset = fileset.persist(StorageLevel.MEMORY_AND_DISK)
+    prepared = None
+    if contains:
+        anc, keyed = prepare_contains(fileset)
+        prepared = (anc.persist(StorageLevel.MEMORY_AND_DISK), keyed.persist(StorageLevel.MEMORY_AND_DISK))
     seen = cut_lineage(level.withColumn("depth", F.lit(0)))
     frontier = seen
     d = 0
@@ -66,7 +71,7 @@ def import_closure(
         )
         parts = [deps]
         if contains:
-            inside = contains_expand(frontier.select("seed", "node"), fileset, "node", ["seed"])
+            inside = contains_expand(frontier.select("seed", "node"), fileset, "node", ["seed"], prepared)
             inside = inside.join(frontier.select("seed", "node", "disc"), ["seed", "node"]).select(
                 "seed", F.col("path").alias("next"), F.concat("disc", F.array(F.lit(0).cast("long"), F.lit(0).cast("long"))).alias("disc")
             )
@@ -77,10 +82,14 @@ def import_closure(
         new = cut_lineage(new.withColumn("depth", F.lit(d + 1)))
         if new.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(new.select(*seen.columns)))
+        # seen is a union of written level tables: lineage stays one level deep
+        seen = seen.unionByName(new.select(*seen.columns))
         frontier = new
         d += 1
     e.unpersist()
+    if prepared is not None:
+        for t in prepared:
+            t.unpersist()
     out = seen.join(fileset.withColumnRenamed("path", "node"), "node", "left_semi")
     return out.select("seed", F.col("node").alias("path"), "depth", "disc")
 
@@ -121,7 +130,7 @@ def crawl_closure(
         nxt = cut_lineage(nxt.withColumn("depth", F.lit(d + 1)))
         if nxt.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(nxt))
+        seen = seen.unionByName(nxt)
         frontier = nxt
         d += 1
     links.unpersist()

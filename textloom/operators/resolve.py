@@ -84,20 +84,10 @@ def resolve_js(js_imports: DataFrame, files: DataFrame, root: str = "", keep_unr
     return best
 
 
-def contains_expand(frontier: DataFrame, files: DataFrame, node_col: str = "node", keys: list[str] | None = None) -> DataFrame:
-    """Files whose path has a frontier node as a proper string prefix (D5, literal semantics:
-    ``a.ts`` also pulls ``a.tsx``, ``dir`` also pulls ``dir2/x``).
-
-    Exact and join-based: every file lists its folder entries ``(folder/, entry)`` once per
-    level; a node ``folder/name`` matches entries starting with ``name`` in the same folder
-    (equi-join on folder + a bounded name prefix), and then every file under a matched
-    entry. Returns ``(keys..., node, path)``."""
-    keys = keys or []
+def prepare_contains(files: DataFrame):
+    """Folder-entry tables for :func:`contains_expand`, built once per file set."""
     segs = F.split(F.col("path"), "/", -1)
-    anc = files.select(
-        "path",
-        F.posexplode(F.sequence(F.lit(0), F.size(segs) - 1)).alias("__x", "__lvl"),
-    ).select(
+    anc = files.select("path", F.explode(F.sequence(F.lit(0), F.size(segs) - 1)).alias("__lvl")).select(
         "path",
         F.when(F.col("__lvl") == 0, F.lit("")).otherwise(
             F.concat(F.array_join(F.slice(F.split(F.col("path"), "/", -1), 1, F.col("__lvl")), "/"), F.lit("/"))
@@ -109,6 +99,20 @@ def contains_expand(frontier: DataFrame, files: DataFrame, node_col: str = "node
         "__d", "__s",
         F.explode(F.sequence(F.lit(0), F.least(F.length("__s"), F.lit(CONTAINS_KEY_LEN)))).alias("__j"),
     ).select("__d", "__s", F.substring("__s", 1, F.col("__j")).alias("__key"), F.col("__j"))
+    return anc, keyed
+
+
+def contains_expand(frontier: DataFrame, files: DataFrame, node_col: str = "node", keys: list[str] | None = None,
+                    prepared=None) -> DataFrame:
+    """Files whose path has a frontier node as a proper string prefix (D5, literal semantics:
+    ``a.ts`` also pulls ``a.tsx``, ``dir`` also pulls ``dir2/x``).
+
+    Exact and join-based: every file lists its folder entries ``(folder/, entry)`` once per
+    level; a node ``folder/name`` matches entries starting with ``name`` in the same folder
+    (equi-join on folder + a bounded name prefix), and then every file under a matched
+    entry. Returns ``(keys..., node, path)``."""
+    keys = keys or []
+    anc, keyed = prepared if prepared is not None else prepare_contains(files)
     n = frontier.select(*keys, F.col(node_col).alias("node")).distinct()
     n = n.withColumn("__nd", F.regexp_extract("node", r"^(.*/)", 1)).withColumn(
         "__nb", F.regexp_extract("node", r"([^/]*)$", 1)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from textloom.functions.html import COMMENT_RE, REMOVED_RE, SCRIPT_STYLE_RE, TAG_RE
-from textloom.functions.text import TOKEN_PATTERN
+from textloom.functions.text import JS_BLOCK_RE, JS_LINE_RE, PY_COMMENT_RE, PY_DOC_RE, TOKEN_PATTERN
 from textloom.functions.urls import NETLOC_RE, PATH_RE
 
 
@@ -71,3 +71,11 @@ walk(grp, i, tt, tc, seg) AS (
   FROM walk w JOIN numbered n ON n.grp = w.grp AND n.i = w.i + 1),
 packed_seg AS (
   SELECT n.grp, n.ord, w.seg FROM numbered n JOIN walk w ON w.grp = n.grp AND w.i = n.i)"""
+
+
+def strip_py_doc(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '{PY_DOC_RE}', '', 'g'), '{PY_COMMENT_RE}', '', 'g')"
+
+
+def strip_js_doc(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '{JS_BLOCK_RE}', '', 'g'), '{JS_LINE_RE}', '', 'g')"
