@@ -1 +1,168 @@
-"""placeholder"""
+"""Class-structure and snapshot jobs over the code tree and the two document snapshots."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textloom.functions.paths import program_type
+from textloom.functions.text import fmt_class_name
+from textloom.operators.predicates import public_member
+from textloom.operators.snapshots import changed_paths, commit_bundle, line_diff, review_bundle, snapshot_join
+from textloom.operators.structure import (
+    class_inventory,
+    classes_with_kind,
+    compose_edges,
+    inherit_edges,
+    methods_for,
+    mine_structure,
+    own_fields,
+)
+from textloom.registry import register
+from textloom.sources.views import SQL_CODE_FILES, SQL_SNAP_NEW, SQL_SNAP_OLD, code_files, snap_new, snap_old
+
+_SNAPS = f"WITH {SQL_SNAP_OLD}, {SQL_SNAP_NEW}"
+_JOIN_SQL = f"""{_SNAPS},
+j AS (SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed'
+  WHEN sha256(o.content) <> sha256(n.content) THEN 'modified' ELSE 'same' END AS status
+  FROM snap_old o FULL OUTER JOIN snap_new n ON o.path = n.path)"""
+_LINES_SQL = """lo AS (SELECT path, unnest(string_split(content, chr(10))) AS line FROM snap_old),
+ln AS (SELECT path, unnest(string_split(content, chr(10))) AS line FROM snap_new),
+co AS (SELECT path, line, count(*) AS n_old FROM lo GROUP BY 1, 2),
+cn AS (SELECT path, line, count(*) AS n_new FROM ln GROUP BY 1, 2),
+d AS (SELECT coalesce(co.path, cn.path) AS path, coalesce(n_old, 0) AS n_old, coalesce(n_new, 0) AS n_new
+      FROM co FULL OUTER JOIN cn ON co.path = cn.path AND co.line = cn.line),
+ld AS (SELECT path, CAST(sum(greatest(n_new - n_old, 0)) AS BIGINT) AS n_added, CAST(sum(greatest(n_old - n_new, 0)) AS BIGINT) AS n_removed
+       FROM d GROUP BY path HAVING sum(greatest(n_new - n_old, 0)) > 0 OR sum(greatest(n_old - n_new, 0)) > 0)"""
+
+
+def _mined(spark, sf_dir):
+    f = code_files(spark, sf_dir)
+    return mine_structure(f.where(program_type("path") == "PYTHON"))
+
+
+@register("mine_classes", f"""WITH {SQL_CODE_FILES}
+SELECT path, regexp_extract(content, '(?m)^class (\\w+)\\(', 1) AS class_name,
+  regexp_extract(content, '(?m)^class \\w+\\(([^)]*)\\):', 1) AS bases FROM code_files WHERE ends_with(path, '.py')""")
+def q_mine_classes(spark, sf_dir):
+    m = _mined(spark, sf_dir)
+    c = m.where(F.col("kind") == "class").select("path", "class_name")
+    b = m.where(F.col("kind") == "base").groupBy("path", "class_name").agg(
+        F.expr("listagg(detail, ', ') WITHIN GROUP (ORDER BY pos)").alias("bases"))
+    return c.join(b, ["path", "class_name"], "left").fillna("", ["bases"])
+
+
+@register("mine_fields", f"""WITH {SQL_CODE_FILES}
+SELECT regexp_extract(content, '(?m)^class (\\w+)\\(', 1) AS class_name, 'size' AS name, 'int' AS type, 'name' AS shape
+FROM code_files WHERE ends_with(path, '.py')""")
+def q_mine_fields(spark, sf_dir):
+    m = _mined(spark, sf_dir).where(F.col("kind") == "field")
+    return m.select("class_name", "name", F.col("detail").alias("type"), "shape")
+
+
+@register("mine_enum")
+def q_mine_enum(spark, sf_dir):
+    return _mined(spark, sf_dir).where(F.col("kind") == "member").select("class_name", "name", F.col("detail").alias("value_type"))
+
+
+@register("type_shape")
+def q_type_shape(spark, sf_dir):
+    m = _mined(spark, sf_dir).where(F.col("kind") == "field")
+    return m.select("class_name", "name", "shape", F.array_join("elements", "|").alias("elements"))
+
+
+@register("mine_methods")
+def q_mine_methods(spark, sf_dir):
+    return methods_for(_mined(spark, sf_dir), "all").select("class_name", "name", "signature", "defined_in")
+
+
+@register("public_methods", f"""WITH {SQL_CODE_FILES}
+SELECT regexp_extract(content, '(?m)^class (\\w+)\\(', 1) AS class_name, (name = '__init__' OR NOT starts_with(name, '_')) AS public
+FROM code_files, (VALUES ('__init__'), ('_hidden'), ('run')) t(name) WHERE ends_with(path, '.py')""")
+def q_public_methods(spark, sf_dir):
+    c = _mined(spark, sf_dir).where(F.col("kind") == "class").select("class_name")
+    names = spark.createDataFrame([("__init__",), ("_hidden",), ("run",)], "name string")
+    # a fixed three-name probe table: broadcasting it is bounded by construction
+    return c.crossJoin(F.broadcast(names)).select("class_name", public_member("name").alias("public"))
+
+
+@register("method_display")
+def q_method_display(spark, sf_dir):
+    m = _mined(spark, sf_dir)
+    return methods_for(m, "defined").select("class_name", "name", "defined_in")
+
+
+@register("class_kind", f"""WITH {SQL_CODE_FILES}
+SELECT regexp_extract(content, '(?m)^class (\\w+)\\(', 1) AS class_name, 'VALUE_OBJECT' AS class_type
+FROM code_files WHERE ends_with(path, '.py')""")
+def q_class_kind(spark, sf_dir):
+    return classes_with_kind(_mined(spark, sf_dir)).select("class_name", "class_type")
+
+
+@register("fmt_class_name", f"""WITH {SQL_CODE_FILES}
+SELECT path, regexp_replace(regexp_extract(content, '(?m)^class (\\w+\\([^)]*\\))', 1) || '[T]', '\\[[^\\n]*?\\]', '', 'g') AS display
+FROM code_files WHERE ends_with(path, '.py')""")
+def q_fmt_class_name(spark, sf_dir):
+    f = code_files(spark, sf_dir).where(F.col("path").endswith(".py"))
+    raw = F.concat(F.regexp_extract("content", r"(?m)^class (\w+\([^)]*\))", 1), F.lit("[T]"))
+    return f.select("path", fmt_class_name(raw).alias("display"))
+
+
+@register("inherit_edges")
+def q_inherit_edges(spark, sf_dir):
+    return inherit_edges(_mined(spark, sf_dir)).select("class_name", "base")
+
+
+@register("compose_edges")
+def q_compose_edges(spark, sf_dir):
+    return compose_edges(_mined(spark, sf_dir))
+
+
+@register("own_fields")
+def q_own_fields(spark, sf_dir):
+    return own_fields(_mined(spark, sf_dir)).select("class_name", "name", "type")
+
+
+@register("class_inventory")
+def q_class_inventory(spark, sf_dir):
+    inv = class_inventory(_mined(spark, sf_dir))
+    return inv.select("class_name", F.size("fields").alias("n_fields"), F.size("methods").alias("n_methods"))
+
+
+@register("snapshot_source", f"""{_SNAPS} SELECT path, md5(content) AS content_md5 FROM snap_new""")
+def q_snapshot_source(spark, sf_dir):
+    return snap_new(spark, sf_dir).select("path", F.md5("content").alias("content_md5"))
+
+
+@register("snapshot_join", f"{_JOIN_SQL} SELECT path, status FROM j WHERE status <> 'same'")
+def q_snapshot_join(spark, sf_dir):
+    return snapshot_join(snap_old(spark, sf_dir), snap_new(spark, sf_dir)).where(F.col("status") != "same")
+
+
+@register("changed_scope", f"{_JOIN_SQL} SELECT path, status FROM j WHERE status <> 'same' AND starts_with(path, 'src1')")
+def q_changed_scope(spark, sf_dir):
+    return changed_paths(snap_old(spark, sf_dir), snap_new(spark, sf_dir), "src1")
+
+
+@register("line_diff", f"{_SNAPS}, {_LINES_SQL} SELECT path, n_added, n_removed FROM ld")
+def q_line_diff(spark, sf_dir):
+    return line_diff(snap_old(spark, sf_dir), snap_new(spark, sf_dir))
+
+
+@register("review_bundle", f"""{_JOIN_SQL},
+lnp AS (SELECT path, unnest(string_split(content, chr(10))) AS line, unnest(generate_series(1, len(string_split(content, chr(10))))) AS pos FROM snap_new),
+lo AS (SELECT DISTINCT path, unnest(string_split(content, chr(10))) AS line FROM snap_old),
+added AS (SELECT a.path, a.line, a.pos FROM lnp a WHERE NOT EXISTS (SELECT 1 FROM lo WHERE lo.path = a.path AND lo.line = a.line))
+SELECT a.path, md5('Review the change to ' || a.path || '.' || chr(10) || 'Added lines:' || chr(10) || string_agg(a.line, chr(10) ORDER BY a.pos) || chr(10)) AS prompt_md5
+FROM added a JOIN j ON j.path = a.path AND j.status = 'modified' GROUP BY a.path""")
+def q_review_bundle(spark, sf_dir):
+    r = review_bundle(snap_old(spark, sf_dir), snap_new(spark, sf_dir))
+    return r.select("path", F.md5("prompt").alias("prompt_md5"))
+
+
+@register("commit_bundle", f"""{_JOIN_SQL}, {_LINES_SQL}
+SELECT split_part(j.path, '/', 1) AS repo, md5(string_agg(j.status || ' ' || j.path, chr(10) ORDER BY j.path)) AS files_md5,
+  CAST(sum(coalesce(ld.n_added, 0)) AS BIGINT) AS n_added, CAST(sum(coalesce(ld.n_removed, 0)) AS BIGINT) AS n_removed
+FROM j LEFT JOIN ld ON ld.path = j.path WHERE j.status <> 'same' GROUP BY 1""")
+def q_commit_bundle(spark, sf_dir):
+    c = commit_bundle(snap_old(spark, sf_dir), snap_new(spark, sf_dir), lambda p: F.split(p, "/", -1).getItem(0))
+    return c.select("repo", F.md5("files").alias("files_md5"), "n_added", "n_removed")
