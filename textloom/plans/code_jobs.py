@@ -27,6 +27,7 @@ from textloom.operators.predicates import exact_exclude, ignore_filter, scope_fi
 from textloom.operators.resolve import contains_expand, resolve_js, resolve_py
 from textloom.operators.tree import common_path, tree_map
 from textloom.registry import register
+from textloom.session import cut_lineage
 from textloom.sources.files import corpus_filter
 from textloom.sources.views import SQL_CODE_FILES, code_files
 
@@ -67,7 +68,7 @@ def import_collect(spark: SparkSession, sf_dir: str, seeds: DataFrame, depth: in
     order), packed into segments. ``output='path'`` gives one string of relative paths and
     no packing."""
     files = code_files(spark, sf_dir)
-    clo = closure_of(spark, sf_dir, seeds, depth)
+    clo = cut_lineage(closure_of(spark, sf_dir, seeds, depth))
     ordered = clo.withColumn("ord", F.row_number().over(Window.partitionBy("seed").orderBy(F.col("disc").desc())))
     if output == "path":
         return ordered.groupBy("seed").agg(

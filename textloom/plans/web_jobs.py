@@ -17,7 +17,7 @@ from textloom.operators.ordered import budget_cutoff, oversize_flag, pack_segmen
 from textloom.operators.predicates import prefix_join, url_ignore, url_scope
 from textloom.operators.tree import common_host, tree_map, tree_nodes, tree_rollup, tree_rows
 from textloom.registry import register
-from textloom.session import table
+from textloom.session import cut_lineage, table
 from textloom.sources.files import page_source
 
 # Default budgets of the scrape job (fixed values).
@@ -65,8 +65,12 @@ def host_items(spark: SparkSession, sf_dir: str, limit_token: int | None) -> Dat
 
 def scrape_segments(spark: SparkSession, sf_dir: str, limit_token: int | None = SCRAPE_LIMIT_TOKEN,
                     max_token: int | None = SCRAPE_MAX_TOKEN, max_char: int | None = SCRAPE_MAX_CHAR) -> DataFrame:
-    """Flagship: per host, site tree header then page texts, packed and wrapped."""
-    items = host_items(spark, sf_dir, limit_token)
+    """Flagship: per host, site tree header then page texts, packed and wrapped.
+
+    The budgeted items are written once (lineage cut in the shared checkpoint folder); the
+    tree, the segment assignment and the per-segment join all read that table instead of
+    re-extracting HTML."""
+    items = cut_lineage(host_items(spark, sf_dir, limit_token))
     tree = tree_map(items.select("host", "url", F.col("url").alias("ord")), ["host"], "url", "ord")
     header = tree.select("host", F.lit("").alias("url"), F.col("tree_text").alias("content"))
     header = header.withColumn("token", count_tokens("content")).withColumn("chars", char_count("content"))
