@@ -58,9 +58,15 @@ def import_closure(
     e = e.persist(StorageLevel.MEMORY_AND_DISK)
     fileset = fileset.persist(StorageLevel.MEMORY_AND_DISK)
     prepared = None
+    pairs = None
     if contains:
         anc, keyed = prepare_contains(fileset)
         prepared = (anc.persist(StorageLevel.MEMORY_AND_DISK), keyed.persist(StorageLevel.MEMORY_AND_DISK))
+        # Every node after level 0 is a file or an edge target, so containment pairs for all
+        # of them are computed once; each level is then one equi-join against this table.
+        later = fileset.select(F.col("path").alias("node")).unionByName(
+            e.select(F.col("dst").alias("node"))).distinct()
+        pairs = cut_lineage(contains_expand(later, fileset, "node", [], prepared))
     seen = cut_lineage(level.withColumn("depth", F.lit(0)))
     frontier = seen
     d = 0
@@ -71,7 +77,10 @@ def import_closure(
         )
         parts = [deps]
         if contains:
-            inside = contains_expand(frontier.select("seed", "node"), fileset, "node", ["seed"], prepared)
+            if d == 0:
+                inside = contains_expand(frontier.select("seed", "node"), fileset, "node", ["seed"], prepared)
+            else:
+                inside = frontier.select("seed", "node").join(pairs, "node").select("seed", "node", "path")
             inside = inside.join(frontier.select("seed", "node", "disc"), ["seed", "node"]).select(
                 "seed", F.col("path").alias("next"), F.concat("disc", F.array(F.lit(0).cast("long"), F.lit(0).cast("long"))).alias("disc")
             )

@@ -358,3 +358,10 @@ def q_oversize_flag(spark, sf_dir):
 def q_scrape_segments(spark, sf_dir):
     return scrape_segments(spark, sf_dir).select("host", "seg", "k", "n", "role", "n_items", "token", "chars",
                                                  F.md5("wrapped").alias("wrapped_md5"))
+
+
+@register("resolve_url", f"WITH {_SQL_PAGES}, {_SQL_LINKS} SELECT page_id, pos, link AS resolved FROM links")
+def q_resolve_url(spark, sf_dir):
+    p = landed_pages(spark, sf_dir)
+    ex = p.select("page_id", "url", F.posexplode(raw_links("html", "all")).alias("pos", "href"))
+    return ex.select("page_id", "pos", resolve_url("url", "href").alias("resolved"))
