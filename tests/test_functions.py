@@ -64,3 +64,30 @@ def test_strippers_and_code_blocks(spark):
     assert r.b == re.sub(r"// .*?\n", "", re.sub(r"/\*.*?\*/", "", js, flags=re.DOTALL))
     assert r.c == "x = 1\n\n\ny"
     assert r.d == "plain"
+
+
+def test_corpus_scan_and_prefix_join(spark, tmp_path):
+    from textloom.operators.predicates import prefix_join
+    from textloom.sources.files import corpus_scan
+
+    files = {"a/x.py": "from b.y import z\n", "a/node_modules/m.js": "x", "b/y.py": "", "b/notes.txt": "t",
+             "ts_mock2/k.ts": "", "ts_mock/j.ts": ""}
+    for rel, text in files.items():
+        p = tmp_path / rel
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text)
+    root = str(tmp_path)
+    got = sorted(r.path[len(root) + 1:] for r in corpus_scan(spark, root).collect())
+    assert got == ["a/x.py", "b/y.py", "ts_mock/j.ts", "ts_mock2/k.ts"]
+    scoped = sorted(r.path[len(root) + 1:] for r in corpus_scan(spark, root, scope_paths=["ts_mock"]).collect())
+    assert scoped == ["ts_mock/j.ts", "ts_mock2/k.ts"]  # string prefix, like the reference
+    ign = sorted(r.path[len(root) + 1:] for r in corpus_scan(spark, root, ignore_paths=["a"]).collect())
+    assert ign == ["b/y.py", "ts_mock/j.ts", "ts_mock2/k.ts"]
+    urls = spark.createDataFrame([("https://a.com/x",), ("https://a.com.evil/y",), ("https://b.com/z",)], "u string")
+    roots = spark.createDataFrame([("https://a.com",)], "root string")
+    small = sorted(r.u for r in prefix_join(urls, "u", roots, "root", "left_semi").collect())
+    assert small == ["https://a.com.evil/y", "https://a.com/x"]
+    big = sorted(r.u for r in prefix_join(urls, "u", roots, "root", "left_semi", broadcast_limit=0).collect())
+    assert big == small  # same literal-prefix result on the join path
+    anti = sorted(r.u for r in prefix_join(urls, "u", roots, "root", "left_anti", broadcast_limit=0).collect())
+    assert anti == ["https://b.com/z"]

@@ -3,8 +3,8 @@
 Prefix lists given as Python lists are parameters (a handful of entries) and compile to an
 OR-chain of ``startswith`` inside the scan's filter. Prefix *tables* are joined: when the
 table is small (row count checked against ``broadcast_limit``) it is broadcast to a
-nested-loop semi/anti join; otherwise each path explodes its '/'-boundary prefixes and
-the match becomes an equi-join (exact for folder-boundary prefixes).
+nested-loop semi/anti join; otherwise the literal-prefix match runs as equi-joins on
+(folder, bounded name prefix), with the same result.
 """
 
 from __future__ import annotations
@@ -47,17 +47,18 @@ def prefix_join(df: DataFrame, col: str, prefixes: DataFrame, prefix_col: str, h
                 broadcast_limit: int = BROADCAST_PREFIX_LIMIT) -> DataFrame:
     """Semi/anti join on ``df[col].startswith(prefixes[prefix_col])``.
 
-    Small prefix tables (checked count) are broadcast; large ones use the folder-boundary
-    equi-join (a prefix then must be a whole folder path or the full value)."""
+    Small prefix tables (checked count) are broadcast to a nested-loop join; large ones use
+    the exact literal-prefix equi-join of :func:`contains_expand` (same result either way)."""
     p = prefixes.select(F.col(prefix_col).alias("__prefix")).distinct()
     if p.limit(broadcast_limit + 1).count() <= broadcast_limit:
         return df.join(F.broadcast(p), F.col(col).startswith(F.col("__prefix")), how)
-    segs = F.split(F.col(col), "/", -1)
-    anc = df.select("*", F.explode(
-        F.transform(F.sequence(F.lit(1), F.size(segs)), lambda n: F.array_join(F.slice(segs, 1, n), "/"))
-    ).alias("__anc"))
-    hit = anc.join(p, F.col("__anc") == F.col("__prefix"), "left_semi").drop("__anc").dropDuplicates()
-    return hit if how == "left_semi" else df.exceptAll(hit)
+    from textloom.operators.resolve import contains_expand
+
+    vals = df.select(F.col(col).alias("path")).distinct()
+    longer = contains_expand(p.select(F.col("__prefix").alias("node")), vals, "node").select(F.col("path").alias("__v"))
+    equal = vals.join(p, F.col("path") == F.col("__prefix"), "left_semi").select(F.col("path").alias("__v"))
+    hit = longer.unionByName(equal).distinct()
+    return df.join(hit, F.col(col) == F.col("__v"), how)
 
 
 def url_scope(df: DataFrame, col: str, roots: list[str], boundary: bool = False) -> DataFrame:
