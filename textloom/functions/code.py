@@ -33,16 +33,15 @@ def py_from_modules(content) -> Column:
 
 def js_imports(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
     """``(src, pos, module)`` for JS/TS alias imports."""
-    return files.select(
-        F.col(path_col).alias("src"), F.posexplode(js_import_targets(content_col)).alias("pos", "module")
-    )
+    ex = files.select(F.col(path_col).alias("src"), F.posexplode(js_import_targets(content_col)).alias("pos", "module"))
+    return ex.select("src", F.col("pos").cast("long").alias("pos"), "module")
 
 
 def py_imports(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
     """``(src, pos, level, module)`` for ``from`` imports (regex path)."""
     ex = files.select(F.col(path_col).alias("src"), F.posexplode(py_from_modules(content_col)).alias("pos", "raw"))
     return ex.select(
-        "src", "pos",
+        "src", F.col("pos").cast("long").alias("pos"),
         F.length(F.regexp_extract("raw", r"^(\.*)", 1)).alias("level"),
         F.regexp_replace("raw", r"^\.+", "").alias("module"),
     )

@@ -342,7 +342,7 @@ def q_common_path(spark, sf_dir):
 args AS (SELECT source AS mode_src, CASE WHEN doc_id % 6 = 0 THEN 'cursor' WHEN doc_id % 6 = 1 THEN 'chatgpt' WHEN doc_id % 6 = 2 THEN 'o1-mini'
   WHEN doc_id % 6 = 3 THEN 'gemini1.5pro' WHEN doc_id % 6 = 4 THEN 'claude' ELSE 'dify' END AS mode, doc_id,
   CASE WHEN lang = 'en' THEN n_chars END AS max_token_arg FROM documents)
-SELECT a.doc_id, p.output, coalesce(nullif(a.max_token_arg, 0), p.max_token) AS max_token, p.max_char FROM args a JOIN presets p ON p.mode = a.mode""")
+SELECT a.doc_id, p.output, CAST(coalesce(nullif(a.max_token_arg, 0), p.max_token) AS BIGINT) AS max_token, CAST(p.max_char AS BIGINT) AS max_char FROM args a JOIN presets p ON p.mode = a.mode""")
 def q_preset_defaults(spark, sf_dir):
     from textloom.session import table
 

@@ -44,7 +44,8 @@ def page_links(pages: DataFrame, link_scope: str = "all", roots: list[str] | Non
     """``(page_id, url, pos, link)``: anchors resolved against the page URL, normalized,
     binary suffixes skipped, then URL scope and ignore rules."""
     ex = pages.select("page_id", "url", F.posexplode(raw_links("html", link_scope)).alias("pos", "href"))
-    ex = ex.select("page_id", "url", "pos", resolve_url("url", "href").alias("link")).where(~skip_binary_url("link"))
+    ex = ex.select("page_id", "url", F.col("pos").cast("long").alias("pos"), resolve_url("url", "href").alias("link")).where(
+        ~skip_binary_url("link"))
     if isinstance(roots, DataFrame):
         ex = prefix_join(ex, "link", roots, "root", "left_semi")
     elif roots:
@@ -364,4 +365,4 @@ def q_scrape_segments(spark, sf_dir):
 def q_resolve_url(spark, sf_dir):
     p = landed_pages(spark, sf_dir)
     ex = p.select("page_id", "url", F.posexplode(raw_links("html", "all")).alias("pos", "href"))
-    return ex.select("page_id", "pos", resolve_url("url", "href").alias("resolved"))
+    return ex.select("page_id", F.col("pos").cast("long").alias("pos"), resolve_url("url", "href").alias("resolved"))
