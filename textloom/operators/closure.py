@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.resolve import contains_expand, prepare_contains
-from textloom.session import cut_lineage
+from textloom.session import cut_lineage, cut_lineage_counted
 
 DEFAULT_DEPTH = 9999
+COMPACT_EVERY = 8
 
 
 def import_closure(
@@ -54,7 +55,10 @@ def import_closure(
     if d_max == 0:
         return level.select("seed", F.col("node").alias("path"), F.lit(0).alias("depth"), "disc")
 
-    e = edges.select(F.col("src").alias("node"), F.col("pos").cast("long").alias("pos"), "dst").repartition("node")
+    # only edges leaving files matter (a node outside the file set is "not found" and has no
+    # imports), so the per-level semi-join against the file set happens once, here
+    e = edges.select(F.col("src").alias("node"), F.col("pos").cast("long").alias("pos"), "dst")
+    e = e.join(fileset.select(F.col("path").alias("node")), "node", "left_semi").repartition("node")
     e = e.persist(StorageLevel.MEMORY_AND_DISK)
     fileset = fileset.persist(StorageLevel.MEMORY_AND_DISK)
     prepared = None
@@ -71,8 +75,7 @@ def import_closure(
     frontier = seen
     d = 0
     while d < d_max:
-        found = frontier.join(fileset.withColumnRenamed("path", "node"), "node", "left_semi")
-        deps = found.join(e, "node").select(
+        deps = frontier.join(e, "node").select(
             "seed", F.col("dst").alias("next"), F.concat("disc", F.array(F.lit(1).cast("long"), "pos")).alias("disc")
         )
         parts = [deps]
@@ -88,11 +91,14 @@ def import_closure(
         cand = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         cand = cand.groupBy("seed", "next").agg(F.min("disc").alias("disc")).withColumnRenamed("next", "node")
         new = cand.join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
-        new = cut_lineage(new.withColumn("depth", F.lit(d + 1)))
-        if new.isEmpty():
+        new, n_new = cut_lineage_counted(new.withColumn("depth", F.lit(d + 1)))
+        if n_new == 0:
             break
-        # seen is a union of written level tables: lineage stays one level deep
+        # seen is a union of written level tables (lineage one level deep), compacted into
+        # one table every COMPACT_EVERY levels so the anti-join does not scan a growing list
         seen = seen.unionByName(new.select(*seen.columns))
+        if (d + 1) % COMPACT_EVERY == 0:
+            seen = cut_lineage(seen)
         frontier = new
         d += 1
     e.unpersist()
@@ -136,8 +142,8 @@ def crawl_closure(
     while d < limit:
         nxt = frontier.select(F.col("url").alias("src")).join(links, "src").select(F.col("dst").alias("url")).distinct()
         nxt = nxt.join(known, "url").join(seen.select("url"), "url", "left_anti")
-        nxt = cut_lineage(nxt.withColumn("depth", F.lit(d + 1)))
-        if nxt.isEmpty():
+        nxt, n_new = cut_lineage_counted(nxt.withColumn("depth", F.lit(d + 1)))
+        if n_new == 0:
             break
         seen = seen.unionByName(nxt)
         frontier = nxt

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.session import cut_lineage
+from textloom.session import cut_lineage, cut_lineage_counted
 
 DEFAULT_MAX_TOKEN = 25_000
 DEFAULT_MAX_CHAR = 999_999_999
@@ -222,13 +222,13 @@ def _assign_distributed(items: DataFrame, keys, order, mt, mc, keep_empty, token
     )
 
     # chain from the first item by doubling: S <- S ∪ J(S); J <- J∘J
-    starts = jump.where(F.col("__s") == 1).select(*keys, "__s")
+    starts, n_starts = cut_lineage_counted(jump.where(F.col("__s") == 1).select(*keys, "__s"))
     while True:
         hop = starts.join(jump, [*keys, "__s"]).where(F.col("__t") <= F.col("__n")).select(*keys, F.col("__t").alias("__s"))
-        grown = cut_lineage(starts.unionByName(hop).distinct())
-        if grown.count() == starts.count():
+        grown, n_grown = cut_lineage_counted(starts.unionByName(hop).distinct())
+        if n_grown == n_starts:
             break
-        starts = grown
+        starts, n_starts = grown, n_grown
         j2 = jump.alias("a").join(
             jump.alias("b"),
             reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col("a.__t") == F.col("b.__s")]),

@@ -25,9 +25,12 @@ URL_TITLE = "Web Site Map: "
 DIR_TITLE = "Directory Structure Chart: "
 
 
-def _segments_for(df: DataFrame, keys: list[str], path_col: str, root: str | None) -> DataFrame:
+def _segments_for(df: DataFrame, keys: list[str], path_col: str, root: str | None, mode: str | None = None) -> DataFrame:
     """Add ``segs`` (URL segments when every path of the group is an http(s) URL, else
-    directory segments relative to the parent of the group's common path or ``root``)."""
+    directory segments relative to the parent of the group's common path or ``root``).
+    ``mode='url'`` (caller knows every path is a URL) skips the per-group detection."""
+    if mode == "url":
+        return df.withColumn("segs", url_segments(F.col(path_col)))
     flags = df.groupBy(*keys).agg(
         F.min(is_http_url(path_col).cast("int")).alias("__all_url"),
         F.min(F.split(path_col, "/", -1)).alias("__mn"),
@@ -64,10 +67,10 @@ def _common_dir(mn: Column, mx: Column) -> Column:
 
 
 def tree_nodes(df: DataFrame, keys: list[str], path_col: str = "path", ord_col: str = "ord",
-               root: str | None = None) -> DataFrame:
+               root: str | None = None, mode: str | None = None) -> DataFrame:
     """All ancestor nodes with their first-seen order (G4)."""
     base = df.select(*keys, F.col(path_col).alias("path"), F.col(ord_col).alias("ord"))
-    segs = _segments_for(base, keys, "path", root)
+    segs = _segments_for(base, keys, "path", root, mode)
     exploded = segs.select(
         *keys,
         "ord",
@@ -128,9 +131,9 @@ def tree_layout(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def tree_map(df: DataFrame, keys: list[str], path_col: str = "path", ord_col: str = "ord",
-             root: str | None = None) -> DataFrame:
+             root: str | None = None, mode: str | None = None) -> DataFrame:
     """Titled tree block per group (G5): ``format_content(title, layout, 'doc')``."""
-    nodes = tree_nodes(df, keys, path_col, ord_col, root)
+    nodes = tree_nodes(df, keys, path_col, ord_col, root, mode)
     layout = tree_layout(tree_rows(nodes, keys), keys)
     base = df.select(*keys, F.col(path_col).alias("__p"), F.col(ord_col).alias("__o"))
     info = base.groupBy(*keys).agg(

@@ -33,10 +33,15 @@ def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scraped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(page_id, url, host, content, token_size, char_size)``."""
-    p = landed_pages(spark, sf_dir)
-    t = p.select("page_id", "url", url_netloc("url").alias("host"), html_text("html").alias("content"))
-    return t.withColumn("token_size", count_tokens("content")).withColumn("char_size", char_count("content"))
+    """``(page_id, url, host, content, token_size, char_size)``, one row per normalized URL.
+
+    Text is extracted before the de-duplication, so the shuffle moves extracted text rather
+    than raw HTML (the widest column of the job)."""
+    p = page_source(table(spark, sf_dir, "pages")).select(
+        "page_id", normalize_url("url").alias("url"), html_text("html").alias("content"))
+    p = p.groupBy("url").agg(F.min_by(F.struct("page_id", "content"), "page_id").alias("r")).select(
+        F.col("r.page_id").alias("page_id"), "url", url_netloc("url").alias("host"), F.col("r.content").alias("content"))
+    return p.withColumn("token_size", count_tokens("content")).withColumn("char_size", char_count("content"))
 
 
 def page_links(pages: DataFrame, link_scope: str = "all", roots: list[str] | None = None,
@@ -72,8 +77,8 @@ def scrape_segments(spark: SparkSession, sf_dir: str, limit_token: int | None =
     tree, the segment assignment and the per-segment join all read that table instead of
     re-extracting HTML."""
     items = cut_lineage(host_items(spark, sf_dir, limit_token))
-    tree = tree_map(items.select("host", "url", F.col("url").alias("ord")), ["host"], "url", "ord")
-    header = tree.select("host", F.lit("").alias("url"), F.col("tree_text").alias("content"))
+    tree = tree_map(items.select("host", "url", F.col("url").alias("ord")), ["host"], "url", "ord", mode="url")
+    header = cut_lineage(tree.select("host", F.lit("").alias("url"), F.col("tree_text").alias("content")))
     header = header.withColumn("token", count_tokens("content")).withColumn("chars", char_count("content"))
     all_items = header.unionByName(items)  # "" sorts before every URL: the tree comes first
     packed = pack_segments(all_items, ["host"], ["url"], max_token=max_token, max_char=max_char, with_prompt=True)

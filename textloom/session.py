@@ -54,13 +54,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Cut lineage by writing a parquet table under the shared checkpoint folder and reading
     it back: one job, and the result survives executor loss (unlike local checkpoints)."""
+    return cut_lineage_counted(df)[0]
+
+
+def cut_lineage_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """:func:`cut_lineage` that also returns the row count, observed during the write
+    (no extra job)."""
     import uuid
 
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark)
     path = f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
+    df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    n = int(obs.get.get("n", 0) or 0)
+    return spark.read.parquet(path), n
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
