@@ -86,3 +86,35 @@ def test_budget_cutoff(spark):
     assert sorted(r.url for r in kept.collect()) == ["u00", "u01", "u02", "u03"]
     none = budget_cutoff(df, ["host"], ["url"], limit_token=2)
     assert none.count() == 0
+
+
+def test_running_totals_hot_key_spans_blocks(spark):
+    from textloom.operators.ordered import row_index, running_totals
+
+    # one key holds most rows; 16 range blocks split it, offsets must stitch the sums
+    rows = [("hot", i, i % 5) for i in range(3000)] + [("cold%d" % (i % 7), i, 1) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, o long, v long")
+    rt = running_totals(df, ["k"], ["o"], {"cum": F.col("v")}, n_blocks=16)
+    got = {(r.k, r.o): r.cum for r in rt.collect()}
+    acc = {}
+    for k, o, v in sorted(rows, key=lambda r: (r[0], r[1])):
+        acc[k] = acc.get(k, 0) + v
+        assert got[(k, o)] == acc[k]
+    # the hot key really is spread over several blocks
+    blocks = df.repartitionByRange(16, "k", "o").where(F.col("k") == "hot").select(F.spark_partition_id()).distinct().count()
+    assert blocks > 1
+    idx = row_index(df, ["k"], ["o"], n_blocks=16)
+    assert sorted(r.idx for r in idx.where("k = 'hot'").collect()) == list(range(1, 3001))
+
+
+def test_stream_budget_equals_batch(spark):
+    import os
+
+    from conftest import SF
+    from textloom.plans.web_jobs import scraped
+    from textloom.streaming.streams import run_available, stream_budget, stream_pages
+
+    batch = budget_cutoff(scraped(spark, SF), ["host"], ["url"], limit_token=1500)
+    stream = run_available(stream_budget(stream_pages(spark, os.path.join(SF, "pages.parquet")), 1500), "t_budget")
+    key = lambda df: sorted((r.host, r.url) for r in df.select("host", "url").collect())
+    assert key(batch) == key(stream)

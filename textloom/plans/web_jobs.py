@@ -61,8 +61,11 @@ def page_links(pages: DataFrame, link_scope: str = "all", roots: list[str] | Non
 
 
 def host_items(spark: SparkSession, sf_dir: str, limit_token: int | None) -> DataFrame:
-    """Pages per host after the budget cut-off (in URL order), formatted as doc blocks."""
-    s = budget_cutoff(scraped(spark, sf_dir), ["host"], ["url"], limit_token=limit_token)
+    """Pages per host after the budget cut-off (in URL order), formatted as doc blocks.
+
+    Extracted pages are written once first: the budget's range partitioning samples its
+    input, which would otherwise re-run the HTML extraction."""
+    s = budget_cutoff(cut_lineage(scraped(spark, sf_dir)), ["host"], ["url"], limit_token=limit_token)
     item = format_content("url", "content", "doc")
     return s.select("host", "url", item.alias("content")).withColumn("token", count_tokens("content")).withColumn(
         "chars", char_count("content")
