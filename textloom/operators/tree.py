@@ -39,7 +39,7 @@ def _segments_for(df: DataFrame, keys: list[str], path_col: str, root: str | Non
         F.min_by(F.col(path_col), F.col("ord")).alias("__first"),
     )
     flags = flags.withColumn("__common", _common_dir(F.col("__mn"), F.col("__mx")))
-    j = df.join(flags, keys) if keys else df.crossJoin(F.broadcast(flags))
+    j = df.join(flags, keys) if keys else df.withColumn("__g", F.lit(1)).join(flags.withColumn("__g", F.lit(1)), "__g")
     p = F.col(path_col)
     rootc = F.lit(root) if root else F.col("__common")
     parent = F.regexp_extract(rootc, r"^(.*)/[^/]*$", 1)
@@ -149,7 +149,7 @@ def tree_map(df: DataFrame, keys: list[str], path_col: str = "path", ord_col: st
     title = F.when(
         F.col("__all_url") == 1, F.concat(F.lit(URL_TITLE), root_expr if root else url_root)
     ).otherwise(F.concat(F.lit(DIR_TITLE), root_expr if root else _common_dir(F.col("__mn"), F.col("__mx"))))
-    j = layout.join(info, keys) if keys else layout.crossJoin(info)
+    j = layout.join(info, keys) if keys else layout.withColumn("__g", F.lit(1)).join(info.withColumn("__g", F.lit(1)), "__g")
     return j.select(*keys, title.alias("title"), "layout", "n_nodes",
                     format_content(title, F.col("layout"), "doc").alias("tree_text"))
 

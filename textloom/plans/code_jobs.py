@@ -348,6 +348,7 @@ def q_preset_defaults(spark, sf_dir):
 
     presets = spark.createDataFrame(PRESETS, "mode string, output string, no_comment boolean, with_prompt boolean, max_char long, max_token long")
     d = table(spark, sf_dir, "documents")
+    # presets: a fixed six-row table, so the broadcast below is bounded by construction
     i = F.col("doc_id") % 6
     mode = F.element_at(F.array(*[F.lit(p[0]) for p in PRESETS]), (i + 1).cast("int"))
     args = d.select("doc_id", mode.alias("mode"), F.when(F.col("lang") == "en", F.col("n_chars")).alias("max_token_arg"))
@@ -361,12 +362,14 @@ sz AS (SELECT split_part(path, '/', 1) AS top, sum({Q.tokens(Q.format_content('p
   sum(length({Q.format_content('path', 'content', 'code')})) AS chars FROM code_files GROUP BY 1)
 SELECT top, mode, (tokens <= max_token AND chars <= max_char) AS fits FROM sz CROSS JOIN presets""")
 def q_preset_fit(spark, sf_dir):
-    presets = spark.createDataFrame([(m, mc, mt) for m, o, nc, wp, mc, mt in PRESETS], "mode string, max_char long, max_token long")
     f = code_files(spark, sf_dir).select(F.split("path", "/", -1).getItem(0).alias("top"), format_content("path", "content", "code").alias("b"))
     sz = f.groupBy("top").agg(F.sum(count_tokens("b")).alias("tokens"), F.sum(F.length("b")).alias("chars"))
-    # presets is a fixed six-row table: broadcasting it is bounded by construction
-    return sz.crossJoin(F.broadcast(presets)).select(
-        "top", "mode", ((F.col("tokens") <= F.col("max_token")) & (F.col("chars") <= F.col("max_char"))).alias("fits"))
+    # the six presets are a literal array expanded per row: no join at all
+    presets = F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(mc).cast("long").alias("max_char"),
+                                 F.lit(mt).cast("long").alias("max_token")) for m, o, nc, wp, mc, mt in PRESETS])
+    ex = sz.select("top", "tokens", "chars", F.explode(presets).alias("p"))
+    return ex.select("top", F.col("p.mode").alias("mode"),
+                     ((F.col("tokens") <= F.col("p.max_token")) & (F.col("chars") <= F.col("p.max_char"))).alias("fits"))
 
 
 @register("import_collect")

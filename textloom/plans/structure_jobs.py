@@ -80,9 +80,8 @@ SELECT regexp_extract(content, '(?m)^class (\\w+)\\(', 1) AS class_name, (name =
 FROM code_files, (VALUES ('__init__'), ('_hidden'), ('run')) t(name) WHERE ends_with(path, '.py')""")
 def q_public_methods(spark, sf_dir):
     c = _mined(spark, sf_dir).where(F.col("kind") == "class").select("class_name")
-    names = spark.createDataFrame([("__init__",), ("_hidden",), ("run",)], "name string")
-    # a fixed three-name probe table: broadcasting it is bounded by construction
-    return c.crossJoin(F.broadcast(names)).select("class_name", public_member("name").alias("public"))
+    probe = F.array(F.lit("__init__"), F.lit("_hidden"), F.lit("run"))  # literal probe names, no join
+    return c.select("class_name", F.explode(probe).alias("name")).select("class_name", public_member("name").alias("public"))
 
 
 @register("method_display")
