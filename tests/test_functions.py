@@ -70,20 +70,22 @@ def test_corpus_scan_and_prefix_join(spark, tmp_path):
     from textloom.operators.predicates import prefix_join
     from textloom.sources.files import corpus_scan
 
-    # non-empty files: Spark's file scan skips zero-length files (open item, see README)
+    # b/__init__.py and ts_mock/j.ts are empty: the scan must still list them
     files = {"a/x.py": "from b.y import z\n", "a/node_modules/m.js": "x", "b/y.py": "y = 1\n", "b/notes.txt": "t",
-             "ts_mock2/k.ts": "k", "ts_mock/j.ts": "j"}
+             "ts_mock2/k.ts": "k", "ts_mock/j.ts": "", "b/__init__.py": ""}
     for rel, text in files.items():
         p = tmp_path / rel
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(text)
     root = str(tmp_path)
-    got = sorted(r.path[len(root) + 1:] for r in corpus_scan(spark, root).collect())
-    assert got == ["a/x.py", "b/y.py", "ts_mock/j.ts", "ts_mock2/k.ts"]
+    scan = corpus_scan(spark, root)
+    got = sorted(r.path[len(root) + 1:] for r in scan.collect())
+    assert {r.path[len(root) + 1:]: r.content for r in scan.collect()}["b/y.py"] == "y = 1\n"
+    assert got == ["a/x.py", "b/__init__.py", "b/y.py", "ts_mock/j.ts", "ts_mock2/k.ts"]
     scoped = sorted(r.path[len(root) + 1:] for r in corpus_scan(spark, root, scope_paths=["ts_mock"]).collect())
     assert scoped == ["ts_mock/j.ts", "ts_mock2/k.ts"]  # string prefix, like the reference
     ign = sorted(r.path[len(root) + 1:] for r in corpus_scan(spark, root, ignore_paths=["a"]).collect())
-    assert ign == ["b/y.py", "ts_mock/j.ts", "ts_mock2/k.ts"]
+    assert ign == ["b/__init__.py", "b/y.py", "ts_mock/j.ts", "ts_mock2/k.ts"]
     urls = spark.createDataFrame([("https://a.com/x",), ("https://a.com.evil/y",), ("https://b.com/z",)], "u string")
     roots = spark.createDataFrame([("https://a.com",)], "root string")
     small = sorted(r.u for r in prefix_join(urls, "u", roots, "root", "left_semi").collect())

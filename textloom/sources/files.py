@@ -9,6 +9,57 @@ from textloom.functions.paths import DEFAULT_EXTENSIONS, ext_filter, not_in_igno
 from textloom.operators.predicates import ignore_filter, scope_filter
 
 
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """Recursive listing ``(path, size)`` through the Hadoop FileSystem API.
+
+    Spark's file sources hide names starting with ``_`` or ``.`` (``__init__.py``) and skip
+    zero-length files, both of which matter for code trees, so the listing is taken directly
+    (the same driver-side listing a file source's index performs)."""
+    jvm = spark._jvm
+    hp = jvm.org.apache.hadoop.fs.Path(root)
+    fs = hp.getFileSystem(spark._jsc.hadoopConfiguration())
+    it = fs.listFiles(hp, True)
+    rows = []
+    while it.hasNext():
+        st = it.next()
+        rows.append((st.getPath().toString(), int(st.getLen())))
+    df = spark.createDataFrame(rows, "uri string, size long")
+    return df.select("uri", F.regexp_replace(F.col("uri"), r"^file:(//)?", "").alias("path"), "size")
+
+
+def _fs_and_path(uri: str, cache: dict):
+    """pyarrow filesystem + in-filesystem path for a Hadoop-style URI (one client per
+    filesystem per task)."""
+    from pyarrow import fs as pafs
+
+    if uri.startswith("file:"):
+        fs = cache.setdefault("file", pafs.LocalFileSystem())
+        return fs, "/" + uri.split(":", 1)[1].lstrip("/")
+    u = uri.replace("s3a://", "s3://", 1)
+    scheme, rest = u.split("://", 1)
+    authority, _, path = rest.partition("/")
+    key = f"{scheme}://{authority}"
+    if key not in cache:
+        cache[key] = pafs.FileSystem.from_uri(key + "/")[0]
+    return cache[key], (f"{authority}/{path}" if scheme in ("s3", "gs", "gcs") else "/" + path)
+
+
+def _read_contents(batches):
+    import pandas as pd
+
+    cache: dict = {}
+    for pdf in batches:
+        out = []
+        for uri in pdf["uri"]:
+            fs, path = _fs_and_path(uri, cache)
+            try:
+                with fs.open_input_stream(path) as h:
+                    out.append(h.read().decode("utf-8", errors="replace"))
+            except OSError:
+                out.append(None)
+        yield pd.DataFrame({"uri": pdf["uri"], "content": out})
+
+
 def corpus_scan(
     spark: SparkSession,
     root: str,
@@ -17,24 +68,21 @@ def corpus_scan(
     ignore_dirs=None,
     extensions=DEFAULT_EXTENSIONS,
     with_content: bool = True,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Recursive listing under ``root`` → ``files(path, size, lang[, content])``.
 
-    Extension filtering happens in the reader's glob where possible; directory pruning,
-    scope and ignore prefixes are column predicates so they stay in the scan's plan.
-    Content is decoded as UTF-8 and never fails the job on bad bytes (replacement chars).
-    """
+    Extension, ignored-folder, scope and ignore predicates run on the listing (paths only);
+    contents are read afterwards, only for the files kept, spread over ``partitions`` tasks
+    and decoded as UTF-8 with replacement (bad bytes never fail the job)."""
     root = root.rstrip("/") or "/"
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if extensions:
-        reader = reader.option("pathGlobFilter", "*{" + ",".join(extensions) + "}")
-    df = reader.load(root)
-    path = F.regexp_replace(F.col("path"), r"^file:(//)?", "")
-    cols = [path.alias("path"), F.col("length").alias("size")]
-    if with_content:
-        cols.append(F.decode(F.col("content"), "UTF-8").alias("content"))
-    files = df.select(*cols)
-    return corpus_filter(files, root, scope_paths, ignore_paths, ignore_dirs, extensions)
+    listed = list_files(spark, root)
+    kept = corpus_filter(listed, root, scope_paths, ignore_paths, ignore_dirs, extensions)
+    if not with_content:
+        return kept.drop("uri")
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    contents = kept.select("uri").repartition(n, "uri").mapInPandas(_read_contents, "uri string, content string")
+    return kept.join(contents, "uri").drop("uri")
 
 
 def corpus_filter(
