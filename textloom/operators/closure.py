@@ -70,7 +70,7 @@ def import_closure(
         # of them are computed once; each level is then one equi-join against this table.
         later = fileset.select(F.col("path").alias("node")).unionByName(
             e.select(F.col("dst").alias("node"))).distinct()
-        pairs = cut_lineage(contains_expand(later, fileset, "node", [], prepared))
+        pairs, n_pairs = cut_lineage_counted(contains_expand(later, fileset, "node", [], prepared))
     seen = cut_lineage(level.withColumn("depth", F.lit(0)))
     frontier = seen
     d = 0
@@ -82,8 +82,11 @@ def import_closure(
         if contains:
             if d == 0:
                 inside = contains_expand(frontier.select("seed", "node"), fileset, "node", ["seed"], prepared)
-            else:
+            elif n_pairs > 0:
                 inside = frontier.select("seed", "node").join(pairs, "node").select("seed", "node", "path")
+            else:
+                inside = None  # no file or edge target is a proper prefix of another file
+        if contains and inside is not None:
             inside = inside.join(frontier.select("seed", "node", "disc"), ["seed", "node"]).select(
                 "seed", F.col("path").alias("next"), F.concat("disc", F.array(F.lit(0).cast("long"), F.lit(0).cast("long"))).alias("disc")
             )
