@@ -37,3 +37,11 @@ def test_directory_start_and_literal_prefix(spark):
     nodes = spark.createDataFrame([("pkg/a.ts",), ("pkg/su",), ("dir",)], "node string")
     pairs = {(r.node, r.path) for r in contains_expand(nodes, _files(spark, files), "node").collect()}
     assert pairs == {("pkg/a.ts", "pkg/a.tsx"), ("pkg/su", "pkg/sub/x.py")}
+
+
+def test_containment_after_level_zero(spark):
+    files = ["a.py", "x.ts", "x.tsx", "y.py"]
+    edges = [("a.py", "x.ts"), ("x.tsx", "y.py")]
+    # a.py imports x.ts (level 1); x.ts is a string prefix of x.tsx (level 2), which imports y.py
+    assert _run(spark, files, edges, ["a.py"]) == {"a.py": 0, "x.ts": 1, "x.tsx": 2, "y.py": 3}
+    assert _run(spark, files, edges, ["a.py"], contains=False) == {"a.py": 0, "x.ts": 1}
