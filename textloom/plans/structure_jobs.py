@@ -34,6 +34,16 @@ d AS (SELECT coalesce(co.path, cn.path) AS path, coalesce(n_old, 0) AS n_old, co
 ld AS (SELECT path, CAST(sum(greatest(n_new - n_old, 0)) AS BIGINT) AS n_added, CAST(sum(greatest(n_old - n_new, 0)) AS BIGINT) AS n_removed
        FROM d GROUP BY path HAVING sum(greatest(n_new - n_old, 0)) > 0 OR sum(greatest(n_old - n_new, 0)) > 0)"""
 
+_CLS = f"""WITH {SQL_CODE_FILES},
+cls AS (SELECT path, unnest(regexp_extract_all(content, '(?m)^class (\\w+)\\(', 1)) AS class_name FROM code_files WHERE ends_with(path, '.py')),
+bases AS (SELECT regexp_extract(m, '^class (\\w+)', 1) AS class_name, trim(b) AS base
+  FROM (SELECT unnest(regexp_extract_all(content, '(?m)^class \\w+\\([^)]*\\):')) AS m FROM code_files WHERE ends_with(path, '.py')) t,
+  unnest(string_split(regexp_extract(m, '\\(([^)]*)\\)', 1), ',')) AS u(b)),
+fields AS (SELECT regexp_extract(content, '(?m)^class (\\w+)\\(', 1) AS class_name, split_part(fl, ': ', 1) AS name, split_part(fl, ': ', 2) AS type
+  FROM (SELECT content, unnest(regexp_extract_all(content, '(?m)^    (\\w+: [\\w.]+)$', 1)) AS fl FROM code_files WHERE ends_with(path, '.py')) x),
+methods AS (SELECT regexp_extract(content, '(?m)^class (\\w+)\\(', 1) AS class_name, unnest(regexp_extract_all(content, '(?m)^    def (\\w+)\\(', 1)) AS name
+  FROM code_files WHERE ends_with(path, '.py'))"""
+
 
 def _mined(spark, sf_dir):
     f = code_files(spark, sf_dir)
@@ -59,18 +69,23 @@ def q_mine_fields(spark, sf_dir):
     return m.select("class_name", "name", F.col("detail").alias("type"), "shape")
 
 
-@register("mine_enum")
+@register("mine_enum", f"""{_CLS},
+members AS (SELECT regexp_extract(content, '(?m)^class (\\w+)\\(', 1) AS class_name, unnest(regexp_extract_all(content, '(?m)^    (\\w+) = ', 1)) AS name
+  FROM code_files WHERE ends_with(path, '.py'))
+SELECT m.class_name, m.name, NULL::VARCHAR AS value_type FROM members m
+WHERE m.class_name IN (SELECT class_name FROM bases WHERE base IN ('Enum', 'IntEnum', 'StrEnum', 'Flag', 'IntFlag', 'enum.Enum'))""")
 def q_mine_enum(spark, sf_dir):
     return _mined(spark, sf_dir).where(F.col("kind") == "member").select("class_name", "name", F.col("detail").alias("value_type"))
 
 
-@register("type_shape")
+@register("type_shape", f"""{_CLS} SELECT class_name, name, 'name' AS shape, type AS elements FROM fields""")
 def q_type_shape(spark, sf_dir):
     m = _mined(spark, sf_dir).where(F.col("kind") == "field")
     return m.select("class_name", "name", "shape", F.array_join("elements", "|").alias("elements"))
 
 
-@register("mine_methods")
+@register("mine_methods", f"""{_CLS} SELECT m.class_name, m.name, NULL::VARCHAR AS signature, m.class_name AS defined_in FROM methods m
+WHERE m.name = '__init__' OR NOT starts_with(m.name, '_')""")
 def q_mine_methods(spark, sf_dir):
     return methods_for(_mined(spark, sf_dir), "all").select("class_name", "name", "signature", "defined_in")
 
@@ -84,7 +99,8 @@ def q_public_methods(spark, sf_dir):
     return c.select("class_name", F.explode(probe).alias("name")).select("class_name", public_member("name").alias("public"))
 
 
-@register("method_display")
+@register("method_display", f"""{_CLS} SELECT class_name, name, class_name AS defined_in FROM methods
+WHERE name = '__init__' OR NOT starts_with(name, '_')""")
 def q_method_display(spark, sf_dir):
     m = _mined(spark, sf_dir)
     return methods_for(m, "defined").select("class_name", "name", "defined_in")
@@ -106,25 +122,34 @@ def q_fmt_class_name(spark, sf_dir):
     return f.select("path", fmt_class_name(raw).alias("display"))
 
 
-@register("inherit_edges")
+
+
+@register("inherit_edges", f"{_CLS} SELECT b.class_name, b.base FROM bases b JOIN cls c ON c.class_name = b.base")
 def q_inherit_edges(spark, sf_dir):
     return inherit_edges(_mined(spark, sf_dir)).select("class_name", "base")
 
 
-@register("compose_edges")
+@register("compose_edges", f"""{_CLS} SELECT DISTINCT f.class_name, f.type AS target, '1' AS multiplicity
+FROM fields f JOIN cls c ON c.class_name = f.type""")
 def q_compose_edges(spark, sf_dir):
     return compose_edges(_mined(spark, sf_dir))
 
 
-@register("own_fields")
+@register("own_fields", f"""{_CLS} SELECT f.class_name, f.name, f.type FROM fields f
+WHERE NOT EXISTS (SELECT 1 FROM bases b JOIN cls c ON c.class_name = b.base JOIN fields g ON g.class_name = b.base
+                  WHERE b.class_name = f.class_name AND g.name = f.name AND g.type IS NOT DISTINCT FROM f.type)""")
 def q_own_fields(spark, sf_dir):
     return own_fields(_mined(spark, sf_dir)).select("class_name", "name", "type")
 
 
-@register("class_inventory")
+@register("class_inventory", f"""{_CLS} SELECT c.class_name,
+  CAST((SELECT count(*) FROM fields f WHERE f.class_name = c.class_name) AS INTEGER) AS n_fields,
+  CAST((SELECT count(*) FROM methods m WHERE m.class_name = c.class_name AND (m.name = '__init__' OR NOT starts_with(m.name, '_'))) AS INTEGER) AS n_methods
+FROM cls c""")
 def q_class_inventory(spark, sf_dir):
     inv = class_inventory(_mined(spark, sf_dir))
-    return inv.select("class_name", F.size("fields").alias("n_fields"), F.size("methods").alias("n_methods"))
+    return inv.select("class_name", F.coalesce(F.size("fields"), F.lit(0)).alias("n_fields"),
+                      F.coalesce(F.size("methods"), F.lit(0)).alias("n_methods"))
 
 
 @register("snapshot_source", f"""{_SNAPS} SELECT path, md5(content) AS content_md5 FROM snap_new""")
