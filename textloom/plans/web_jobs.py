@@ -363,7 +363,47 @@ def q_oversize_flag(spark, sf_dir):
     return oversize_flag(s, 1000, 0).select("page_id", "oversize", "title_line")
 
 
-@register("scrape_segments")
+def _scrape_sql() -> str:
+    mt, mc = SCRAPE_MAX_TOKEN - 50, SCRAPE_MAX_CHAR - 150
+    n = "count(*) OVER (PARTITION BY host)"
+    k = "(seg + 1)"
+    return f"""WITH RECURSIVE {_SQL_PAGES},
+run AS (SELECT *, sum(token_size) OVER (PARTITION BY host ORDER BY url ROWS UNBOUNDED PRECEDING) AS ct FROM sized),
+kept AS (SELECT host, url, content FROM run WHERE ct <= {SCRAPE_LIMIT_TOKEN}),
+tsegs AS (SELECT host, url AS ord, list_concat([{Q.netloc('url')}], list_filter(string_split({Q.url_path('url')}, '/'), lambda x: x <> '')) AS s FROM kept),
+nodes0 AS (SELECT host, s[1:n] AS node, min(ord) AS first_ord FROM tsegs, generate_series(1, len(s)) AS g(n) GROUP BY host, node),
+nodes AS (SELECT *, node[1:len(node)-1] AS parent, len(node) AS depth,
+            first_ord = max(first_ord) OVER (PARTITION BY host, node[1:len(node)-1]) AS is_last FROM nodes0),
+twalk(host, node, prefix, pre) AS (
+  SELECT host, node, '', [first_ord] FROM nodes WHERE depth = 1
+  UNION ALL
+  SELECT c.host, c.node, w.prefix || CASE WHEN c.depth <= 2 THEN '' WHEN p.is_last THEN '    ' ELSE '│   ' END,
+         list_append(w.pre, c.first_ord)
+  FROM twalk w JOIN nodes c ON c.host = w.host AND c.parent = w.node JOIN nodes p ON p.host = w.host AND p.node = w.node),
+trows AS (SELECT n.host, w.pre, w.prefix || CASE WHEN n.depth = 1 THEN '' WHEN n.is_last THEN '└── ' ELSE '├── ' END || n.node[len(n.node)] AS line
+  FROM nodes n JOIN twalk w ON w.host = n.host AND w.node = n.node),
+tree AS (SELECT host, {Q.format_content("'Web Site Map: ' || host", "string_agg(line || chr(10), '' ORDER BY pre)", "doc")} AS content
+  FROM trows GROUP BY host),
+items0 AS (SELECT host AS grp, '' AS ord, content FROM tree
+  UNION ALL SELECT host, url, {Q.format_content('url', 'content', 'doc')} FROM kept),
+items AS (SELECT grp, ord, content, {Q.tokens('content')} AS tok, CAST(length(content) AS BIGINT) AS chr FROM items0),
+{Q.greedy_pack('items', mt, mc)},
+psegs AS (SELECT i.grp AS host, s.seg, string_agg(i.content, '' ORDER BY i.ord) AS content,
+            CAST(sum(i.tok) AS BIGINT) AS token, CAST(sum(i.chr) AS BIGINT) AS chars, count(*) AS n_items
+          FROM items i JOIN packed_seg s ON s.grp = i.grp AND s.ord = i.ord GROUP BY 1, 2)
+SELECT host, seg, {k} AS k, {n} AS n,
+  CASE WHEN {n} = 1 THEN 'only' WHEN seg = 0 THEN 'first' WHEN {k} = {n} THEN 'last' ELSE 'middle' END AS role,
+  n_items, token, chars,
+  md5(CASE WHEN {n} = 1
+       THEN '# Prompt: Below are the paths to the files related to the question and their dependent files.' || chr(10) || content || chr(10) || '# Prompt: Please answer the questions with an understanding of the above files.' || chr(10) || '@Codebase' || chr(10) || chr(10)
+       WHEN seg = 0 THEN '# Prompt: Beginning the document transmission. This is part ' || {k} || ' of ' || {n} || ' total segments. Please respond with ''OK, waiting'' and do not take any action until all segments have been sent.' || chr(10) || content
+       WHEN {k} = {n} THEN '# Prompt: This is the final segment of the document, segment ' || {k} || ' of ' || {n} || ' total segments. After this segment, please respond to the questions.' || chr(10) || chr(10) || content
+       ELSE '# Prompt: Continuing the document transmission. This is segment ' || {k} || ' of ' || {n} || ' total segments. Please respond with ''OK, waiting'' and do not take any action until all segments have been sent.' || chr(10) || content END
+   || CASE WHEN {n} = 1 THEN '' ELSE chr(10) || '# Prompt: End of segment ' || {k} || ' of ' || {n} || ' total segments. Please wait for the next segment to be sent.' END) AS wrapped_md5
+FROM psegs"""
+
+
+@register("scrape_segments", _scrape_sql())
 def q_scrape_segments(spark, sf_dir):
     return scrape_segments(spark, sf_dir).select("host", "seg", "k", "n", "role", "n_items", "token", "chars",
                                                  F.md5("wrapped").alias("wrapped_md5"))
