@@ -92,9 +92,15 @@ def batch_generate(
 def typed_generate(requests: DataFrame, generate: Callable, keys: list[str], schema: T.StructType, **kw) -> DataFrame:
     """J4: answers parsed into ``schema``; a mismatch leaves ``parsed`` null and is flagged."""
     out = batch_generate(requests, generate, keys, **kw)
-    parsed = F.from_json("answer", schema, {"mode": "PERMISSIVE"})
-    return out.withColumn("parsed", parsed).withColumn(
-        "status", F.when((F.col("status") == "ok") & F.col("parsed").isNull(), F.lit("invalid")).otherwise(F.col("status"))
+    # PERMISSIVE parsing keeps malformed text in a corrupt-record field instead of failing
+    with_corrupt = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType())])
+    parsed = F.from_json("answer", with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    bad = F.col("__p").isNull() | F.col("__p._corrupt_record").isNotNull()
+    return (
+        out.withColumn("__p", parsed)
+        .withColumn("status", F.when((F.col("status") == "ok") & bad, F.lit("invalid")).otherwise(F.col("status")))
+        .withColumn("parsed", F.when(~bad, F.struct(*[F.col(f"__p.{f.name}").alias(f.name) for f in schema.fields])))
+        .drop("__p")
     )
 
 

@@ -33,8 +33,12 @@ def echo_client(messages, attempt=1, **opts):
 
 def continuing_client(messages, attempt=1, **opts):
     """Returns the first user message in slices of ``max_tokens`` characters, one per call."""
+    from textloom.operators.generate import CONTINUE_PROMPT
+
     first = next((m["content"] for m in messages if m["role"] == "user"), "") or ""
-    done = sum(len(m["content"]) for m in messages if m["role"] == "assistant")
+    # text already produced = assistant parts that were followed by the continue prompt
+    done = sum(len(a["content"]) for a, b in zip(messages, messages[1:])
+               if a["role"] == "assistant" and b["role"] == "user" and b["content"] == CONTINUE_PROMPT)
     limit = opts.get("max_tokens") or len(first)
     part = first[done:done + limit]
     return part, ("length" if done + limit < len(first) else "stop")
