@@ -45,3 +45,25 @@ def test_containment_after_level_zero(spark):
     # a.py imports x.ts (level 1); x.ts is a string prefix of x.tsx (level 2), which imports y.py
     assert _run(spark, files, edges, ["a.py"]) == {"a.py": 0, "x.ts": 1, "x.tsx": 2, "y.py": 3}
     assert _run(spark, files, edges, ["a.py"], contains=False) == {"a.py": 0, "x.ts": 1}
+
+
+def test_collect_files_paths_and_segments(spark):
+    from pyspark.sql import functions as F
+
+    from textloom.plans.code_jobs import collect_files
+
+    files = spark.createDataFrame([
+        ("app/main.py", "from app.util import f\nfrom app.models.user import U\n"),
+        ("app/util.py", "# helper\nx = 1\n"),
+        ("app/models/user.py", '"""doc"""\nclass U: pass\n'),
+        ("app/unused.py", "y = 2\n"),
+    ], "path string, content string")
+    seeds = spark.createDataFrame([("m", "app/main.py")], "seed string, node string")
+    paths = collect_files(files, seeds, output="path").first().content
+    # reverse discovery order: the last discovered file first, the start last
+    assert paths == "app/models/user.py app/util.py app/main.py"
+    one = collect_files(files, seeds, output="code", max_token=100000).collect()
+    assert len(one) == 1 and one[0].content.startswith("\n### Directory Structure Chart: app\n")
+    assert "### app/unused.py" not in one[0].content and one[0].n_items == 4  # tree header + 3 files
+    many = collect_files(files, seeds, output="code", max_token=1)
+    assert many.count() == 4  # every item over the budget stands alone

@@ -50,10 +50,7 @@ CLOSURE_SEED = "pkg_0/sub_0/mod_0.py"
 
 def edges(spark: SparkSession, sf_dir: str, root: str = "") -> DataFrame:
     """Resolved import edges ``(src, pos, dst)`` of the code tree (Python and JS/TS)."""
-    files = code_files(spark, sf_dir)
-    py = resolve_py(py_imports(files.where(program_type("path") == "PYTHON")), files, root)
-    js = resolve_js(js_imports(files.where(program_type("path") == "JAVASCRIPT")), files, root)
-    return py.select("src", "pos", "dst").unionByName(js.select("src", "pos", "dst"))
+    return file_edges(code_files(spark, sf_dir), root)
 
 
 def closure_of(spark: SparkSession, sf_dir: str, seeds: DataFrame, depth: int | None = None) -> DataFrame:
@@ -61,20 +58,26 @@ def closure_of(spark: SparkSession, sf_dir: str, seeds: DataFrame, depth: int |
     return import_closure(files.select("path"), edges(spark, sf_dir), seeds, depth)
 
 
-def import_collect(spark: SparkSession, sf_dir: str, seeds: DataFrame, depth: int | None = COLLECT_DEFAULT_DEPTH,
-                   output: str = "code", no_comment: bool = False, with_prompt: bool = False,
-                   max_char: int | None = COLLECT_DEFAULT_MAX_CHAR, max_token: int | None = COLLECT_DEFAULT_MAX_TOKEN) -> DataFrame:
+def file_edges(files: DataFrame, root: str = "") -> DataFrame:
+    """Resolved import edges ``(src, pos, dst)`` of any ``files(path, content)`` table."""
+    py = resolve_py(py_imports(files.where(program_type("path") == "PYTHON")), files, root)
+    js = resolve_js(js_imports(files.where(program_type("path") == "JAVASCRIPT")), files, root)
+    return py.select("src", "pos", "dst").unionByName(js.select("src", "pos", "dst"))
+
+
+def collect_files(files: DataFrame, seeds: DataFrame, depth: int | None = COLLECT_DEFAULT_DEPTH,
+                  output: str = "code", no_comment: bool = False, with_prompt: bool = False,
+                  max_char: int | None = COLLECT_DEFAULT_MAX_CHAR, max_token: int | None = COLLECT_DEFAULT_MAX_TOKEN,
+                  root: str = "") -> DataFrame:
     """Per seed: closure, directory tree header, formatted file contents (reverse discovery
-    order), packed into segments. ``output='path'`` gives one string of relative paths and
-    no packing."""
-    files = code_files(spark, sf_dir)
-    clo = cut_lineage(closure_of(spark, sf_dir, seeds, depth))
+    order), packed into segments. ``output='path'`` gives one string of paths and no packing."""
+    clo = cut_lineage(import_closure(files.select("path"), file_edges(files, root), seeds, depth))
     ordered = clo.withColumn("ord", F.row_number().over(Window.partitionBy("seed").orderBy(F.col("disc").desc())))
     if output == "path":
         return ordered.groupBy("seed").agg(
             F.expr("listagg(path, ' ') WITHIN GROUP (ORDER BY ord)").alias("content")
         )
-    body = ordered.join(files, "path").withColumn("lang", program_type("path"))
+    body = ordered.join(files.select("path", "content"), "path").withColumn("lang", program_type("path"))
     text = strip_doc("content", "lang", enabled=no_comment)
     items = body.select("seed", F.col("ord").cast("long").alias("ord"), format_content("path", text, "code").alias("content"))
     tree = tree_map(ordered.select("seed", "path", "ord"), ["seed"], "path", "ord")
@@ -372,6 +375,10 @@ def q_preset_fit(spark, sf_dir):
                      ((F.col("tokens") <= F.col("p.max_token")) & (F.col("chars") <= F.col("p.max_char"))).alias("fits"))
 
 
+def import_collect(spark: SparkSession, sf_dir: str, seeds: DataFrame, **kw) -> DataFrame:
+    return collect_files(code_files(spark, sf_dir), seeds, **kw)
+
+
 @register("import_collect")
 def q_import_collect(spark, sf_dir):
     f = code_files(spark, sf_dir)
