@@ -99,23 +99,32 @@ def tree_rows(nodes: DataFrame, keys: list[str]) -> DataFrame:
         F.col("node").alias("__of"),
         F.posexplode(F.transform(F.sequence(F.lit(1), F.size("node")), lambda k: F.slice(F.col("node"), 1, k))).alias("__lvl", "__anc"),
     )
-    info = n.select(*[F.col(k).alias(f"__a_{k}") for k in keys], F.col("node").alias("__anc2"), F.col("is_last").alias("__alast"), F.col("first_ord").alias("__aord"))
+    info = n.select(*[F.col(k).alias(f"__a_{k}") for k in keys], F.col("node").alias("__anc2"), F.col("is_last").alias("__alast"),
+                    F.col("first_ord").alias("__aord"), F.col("n_items").alias("__an"), F.col("n_siblings").alias("__as"))
     cond = reduce(lambda a, b: a & b, [anc[k] == info[f"__a_{k}"] for k in keys] + [anc["__anc"] == info["__anc2"]]) if keys else (anc["__anc"] == info["__anc2"])
     aj = anc.join(info, cond)
     piece = F.when(F.col("__lvl") >= 1, F.when(F.col("__alast"), F.lit(SPACE)).otherwise(F.lit(PIPE))).otherwise(F.lit(""))
+    # one aggregation per node over its ancestor chain; the chain's last element is the node
+    # itself, so its own fields come from there (no join back to the node table)
     agg = aj.groupBy(*keys, "__of").agg(
-        F.sort_array(F.collect_list(F.struct("__lvl", "__aord", piece.alias("piece")))).alias("__chain")
+        F.sort_array(F.collect_list(F.struct("__lvl", "__aord", piece.alias("piece"), "__alast", "__an", "__as"))).alias("__chain")
     )
-    # prefix uses ancestors at levels 2..depth-1 (0-based 1..depth-2); the node itself gives the connector
-    agg = agg.select(
+    me = F.element_at("__chain", -1)
+    out = agg.select(
         *keys,
         F.col("__of").alias("node"),
+        F.slice("__of", 1, F.size("__of") - 1).alias("parent"),
+        F.size("__of").alias("depth"),
+        F.element_at("__of", -1).alias("name"),
+        me["__aord"].alias("first_ord"),
+        me["__an"].alias("n_items"),
+        me["__as"].alias("n_siblings"),
+        me["__alast"].alias("is_last"),
         F.transform("__chain", lambda s: s["__aord"]).alias("pre"),
         F.array_join(
             F.transform(F.slice("__chain", 1, F.greatest(F.size("__chain") - 1, F.lit(0))), lambda s: s["piece"]), ""
         ).alias("prefix"),
     )
-    out = n.join(agg, [*keys, "node"])
     connector = F.when(F.col("depth") == 1, F.lit("")).when(F.col("is_last"), F.lit(LAST_BRANCH)).otherwise(F.lit(BRANCH))
     line = F.concat(F.col("prefix"), connector, F.col("name"))
     return out.select(*keys, "node", "parent", "depth", "name", "first_ord", "n_items", "n_siblings", "is_last", "pre",
