@@ -99,10 +99,11 @@ def q_ordered_concat(spark, sf_dir):
     )
 
 
-@register("latest_n", "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 10")
+@register("latest_n", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 10")
 def q_latest_n(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(10).select("event_id", "ts", "event_type")
+    # ts orders the rows; it is not returned, so results do not depend on the session time zone
+    return e.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(10).select("event_id", "event_type")
 
 
 @register("prepend_header", """SELECT source, -1 AS ord, md5('### ' || source) AS content_md5 FROM (SELECT DISTINCT source FROM documents)
