@@ -40,15 +40,31 @@ def _n_blocks(df: DataFrame, n_blocks: int | None) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
+# Largest group a single window task may take; above it the block method splits the group.
+MAX_WINDOW_ROWS = 1_000_000
+
+
 def running_totals(
     df: DataFrame,
     keys: list[str],
     order: list[str],
     sums: dict[str, Column],
     n_blocks: int | None = None,
+    max_window_rows: int | None = MAX_WINDOW_ROWS,
 ) -> DataFrame:
     """Add inclusive running sums ``sums`` per ``keys`` in ``order`` (ties: rows with equal
-    order values get distinct running values in an unspecified tie order)."""
+    order values get distinct running values in an unspecified tie order).
+
+    The largest group is measured first (partial aggregation, one small job). When every
+    group fits ``max_window_rows`` a plain window does it in one shuffle; otherwise the
+    range-block method spreads hot groups over many tasks. ``max_window_rows=None`` (or an
+    explicit ``n_blocks``) always uses blocks."""
+    if max_window_rows is not None and n_blocks is None:
+        biggest = df.groupBy(*keys).count().agg(F.max("count").alias("m")).first()["m"]
+        if biggest is None or biggest <= max_window_rows:
+            w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            return df.select(*[c for c in df.columns if c not in sums],
+                             *[F.sum(col).over(w).alias(name) for name, col in sums.items()])
     nb = _n_blocks(df, n_blocks)
     tmp = {name: f"__v_{name}" for name in sums}
     base = df
