@@ -32,6 +32,12 @@ def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("url").agg(F.min("page_id").alias("page_id"), F.min_by("html", "page_id").alias("html"))
 
 
+def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(page_id, url, host)`` per normalized URL (smallest page_id) without touching HTML."""
+    p = page_source(table(spark, sf_dir, "pages")).select("page_id", normalize_url("url").alias("url"))
+    return p.groupBy("url").agg(F.min("page_id").alias("page_id")).select("page_id", "url", url_netloc("url").alias("host"))
+
+
 def scraped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(page_id, url, host, content, token_size, char_size)``, one row per normalized URL.
 
@@ -256,7 +262,7 @@ nodes AS (SELECT host, s[1:n] AS node, ord FROM segs, generate_series(1, len(s))
 SELECT host, array_to_string(node, '/') AS node, CAST(len(node) AS INTEGER) AS depth, min(ord) AS first_ord, count(*) AS n_items
 FROM nodes GROUP BY host, node""")
 def q_path_tree(spark, sf_dir):
-    s = scraped(spark, sf_dir).select("host", "url", F.col("page_id").alias("ord"))
+    s = page_urls(spark, sf_dir).select("host", "url", F.col("page_id").alias("ord"))
     n = tree_nodes(s, ["host"], "url", "ord")
     return n.select("host", F.array_join("node", "/").alias("node"), "depth", "first_ord", "n_items")
 
@@ -283,7 +289,7 @@ rows AS (SELECT n.host, n.node, n.depth, n.is_last, w.pre,
 
 @register("tree_rows", _tree_rows_sql("SELECT host, array_to_string(node, '/') AS node, is_last, line FROM rows"))
 def q_tree_rows(spark, sf_dir):
-    s = scraped(spark, sf_dir).select("host", "url", F.col("page_id").alias("ord"))
+    s = page_urls(spark, sf_dir).select("host", "url", F.col("page_id").alias("ord"))
     r = tree_rows(tree_nodes(s, ["host"], "url", "ord"), ["host"])
     return r.select("host", F.array_join("node", "/").alias("node"), "is_last", "line")
 
@@ -292,7 +298,7 @@ def q_tree_rows(spark, sf_dir):
     f"""SELECT host, {Q.format_content("'Web Site Map: ' || host", "string_agg(line || chr(10), '' ORDER BY pre)", "doc")} AS tree_text
 FROM rows GROUP BY host"""))
 def q_tree_map(spark, sf_dir):
-    s = scraped(spark, sf_dir).select("host", "url", F.col("page_id").alias("ord"))
+    s = page_urls(spark, sf_dir).select("host", "url", F.col("page_id").alias("ord"))
     return tree_map(s, ["host"], "url", "ord").select("host", "tree_text")
 
 
