@@ -32,3 +32,22 @@ def test_generation_jobs(spark):
             assert ty[cid].status == "invalid" and ty[cid].valid is False
         else:
             assert ty[cid].code == f"x = {n}" and ty[cid].valid == (0 < n % 120 < 100)
+
+
+def test_batch_generate_and_prompt_stages(spark):
+    import hashlib
+
+    from textloom.registry import QUERIES, load_all
+
+    load_all()
+    last, _ = _last_user(spark)
+    b = {x.conv_id: x for x in QUERIES["batch_generate"](spark, SF).collect()}
+    for cid, t in last.items():
+        assert b[cid].status == "ok" and b[cid].answer_md5 == hashlib.md5(t.upper().encode()).hexdigest()
+    w = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "substr(text, 1, CAST(doc_id % 40 AS INT)) AS t")
+    tc = {r.doc_id: r.t for r in w.collect()}
+    st = {x.doc_id: x for x in QUERIES["prompt_stages"](spark, SF).collect()}
+    for did, t in list(tc.items())[:50]:
+        plan = f"Plan tests for target {did}: {t}".upper()
+        assert st[did].plan_md5 == hashlib.md5(plan.encode()).hexdigest()
+        assert st[did].code == f"Write code for plan: {plan}".upper()  # no fences: text unchanged

@@ -67,3 +67,16 @@ def test_collect_files_paths_and_segments(spark):
     assert "### app/unused.py" not in one[0].content and one[0].n_items == 4  # tree header + 3 files
     many = collect_files(files, seeds, output="code", max_token=1)
     assert many.count() == 4  # every item over the budget stands alone
+
+
+def test_discovery_order(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    files = ["a.py", "b.py", "c.py", "d.py"]
+    edges = [("a.py", "b.py"), ("a.py", "c.py"), ("b.py", "d.py"), ("c.py", "b.py")]
+    st = spark.createDataFrame([("s", "a.py")], "seed string, node string")
+    out = import_closure(_files(spark, files), _edges(spark, edges), st)
+    order = [r.path for r in out.orderBy(F.col("depth").desc(), F.col("disc").desc()).collect()]
+    # discovered a, then b and c (import order), then d; listed newest first
+    assert order == ["d.py", "c.py", "b.py", "a.py"]

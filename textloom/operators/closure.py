@@ -35,9 +35,9 @@ def import_closure(
             empty ⇒ every file (depth 0).
     Rules: depth 0 ⇒ starts verbatim, present or not; depth d ⇒ levels 0..d; a start not in
     the file set is dropped but still contributes its contained files (D5); each node is
-    reported at its smallest depth. Returns ``(seed, path, depth, disc)`` where ``disc`` is
-    the discovery key (array, ascending = discovery order; the reference lists results in
-    reverse discovery order).
+    reported at its smallest depth. Returns ``(seed, path, depth, disc)``; ``(depth, disc)``
+    ascending is discovery order (``disc`` = parent's key + [0 contained | 1 imported, position],
+    first discovery wins). Results are listed in reverse discovery order.
     """
     spark = files.sparkSession
     d_max = DEFAULT_DEPTH if depth is None else depth

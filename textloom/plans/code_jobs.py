@@ -72,7 +72,8 @@ def collect_files(files: DataFrame, seeds: DataFrame, depth: int | None = COLLEC
     """Per seed: closure, directory tree header, formatted file contents (reverse discovery
     order), packed into segments. ``output='path'`` gives one string of paths and no packing."""
     clo = cut_lineage(import_closure(files.select("path"), file_edges(files, root), seeds, depth))
-    ordered = clo.withColumn("ord", F.row_number().over(Window.partitionBy("seed").orderBy(F.col("disc").desc())))
+    ordered = clo.withColumn("ord", F.row_number().over(
+        Window.partitionBy("seed").orderBy(F.col("depth").desc(), F.col("disc").desc())))
     if output == "path":
         return ordered.groupBy("seed").agg(
             F.expr("listagg(path, ' ') WITHIN GROUP (ORDER BY ord)").alias("content")
@@ -329,7 +330,8 @@ def q_discovery_order(spark, sf_dir):
 
     seeds = spark.createDataFrame([(CLOSURE_SEED, CLOSURE_SEED)], "seed string, node string")
     c = closure_of(spark, sf_dir, seeds)
-    return c.select("path", "depth", F.row_number().over(Window.partitionBy("seed").orderBy(F.col("disc").desc())).alias("ord"))
+    return c.select("path", "depth", F.row_number().over(
+        Window.partitionBy("seed").orderBy(F.col("depth").desc(), F.col("disc").desc())).alias("ord"))
 
 
 @register("common_path", f"""{_CF}, sp AS (SELECT split_part(path, '/', 1) AS top, string_split(path, '/') AS s FROM code_files),
