@@ -6,7 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.llm.decontam import find_leaks
+from textloom.llm.licenses import scan_licenses
+from textloom.llm.lm_scores import score_documents
+from textloom.llm.multi_index import nearest
+from textloom.llm.ngram_join import join_documents
 from textloom.llm.pieces import encode_pieces
+from textloom.llm.pii import pii_digest
+from textloom.llm.quality_cnn import score_quality, train_network
+from textloom.llm.sharding import shard_documents
 from textloom.llm.token_counts import token_counts
 from textloom.session import table
 
@@ -24,11 +32,53 @@ def register(key: str, sql: str | None = None):
     return deco
 
 
+@register("op1_decontam")
+def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op2_lm_scores")
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations"))
+
+
 @register("op3_pieces")
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"))
 
 
+@register("op4_ngram_join")
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_documents(table(spark, sf_dir, "documents"))
+
+
+@register("op5_sharding")
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+@register("op6_quality_cnn")
+def op6_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, train_network(docs, table(spark, sf_dir, "labels")))
+
+
+@register("op7_licenses")
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@register("op8_pii")
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(table(spark, sf_dir, "documents"))
+
+
+@register("op9_multi_index")
+def op9_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 @register("op10_token_counts")
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
