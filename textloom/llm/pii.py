@@ -26,7 +26,9 @@ BLOCK = 64  # running sums are made in blocks, so that a text with many matches
 # inside a run of a pattern's first class no later start can match where the run's start could not.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-CARD = r"[0-9](?:[\x20-]?[0-9])++"
+# whole runs of digits with single separators, of so many digits
+RUN = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){%d,%d}+(?![\x20-]?[0-9])"
+CARD, ACCOUNT = RUN % (15, 18), RUN % (12, 14)
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
@@ -93,52 +95,58 @@ KINDS = (
     Kind("phone", PHONE, r"\+[0-9]", digits_between(8, 15), 0.7, "phone|tel|call|mobile|fax|telefon|llame", "version|serial", True),
     Kind("iban", IBAN, "[A-Z]{2}[0-9]{2}", mod97, 0.8, "iban|bank|account|konto|compte|cuenta", "serial|part"),
     Kind("ssn", SSN, "[0-9]-[0-9]{2}-[0-9]", ssn_check, 0.3, "ssn|social security|taxpayer", "isbn|serial|phone"),
-    Kind("account", CARD, "[0-9]", card_check(13, 15), 0.3, "card|visa|amex|credit|payment", "isbn|serial|order"),
+    Kind("account", ACCOUNT, "[0-9]", card_check(13, 15), 0.3, "card|visa|amex|credit|payment", "isbn|serial|order"),
 )
+SPANS = "array<struct<kind:string,start:int,end:int,value:string,score:double>>"
 BASE = tuple(k.name for k in KINDS if k.base)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often and deep in lambdas it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def running_sums(values: Column) -> Column:
     """Sums of the elements up to each place, in two levels of blocks."""
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")),
-        lambda b: F.slice(values, b * BLOCK + 1, BLOCK),
-    )
     total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
-    starts = F.aggregate(
-        F.transform(blocks, total), F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))
-    )
-    return F.flatten(
-        F.zip_with(blocks, starts, lambda block, start: F.when(
-            block.isNotNull(), F.transform(block, lambda _, k: start + total(F.slice(block, F.lit(1), k + 1)))
-        ).otherwise(F.array().cast("array<int>")))
-    )
+
+    def in_blocks(xs: Column) -> Column:
+        n_blocks = F.floor((F.size(xs) - 1) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), n_blocks), lambda b: F.slice(xs, b * BLOCK + 1, BLOCK))
+
+    def joined(blocks: Column) -> Column:
+        starts = F.aggregate(F.transform(blocks, total), F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+        within = lambda block, start: F.transform(block, lambda _, k: start + total(F.slice(block, F.lit(1), k + 1)))
+        return F.flatten(F.zip_with(blocks, F.slice(starts, F.lit(1), F.size(blocks)), within))
+
+    return let(let(values, in_blocks), joined)
 
 
 def with_spans(df: DataFrame, text: str, kind: Kind, to: str) -> DataFrame:
     """Add the confirmed spans of one kind as an array column."""
-    hits, gaps, sums = f"{to}_hits", f"{to}_gaps", f"{to}_sums"
+    hits, gaps = f"{to}_hits", f"{to}_gaps"
     none = F.array().cast("array<string>")
     df = df.withColumn(hits, F.when(F.col(text).rlike(kind.gate), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))).otherwise(none))
     df = df.withColumn(gaps, F.when(F.size(hits) > 0, F.split(text, kind.pattern, -1)).otherwise(none))
-    # the match of number k starts after k + 1 gaps and k matches
-    steps = F.zip_with(F.slice(F.col(gaps), F.lit(1), F.size(hits)), F.concat(F.array(F.lit("")), F.col(hits)), lambda g, h: F.length(F.coalesce(g, F.lit(""))) + F.length(F.coalesce(h, F.lit(""))))
-    df = df.withColumn(sums, F.when(F.size(hits) > 0, running_sums(steps)).otherwise(F.array().cast("array<int>")))
-
-    def span(value: Column, k: Column) -> Column:
-        start = F.get(F.col(sums), k)
-        before, after = F.get(F.col(gaps), k), F.get(F.col(gaps), k + 1)
-        near = F.lower(F.concat(F.right(before, F.lit(NEAR)), F.lit(" "), F.left(after, F.lit(NEAR))))
+    n = F.size(hits)
+    before, after = F.slice(F.col(gaps), F.lit(1), n), F.slice(F.col(gaps), F.lit(2), n)
+    # a match starts after the gaps up to it and the matches before it
+    earlier = F.slice(F.concat(F.array(F.lit("")), F.col(hits)), F.lit(1), n)
+    starts = running_sums(F.zip_with(before, earlier, lambda g, h: F.length(g) + F.length(h)))
+
+    def span(x: Column) -> Column:
+        near = F.lower(F.concat(F.right(x["before"], F.lit(NEAR)), F.lit(" "), F.left(x["after"], F.lit(NEAR))))
         word = lambda words: near.rlike(rf"(?<![a-z])(?:{words})")
         score = F.lit(kind.score) + F.when(word(kind.raised_by), 0.3).otherwise(0.0) - F.when(word(kind.lowered_by), 0.3).otherwise(0.0)
         return F.struct(
-            F.lit(kind.name).alias("kind"), start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"),
-            F.when(kind.check(value), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 2)).alias("score"),
+            F.lit(kind.name).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["value"])).alias("end"), x["value"].alias("value"),
+            F.when(kind.check(x["value"]), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 2)).alias("score"),
         )
 
+    zipped = F.arrays_zip(F.col(hits).alias("value"), starts.alias("start"), before.alias("before"), after.alias("after"))
     least = F.lit(0.0 if kind.base else THRESHOLD)
-    spans = F.filter(F.transform(F.col(hits), span), lambda s: F.coalesce(s["score"], F.lit(-1.0)) >= least)
-    return df.withColumn(to, spans).drop(hits, gaps, sums)
+    spans = F.filter(F.transform(zipped, span), lambda s: F.coalesce(s["score"], F.lit(-1.0)) >= least)
+    return df.withColumn(to, F.when(n > 0, spans).otherwise(F.array().cast(SPANS))).drop(hits, gaps)
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -175,25 +183,26 @@ def redact(docs: DataFrame) -> DataFrame:
     for k in KINDS:
         df = with_spans(df, "__text", k, f"__{k.name}")
     spans = F.array_sort(F.transform(F.concat(*[F.col(f"__{k.name}") for k in KINDS]), lambda s: F.struct(s["start"], s["end"], s["kind"])))
+    last = lambda a: F.get(a, F.size(a) - 1)
     # spans that begin before an earlier one ends add to it
     joined = F.aggregate(
         spans, F.array().cast("array<struct<start:int,end:int,kind:string>>"),
         lambda a, s: F.when(
-            (F.size(a) > 0) & (F.get(a, F.size(a) - 1)["end"] > s["start"]),
-            F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(F.get(a, F.size(a) - 1)["start"].alias("start"), F.greatest(F.get(a, F.size(a) - 1)["end"], s["end"]).alias("end"), F.get(a, F.size(a) - 1)["kind"].alias("kind")))),
+            (F.size(a) > 0) & (last(a)["end"] > s["start"]),
+            F.concat(
+                F.slice(a, F.lit(1), F.size(a) - 1),
+                F.array(F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["end"], s["end"]).alias("end"), last(a)["kind"].alias("kind"))),
+            ),
         ).otherwise(F.concat(a, F.array(s))),
     )
     df = df.withColumn("__spans", joined)
-    text = F.col("__text")
-    parts = F.transform(
-        "__spans",
-        lambda s, k: F.concat(
-            text.substr(F.coalesce(F.get("__spans", k - 1)["end"], F.lit(0)) + 1, s["start"] - F.coalesce(F.get("__spans", k - 1)["end"], F.lit(0))),
-            F.lit("["), F.upper(s["kind"]), F.lit("]"),
-        ),
-    )
-    tail = text.substr(F.coalesce(F.get("__spans", F.size("__spans") - 1)["end"], F.lit(0)) + 1, F.length(text))
-    new = F.when(F.size("__spans") > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(F.col("text"))
+    text, ends = F.col("__text"), F.concat(F.array(F.lit(0)), F.transform("__spans", lambda s: s["end"]))
+    zipped = F.arrays_zip(F.col("__spans").alias("span"), F.slice(ends, F.lit(1), F.size("__spans")).alias("at"))
+    part = lambda x: F.concat(
+        text.substr(x["at"] + 1, x["span"]["start"] - x["at"]), F.lit("["), F.upper(x["span"]["kind"]), F.lit("]")
+    )
+    tail = text.substr(F.element_at(ends, -1) + 1, F.length(text))
+    new = F.when(F.size("__spans") > 0, F.concat(F.array_join(F.transform(zipped, part), ""), tail)).otherwise(F.col("text"))
     cols = [new.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     out = df.select(*cols)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
