@@ -152,6 +152,12 @@ class Scanner:
                 lo, hi = max(done, begin - slack), min(len(words), begin + len(template) + slack)
                 pairs = align(template, words[lo:hi]) if hi > lo else []
                 if len(pairs) >= self.coverage * len(template):
+                    # once more where the ends of what was aligned say that the stretch lies
+                    at = max(done, lo + pairs[0][1] - pairs[0][0] - slack)
+                    to = lo + pairs[-1][1] + len(template) - pairs[-1][0] + slack
+                    again = align(template, words[at:to])
+                    if len(again) > len(pairs):
+                        pairs, lo = again, at
                     done = lo + pairs[-1][1] + 1
                     out.append((name, len(pairs) / len(template), lo + pairs[0][1], done))
         return out
