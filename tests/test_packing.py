@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from textloom.operators.ordered import assign_segments, budget_cutoff, effective_limits, pack_segments
+from textloom.operators.ordered import assign_segments, budget_cutoff, effective_limits, pack_segments, segment_labels
 
 
 def greedy(sizes, mt, mc):
@@ -38,10 +38,10 @@ def _items(spark, cases):
     return spark.createDataFrame(rows, "grp string, ord long, token long, chars long, content string")
 
 
-def _check(spark, mt, mc, with_prompt, keep_empty, max_group_rows):
+def _check(spark, mt, mc, with_prompt, keep_empty):
     cases = _cases()
     df = _items(spark, cases)
-    got = assign_segments(df, ["grp"], ["ord"], mt, mc, with_prompt, keep_empty, max_group_rows=max_group_rows)
+    got = assign_segments(df, ["grp"], ["ord"], mt, mc, with_prompt, keep_empty)
     got = {(r.grp, r.ord): r.seg for r in got.collect()}
     emt, emc = effective_limits(mt, mc, with_prompt)
     for g, sizes in cases:
@@ -51,22 +51,25 @@ def _check(spark, mt, mc, with_prompt, keep_empty, max_group_rows):
         assert [got[(g, i)] for i in range(len(sizes))] == exp, (g, mt, mc)
 
 
-def test_pandas_path(spark):
-    _check(spark, 10, 20, False, False, 1_000_000)
-    _check(spark, 10, 0, False, True, 1_000_000)
-
-
-def test_distributed_hot_group_path(spark):
-    # max_group_rows=0 sends every group through the exact distributed path
-    _check(spark, 10, 20, False, False, 0)
-    _check(spark, 10, 0, False, True, 0)
-    _check(spark, 0, 9, False, False, 0)
+def test_segments_follow_the_greedy_rule(spark):
+    _check(spark, 10, 20, False, False)
+    _check(spark, 10, 0, False, True)
+    _check(spark, 0, 9, False, False)
 
 
 def test_negative_effective_limit(spark):
     # with wrapping, 40 - 50 < 0: every item is over budget, each alone
-    _check(spark, 40, 0, True, False, 1_000_000)
-    _check(spark, 40, 0, True, False, 0)
+    _check(spark, 40, 0, True, False)
+
+
+def test_null_groups_null_sizes_and_equal_order(spark):
+    rows = [(None, 1, None, 1, "a"), (None, 2, 9, 1, "b"), (None, 3, 9, 1, "c"), ("g", 1, 6, 1, "x"), ("g", 1, 6, 1, "y"), ("g", 2, 1, 1, None)]
+    df = spark.createDataFrame(rows, "grp string, ord long, token long, chars long, content string")
+    got = sorted((r.grp or "", r.seg, r.content, r.token, r.n_items) for r in pack_segments(df, ["grp"], ["ord"], max_token=10, max_char=0).collect())
+    assert got[:2] == [("", 0, "ab", 9, 2), ("", 1, "c", 9, 1)]
+    assert {g[2] for g in got[2:]} == {"x", "y"} and [g[3:] for g in got[2:]] == [(6, 1), (7, 2)]
+    labels = segment_labels(pack_segments(df, ["grp"], ["ord"], max_token=10, max_char=0), ["grp"]).collect()
+    assert sorted((r.grp or "", r.k, r.n, r.role) for r in labels) == [("", 1, 2, "first"), ("", 2, 2, "last"), ("g", 1, 2, "first"), ("g", 2, 2, "last")]
 
 
 def test_pack_contents_and_empty_first(spark):
@@ -88,23 +91,26 @@ def test_budget_cutoff(spark):
     assert none.count() == 0
 
 
-def test_running_totals_hot_key_spans_blocks(spark):
+def test_running_totals_of_a_hot_key_with_a_wide_column(spark, tmp_path):
+    """Blocks of 240,000 rows, written out with a wide column before they are checked, against a window."""
+    from pyspark.sql import Window
+
     from textloom.operators.ordered import row_index, running_totals
 
-    # one key holds most rows; 16 range blocks split it, offsets must stitch the sums
-    rows = [("hot", i, i % 5) for i in range(3000)] + [("cold%d" % (i % 7), i, 1) for i in range(200)]
-    df = spark.createDataFrame(rows, "k string, o long, v long")
-    rt = running_totals(df, ["k"], ["o"], {"cum": F.col("v")}, n_blocks=16)
-    got = {(r.k, r.o): r.cum for r in rt.collect()}
-    acc = {}
-    for k, o, v in sorted(rows, key=lambda r: (r[0], r[1])):
-        acc[k] = acc.get(k, 0) + v
-        assert got[(k, o)] == acc[k]
-    # the hot key really is spread over several blocks
-    blocks = df.repartitionByRange(16, "k", "o").where(F.col("k") == "hot").select(F.spark_partition_id()).distinct().count()
-    assert blocks > 1
-    idx = row_index(df, ["k"], ["o"], n_blocks=16)
-    assert sorted(r.idx for r in idx.where("k = 'hot'").collect()) == list(range(1, 3001))
+    df = spark.range(240_000).select(
+        F.when(F.col("id") % 6 < 4, "hot").when(F.col("id") % 6 == 4, F.concat(F.lit("cold"), F.col("id") % 50)).alias("k"),
+        F.xxhash64("id").alias("o"), F.when(F.col("id") % 11 > 0, F.col("id") % 5).alias("v"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 4).alias("wide"),
+    )
+    running_totals(df, ["k"], ["o"], {"cum": F.col("v")}, n_blocks=16).write.parquet(str(tmp_path / "out"))
+    w = Window.partitionBy("k").orderBy("o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    want = df.select("k", "o", "wide", F.sum(F.coalesce("v", F.lit(0))).over(w).alias("cum"))
+    got = spark.read.parquet(str(tmp_path / "out")).select("k", "o", "wide", "cum")
+    assert got.count() == 240_000 and got.exceptAll(want).isEmpty()
+    places = row_index(df, ["k"], ["o"], n_blocks=16).where("k = 'hot'").agg(F.count("*"), F.min("idx"), F.max("idx"), F.count_distinct("idx")).first()
+    assert tuple(places) == (160_000, 1, 160_000, 160_000)
+    kept = budget_cutoff(df.withColumn("one", F.lit(1)), ["k"], ["o"], "one", "one", limit_token=70_000)
+    assert kept.where("k = 'hot'").count() == 70_000
+    assert budget_cutoff(df.withColumn("one", F.lit(1)), ["k"], ["o"], "one", "one").count() == 240_000
 
 
 def test_stream_budget_equals_batch(spark):

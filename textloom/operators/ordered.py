@@ -3,25 +3,24 @@
 Scale notes
 -----------
 * ``running_totals`` never puts one group into one task: rows are range-partitioned on
-  (keys, order) into blocks, each block computes local running sums, and per-block totals
-  (at most #groups + #blocks rows) give each block its offset. A hot key that holds a third
-  of all rows spreads over many blocks.
-* ``pack_segments`` assigns segment numbers on narrow columns only (keys, order, sizes).
-  Groups up to ``max_group_rows`` items are packed by a linear greedy pass per group inside
-  ``applyInPandas``; larger groups go through an exact distributed path (prefix sums, a
-  sorted "first prefix above threshold" lookup, pointer doubling over the next-start map).
-  Texts are joined only per segment, and a segment is bounded by the budget.
+  (keys, order) into blocks and written with their block number, each block computes local
+  running sums, and the blocks' totals (at most #groups + #blocks rows) give each block its
+  offset. The written table is what both sides read, so they agree on the blocks. A hot key
+  that holds a third of all rows spreads over many blocks; every size takes this path.
+* Greedy packing is sequential by definition. ``assign_segments`` streams narrow rows (item
+  number and two sizes) in order through tasks that hold one running state, so a group of any
+  size needs constant memory. Texts are joined only per segment, which the budget bounds.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from textloom.session import cut_lineage, cut_lineage_counted
+from textloom.session import cut_lineage
 
 DEFAULT_MAX_TOKEN = 25_000
 DEFAULT_MAX_CHAR = 999_999_999
@@ -30,70 +29,44 @@ WRAP_TOKEN_RESERVE = 50
 WRAP_CHAR_RESERVE = 150
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols) -> Column:
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
-
-
 def _n_blocks(df: DataFrame, n_blocks: int | None) -> int:
     if n_blocks:
         return n_blocks
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
-# Largest group a single window task may take; above it the block method splits the group.
-MAX_WINDOW_ROWS = 1_000_000
-
-
 def running_totals(
     df: DataFrame,
     keys: list[str],
     order: list[str],
     sums: dict[str, Column],
     n_blocks: int | None = None,
-    max_window_rows: int | None = MAX_WINDOW_ROWS,
 ) -> DataFrame:
-    """Add inclusive running sums ``sums`` per ``keys`` in ``order`` (ties: rows with equal
-    order values get distinct running values in an unspecified tie order).
-
-    The largest group is measured first (partial aggregation, one small job). When every
-    group fits ``max_window_rows`` a plain window does it in one shuffle; otherwise the
-    range-block method spreads hot groups over many tasks. ``max_window_rows=None`` (or an
-    explicit ``n_blocks``) always uses blocks."""
-    if max_window_rows is not None and n_blocks is None:
-        biggest = df.groupBy(*keys).count().agg(F.max("count").alias("m")).first()["m"]
-        if biggest is None or biggest <= max_window_rows:
-            w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            return df.select(*[c for c in df.columns if c not in sums],
-                             *[F.sum(col).over(w).alias(name) for name, col in sums.items()])
-    nb = _n_blocks(df, n_blocks)
-    tmp = {name: f"__v_{name}" for name in sums}
-    base = df
-    for name, col in sums.items():
-        base = base.withColumn(tmp[name], col)
-    ranged = base.repartitionByRange(nb, *[F.col(k) for k in keys], *[F.col(o) for o in order]).withColumn(
-        "__blk", F.spark_partition_id()
+    """Add inclusive running sums ``sums`` per ``keys`` in ``order``. Null values count as 0, null keys
+    form a group of their own, and rows with equal order values get distinct running values in an
+    unspecified tie order."""
+    base = df.select(
+        *[c for c in df.columns if c not in sums], *[F.coalesce(col, F.lit(0)).alias(f"__v_{name}") for name, col in sums.items()]
     )
-    w = Window.partitionBy(*keys, "__blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.select(
-        "*", *[F.sum(F.col(tmp[name])).over(w).alias(f"__l_{name}") for name in sums]
-    )
-    totals = local.groupBy(*keys, "__blk").agg(*[F.sum(tmp[name]).alias(f"__t_{name}") for name in sums])
-    wb = Window.partitionBy(*keys).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+    by = [*[F.col(k) for k in keys], *[F.col(o) for o in order]]
+    ranged = cut_lineage(base.repartitionByRange(_n_blocks(df, n_blocks), *by).withColumn("__blk", F.spark_partition_id()))
+    totals = ranged.groupBy(*keys, "__blk").agg(*[F.sum(f"__v_{name}").alias(f"__t_{name}") for name in sums])
+    before = Window.partitionBy(*keys).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *[F.col(k).alias(f"__k_{k}") for k in keys],
         F.col("__blk").alias("__kb"),
-        *[F.coalesce(F.sum(f"__t_{name}").over(wb), F.lit(0)).alias(f"__o_{name}") for name in sums],
+        *[F.coalesce(F.sum(f"__t_{name}").over(before), F.lit(0)).alias(f"__o_{name}") for name in sums],
     )
+    upto = Window.partitionBy(*keys, "__blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ranged.select("*", *[F.sum(f"__v_{name}").over(upto).alias(f"__l_{name}") for name in sums])
     cond = reduce(
         lambda a, b: a & b,
         [local[k].eqNullSafe(offsets[f"__k_{k}"]) for k in keys] + [local["__blk"] == offsets["__kb"]],
     )
-    out = local.join(offsets, cond, "inner")
-    out = out.select(
+    return local.join(offsets, cond, "inner").select(
         *[c for c in df.columns if c not in sums],
         *[(F.col(f"__l_{name}") + F.col(f"__o_{name}")).alias(name) for name in sums],
     )
-    return out
 
 
 def row_index(df: DataFrame, keys: list[str], order: list[str], name: str = "idx", n_blocks: int | None = None) -> DataFrame:
@@ -115,13 +88,15 @@ def budget_cutoff(
 ) -> DataFrame:
     """Accept rows in order until the first one that would take the running token or
     character total over its limit; that row and all later rows are dropped. Meeting a limit
-    exactly is accepted. Unset limits mean 999,999,999,999."""
-    lt = 999_999_999_999 if limit_token is None else limit_token
-    lc = 999_999_999_999 if limit_char is None else limit_char
+    exactly is accepted. A limit of None does not limit."""
+    limits = {"__cum_tok": limit_token, "__cum_chr": limit_char}
     rt = running_totals(
         df, keys, order, {"__cum_tok": F.col(token_col).cast("long"), "__cum_chr": F.col(char_col).cast("long")}, n_blocks
     )
-    return rt.where((F.col("__cum_tok") <= lt) & (F.col("__cum_chr") <= lc)).drop("__cum_tok", "__cum_chr")
+    for name, limit in limits.items():
+        if limit is not None:
+            rt = rt.where(F.col(name) <= limit)
+    return rt.drop(*limits)
 
 
 # ------------------------------------------------------------------ F2 greedy packing
@@ -136,143 +111,47 @@ def effective_limits(max_token: int | None, max_char: int | None, with_prompt: b
     return mt, mc
 
 
-def _over(tt, tc, mt: int, mc: int) -> bool:
-    # a limit of 0 means "no limit"; a negative limit is always exceeded
-    return bool((mt != 0 and mt < tt) or (mc != 0 and mc < tc))
+def _greedy_stream(keys: list[str], mt: int, mc: int, keep_empty: bool):
+    """Segment numbers of rows that come sorted by keys and order; only the state of the group at hand is
+    kept from one batch to the next. A limit of 0 means no limit; a negative one is always exceeded."""
+    import pandas as pd
 
+    def over(tt: int, tc: int) -> bool:
+        return (mt != 0 and mt < tt) or (mc != 0 and mc < tc)
 
-def _greedy_assign(keys, order, mt, mc, keep_empty, token_col, char_col):
-    import numpy as np
-    import pandas as pd
+    def run(batches):
+        group, seg, tt, tc, empty = None, 0, 0, 0, False
+        for pdf in batches:
+            key_rows = pdf[keys].astype(object).where(pdf[keys].notna(), None).itertuples(index=False, name=None)
+            segs, empties = [], []
+            for key, t, c in zip(key_rows, pdf["__tok"].tolist(), pdf["__chr"].tolist()):
+                if group is None or key != group[0]:
+                    group, tt, tc = (key,), t, c
+                    empty = over(t, c) and keep_empty
+                    seg = int(empty)
+                else:
+                    tt, tc = tt + t, tc + c
+                    if over(tt, tc):
+                        seg, tt, tc = seg + 1, t, c
+                segs.append(seg)
+                empties.append(empty)
+            yield pd.DataFrame({"__id": pdf["__id"], "seg": segs, "empty_first": empties})
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="mergesort")
-        tok = pdf[token_col].to_numpy(dtype="int64")
-        ch = pdf[char_col].to_numpy(dtype="int64")
-        n = len(tok)
-        seg = np.empty(n, dtype="int64")
-        s = 0
-        tt = 0
-        tc = 0
-        for k in range(n):
-            tt += int(tok[k])
-            tc += int(ch[k])
-            if (mt != 0 and mt < tt) or (mc != 0 and mc < tc):
-                s += 1
-                tt = int(tok[k])
-                tc = int(ch[k])
-            seg[k] = s
-        empty_first = n > 0 and _over(int(tok[0]), int(ch[0]), mt, mc)
-        if empty_first and not keep_empty:
-            seg -= 1
-        out = pdf[keys + order].copy()
-        out["seg"] = seg
-        out["empty_first"] = bool(empty_first and keep_empty)
-        return out
-
-    return fn
-
-
-def _assign_distributed(items: DataFrame, keys, order, mt, mc, keep_empty, token_col, char_col) -> DataFrame:
-    """Exact greedy segmentation of (possibly huge) groups without gathering a group.
-
-    next(i) = max(i+1, first j with P[j] - P[i-1] > limit) for each active limit, where P are
-    inclusive prefix sums; segment starts are the nodes reachable from the first item, found
-    by pointer doubling (log2(#segments) rounds of joins).
-    """
-    spark = items.sparkSession
-    idx = running_totals(
-        items.select(*keys, *order, token_col, char_col),
-        keys,
-        order,
-        {"__i": F.lit(1).cast("long"), "__pt": F.col(token_col).cast("long"), "__pc": F.col(char_col).cast("long")},
-    )
-    idx = cut_lineage(idx)
-    sizes = idx.groupBy(*keys).agg(F.max("__i").alias("__n"))
-
-    def first_above(pcol: str, size_col: str, limit: int) -> DataFrame:
-        # A rows: (key, P[j], kind 0, j); B rows: (key, P[i-1]+limit, kind 1, i).
-        a = idx.select(*keys, F.col(pcol).alias("__val"), F.lit(0).alias("__kind"), F.col("__i").alias("__pos"))
-        b = idx.select(
-            *keys,
-            (F.col(pcol) - F.col(size_col).cast("long") + F.lit(limit)).alias("__val"),
-            F.lit(1).alias("__kind"),
-            F.col("__i").alias("__pos"),
-        )
-        u = a.unionByName(b)
-        nb = _n_blocks(u, None)
-        r = u.repartitionByRange(nb, *keys, "__val", "__kind", "__pos").withColumn("__blk", F.spark_partition_id())
-        wf = Window.partitionBy(*keys, "__blk").orderBy("__val", "__kind", "__pos").rowsBetween(1, Window.unboundedFollowing)
-        r = r.withColumn(
-            "__next_a", F.first(F.when(F.col("__kind") == 0, F.col("__pos")), ignorenulls=True).over(wf)
-        )
-        blk = r.groupBy(*keys, "__blk").agg(F.min(F.when(F.col("__kind") == 0, F.col("__pos"))).alias("__fa"))
-        wn = Window.partitionBy(*keys).orderBy("__blk").rowsBetween(1, Window.unboundedFollowing)
-        blk = blk.select(
-            *[F.col(k).alias(f"__k_{k}") for k in keys],
-            F.col("__blk").alias("__kb"),
-            F.first("__fa", ignorenulls=True).over(wn).alias("__later_a"),
-        )
-        bq = r.where(F.col("__kind") == 1)
-        cond = reduce(
-            lambda x, y: x & y,
-            [bq[k].eqNullSafe(blk[f"__k_{k}"]) for k in keys] + [bq["__blk"] == blk["__kb"]],
-        )
-        return bq.join(blk, cond, "inner").select(
-            *keys, F.col("__pos").alias("__i"), F.coalesce("__next_a", "__later_a").alias("__j")
-        )
+    return run
 
-    nxt = idx.select(*keys, "__i")
-    parts = []
-    if mt != 0:
-        parts.append(first_above("__pt", token_col, mt).withColumnRenamed("__j", "__jt"))
-    if mc != 0:
-        parts.append(first_above("__pc", char_col, mc).withColumnRenamed("__j", "__jc"))
-    for p in parts:
-        nxt = nxt.join(p, [*keys, "__i"], "left")
-    nxt = nxt.join(sizes, keys)
-    cands = [F.coalesce(F.col(c), F.col("__n") + 1) for c in ("__jt", "__jc") if c in nxt.columns]
-    best = F.least(*cands) if len(cands) > 1 else (cands[0] if cands else F.col("__n") + 1)
-    jump = cut_lineage(
-        nxt.select(*keys, F.col("__i").alias("__s"), F.greatest(F.col("__i") + 1, best).alias("__t"), "__n")
-    )
 
-    # chain from the first item by doubling: S <- S ∪ J(S); J <- J∘J
-    starts, n_starts = cut_lineage_counted(jump.where(F.col("__s") == 1).select(*keys, "__s"))
-    while True:
-        hop = starts.join(jump, [*keys, "__s"]).where(F.col("__t") <= F.col("__n")).select(*keys, F.col("__t").alias("__s"))
-        grown, n_grown = cut_lineage_counted(starts.unionByName(hop).distinct())
-        if n_grown == n_starts:
-            break
-        starts, n_starts = grown, n_grown
-        j2 = jump.alias("a").join(
-            jump.alias("b"),
-            reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col("a.__t") == F.col("b.__s")]),
-            "left",
-        )
-        jump = cut_lineage(
-            j2.select(
-                *[F.col(f"a.{k}") for k in keys],
-                F.col("a.__s").alias("__s"),
-                F.coalesce(F.col("b.__t"), F.col("a.__t")).alias("__t"),
-                F.col("a.__n").alias("__n"),
-            )
-        )
+def numbered(items: DataFrame) -> DataFrame:
+    """``items`` written once with a number for each row, so that rows can be told apart whatever they hold."""
+    return cut_lineage(items.withColumn("__id", F.monotonically_increasing_id()))
 
-    # segment number of item i = (#starts <= i) - 1  (skew-safe running count over starts ∪ items)
-    marks = idx.select(*keys, *order, "__i", token_col, char_col).join(
-        starts.withColumn("__is_start", F.lit(1)).withColumnRenamed("__s", "__i"), [*keys, "__i"], "left"
-    )
-    seg = running_totals(marks, keys, ["__i"], {"seg": F.coalesce(F.col("__is_start"), F.lit(0)).cast("long")})
-    first_over = (F.col("__i") == 1) & (
-        ((F.lit(mt) != 0) & (F.lit(mt) < F.col(token_col))) | ((F.lit(mc) != 0) & (F.lit(mc) < F.col(char_col)))
-    )
-    ef = seg.groupBy(*keys).agg(F.max(first_over.cast("int")).alias("__ef"))
-    seg = seg.join(ef, keys)
-    shift = F.when((F.col("__ef") == 1) & F.lit(keep_empty), F.lit(0)).otherwise(F.lit(1))
-    return seg.select(
-        *keys, *order, (F.col("seg") - shift).alias("seg"),
-        ((F.col("__ef") == 1) & F.lit(keep_empty)).alias("empty_first"),
+
+def _segments_by_id(items: DataFrame, keys, order, max_token, max_char, with_prompt, keep_empty, token_col, char_col) -> DataFrame:
+    mt, mc = effective_limits(max_token, max_char, with_prompt)
+    size = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0))
+    narrow = items.select(*keys, *order, "__id", size(token_col).alias("__tok"), size(char_col).alias("__chr"))
+    dealt = narrow.repartition(*keys).sortWithinPartitions(*keys, *order, "__id")
+    return dealt.select(*keys, "__id", "__tok", "__chr").mapInPandas(
+        _greedy_stream(keys, mt, mc, keep_empty), "__id bigint, seg bigint, empty_first boolean"
     )
 
 
@@ -286,26 +165,12 @@ def assign_segments(
     keep_empty: bool = False,
     token_col: str = "token",
     char_col: str = "chars",
-    max_group_rows: int = 2_000_000,
 ) -> DataFrame:
-    """(keys, order, seg, empty_first) for every item; ``seg`` is 0-based per group."""
-    mt, mc = effective_limits(max_token, max_char, with_prompt)
-    narrow = items.select(*keys, *order, F.col(token_col).cast("long").alias(token_col), F.col(char_col).cast("long").alias(char_col))
-    out_schema = T.StructType(
-        [f for f in narrow.schema.fields if f.name in keys + order]
-        + [T.StructField("seg", T.LongType()), T.StructField("empty_first", T.BooleanType())]
-    )
-    counts = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("__cnt"))
-    hot = counts.where(F.col("__cnt") > max_group_rows)
-    fn = _greedy_assign(keys, order, mt, mc, keep_empty, token_col, char_col)
-    if hot.isEmpty():
-        return narrow.groupBy(*keys).applyInPandas(fn, out_schema)
-    hot_keys = hot.select(*keys)
-    small = narrow.join(hot_keys, _null_safe_on(narrow, hot_keys, keys), "left_anti")
-    big = narrow.join(hot_keys, _null_safe_on(narrow, hot_keys, keys), "left_semi")
-    a = small.groupBy(*keys).applyInPandas(fn, out_schema)
-    b = _assign_distributed(big, keys, order, mt, mc, keep_empty, token_col, char_col)
-    return a.unionByName(b.select(*out_schema.fieldNames()))
+    """(keys, order, seg, empty_first) for every item; ``seg`` is 0-based per group. Null keys form a group,
+    null sizes count as 0, and items with equal keys and order stay apart."""
+    rows = numbered(items.select(*keys, *order, token_col, char_col))
+    seg = _segments_by_id(rows, keys, order, max_token, max_char, with_prompt, keep_empty, token_col, char_col)
+    return rows.join(seg, "__id").select(*keys, *order, "seg", "empty_first")
 
 
 def pack_segments(
@@ -319,35 +184,32 @@ def pack_segments(
     keep_empty: bool = False,
     token_col: str = "token",
     char_col: str = "chars",
-    max_group_rows: int = 2_000_000,
 ) -> DataFrame:
     """Greedy in-order packing under a token and a character budget.
 
     Returns ``(keys..., seg, content, token, chars, n_items)`` with ``token``/``chars`` the
     sums of the packed items. An item over budget on its own becomes its own segment. With
-    ``keep_empty`` the reference's empty first segment (first item over budget) is kept.
+    ``keep_empty`` the empty first segment (first item over budget) is kept. Null keys form a
+    group, null sizes and contents count as 0 and nothing.
     """
-    seg = assign_segments(
-        items, keys, order, max_token, max_char, with_prompt, keep_empty, token_col, char_col, max_group_rows
-    )
-    joined = items.join(seg.drop("empty_first"), [*keys, *order])
-    order_expr = ", ".join(f"`{o}`" for o in order)
-    packed = joined.groupBy(*keys, "seg").agg(
-        F.expr(f"listagg(`{content_col}`, '') WITHIN GROUP (ORDER BY {order_expr})").alias("content"),
-        F.sum(token_col).cast("long").alias("token"),
-        F.sum(char_col).cast("long").alias("chars"),
+    rows = numbered(items)
+    seg = _segments_by_id(rows, keys, order, max_token, max_char, with_prompt, keep_empty, token_col, char_col)
+    if keep_empty:
+        seg = cut_lineage(seg)
+    order_expr = ", ".join(f"`{o}`" for o in [*order, "__id"])
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    packed = rows.join(seg.drop("empty_first"), "__id").groupBy(*keys, "seg").agg(
+        F.expr(f"coalesce(listagg(`{content_col}`, '') WITHIN GROUP (ORDER BY {order_expr}), '')").alias("content"),
+        total(token_col).alias("token"),
+        total(char_col).alias("chars"),
         F.count(F.lit(1)).cast("long").alias("n_items"),
     )
     if keep_empty:
-        empties = seg.where("empty_first").select(*keys).distinct().select(
-            *keys,
-            F.lit(0).cast("long").alias("seg"),
-            F.lit("").alias("content"),
-            F.lit(0).cast("long").alias("token"),
-            F.lit(0).cast("long").alias("chars"),
-            F.lit(0).cast("long").alias("n_items"),
+        zero = F.lit(0).cast("long")
+        firsts = rows.join(seg.where("empty_first"), "__id").select(*keys).distinct()
+        packed = packed.unionByName(
+            firsts.select(*keys, zero.alias("seg"), F.lit("").alias("content"), *[zero.alias(c) for c in ("token", "chars", "n_items")])
         )
-        packed = packed.unionByName(empties)
     return packed
 
 
@@ -376,38 +238,49 @@ MIDDLE_START = (
 SEGMENT_END = "\n# Prompt: End of segment {k} of {n} total segments. Please wait for the next segment to be sent."
 
 
+@dataclass(frozen=True)
+class Wording:
+    """Texts around a segment; ``{k}`` is its position and ``{n}`` the number of segments."""
+
+    code_start: str = SINGLE_CODE_START
+    code_end: str = SINGLE_CODE_END
+    path_start: str = SINGLE_PATH_START
+    path_end: str = SINGLE_PATH_END
+    first_start: str = FIRST_START
+    middle_start: str = MIDDLE_START
+    last_start: str = LAST_START
+    segment_end: str = SEGMENT_END
+
+
 def _fill(template: str) -> Column:
-    a, rest = template.split("{k}")
-    b, c = rest.split("{n}")
-    return F.concat(F.lit(a), F.col("__k").cast("string"), F.lit(b), F.col("__n").cast("string"), F.lit(c))
+    text = F.replace(F.lit(template), F.lit("{k}"), F.col("__k").cast("string"))
+    return F.replace(text, F.lit("{n}"), F.col("__n").cast("string"))
 
 
-def segment_labels(segments: DataFrame, keys: list[str], output: str = "path", content_col: str = "content") -> DataFrame:
+def segment_labels(
+    segments: DataFrame, keys: list[str], output: str = "path", content_col: str = "content", wording: Wording | None = None
+) -> DataFrame:
     """Position ``k`` (1-based), total ``n``, role (only/first/middle/last) and the wrapped text."""
-    totals = segments.groupBy(*keys).agg(F.count(F.lit(1)).cast("long").alias("__n"))
-    s = segments.join(totals, keys)
-    s = s.withColumn("__k", F.col("seg") + 1)
+    say = wording or Wording()
+    totals = segments.groupBy(*[F.col(k).alias(f"__t_{k}") for k in keys]).agg(F.count(F.lit(1)).cast("long").alias("__n"))
+    same = reduce(lambda a, b: a & b, [segments[k].eqNullSafe(totals[f"__t_{k}"]) for k in keys])
+    s = segments.join(totals, same).withColumn("__k", F.col("seg") + 1)
     role = (
         F.when(F.col("__n") == 1, F.lit("only"))
         .when(F.col("__k") == 1, F.lit("first"))
         .when(F.col("__k") == F.col("__n"), F.lit("last"))
         .otherwise(F.lit("middle"))
     )
-    single_start = SINGLE_CODE_START if output == "code" else SINGLE_PATH_START
-    single_end = SINGLE_CODE_END if output == "code" else SINGLE_PATH_END
-    c = F.col(content_col)
-    wrapped = (
-        F.when(F.col("__n") == 1, F.concat(F.lit(single_start), c, F.lit(single_end)))
-        .when(F.col("__k") == 1, F.concat(_fill(FIRST_START), c, _fill(SEGMENT_END)))
-        .when(F.col("__k") == F.col("__n"), F.concat(_fill(LAST_START), c, _fill(SEGMENT_END)))
-        .otherwise(F.concat(_fill(MIDDLE_START), c, _fill(SEGMENT_END)))
+    only = (say.code_start, say.code_end) if output == "code" else (say.path_start, say.path_end)
+    start = (
+        F.when(F.col("__k") == 1, _fill(say.first_start))
+        .when(F.col("__k") == F.col("__n"), _fill(say.last_start))
+        .otherwise(_fill(say.middle_start))
     )
+    c = F.col(content_col)
+    wrapped = F.when(F.col("__n") == 1, F.concat(F.lit(only[0]), c, F.lit(only[1]))).otherwise(F.concat(start, c, _fill(say.segment_end)))
     return s.select(
-        *segments.columns,
-        F.col("__k").alias("k"),
-        F.col("__n").alias("n"),
-        role.alias("role"),
-        wrapped.alias("wrapped"),
+        *segments.columns, F.col("__k").alias("k"), F.col("__n").alias("n"), role.alias("role"), wrapped.alias("wrapped")
     )
 
 
