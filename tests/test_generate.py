@@ -44,10 +44,29 @@ def test_batch_generate_and_prompt_stages(spark):
     b = {x.conv_id: x for x in QUERIES["batch_generate"](spark, SF).collect()}
     for cid, t in last.items():
         assert b[cid].status == "ok" and b[cid].answer_md5 == hashlib.md5(t.upper().encode()).hexdigest()
-    w = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "substr(text, 1, CAST(doc_id % 40 AS INT)) AS t")
+    from textloom.sources.views import work
+
+    w = work(spark, SF).selectExpr("doc_id", "test_code AS t")
     tc = {r.doc_id: r.t for r in w.collect()}
     st = {x.doc_id: x for x in QUERIES["prompt_stages"](spark, SF).collect()}
     for did, t in list(tc.items())[:50]:
         plan = f"Plan tests for target {did}: {t}".upper()
         assert st[did].plan_md5 == hashlib.md5(plan.encode()).hexdigest()
-        assert st[did].code == f"Write code for plan: {plan}".upper()  # no fences: text unchanged
+        code = f"Write code for plan: {plan}".upper()  # no fences: text unchanged
+        assert st[did].code_md5 == hashlib.md5(code.encode()).hexdigest()
+
+
+def test_stages_call_the_client_once_a_row_and_stage(spark, tmp_path):
+    """A client that leaves a mark for each call: k stages make k calls a row, whatever is read afterwards."""
+    import uuid
+
+    from textloom.operators.generate import prompt_stages
+
+    def client(messages, attempt=1, **_):
+        (tmp_path / uuid.uuid4().hex).write_text("x")
+        return messages[-1]["content"] + "!", "stop"
+
+    df = spark.createDataFrame([(None, "a"), (1, "b"), (1, "b")], "k long, t string")
+    out = prompt_stages(df, client, [("{t}", "s1"), ("{s1}", "s2"), ("{s2}{s1}", "s3"), ("{s3}", "s4")])
+    assert sorted(r.s4 for r in out.collect()) == ["a!!a!!!", "b!!b!!!", "b!!b!!!"] and out.count() == 3
+    assert len(list(tmp_path.iterdir())) == 4 * 3

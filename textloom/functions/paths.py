@@ -24,7 +24,6 @@ DEFAULT_IGNORE_DIRS = (
     ".storybook",
     ".swc",
     ".vscode",
-    "cypress",
     ".mypy_cache",
 )
 EXTRA_IGNORE_DIRS = ("__pycache__",)

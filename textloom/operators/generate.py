@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.session import cut_lineage
+
 # Retry policies (tries, waits in seconds).
 LONG_RETRY = (30, (1, 2, 4, 8) + (10,) * 25)
 SHORT_RETRY = (3, (1, 2))
@@ -104,12 +106,14 @@ def typed_generate(requests: DataFrame, generate: Callable, keys: list[str], sch
     )
 
 
-def prompt_stages(df: DataFrame, generate: Callable, keys: list[str], stages: list[tuple[str, str]], **kw) -> DataFrame:
+def prompt_stages(df: DataFrame, generate: Callable, stages: list[tuple[str, str]], **kw) -> DataFrame:
     """J5: a chain of (template, output column) stages; each template may reference input
-    and earlier output columns as ``{name}``; each stage is one generation pass."""
+    and earlier output columns as ``{name}``; each stage is one generation pass, whose answers
+    are written once, so that later stages and readers see the same ones. Rows are told apart by
+    a number of their own, so keys may be null or repeat."""
     import re
 
-    cur = df
+    cur = cut_lineage(df.withColumn("__row", F.monotonically_increasing_id()))
     for template, out_col in stages:
         names = re.findall(r"\{(\w+)\}", template)
         pieces = re.split(r"\{\w+\}", template)
@@ -119,7 +123,7 @@ def prompt_stages(df: DataFrame, generate: Callable, keys: list[str], stages: li
             if i < len(names):
                 parts.append(F.coalesce(F.col(names[i]).cast("string"), F.lit("")))
         prompt = F.concat(*parts)
-        req = cur.select(*keys, F.array(F.struct(F.lit("user").alias("role"), prompt.alias("content"))).alias("messages"))
-        ans = batch_generate(req, generate, keys, **kw).select(*keys, F.col("answer").alias(out_col))
-        cur = cur.join(ans, keys, "left")
-    return cur
+        req = cur.select("__row", F.array(F.struct(F.lit("user").alias("role"), prompt.alias("content"))).alias("messages"))
+        ans = batch_generate(req, generate, ["__row"], **kw).select("__row", F.col("answer").alias(out_col))
+        cur = cur.join(cut_lineage(ans), "__row", "left")
+    return cur.drop("__row")

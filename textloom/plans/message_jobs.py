@@ -142,36 +142,48 @@ def _requests(spark, sf_dir):
     return build_request(table(spark, sf_dir, "conversations"), "openai")
 
 
-@register("batch_generate")
+# the stub clients answer by the last user text; capital sharp s is written SS
+_UPPER = lambda x: f"replace(replace(upper({x}), 'ß', 'SS'), 'ẞ', 'SS')"
+_LAST = """WITH last AS (SELECT c.conv_id, coalesce(u.t, '') AS t FROM (SELECT DISTINCT conv_id FROM conversations) c
+  LEFT JOIN (SELECT conv_id, arg_max(text, turn) AS t FROM conversations WHERE role = 'user' GROUP BY 1) u USING (conv_id))"""
+
+
+@register("batch_generate", f"{_LAST} SELECT conv_id, md5({_UPPER('t')}) AS answer_md5, 'stop' AS finish_reason, 'ok' AS status FROM last")
 def q_batch_generate(spark, sf_dir):
     out = batch_generate(_requests(spark, sf_dir), echo_client, ["conv_id"], sleep=_no_sleep)
     return out.select("conv_id", F.md5("answer").alias("answer_md5"), "finish_reason", "status")
 
 
-@register("retrying")
+@register("retrying", f"""{_LAST} SELECT conv_id, 'ok' AS status, CAST(1 + length(t) % 2 AS INTEGER) AS tries,
+  CAST(length(t) AS VARCHAR) AS answer FROM last""")
 def q_retrying(spark, sf_dir):
     out = batch_generate(_requests(spark, sf_dir), flaky_client, ["conv_id"], sleep=_no_sleep)
     return out.select("conv_id", "status", "tries", "answer")
 
 
-@register("continue_answers")
+@register("continue_answers", """WITH f AS (SELECT conv_id, arg_min(text, turn) AS t FROM conversations WHERE role = 'user' GROUP BY 1)
+SELECT c.conv_id, CAST(greatest(1, ceil(length(coalesce(t, '')) / 64.0)) AS INTEGER) AS rounds, 'stop' AS finish_reason,
+  CAST(length(coalesce(t, '')) AS INTEGER) AS answer_chars FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN f USING (conv_id)""")
 def q_continue_answers(spark, sf_dir):
     out = batch_generate(_requests(spark, sf_dir), continuing_client, ["conv_id"], options={"max_tokens": 64},
                          max_rounds=1000, sleep=_no_sleep)
     return out.select("conv_id", "rounds", "finish_reason", F.length("answer").alias("answer_chars"))
 
 
-@register("typed_generate")
+@register("typed_generate", f"""{_LAST} SELECT conv_id, CASE WHEN length(t) % 5 = 0 THEN 'invalid' ELSE 'ok' END AS status,
+  CASE WHEN length(t) % 5 > 0 THEN 'x = ' || length(t) END AS code, CASE WHEN length(t) % 5 > 0 THEN CAST(length(t) % 120 AS DOUBLE) END AS score,
+  length(t) % 5 > 0 AND length(t) % 120 > 0 AND length(t) % 120 < 100 AS valid FROM last""")
 def q_typed_generate(spark, sf_dir):
     out = typed_generate(_requests(spark, sf_dir), json_client, ["conv_id"], ANSWER_SCHEMA, sleep=_no_sleep)
     return out.select("conv_id", "status", F.col("parsed.code").alias("code"), F.col("parsed.score").alias("score"),
                       valid_answer(F.col("parsed.code"), F.col("parsed.score")).alias("valid"))
 
 
-@register("prompt_stages")
+@register("prompt_stages", f"""WITH {SQL_WORK}, p AS (SELECT doc_id, {_UPPER("'Plan tests for target ' || doc_id || ': ' || test_code")} AS plan FROM work)
+SELECT doc_id, md5(plan) AS plan_md5, md5({_UPPER("'Write code for plan: ' || plan")}) AS code_md5 FROM p""")
 def q_prompt_stages(spark, sf_dir):
     w = work(spark, sf_dir)
     stages = [("Plan tests for target {doc_id}: {test_code}", "plan"),
               ("Write code for plan: {plan}", "draft")]
-    out = prompt_stages(w, echo_client, ["doc_id"], stages, sleep=_no_sleep)
-    return out.select("doc_id", F.md5("plan").alias("plan_md5"), extract_code("draft").alias("code"))
+    out = prompt_stages(w, echo_client, stages, sleep=_no_sleep)
+    return out.select("doc_id", F.md5("plan").alias("plan_md5"), F.md5(extract_code("draft")).alias("code_md5"))

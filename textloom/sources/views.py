@@ -75,11 +75,11 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
     f = "```"
-    one = F.concat(F.lit(f"intro\n{f}python\nx = "), _s(i), F.lit(f"\n{f}\n"))
-    two = F.concat(F.lit(f"{f}\na\n{f}\nmid\n{f}ts\n b "), _s(i), F.lit(f"\n{f}"))
+    one = F.concat(F.col("text"), F.lit(f"\n{f}python\nx = "), _s(i), F.lit("\n"), F.col("text"), F.lit(f"\n{f}\n"))
+    two = F.concat(F.lit(f"{f}\na\n{f}\n"), F.col("text"), F.lit(f"\n{f}ts\n b "), _s(i), F.lit(f"\n{f}"))
     return d.select(
         "doc_id",
-        F.when(i % 3 == 0, F.substring("text", 1, 60)).when(i % 3 == 1, one).otherwise(two).alias("text"),
+        F.when(i % 3 == 0, F.col("text")).when(i % 3 == 1, one).otherwise(two).alias("text"),
     )
 
 
@@ -102,7 +102,8 @@ def work(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         ((i % 2) == 0).alias("has_diff"),
         (i % 3).alias("exit_code"),
-        F.expr("substr(text, 1, CAST(doc_id % 40 AS INT))").alias("test_code"),
+        F.when(i % 5 == 0, F.lit("")).when(i % 5 == 1, F.lit("assert x"))
+        .otherwise(F.concat(F.lit("def test_"), _s(i), F.lit("():\n"), F.col("text"))).alias("test_code"),
         (i % 2 + 1).alias("round"),
     )
 
@@ -140,9 +141,9 @@ FROM documents WHERE doc_id % 13 <> 0)"""
 
 SQL_ANSWERS = """answers AS (
 SELECT doc_id,
-       CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 60)
-            WHEN doc_id % 3 = 1 THEN 'intro' || chr(10) || repeat(chr(96),3) || 'python' || chr(10) || 'x = ' || doc_id || chr(10) || repeat(chr(96),3) || chr(10)
-            ELSE repeat(chr(96),3) || chr(10) || 'a' || chr(10) || repeat(chr(96),3) || chr(10) || 'mid' || chr(10) || repeat(chr(96),3) || 'ts' || chr(10) || ' b ' || doc_id || chr(10) || repeat(chr(96),3)
+       CASE WHEN doc_id % 3 = 0 THEN text
+            WHEN doc_id % 3 = 1 THEN text || chr(10) || repeat(chr(96),3) || 'python' || chr(10) || 'x = ' || doc_id || chr(10) || text || chr(10) || repeat(chr(96),3) || chr(10)
+            ELSE repeat(chr(96),3) || chr(10) || 'a' || chr(10) || repeat(chr(96),3) || chr(10) || text || chr(10) || repeat(chr(96),3) || 'ts' || chr(10) || ' b ' || doc_id || chr(10) || repeat(chr(96),3)
        END AS text
 FROM documents)"""
 
@@ -153,4 +154,5 @@ FROM events)"""
 
 SQL_WORK = """work AS (
 SELECT doc_id, doc_id % 2 = 0 AS has_diff, doc_id % 3 AS exit_code,
-       substr(text, 1, CAST(doc_id % 40 AS INT)) AS test_code, doc_id % 2 + 1 AS round FROM documents)"""
+       CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 5 = 1 THEN 'assert x'
+            ELSE 'def test_' || doc_id || '():' || chr(10) || text END AS test_code, doc_id % 2 + 1 AS round FROM documents)"""
