@@ -20,6 +20,32 @@ def test_html_edge_cases(spark):
     assert r.a == r.b == 'T & U one two three four"'
 
 
+PARTS = [
+    "one", " two ", "&amp;", "&amp;lt;", "&nbsp;", "&#8217;", "&euro;", "&copy", "&", "<p>", "</p>", "<b>", "</b>", "<br/>", "<nav>", "</nav>", "<nav id='x>y'>", "<footer>",
+    "</footer>", "<header class=h>", "</header>", "<aside/>", "<script>var a='</p>' <b;</script>", "<style>p{}</style>", "<!-- x <p> -->", "<!-- open", "<title>T &amp; t</title>",
+    '<a href="/d">', "<a href='/s'>", "<a href=/u>", "<a class='k' href=\"/k?a=1&amp;b=2\">", '<a HREF = "/c">', '<a data-href="/no">', "<a>", "</a>", '<a title="a>b" href="/t">',
+    "\n", "\u00a0", "<", ">", "</", "<3", '"quoted"', "\u00e9", "<textarea><b>x</textarea>", "<![CDATA[x]]>", "<?php x ?>", "<script>", "</script>",
+]
+
+
+def test_native_text_and_links_are_the_parsers_on_odd_pages(spark):
+    import random
+
+    from textloom.functions.html import _parse_page, needs_parser, raw_links
+
+    rng = random.Random(12)
+    pages = ["".join(rng.choices(PARTS, k=rng.randint(1, 12))) for _ in range(4000)] + ["<p>" + "long words " * 20_000 + "<nav>" + "x " * 20_000 + "</nav>"]
+    df = spark.createDataFrame([(k, h) for k, h in enumerate(pages)], "i int, html string").repartition(4)
+    odd = 0
+    for r in df.select("html", html_text("html").alias("t"), raw_links("html", "all").alias("a"), raw_links("html", "body").alias("b"), needs_parser("html").alias("o")).collect():
+        odd += r.o
+        assert (r.t, r.a) == _parse_page(r.html, "all"), r.html
+        assert r.b == _parse_page(r.html, "body")[1], r.html
+    assert odd < len(pages) - 200
+    real = spark.read.parquet(f"{SF}/pages.parquet")
+    assert real.where(needs_parser("html")).count() == 0
+
+
 def test_url_tree_layout(spark):
     urls = ["https://h.com/a/b", "https://h.com/a/c", "https://h.com/d", "https://h.com/a/b/e"]
     df = spark.createDataFrame([(u, i) for i, u in enumerate(urls)], "url string, ord long").withColumn("g", F.lit(1))

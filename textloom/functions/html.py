@@ -1,10 +1,9 @@
 """HTML → text and links.
 
-Two paths:
-  * native (default): a fixed sequence of regex rewrites, JVM-side and codegen'd;
-  * parser: Python ``html.parser`` inside an Arrow-batched ``pandas_udf`` for pages the
-    regex recipe cannot handle (nested same-name removed elements, rare entities,
-    non-ASCII blanks at text-node ends).
+Two paths that give the same result:
+  * native: a fixed sequence of regex rewrites, JVM-side and codegen'd, for plain pages;
+  * parser: Python ``html.parser`` inside an Arrow-batched ``pandas_udf`` for pages that the
+    rewrites are not made for (:func:`needs_parser`); it sees nulls in place of all others.
 """
 
 from __future__ import annotations
@@ -56,8 +55,40 @@ def body_html(html) -> Column:
     return F.regexp_replace(_without_raw(html), REMOVED_RE, "<x>")
 
 
+# What the native rewrites are not made for: other entities, removed elements one inside another or left
+# open, brackets inside attributes, links without double quotes, declarations, elements of raw text,
+# blanks that only the parser strips, and script or style that is left open.
+_REMOVED = "|".join(REMOVED_TAGS)
+ODD_RES = (
+    r"&(?!(?:amp|quot|lt|gt|copy|middot|#39);)[#A-Za-z]",
+    rf"(?is)<({_REMOVED})\b(?:(?!</\1\s*>|<(?:{_REMOVED})\b).)*+(?:<|\z)(?!/\1)",
+    rf"(?is)<(?:{_REMOVED}|script|style)\b[^>]*/>|</(?:{_REMOVED}|script|style)\b(?!\s*>)",
+    r"(?s)<[a-zA-Z/][^<>]*+(?:<|\z)|<[a-zA-Z][^<>]*=\s*(?:\"[^\"<>]*+>|'[^'<>]*+>)",
+    r"(?is)<a\b(?![^>]*\bhref\s*=\s*\")[^>]*\bhref|<a\b[^>]*[^\s\"]href|<a\b[^>]*\bhref[^>]*\bhref",
+    r"(?is)<title\b[^>]*>[^<]*+(?!</title\s*>)|<(?:!\[|\?|textarea|plaintext|xmp|iframe|noembed|noframes|noscript)|<!(?!--|doctype\b)",
+    r"[\u001c-\u001f\u000b\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u0000]",
+    r"(?is)<(script|style)\b(?:(?!</\1\s*>).)*+\z|<!--(?:(?!-->).)*+\z|<!--(?:-?>)|--!>",
+    r"<(?![a-zA-Z/!])|</(?![a-zA-Z])",
+)
+
+
+def needs_parser(html) -> Column:
+    """Whether a page holds what the native rewrites are not made for."""
+    h = _c(html)
+    odd = F.lit(False)
+    for pattern in ODD_RES:
+        odd = odd | h.rlike(pattern)
+    return F.coalesce(odd, F.lit(False))
+
+
 def html_text(html) -> Column:
     """Visible text: removed elements dropped, text nodes trimmed, joined by one space, NUL removed."""
+    h, odd = _c(html), needs_parser(html)
+    return F.when(odd, html_text_parsed(F.when(odd, h))).otherwise(html_text_native(h))
+
+
+def html_text_native(html) -> Column:
+    """The rewrites alone, right for pages that :func:`needs_parser` leaves to them."""
     h = body_html(html)
     h = F.regexp_replace(h, TAG_RE, SEP)
     h = F.regexp_replace(h, SEP + "+", " ")
@@ -66,10 +97,12 @@ def html_text(html) -> Column:
 
 
 def raw_links(html, link_scope: str = "body") -> Column:
-    """``href`` values of ``<a>`` tags. ``body``: outside the removed elements (what the
-    reference follows); ``all``: every anchor outside script/style/comments."""
-    src = body_html(html) if link_scope == "body" else _without_raw(html)
-    return F.transform(F.regexp_extract_all(src, F.lit(HREF_RE), 1), lambda x: decode_entities(x))
+    """``href`` values of ``<a>`` tags. ``body``: outside the removed elements; ``all``: every anchor
+    outside script/style/comments."""
+    h, odd = _c(html), needs_parser(html)
+    src = body_html(h) if link_scope == "body" else _without_raw(h)
+    native = F.transform(F.regexp_extract_all(src, F.lit(HREF_RE), F.lit(1)), lambda x: decode_entities(x))
+    return F.when(odd, raw_links_parsed(F.when(odd, h), link_scope)).otherwise(native)
 
 
 # ---------------------------------------------------------------- parser path
@@ -132,7 +165,7 @@ def html_text_parsed(html) -> Column:
 
     @F.pandas_udf(T.StringType())
     def _text(s: pd.Series) -> pd.Series:
-        return s.map(lambda h: _parse_page(h)[0])
+        return s.map(lambda h: _parse_page(h)[0], na_action="ignore")
 
     return _text(_c(html))
 
@@ -142,6 +175,6 @@ def raw_links_parsed(html, link_scope: str = "body") -> Column:
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def _links(s: pd.Series) -> pd.Series:
-        return s.map(lambda h: _parse_page(h, link_scope)[1])
+        return s.map(lambda h: _parse_page(h, link_scope)[1], na_action="ignore")
 
     return _links(_c(html))

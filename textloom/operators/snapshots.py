@@ -1,25 +1,27 @@
-"""Snapshot comparison: changed paths, line-level differences, review bundles.
+"""Snapshot comparison: changed paths, line-level differences, review and commit bundles.
 
 Two states of a tree are tables ``(path, content)``. The textual diff is relational: lines
-are exploded with their position and compared as multisets per path (counts per
-``(path, line)``), which partitions by path and never gathers a whole tree.
+are exploded with their position and compared as multisets per path: of a line that a state
+holds more often than the other, the later occurrences are the added or removed ones. It
+partitions by path and line and never gathers a whole tree.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def snapshot_join(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``(path, status)`` with status added / removed / modified / same (D11)."""
-    o = old.select("path", F.sha2(F.col("content"), 256).alias("h_old"))
-    n = new.select("path", F.sha2(F.col("content"), 256).alias("h_new"))
+    """``(path, status)`` with status added / removed / modified / same (D11). A null content is a content
+    like any other, so presence is told by a flag."""
+    o = old.select("path", F.lit(True).alias("in_old"), F.sha2(F.col("content"), 256).alias("h_old"))
+    n = new.select("path", F.lit(True).alias("in_new"), F.sha2(F.col("content"), 256).alias("h_new"))
     j = o.join(n, "path", "full_outer")
     status = (
-        F.when(F.col("h_old").isNull(), F.lit("added"))
-        .when(F.col("h_new").isNull(), F.lit("removed"))
-        .when(F.col("h_old") != F.col("h_new"), F.lit("modified"))
+        F.when(F.col("in_old").isNull(), F.lit("added"))
+        .when(F.col("in_new").isNull(), F.lit("removed"))
+        .when(~F.col("h_old").eqNullSafe(F.col("h_new")), F.lit("modified"))
         .otherwise(F.lit("same"))
     )
     return j.select("path", status.alias("status"))
@@ -37,42 +39,57 @@ def _lines(df: DataFrame) -> DataFrame:
     return df.select("path", F.posexplode(F.split("content", "\n", -1)).alias("pos", "line"))
 
 
-def line_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Per path: lines added and removed as multiset differences (I6)."""
-    o = _lines(old).groupBy("path", "line").agg(F.count(F.lit(1)).alias("n_old"))
-    n = _lines(new).groupBy("path", "line").agg(F.count(F.lit(1)).alias("n_new"))
-    j = o.join(n, ["path", "line"], "full_outer").fillna(0, ["n_old", "n_new"])
-    return j.groupBy("path").agg(
-        F.sum(F.greatest(F.col("n_new") - F.col("n_old"), F.lit(0))).cast("long").alias("n_added"),
-        F.sum(F.greatest(F.col("n_old") - F.col("n_new"), F.lit(0))).cast("long").alias("n_removed"),
-    ).where((F.col("n_added") > 0) | (F.col("n_removed") > 0))
+def diff_lines(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``(path, sign, pos, line)``: lines removed (``-``, 0-based position in the old state) and added
+    (``+``, position in the new state) (I6). Of a line that one state has k times more often, its last k
+    occurrences count."""
+
+    def occurrences(df: DataFrame, pos: str) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy("path", "line").orderBy("pos"))
+        return _lines(df).withColumn("nth", nth).withColumnRenamed("pos", pos)
 
+    j = occurrences(old, "old_pos").join(occurrences(new, "new_pos"), ["path", "line", "nth"], "full_outer")
+    j = j.where(F.col("old_pos").isNull() | F.col("new_pos").isNull())
+    sign = F.when(F.col("new_pos").isNull(), F.lit("-")).otherwise(F.lit("+"))
+    return j.select("path", sign.alias("sign"), F.coalesce("old_pos", "new_pos").alias("pos"), "line")
 
-def added_lines(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Lines of the new state whose text does not occur in the old state, with position."""
-    o = _lines(old).select("path", "line").distinct()
-    return _lines(new).join(o, ["path", "line"], "left_anti")
 
+def line_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Per path: numbers of lines added and removed."""
+    count = lambda sign: F.count(F.when(F.col("sign") == sign, 1)).cast("long")
+    return diff_lines(old, new).groupBy("path").agg(count("+").alias("n_added"), count("-").alias("n_removed"))
 
-REVIEW_TEMPLATE = "Review the change to {path}.\nAdded lines:\n{added}\n"
 
+def diff_texts(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``(path, diff)``: a file's diff lines as one text, by position, removed before added."""
+    said = F.expr("listagg(concat(sign, line), '\n') WITHIN GROUP (ORDER BY pos, sign DESC)")
+    return diff_lines(old, new).groupBy("path").agg(said.alias("diff"))
 
-def review_bundle(old: DataFrame, new: DataFrame) -> DataFrame:
-    """One review prompt per modified file: path and its added lines in order (D12)."""
+
+def review_bundle(old: DataFrame, new: DataFrame, related: DataFrame | None = None) -> DataFrame:
+    """One review prompt per modified file (D12): its whole diff, its new content, and the contents of
+    the files that it depends on, ``related`` with columns (path, ord, node), where there are any."""
     mod = changed_paths(old, new).where(F.col("status") == "modified").select("path")
-    add = added_lines(old, new).join(mod, "path")
-    per = add.groupBy("path").agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY pos)").alias("added"))
-    prompt = F.concat(F.lit("Review the change to "), F.col("path"), F.lit(".\nAdded lines:\n"), F.col("added"), F.lit("\n"))
+    per = mod.join(diff_texts(old, new), "path", "left").join(new.select("path", "content"), "path", "left")
+    block = lambda path, text: F.concat(F.lit("\nFile "), path, F.lit(":\n"), F.coalesce(text, F.lit("")), F.lit("\n"))
+    if related is not None:
+        there = new.select(F.col("path").alias("node"), F.col("content").alias("there"))
+        wanted = related.join(mod, "path", "left_semi").join(there, "node")
+        blocks = wanted.select("path", "ord", block(F.col("node"), F.col("there")).alias("block"))
+        texts = blocks.groupBy("path").agg(F.expr("listagg(block, '') WITHIN GROUP (ORDER BY ord)").alias("context"))
+        per = per.join(texts, "path", "left")
+    else:
+        per = per.withColumn("context", F.lit(""))
+    prompt = F.concat(
+        F.lit("Review the change to "), F.col("path"), F.lit(".\nDiff:\n"), F.coalesce("diff", F.lit("")), F.lit("\n"),
+        block(F.col("path"), F.col("content")), F.coalesce("context", F.lit("")),
+    )
     return per.select("path", prompt.alias("prompt"))
 
 
 def commit_bundle(old: DataFrame, new: DataFrame, repo_of) -> DataFrame:
-    """Per repository: changed file list and the diff size (D13)."""
+    """The bundle of each repository's changes, one row per changed file in the order of paths (D13):
+    ``repo, path, status, diff, content`` with the whole diff and the whole new content (null if removed)."""
     ch = changed_paths(old, new).withColumn("repo", repo_of(F.col("path")))
-    ld = line_diff(old, new)
-    j = ch.join(ld, "path", "left").fillna(0, ["n_added", "n_removed"])
-    return j.groupBy("repo").agg(
-        F.expr("listagg(concat(status, ' ', path), '\n') WITHIN GROUP (ORDER BY path)").alias("files"),
-        F.sum("n_added").cast("long").alias("n_added"),
-        F.sum("n_removed").cast("long").alias("n_removed"),
-    )
+    rows = ch.join(diff_texts(old, new), "path", "left").join(new.select("path", "content"), "path", "left")
+    return rows.select("repo", "path", "status", F.coalesce("diff", F.lit("")).alias("diff"), "content")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textloom.functions.paths import program_type
 from textloom.functions.text import fmt_class_name
 from textloom.operators.predicates import public_member
-from textloom.operators.snapshots import changed_paths, commit_bundle, line_diff, review_bundle, snapshot_join
+from textloom.operators.snapshots import changed_paths, commit_bundle, diff_lines, review_bundle, snapshot_join
 from textloom.operators.structure import (
     class_inventory,
     classes_with_kind,
@@ -25,14 +25,13 @@ _JOIN_SQL = f"""{_SNAPS},
 j AS (SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed'
   WHEN sha256(o.content) <> sha256(n.content) THEN 'modified' ELSE 'same' END AS status
   FROM snap_old o FULL OUTER JOIN snap_new n ON o.path = n.path)"""
-_LINES_SQL = """lo AS (SELECT path, unnest(string_split(content, chr(10))) AS line FROM snap_old),
-ln AS (SELECT path, unnest(string_split(content, chr(10))) AS line FROM snap_new),
-co AS (SELECT path, line, count(*) AS n_old FROM lo GROUP BY 1, 2),
-cn AS (SELECT path, line, count(*) AS n_new FROM ln GROUP BY 1, 2),
-d AS (SELECT coalesce(co.path, cn.path) AS path, coalesce(n_old, 0) AS n_old, coalesce(n_new, 0) AS n_new
-      FROM co FULL OUTER JOIN cn ON co.path = cn.path AND co.line = cn.line),
-ld AS (SELECT path, CAST(sum(greatest(n_new - n_old, 0)) AS BIGINT) AS n_added, CAST(sum(greatest(n_old - n_new, 0)) AS BIGINT) AS n_removed
-       FROM d GROUP BY path HAVING sum(greatest(n_new - n_old, 0)) > 0 OR sum(greatest(n_old - n_new, 0)) > 0)"""
+_LINES_SQL = """lo AS (SELECT path, unnest(string_split(content, chr(10))) AS line, unnest(generate_series(1, len(string_split(content, chr(10))))) - 1 AS pos FROM snap_old),
+ln AS (SELECT path, unnest(string_split(content, chr(10))) AS line, unnest(generate_series(1, len(string_split(content, chr(10))))) - 1 AS pos FROM snap_new),
+oo AS (SELECT *, row_number() OVER (PARTITION BY path, line ORDER BY pos) AS nth FROM lo),
+nn AS (SELECT *, row_number() OVER (PARTITION BY path, line ORDER BY pos) AS nth FROM ln),
+d AS (SELECT path, '-' AS sign, pos, line FROM oo ANTI JOIN nn USING (path, line, nth)
+      UNION ALL SELECT path, '+', pos, line FROM nn ANTI JOIN oo USING (path, line, nth)),
+dt AS (SELECT path, string_agg(sign || line, chr(10) ORDER BY pos, sign DESC) AS diff FROM d GROUP BY path)"""
 
 _CLS = f"""WITH {SQL_CODE_FILES},
 cls AS (SELECT path, unnest(regexp_extract_all(content, '(?m)^class (\\w+)\\(', 1)) AS class_name FROM code_files WHERE ends_with(path, '.py')),
@@ -167,26 +166,34 @@ def q_changed_scope(spark, sf_dir):
     return changed_paths(snap_old(spark, sf_dir), snap_new(spark, sf_dir), "src1")
 
 
-@register("line_diff", f"{_SNAPS}, {_LINES_SQL} SELECT path, n_added, n_removed FROM ld")
+@register("line_diff", f"{_SNAPS}, {_LINES_SQL} SELECT path, sign, CAST(pos AS INTEGER) AS pos, md5(line) AS line_md5 FROM d")
 def q_line_diff(spark, sf_dir):
-    return line_diff(snap_old(spark, sf_dir), snap_new(spark, sf_dir))
+    d = diff_lines(snap_old(spark, sf_dir), snap_new(spark, sf_dir))
+    return d.select("path", "sign", "pos", F.md5("line").alias("line_md5"))
 
 
-@register("review_bundle", f"""{_JOIN_SQL},
-lnp AS (SELECT path, unnest(string_split(content, chr(10))) AS line, unnest(generate_series(1, len(string_split(content, chr(10))))) AS pos FROM snap_new),
-lo AS (SELECT DISTINCT path, unnest(string_split(content, chr(10))) AS line FROM snap_old),
-added AS (SELECT a.path, a.line, a.pos FROM lnp a WHERE NOT EXISTS (SELECT 1 FROM lo WHERE lo.path = a.path AND lo.line = a.line))
-SELECT a.path, md5('Review the change to ' || a.path || '.' || chr(10) || 'Added lines:' || chr(10) || string_agg(a.line, chr(10) ORDER BY a.pos) || chr(10)) AS prompt_md5
-FROM added a JOIN j ON j.path = a.path AND j.status = 'modified' GROUP BY a.path""")
+def _related(df):
+    """Files that a document's file depends on: that of a third of its number (same rule in the SQL)."""
+    number = F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long")
+    nodes = df.select(F.col("path").alias("node"), number.alias("third"))
+    return df.select("path", F.floor(number / 3).cast("long").alias("third"), F.lit(1).alias("ord")).join(nodes, "third")
+
+
+@register("review_bundle", f"""{_JOIN_SQL}, {_LINES_SQL},
+num AS (SELECT path, content, CAST(regexp_extract(path, '(\\d+)\\.txt$', 1) AS BIGINT) AS i FROM snap_new),
+ctx AS (SELECT a.path, chr(10) || 'File ' || b.path || ':' || chr(10) || b.content || chr(10) AS context FROM num a JOIN num b ON b.i = a.i // 3)
+SELECT j.path, md5('Review the change to ' || j.path || '.' || chr(10) || 'Diff:' || chr(10) || coalesce(dt.diff, '') || chr(10)
+  || chr(10) || 'File ' || j.path || ':' || chr(10) || n.content || chr(10) || coalesce(ctx.context, '')) AS prompt_md5
+FROM j JOIN snap_new n ON n.path = j.path LEFT JOIN dt ON dt.path = j.path LEFT JOIN ctx ON ctx.path = j.path WHERE j.status = 'modified'""")
 def q_review_bundle(spark, sf_dir):
-    r = review_bundle(snap_old(spark, sf_dir), snap_new(spark, sf_dir))
+    new = snap_new(spark, sf_dir)
+    r = review_bundle(snap_old(spark, sf_dir), new, _related(new))
     return r.select("path", F.md5("prompt").alias("prompt_md5"))
 
 
 @register("commit_bundle", f"""{_JOIN_SQL}, {_LINES_SQL}
-SELECT split_part(j.path, '/', 1) AS repo, md5(string_agg(j.status || ' ' || j.path, chr(10) ORDER BY j.path)) AS files_md5,
-  CAST(sum(coalesce(ld.n_added, 0)) AS BIGINT) AS n_added, CAST(sum(coalesce(ld.n_removed, 0)) AS BIGINT) AS n_removed
-FROM j LEFT JOIN ld ON ld.path = j.path WHERE j.status <> 'same' GROUP BY 1""")
+SELECT split_part(j.path, '/', 1) AS repo, j.path, j.status, md5(coalesce(dt.diff, '')) AS diff_md5, md5(n.content) AS content_md5
+FROM j LEFT JOIN dt ON dt.path = j.path LEFT JOIN snap_new n ON n.path = j.path WHERE j.status <> 'same'""")
 def q_commit_bundle(spark, sf_dir):
     c = commit_bundle(snap_old(spark, sf_dir), snap_new(spark, sf_dir), lambda p: F.split(p, "/", -1).getItem(0))
-    return c.select("repo", F.md5("files").alias("files_md5"), "n_added", "n_removed")
+    return c.select("repo", "path", "status", F.md5("diff").alias("diff_md5"), F.md5("content").alias("content_md5"))

@@ -67,7 +67,10 @@ def snap_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.where(F.col("doc_id") % 13 != 0).select(
         F.concat("source", F.lit("/"), "lang", F.lit("/"), _s(F.col("doc_id")), F.lit(".txt")).alias("path"),
-        F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("\nedited"))).otherwise(F.col("text")).alias("content"),
+        F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("\nedited")))
+        .when(F.col("doc_id") % 5 == 1, F.regexp_replace("text", "\n[^\n]*$", ""))
+        .when(F.col("doc_id") % 5 == 2, F.concat("text", F.lit("\n"), F.regexp_extract("text", "[^\n]*$", 0)))
+        .otherwise(F.col("text")).alias("content"),
     )
 
 
@@ -136,7 +139,9 @@ SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, text AS content
 
 SQL_SNAP_NEW = """snap_new AS (
 SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path,
-       CASE WHEN doc_id % 5 = 0 THEN text || chr(10) || 'edited' ELSE text END AS content
+       CASE WHEN doc_id % 5 = 0 THEN text || chr(10) || 'edited'
+            WHEN doc_id % 5 = 1 THEN regexp_replace(text, '\n[^\n]*$', '')
+            WHEN doc_id % 5 = 2 THEN text || chr(10) || regexp_extract(text, '[^\n]*$') ELSE text END AS content
 FROM documents WHERE doc_id % 13 <> 0)"""
 
 SQL_ANSWERS = """answers AS (
