@@ -2,7 +2,9 @@ from pyspark.sql import functions as F
 
 from conftest import SF
 from textloom.functions.html import html_text, html_text_parsed
-from textloom.operators.structure import mine_structure, own_fields, compose_edges, classes_with_kind
+from textloom.operators.structure import (
+    class_inventory, classes_with_kind, compose_edges, enum_members, inherit_edges, methods_for, mine_structure, own_fields,
+)
 from textloom.operators.tree import tree_map
 
 
@@ -87,7 +89,7 @@ def test_mine_structure(spark):
     classes = [r.class_name for r in m.where("kind = 'class'").orderBy("pos").collect()]
     assert classes == ["BadError", "Car", "Color", "Part"]
     assert m.where("kind = 'error'").count() == 1
-    members = {(r.name, r.detail) for r in m.where("kind = 'member'").collect()}
+    members = {(r.name, r.value_type) for r in enum_members(m).collect()}
     assert members == {("RED", "int"), ("BLUE", "str")}
     fields = {(r.class_name, r.name): (r.shape, tuple(r.elements or ())) for r in m.where("kind = 'field'").collect()}
     assert fields[("Part", "name")] == ("other", ())
@@ -99,7 +101,43 @@ def test_mine_structure(spark):
     comp = {(r.class_name, r.target, r.multiplicity) for r in compose_edges(m).collect()}
     assert comp == {("Car", "Part", "0..*"), ("Car", "Color", "0..*")}
     kinds = {r.class_name: r.class_type for r in classes_with_kind(m).collect()}
-    assert kinds == {"Color": "ENUM", "Part": "VALUE_OBJECT", "Car": "VALUE_OBJECT", "BadError": "VALUE_OBJECT"}
+    assert kinds == {"Color": "ENUM", "Part": "VALUE_OBJECT", "Car": "VALUE_OBJECT", "BadError": "EXCEPTION"}
+
+
+def test_homonyms_imports_and_whole_ancestry(spark):
+    """Classes of one name stay apart; bases go through imports, relative and aliased; methods come from
+    every ancestor, the nearest first; enums and exceptions through project classes; cycles end."""
+    files = spark.createDataFrame(
+        [
+            ("a/m.py", "class Config:\n    x: int\n    def go(self): ...\n    def far(self): ...\nclass Loop(Loop2): ...\nclass Loop2(Loop): ...\n"),
+            ("b/m.py", "class Config:\n    y: int\nclass Plain: ...\n"),
+            ("b/__init__.py", "class Packed:\n    def packed(self): ...\n"),
+            ("b/n.py", "from a.m import Config as C\nimport a.m\nimport a.m as am\nfrom . import m\nfrom .m import Plain\nimport b\n"
+             "class Sub(C):\n    x: int\n    def go(self, k): ...\nclass Whole(a.m.Config): ...\nclass Alias(am.Config): ...\nclass Rel(m.Config): ...\n"
+             "class Pl(Plain):\n    c: C\n    d: m.Config\nclass Pk(b.Packed): ...\n"),
+            ("c.py", "from b.n import Sub\nfrom enum import IntEnum as E\nclass Grand(Sub): ...\nclass Mark(E):\n    A = 1\nclass Kind(Mark):\n    B = 2.5\n"
+             "class Oops(OSError): ...\nclass Worse(Oops): ...\nclass Config(dict): ...\n"),
+        ], "path string, content string",
+    )
+    m = mine_structure(files).cache()
+    edges = {(r.path, r.class_name, r.base_path, r.base) for r in inherit_edges(m).collect()}
+    assert edges == {
+        ("a/m.py", "Loop", "a/m.py", "Loop2"), ("a/m.py", "Loop2", "a/m.py", "Loop"), ("b/n.py", "Sub", "a/m.py", "Config"),
+        ("b/n.py", "Whole", "a/m.py", "Config"), ("b/n.py", "Alias", "a/m.py", "Config"), ("b/n.py", "Rel", "b/m.py", "Config"),
+        ("b/n.py", "Pl", "b/m.py", "Plain"), ("b/n.py", "Pk", "b/__init__.py", "Packed"), ("c.py", "Grand", "b/n.py", "Sub"),
+        ("c.py", "Kind", "c.py", "Mark"), ("c.py", "Worse", "c.py", "Oops"),
+    }
+    grand = {(r.name, r.signature, r.defined_in) for r in methods_for(m, "all").where("class_name = 'Grand'").collect()}
+    assert grand == {("go", "go(self, k)", "Sub"), ("far", "far(self)", "Config")}
+    fields = {(r.path, r.class_name, r.name) for r in own_fields(m).collect()}
+    assert ("b/n.py", "Sub", "x") not in fields and {("a/m.py", "Config", "x"), ("b/m.py", "Config", "y")} <= fields
+    assert {(r.path, r.class_name): [f.name for f in r.fields or []] for r in class_inventory(m).where("class_name = 'Config'").collect()} == {
+        ("a/m.py", "Config"): ["x"], ("b/m.py", "Config"): ["y"], ("c.py", "Config"): []}
+    comp = {(r.class_name, r.target_path, r.target) for r in compose_edges(m).collect()}
+    assert comp == {("Pl", "a/m.py", "Config"), ("Pl", "b/m.py", "Config")}
+    kinds = {r.class_name: r.class_type for r in classes_with_kind(m).where("path = 'c.py'").collect()}
+    assert kinds == {"Grand": "VALUE_OBJECT", "Mark": "ENUM", "Kind": "ENUM", "Oops": "EXCEPTION", "Worse": "EXCEPTION", "Config": "VALUE_OBJECT"}
+    assert {(r.class_name, r.name, r.value_type) for r in enum_members(m).collect()} == {("Mark", "A", "int"), ("Kind", "B", "float")}
 
 
 def test_entry_smoke(spark):

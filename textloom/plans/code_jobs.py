@@ -104,7 +104,8 @@ _JS_IMPORTS = f"""jsi AS (
         FROM code_files WHERE ends_with(path, '.ts') OR ends_with(path, '.js') OR ends_with(path, '.tsx') OR ends_with(path, '.jsx') OR ends_with(path, '.json'))),
 jsimp AS (SELECT src, pos, regexp_replace(raw, '^[@/]+', '') AS module FROM jsi)"""
 _EDGES = f"""{_PY_IMPORTS}, {_JS_IMPORTS},
-pyres AS (SELECT i.src, i.pos, i.module, f.path AS dst FROM pyimp i JOIN code_files f ON f.path = replace(i.module, '.', '/') || '.py'),
+pyres AS (SELECT i.src, i.pos, i.module, f.path AS dst FROM pyimp i JOIN code_files f ON f.path = CASE WHEN level > 0
+  THEN array_to_string(string_split(src, '/')[1:len(string_split(src, '/')) - level], '/') || '/' ELSE '' END || replace(i.module, '.', '/') || '.py'),
 jscand AS (SELECT i.src, i.pos, i.module, f.path AS dst, e.r FROM jsimp i
            CROSS JOIN (VALUES (0, '.js'), (1, '.json'), (2, '.jsx'), (3, '.ts'), (4, '.tsx')) e(r, ext)
            JOIN code_files f ON f.path = i.module || e.ext),

@@ -12,12 +12,14 @@ from textloom.operators.structure import (
     class_inventory,
     classes_with_kind,
     compose_edges,
+    enum_members,
     inherit_edges,
     methods_for,
     mine_structure,
     own_fields,
 )
 from textloom.registry import register
+from textloom.session import cut_lineage
 from textloom.sources.views import SQL_CODE_FILES, SQL_SNAP_NEW, SQL_SNAP_OLD, code_files, snap_new, snap_old
 
 _SNAPS = f"WITH {SQL_SNAP_OLD}, {SQL_SNAP_NEW}"
@@ -33,25 +35,32 @@ d AS (SELECT path, '-' AS sign, pos, line FROM oo ANTI JOIN nn USING (path, line
       UNION ALL SELECT path, '+', pos, line FROM nn ANTI JOIN oo USING (path, line, nth)),
 dt AS (SELECT path, string_agg(sign || line, chr(10) ORDER BY pos, sign DESC) AS diff FROM d GROUP BY path)"""
 
-_CLS = f"""WITH {SQL_CODE_FILES},
-cls AS (SELECT path, unnest(regexp_extract_all(content, '(?m)^class (\\w+)\\(', 1)) AS class_name FROM code_files WHERE ends_with(path, '.py')),
-bases AS (SELECT regexp_extract(m, '^class (\\w+)', 1) AS class_name, trim(b) AS base
-  FROM (SELECT unnest(regexp_extract_all(content, '(?m)^class \\w+\\([^)]*\\):')) AS m FROM code_files WHERE ends_with(path, '.py')) t,
-  unnest(string_split(regexp_extract(m, '\\(([^)]*)\\)', 1), ',')) AS u(b)),
-fields AS (SELECT regexp_extract(content, '(?m)^class (\\w+)\\(', 1) AS class_name, split_part(fl, ': ', 1) AS name, split_part(fl, ': ', 2) AS type
-  FROM (SELECT content, unnest(regexp_extract_all(content, '(?m)^    (\\w+: [\\w.]+)$', 1)) AS fl FROM code_files WHERE ends_with(path, '.py')) x),
-methods AS (SELECT regexp_extract(content, '(?m)^class (\\w+)\\(', 1) AS class_name, unnest(regexp_extract_all(content, '(?m)^    def (\\w+)\\(', 1)) AS name
-  FROM code_files WHERE ends_with(path, '.py'))"""
+# The code tree's classes by the rule that its view follows.
+_CLS = f"""WITH RECURSIVE {SQL_CODE_FILES},
+py AS (SELECT doc_id AS i, path FROM code_files WHERE ends_with(path, '.py')),
+imported AS (SELECT c.i, c.path, p.i AS p, p.path AS p_path FROM py c JOIN py p ON p.i = c.i // 3),
+par AS (SELECT * FROM imported WHERE i % 5 <> 0),
+anc(i, a, a_path) AS (SELECT i, p, p_path FROM par UNION SELECT anc.i, par.p, par.p_path FROM anc JOIN par ON par.i = anc.a),
+cls AS (SELECT i, path, 'Thing' || i AS class_name, CASE WHEN i % 5 = 0 THEN 'Base' || (i % 4) ELSE 'Parent' END AS bases, 'VALUE_OBJECT' AS kind FROM py
+  UNION ALL SELECT i, path, 'Config', '', 'VALUE_OBJECT' FROM py UNION ALL SELECT i, path, 'Color' || i, 'enum.Enum', 'ENUM' FROM py
+  UNION ALL SELECT i, path, 'Error' || i, 'ValueError', 'EXCEPTION' FROM py UNION ALL SELECT i, path, 'Oops' || i, 'Error' || i, 'EXCEPTION' FROM py),
+fields AS (SELECT i, path, 'Thing' || i AS class_name, 'size' AS name, CASE WHEN i % 2 = 0 THEN 'int' ELSE 'float' END AS type, 'name' AS shape,
+    CASE WHEN i % 2 = 0 THEN 'int' ELSE 'float' END AS elements FROM py
+  UNION ALL SELECT i, path, 'Thing' || i, 'parts', 'list[Config]', 'list', 'Config' FROM py
+  UNION ALL SELECT i, path, 'Thing' || i, 'near', 'Parent | None', 'union', 'Parent|None' FROM py
+  UNION ALL SELECT i, path, 'Config', 'name', 'str', 'name', 'str' FROM py UNION ALL SELECT i, path, 'Config', 'owner', 'Thing' || i, 'name', 'Thing' || i FROM py),
+own AS (SELECT f.* FROM fields f WHERE NOT EXISTS (SELECT 1 FROM par JOIN fields g ON g.path = par.p_path AND g.class_name = 'Thing' || par.p
+    WHERE par.path = f.path AND f.class_name = 'Thing' || par.i AND g.name = f.name AND g.type = f.type)),
+methods AS (SELECT i, path, 'Thing' || i AS class_name, 'run' AS name, 'run(self, n: int=1)' AS signature FROM py
+  UNION ALL SELECT i, path, 'Thing' || i, 'only_' || i, 'only_' || i || '(self)' FROM py WHERE i % 2 = 1)"""
 
 
 def _mined(spark, sf_dir):
     f = code_files(spark, sf_dir)
-    return mine_structure(f.where(program_type("path") == "PYTHON"))
+    return cut_lineage(mine_structure(f.where(program_type("path") == "PYTHON")))  # parsed once
 
 
-@register("mine_classes", f"""WITH {SQL_CODE_FILES}
-SELECT path, regexp_extract(content, '(?m)^class (\\w+)\\(', 1) AS class_name,
-  regexp_extract(content, '(?m)^class \\w+\\(([^)]*)\\):', 1) AS bases FROM code_files WHERE ends_with(path, '.py')""")
+@register("mine_classes", f"{_CLS} SELECT path, class_name, bases FROM cls")
 def q_mine_classes(spark, sf_dir):
     m = _mined(spark, sf_dir)
     c = m.where(F.col("kind") == "class").select("path", "class_name")
@@ -60,56 +69,49 @@ def q_mine_classes(spark, sf_dir):
     return c.join(b, ["path", "class_name"], "left").fillna("", ["bases"])
 
 
-@register("mine_fields", f"""WITH {SQL_CODE_FILES}
-SELECT regexp_extract(content, '(?m)^class (\\w+)\\(', 1) AS class_name, 'size' AS name, 'int' AS type, 'name' AS shape
-FROM code_files WHERE ends_with(path, '.py')""")
+@register("mine_fields", f"{_CLS} SELECT path, class_name, name, type, shape FROM fields")
 def q_mine_fields(spark, sf_dir):
     m = _mined(spark, sf_dir).where(F.col("kind") == "field")
-    return m.select("class_name", "name", F.col("detail").alias("type"), "shape")
+    return m.select("path", "class_name", "name", F.col("detail").alias("type"), "shape")
 
 
-@register("mine_enum", f"""{_CLS},
-members AS (SELECT regexp_extract(content, '(?m)^class (\\w+)\\(', 1) AS class_name, unnest(regexp_extract_all(content, '(?m)^    (\\w+) = ', 1)) AS name
-  FROM code_files WHERE ends_with(path, '.py'))
-SELECT m.class_name, m.name, NULL::VARCHAR AS value_type FROM members m
-WHERE m.class_name IN (SELECT class_name FROM bases WHERE base IN ('Enum', 'IntEnum', 'StrEnum', 'Flag', 'IntFlag', 'enum.Enum'))""")
+@register("mine_enum", f"""{_CLS} SELECT path, 'Color' || i AS class_name, 'RED' AS name, 'int' AS value_type FROM py
+UNION ALL SELECT path, 'Color' || i, 'NAME', 'str' FROM py""")
 def q_mine_enum(spark, sf_dir):
-    return _mined(spark, sf_dir).where(F.col("kind") == "member").select("class_name", "name", F.col("detail").alias("value_type"))
+    return enum_members(_mined(spark, sf_dir))
 
 
-@register("type_shape", f"""{_CLS} SELECT class_name, name, 'name' AS shape, type AS elements FROM fields""")
+@register("type_shape", f"{_CLS} SELECT path, class_name, name, shape, elements FROM fields")
 def q_type_shape(spark, sf_dir):
     m = _mined(spark, sf_dir).where(F.col("kind") == "field")
-    return m.select("class_name", "name", "shape", F.array_join("elements", "|").alias("elements"))
+    return m.select("path", "class_name", "name", "shape", F.array_join("elements", "|").alias("elements"))
 
 
-@register("mine_methods", f"""{_CLS} SELECT m.class_name, m.name, NULL::VARCHAR AS signature, m.class_name AS defined_in FROM methods m
-WHERE m.name = '__init__' OR NOT starts_with(m.name, '_')""")
+@register("mine_methods", f"""{_CLS} SELECT path, class_name, name, signature, path AS defined_path, class_name AS defined_in FROM methods
+UNION ALL SELECT c.path, 'Thing' || c.i, m.name, m.signature, m.path, m.class_name FROM anc JOIN py c ON c.i = anc.i
+  JOIN methods m ON m.i = anc.a AND m.name <> 'run'""")
 def q_mine_methods(spark, sf_dir):
-    return methods_for(_mined(spark, sf_dir), "all").select("class_name", "name", "signature", "defined_in")
+    return methods_for(_mined(spark, sf_dir), "all").select("path", "class_name", "name", "signature", "defined_path", "defined_in")
 
 
-@register("public_methods", f"""WITH {SQL_CODE_FILES}
-SELECT regexp_extract(content, '(?m)^class (\\w+)\\(', 1) AS class_name, (name = '__init__' OR NOT starts_with(name, '_')) AS public
-FROM code_files, (VALUES ('__init__'), ('_hidden'), ('run')) t(name) WHERE ends_with(path, '.py')""")
+@register("public_methods", f"""{_CLS}
+SELECT path, class_name, name, (name = '__init__' OR NOT starts_with(name, '_')) AS public
+FROM cls, (VALUES ('__init__'), ('_hidden'), ('run')) t(name)""")
 def q_public_methods(spark, sf_dir):
-    c = _mined(spark, sf_dir).where(F.col("kind") == "class").select("class_name")
+    c = _mined(spark, sf_dir).where(F.col("kind") == "class").select("path", "class_name")
     probe = F.array(F.lit("__init__"), F.lit("_hidden"), F.lit("run"))  # literal probe names, no join
-    return c.select("class_name", F.explode(probe).alias("name")).select("class_name", public_member("name").alias("public"))
+    return c.withColumn("name", F.explode(probe)).select("path", "class_name", "name", public_member("name").alias("public"))
 
 
-@register("method_display", f"""{_CLS} SELECT class_name, name, class_name AS defined_in FROM methods
-WHERE name = '__init__' OR NOT starts_with(name, '_')""")
+@register("method_display", f"{_CLS} SELECT path, class_name, name, class_name AS defined_in FROM methods")
 def q_method_display(spark, sf_dir):
     m = _mined(spark, sf_dir)
-    return methods_for(m, "defined").select("class_name", "name", "defined_in")
+    return methods_for(m, "defined").select("path", "class_name", "name", "defined_in")
 
 
-@register("class_kind", f"""WITH {SQL_CODE_FILES}
-SELECT regexp_extract(content, '(?m)^class (\\w+)\\(', 1) AS class_name, 'VALUE_OBJECT' AS class_type
-FROM code_files WHERE ends_with(path, '.py')""")
+@register("class_kind", f"{_CLS} SELECT path, class_name, kind AS class_type FROM cls")
 def q_class_kind(spark, sf_dir):
-    return classes_with_kind(_mined(spark, sf_dir)).select("class_name", "class_type")
+    return classes_with_kind(_mined(spark, sf_dir)).select("path", "class_name", "class_type")
 
 
 @register("fmt_class_name", f"""WITH {SQL_CODE_FILES}
@@ -121,33 +123,30 @@ def q_fmt_class_name(spark, sf_dir):
     return f.select("path", fmt_class_name(raw).alias("display"))
 
 
-
-
-@register("inherit_edges", f"{_CLS} SELECT b.class_name, b.base FROM bases b JOIN cls c ON c.class_name = b.base")
+@register("inherit_edges", f"""{_CLS} SELECT path, 'Thing' || i AS class_name, p_path AS base_path, 'Thing' || p AS base FROM par
+UNION ALL SELECT path, 'Oops' || i, path, 'Error' || i FROM py""")
 def q_inherit_edges(spark, sf_dir):
-    return inherit_edges(_mined(spark, sf_dir)).select("class_name", "base")
+    return inherit_edges(_mined(spark, sf_dir))
 
 
-@register("compose_edges", f"""{_CLS} SELECT DISTINCT f.class_name, f.type AS target, '1' AS multiplicity
-FROM fields f JOIN cls c ON c.class_name = f.type""")
+@register("compose_edges", f"""{_CLS} SELECT path, 'Thing' || i AS class_name, path AS target_path, 'Config' AS target, '0..*' AS multiplicity FROM py
+UNION ALL SELECT path, 'Thing' || i, p_path, 'Thing' || p, '0..*' FROM imported
+UNION ALL SELECT path, 'Config', path, 'Thing' || i, '1' FROM py""")
 def q_compose_edges(spark, sf_dir):
     return compose_edges(_mined(spark, sf_dir))
 
 
-@register("own_fields", f"""{_CLS} SELECT f.class_name, f.name, f.type FROM fields f
-WHERE NOT EXISTS (SELECT 1 FROM bases b JOIN cls c ON c.class_name = b.base JOIN fields g ON g.class_name = b.base
-                  WHERE b.class_name = f.class_name AND g.name = f.name AND g.type IS NOT DISTINCT FROM f.type)""")
+@register("own_fields", f"{_CLS} SELECT path, class_name, name, type FROM own")
 def q_own_fields(spark, sf_dir):
-    return own_fields(_mined(spark, sf_dir)).select("class_name", "name", "type")
+    return own_fields(_mined(spark, sf_dir)).select("path", "class_name", "name", "type")
 
 
-@register("class_inventory", f"""{_CLS} SELECT c.class_name,
-  CAST((SELECT count(*) FROM fields f WHERE f.class_name = c.class_name) AS INTEGER) AS n_fields,
-  CAST((SELECT count(*) FROM methods m WHERE m.class_name = c.class_name AND (m.name = '__init__' OR NOT starts_with(m.name, '_'))) AS INTEGER) AS n_methods
-FROM cls c""")
+@register("class_inventory", f"""{_CLS} SELECT c.path, c.class_name,
+  CAST((SELECT count(*) FROM own f WHERE f.path = c.path AND f.class_name = c.class_name) AS INTEGER) AS n_fields,
+  CAST((SELECT count(*) FROM methods m WHERE m.path = c.path AND m.class_name = c.class_name) AS INTEGER) AS n_methods FROM cls c""")
 def q_class_inventory(spark, sf_dir):
     inv = class_inventory(_mined(spark, sf_dir))
-    return inv.select("class_name", F.coalesce(F.size("fields"), F.lit(0)).alias("n_fields"),
+    return inv.select("path", "class_name", F.coalesce(F.size("fields"), F.lit(0)).alias("n_fields"),
                       F.coalesce(F.size("methods"), F.lit(0)).alias("n_methods"))
 
 

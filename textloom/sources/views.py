@@ -18,9 +18,11 @@ def _s(c) -> F.Column:
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Synthetic code tree from ``documents``: 3/4 Python, 1/4 TypeScript files whose imports
-    form tree edges 2i+1, 2i+2, a back edge i/3 (cycles) and dangling modules."""
-    d = table(spark, sf_dir, "documents").select("doc_id")
+    """Synthetic code tree from ``documents``: 3/4 Python, 1/4 TypeScript files that carry the
+    documents' whole texts in a docstring or comment. Their imports form tree edges 2i+1, 2i+2, a
+    back edge i/3 (cycles), relative and dangling modules; their classes inherit through imported
+    names, share names between files, and hold fields, methods, enum members and exceptions."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
     i = F.col("doc_id")
     nl, q = F.lit("\n"), F.lit("'")
 
@@ -32,21 +34,31 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     third = F.floor(i / 3).cast("long")
     is_ts = (i % 4) == 3
+    body = F.translate(F.coalesce("text", F.lit("")), "\\\"'*", "")
     ts = F.concat(
-        F.lit("/* file "), _s(i), F.lit(" */"), nl,
+        F.lit("/* file "), _s(i), nl, body, F.lit(" */"), nl,
         F.lit("import { a } from "), q, F.lit("@/"), mod(2 * i + 1), q, F.lit(";"), nl,
         F.lit("import { z } from "), q, F.lit("external"), q, F.lit(";"), nl,
         F.lit("// note "), _s(i), nl,
     )
     py = F.concat(
-        F.lit('"""File '), _s(i), F.lit('."""'), nl,
-        F.lit("import os"), nl,
+        F.lit('"""File '), _s(i), nl, body, F.lit('"""'), nl,
+        F.lit("import os\nimport enum"), nl,
         F.lit("from "), dotted(2 * i + 1), F.lit(" import a"), nl,
         F.lit("from "), dotted(2 * i + 2), F.lit(" import b"), nl,
         F.lit("from "), dotted(third), F.lit(" import c"), nl,
         F.when((i % 7) == 0, F.concat(F.lit("from missing_"), _s(i), F.lit(" import d"), nl)).otherwise(F.lit("")),
+        F.when((i % 6) == 1, F.concat(F.lit("from .mod_"), _s(i + 15), F.lit(" import z"), nl)).otherwise(F.lit("")),
+        F.lit("from "), dotted(third), F.lit(" import Thing"), _s(third), F.lit(" as Parent"), nl,
         F.lit("# note "), _s(i), nl,
-        F.lit("class Thing"), _s(i), F.lit("(Base"), _s(i % 4), F.lit("):"), nl, F.lit("    size: int"), nl,
+        F.lit("class Thing"), _s(i), F.lit("("), F.when((i % 5) == 0, F.concat(F.lit("Base"), _s(i % 4))).otherwise(F.lit("Parent")), F.lit("):"), nl,
+        F.lit("    size: "), F.when((i % 2) == 0, F.lit("int")).otherwise(F.lit("float")), nl,
+        F.lit("    parts: list[Config]\n    near: Parent | None\n    def run(self, n: int = 1): ...\n    def _hidden(self): ...\n"),
+        F.when((i % 2) == 1, F.concat(F.lit("    def only_"), _s(i), F.lit("(self): ..."), nl)).otherwise(F.lit("")),
+        F.lit("class Config:\n    name: str\n    owner: Thing"), _s(i), nl,
+        F.lit("class Color"), _s(i), F.lit("(enum.Enum):\n    RED = 1\n    NAME = 'x'\n"),
+        F.lit("class Error"), _s(i), F.lit("(ValueError):\n    pass\n"),
+        F.lit("class Oops"), _s(i), F.lit("(Error"), _s(i), F.lit("):\n    pass\n"),
     )
     return d.select(
         "doc_id",
@@ -118,21 +130,30 @@ SELECT doc_id,
        'pkg_' || (doc_id % 5) || '/sub_' || (doc_id % 3) || '/mod_' || doc_id
          || CASE WHEN doc_id % 4 = 3 THEN '.ts' ELSE '.py' END AS path,
        CASE WHEN doc_id % 4 = 3 THEN
-         '/* file ' || doc_id || ' */' || chr(10)
+         '/* file ' || doc_id || chr(10) || body || ' */' || chr(10)
          || 'import { a } from ' || chr(39) || '@/pkg_' || ((2*doc_id+1) % 5) || '/sub_' || ((2*doc_id+1) % 3) || '/mod_' || (2*doc_id+1) || chr(39) || ';' || chr(10)
          || 'import { z } from ' || chr(39) || 'external' || chr(39) || ';' || chr(10)
          || '// note ' || doc_id || chr(10)
        ELSE
-         repeat(chr(34),3) || 'File ' || doc_id || '.' || repeat(chr(34),3) || chr(10)
-         || 'import os' || chr(10)
+         repeat(chr(34),3) || 'File ' || doc_id || chr(10) || body || repeat(chr(34),3) || chr(10)
+         || 'import os' || chr(10) || 'import enum' || chr(10)
          || 'from pkg_' || ((2*doc_id+1) % 5) || '.sub_' || ((2*doc_id+1) % 3) || '.mod_' || (2*doc_id+1) || ' import a' || chr(10)
          || 'from pkg_' || ((2*doc_id+2) % 5) || '.sub_' || ((2*doc_id+2) % 3) || '.mod_' || (2*doc_id+2) || ' import b' || chr(10)
          || 'from pkg_' || (CAST(floor(doc_id/3.0) AS BIGINT) % 5) || '.sub_' || (CAST(floor(doc_id/3.0) AS BIGINT) % 3) || '.mod_' || CAST(floor(doc_id/3.0) AS BIGINT) || ' import c' || chr(10)
          || CASE WHEN doc_id % 7 = 0 THEN 'from missing_' || doc_id || ' import d' || chr(10) ELSE '' END
+         || CASE WHEN doc_id % 6 = 1 THEN 'from .mod_' || (doc_id + 15) || ' import z' || chr(10) ELSE '' END
+         || 'from pkg_' || ((doc_id // 3) % 5) || '.sub_' || ((doc_id // 3) % 3) || '.mod_' || (doc_id // 3) || ' import Thing' || (doc_id // 3) || ' as Parent' || chr(10)
          || '# note ' || doc_id || chr(10)
-         || 'class Thing' || doc_id || '(Base' || (doc_id % 4) || '):' || chr(10) || '    size: int' || chr(10)
+         || 'class Thing' || doc_id || '(' || CASE WHEN doc_id % 5 = 0 THEN 'Base' || (doc_id % 4) ELSE 'Parent' END || '):' || chr(10)
+         || '    size: ' || CASE WHEN doc_id % 2 = 0 THEN 'int' ELSE 'float' END || chr(10)
+         || '    parts: list[Config]' || chr(10) || '    near: Parent | None' || chr(10) || '    def run(self, n: int = 1): ...' || chr(10) || '    def _hidden(self): ...' || chr(10)
+         || CASE WHEN doc_id % 2 = 1 THEN '    def only_' || doc_id || '(self): ...' || chr(10) ELSE '' END
+         || 'class Config:' || chr(10) || '    name: str' || chr(10) || '    owner: Thing' || doc_id || chr(10)
+         || 'class Color' || doc_id || '(enum.Enum):' || chr(10) || '    RED = 1' || chr(10) || '    NAME = ' || chr(39) || 'x' || chr(39) || chr(10)
+         || 'class Error' || doc_id || '(ValueError):' || chr(10) || '    pass' || chr(10)
+         || 'class Oops' || doc_id || '(Error' || doc_id || '):' || chr(10) || '    pass' || chr(10)
        END AS content
-FROM documents)"""
+FROM (SELECT doc_id, translate(coalesce(text, ''), '\\"''*', '') AS body FROM documents))"""
 
 SQL_SNAP_OLD = """snap_old AS (
 SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, text AS content FROM documents WHERE doc_id % 11 <> 0)"""
