@@ -38,7 +38,7 @@ def js_imports(files: DataFrame, path_col: str = "path", content_col: str = "con
 
 
 def py_imports(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
-    """``(src, pos, level, module)`` for ``from`` imports (regex path)."""
+    """``(src, pos, level, module)`` for ``from`` imports by pattern, for text that no parser reads."""
     ex = files.select(F.col(path_col).alias("src"), F.posexplode(py_from_modules(content_col)).alias("pos", "raw"))
     return ex.select(
         "src", F.col("pos").cast("long").alias("pos"),
@@ -59,6 +59,12 @@ PY_IMPORT_SCHEMA = T.StructType(
 )
 
 
+def parsed_imports(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
+    """``(src, pos, level, module)`` of the files that parse, in the order of the syntax tree."""
+    rows = py_imports_ast(files, path_col, content_col).where(F.col("error").isNull())
+    return rows.select("src", F.col("pos").cast("long").alias("pos"), "level", "module")
+
+
 def py_imports_ast(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
     """Exact ``from`` imports in AST walk order (nested ones too). A file that does not parse
     yields one row with ``error`` set instead of failing the job."""

@@ -3,20 +3,19 @@
 Each level is one set of joins: frontier ⋈ edges → candidates, ``left_anti`` against the
 nodes already seen, union into the seen set. The seen set is checkpointed into the shared
 checkpoint folder every level so lineage stays one level long and a lost executor only
-recomputes the current level. The edge table is read once per level from a persisted
-(hash-partitioned by source) copy. The driver only sees one row count per level.
+recomputes the current level. The edge and file tables are written once to the same folder and
+read from there. The driver only sees one row count per level. An unset depth means until no new
+node appears.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.resolve import contains_expand, prepare_contains
 from textloom.session import cut_lineage, cut_lineage_counted
 
-DEFAULT_DEPTH = 9999
 COMPACT_EVERY = 8
 
 
@@ -40,8 +39,7 @@ def import_closure(
     first discovery wins). Results are listed in reverse discovery order.
     """
     spark = files.sparkSession
-    d_max = DEFAULT_DEPTH if depth is None else depth
-    fileset = files.select("path").distinct()
+    fileset = cut_lineage(files.select("path").distinct())
     if starts is None or starts.isEmpty():
         return fileset.select(
             F.lit(None).cast("string").alias("seed"), "path", F.lit(0).alias("depth"),
@@ -52,20 +50,18 @@ def import_closure(
         "seed", "node",
         F.array(F.row_number().over(Window.partitionBy("seed").orderBy("node")).cast("long")).alias("disc"),
     )
-    if d_max == 0:
+    if depth == 0:
         return level.select("seed", F.col("node").alias("path"), F.lit(0).alias("depth"), "disc")
 
     # only edges leaving files matter (a node outside the file set is "not found" and has no
     # imports), so the per-level semi-join against the file set happens once, here
     e = edges.select(F.col("src").alias("node"), F.col("pos").cast("long").alias("pos"), "dst")
-    e = e.join(fileset.select(F.col("path").alias("node")), "node", "left_semi").repartition("node")
-    e = e.persist(StorageLevel.MEMORY_AND_DISK)
-    fileset = fileset.persist(StorageLevel.MEMORY_AND_DISK)
+    e = e.join(fileset.select(F.col("path").alias("node")), "node", "left_semi")
+    e = cut_lineage(e)
     prepared = None
     pairs = None
     if contains:
-        anc, keyed = prepare_contains(fileset)
-        prepared = (anc.persist(StorageLevel.MEMORY_AND_DISK), keyed.persist(StorageLevel.MEMORY_AND_DISK))
+        prepared = prepare_contains(fileset)
         # Every node after level 0 is a file or an edge target, so containment pairs for all
         # of them are computed once; each level is then one equi-join against this table.
         later = fileset.select(F.col("path").alias("node")).unionByName(
@@ -74,7 +70,7 @@ def import_closure(
     seen = cut_lineage(level.withColumn("depth", F.lit(0)))
     frontier = seen
     d = 0
-    while d < d_max:
+    while depth is None or d < depth:
         deps = frontier.join(e, "node").select(
             "seed", F.col("dst").alias("next"), F.concat("disc", F.array(F.lit(1).cast("long"), "pos")).alias("disc")
         )
@@ -104,10 +100,6 @@ def import_closure(
             seen = cut_lineage(seen)
         frontier = new
         d += 1
-    e.unpersist()
-    if prepared is not None:
-        for t in prepared:
-            t.unpersist()
     out = seen.join(fileset.withColumnRenamed("path", "node"), "node", "left_semi")
     return out.select("seed", F.col("node").alias("path"), "depth", "disc")
 
@@ -129,8 +121,8 @@ def crawl_closure(
     from textloom.plans.web_jobs import page_links
 
     links = page_links(pages, link_scope, roots, ignore).select(F.col("url").alias("src"), F.col("link").alias("dst"))
-    links = links.distinct().repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
-    known = pages.select("url", "page_id")
+    links = cut_lineage(links.distinct())
+    known = cut_lineage(pages.select("url", "page_id"))
     s = seeds.select(normalize_url("url").alias("url")).distinct().where(~skip_binary_url("url"))
     if isinstance(roots, DataFrame):
         s = prefix_join(s, "url", roots, "root", "left_semi")
@@ -141,8 +133,7 @@ def crawl_closure(
     frontier = cut_lineage(s.join(known, "url").withColumn("depth", F.lit(0)))
     seen = frontier
     d = 0
-    limit = DEFAULT_DEPTH if max_depth is None else max_depth
-    while d < limit:
+    while max_depth is None or d < max_depth:
         nxt = frontier.select(F.col("url").alias("src")).join(links, "src").select(F.col("dst").alias("url")).distinct()
         nxt = nxt.join(known, "url").join(seen.select("url"), "url", "left_anti")
         nxt, n_new = cut_lineage_counted(nxt.withColumn("depth", F.lit(d + 1)))
@@ -151,5 +142,4 @@ def crawl_closure(
         seen = seen.unionByName(nxt)
         frontier = nxt
         d += 1
-    links.unpersist()
     return seen

@@ -13,8 +13,6 @@ from textloom.functions.paths import JAVASCRIPT_EXTS, dirname
 
 # Fixed value: extension priority when resolving JS/TS imports (first hit wins).
 JS_RESOLVE_ORDER = JAVASCRIPT_EXTS
-# Length of the name prefix used as join key for literal-prefix containment.
-CONTAINS_KEY_LEN = 8
 
 
 def _join_root(root: str, rel) -> F.Column:
@@ -49,25 +47,16 @@ def resolve_py(py_imports: DataFrame, files: DataFrame, root: str = "", expand_p
     ``.py`` files directly inside it (D4, decided from the file table). Unresolved imports are
     dropped, or kept with ``dst = null`` when ``keep_unresolved``."""
     m = absolute_modules(py_imports, root)
-    m = m.withColumn("__cand", _join_root(root, F.concat(F.translate("abs_module", ".", "/"), F.lit(".py"))))
-    fp = files.select(F.col("path").alias("__p"))
-    direct = m.join(fp, m["__cand"] == fp["__p"], "left").withColumn("dst", F.col("__p")).drop("__p")
+    # each module is looked up once, however many imports name it
+    mods = m.select("abs_module").distinct().withColumn("__base", _join_root(root, F.translate("abs_module", ".", "/")))
+    py = files.where(F.col("path").endswith(".py")).select(F.col("path").alias("dst"))
+    direct = mods.join(py.withColumn("__base", F.expr("substr(dst, 1, length(dst) - 3)")), "__base").select("abs_module", "dst")
+    found = direct
     if expand_packages:
-        pkg_dir = _join_root(root, F.translate("abs_module", ".", "/"))
-        unresolved = direct.where(F.col("dst").isNull()).drop("dst").withColumn("__dir", pkg_dir)
-        children = files.where(F.col("path").endswith(".py")).select(
-            F.col("path").alias("__child"), dirname("path").alias("__parent")
-        )
-        expanded = unresolved.join(children, unresolved["__dir"] == children["__parent"], "inner").select(
-            *[c for c in unresolved.columns if c != "__dir"], F.col("__child").alias("dst")
-        )
-        # unresolved rows that did not expand stay unresolved
-        still = unresolved.join(children.select("__parent").distinct(), unresolved["__dir"] == F.col("__parent"), "left_anti").drop("__dir").withColumn("dst", F.lit(None).cast("string"))
-        out = direct.where(F.col("dst").isNotNull()).unionByName(expanded).unionByName(still)
-    else:
-        out = direct
-    out = out.drop("__cand")
-    return out if keep_unresolved else out.where(F.col("dst").isNotNull())
+        children = py.withColumn("__base", dirname("dst"))
+        packages = mods.join(direct, "abs_module", "left_anti").join(children, "__base").select("abs_module", "dst")
+        found = direct.unionByName(packages)
+    return m.join(found, "abs_module", "left" if keep_unresolved else "inner").select(*m.columns, "dst")
 
 
 def resolve_js(js_imports: DataFrame, files: DataFrame, root: str = "", keep_unresolved: bool = False) -> DataFrame:
@@ -95,10 +84,10 @@ def prepare_contains(files: DataFrame):
         F.element_at(F.split(F.col("path"), "/", -1), F.col("__lvl") + 1).alias("__s"),
     )
     dirents = anc.select("__d", "__s").distinct()
-    keyed = dirents.select(
-        "__d", "__s",
-        F.explode(F.sequence(F.lit(0), F.least(F.length("__s"), F.lit(CONTAINS_KEY_LEN)))).alias("__j"),
-    ).select("__d", "__s", F.substring("__s", 1, F.col("__j")).alias("__key"), F.col("__j"))
+    # every prefix of an entry's name, so that a node's exact name finds the entries that begin with it
+    keyed = dirents.withColumn("__j", F.explode(F.sequence(F.lit(0), F.length("__s")))).select(
+        "__d", "__s", F.expr("substr(__s, 1, __j)").alias("__key")
+    )
     return anc, keyed
 
 
@@ -107,22 +96,15 @@ def contains_expand(frontier: DataFrame, files: DataFrame, node_col: str = "node
     """Files whose path has a frontier node as a proper string prefix (D5, literal semantics:
     ``a.ts`` also pulls ``a.tsx``, ``dir`` also pulls ``dir2/x``).
 
-    Exact and join-based: every file lists its folder entries ``(folder/, entry)`` once per
-    level; a node ``folder/name`` matches entries starting with ``name`` in the same folder
-    (equi-join on folder + a bounded name prefix), and then every file under a matched
-    entry. Returns ``(keys..., node, path)``."""
+    Exact and join-based: every file lists its folder entries ``(folder/, entry)`` once
+    per level, and each entry all prefixes of its name; a node ``folder/name`` joins the entries that
+    list its exact name in the same folder, and then every file under a matched entry. Returns ``(keys..., node, path)``."""
     keys = keys or []
     anc, keyed = prepared if prepared is not None else prepare_contains(files)
     n = frontier.select(*keys, F.col(node_col).alias("node")).distinct()
     n = n.withColumn("__nd", F.regexp_extract("node", r"^(.*/)", 1)).withColumn(
         "__nb", F.regexp_extract("node", r"([^/]*)$", 1)
     )
-    n = n.withColumn("__nk", F.substring("__nb", 1, CONTAINS_KEY_LEN)).withColumn(
-        "__nj", F.least(F.length("__nb"), F.lit(CONTAINS_KEY_LEN))
-    )
-    ents = n.join(
-        keyed,
-        (n["__nd"] == keyed["__d"]) & (n["__nk"] == keyed["__key"]) & (n["__nj"] == keyed["__j"]),
-    ).where(F.col("__s").startswith(F.col("__nb")))
+    ents = n.join(keyed, (n["__nd"] == keyed["__d"]) & (n["__nb"] == keyed["__key"]))
     under = ents.select(*keys, "node", "__d", "__s").join(anc, ["__d", "__s"])
     return under.where(F.col("path") != F.col("node")).select(*keys, "node", "path").distinct()

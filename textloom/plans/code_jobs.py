@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom import sqltext as Q
-from textloom.functions.code import js_imports, py_imports
+from textloom.functions.code import js_imports, parsed_imports
 from textloom.functions.paths import (
     abs_path,
     dirname,
@@ -28,12 +28,12 @@ from textloom.operators.resolve import contains_expand, resolve_js, resolve_py
 from textloom.operators.tree import common_path, tree_map
 from textloom.registry import register
 from textloom.session import cut_lineage
-from textloom.sources.files import corpus_filter
+from textloom.sources.files import below, corpus_scan, file_text, land_files
 from textloom.sources.views import SQL_CODE_FILES, code_files
 
 # Collector defaults and the six presets (output, no_comment, with_prompt,
 # max_char, max_token).
-COLLECT_DEFAULT_DEPTH = 999
+COLLECT_DEFAULT_DEPTH = None  # until no new file appears
 COLLECT_DEFAULT_MAX_CHAR = 999_999_999
 COLLECT_DEFAULT_MAX_TOKEN = 125_000
 PRESETS = [
@@ -60,7 +60,7 @@ def closure_of(spark: SparkSession, sf_dir: str, seeds: DataFrame, depth: int |
 
 def file_edges(files: DataFrame, root: str = "") -> DataFrame:
     """Resolved import edges ``(src, pos, dst)`` of any ``files(path, content)`` table."""
-    py = resolve_py(py_imports(files.where(program_type("path") == "PYTHON")), files, root)
+    py = resolve_py(parsed_imports(files.where(program_type("path") == "PYTHON")), files, root)
     js = resolve_js(js_imports(files.where(program_type("path") == "JAVASCRIPT")), files, root)
     return py.select("src", "pos", "dst").unionByName(js.select("src", "pos", "dst"))
 
@@ -131,17 +131,29 @@ clo AS (SELECT seed, node AS path, CAST(min(depth) AS INTEGER) AS depth FROM wal
 
 # ---------------------------------------------------------------------- registered queries
 
-@register("corpus_scan", f"""{_CF} SELECT path, CASE WHEN ends_with(path, '.py') THEN 'PYTHON' ELSE 'JAVASCRIPT' END AS lang
-FROM code_files WHERE ends_with(path, '.py') OR ends_with(path, '.js') OR ends_with(path, '.json') OR ends_with(path, '.jsx') OR ends_with(path, '.ts') OR ends_with(path, '.tsx')""")
+def landed_code(spark: SparkSession, sf_dir: str) -> str:
+    """The code tree written as files under the shared folder; its root."""
+    return land_files(code_files(spark, sf_dir).select("path", "content"))
+
+
+_LANG = """CASE WHEN ends_with(path, '.py') THEN 'PYTHON' ELSE 'JAVASCRIPT' END"""
+
+
+@register("corpus_scan", f"""{_CF} SELECT path, {_LANG} AS lang, CAST(octet_length(encode(content)) AS BIGINT) AS size, md5(content) AS content_md5
+FROM code_files WHERE NOT starts_with(path, 'pkg_2/') AND ends_with(path, '.py')""")
 def q_corpus_scan(spark, sf_dir):
-    return corpus_filter(code_files(spark, sf_dir).select("path")).select("path", "lang")
+    root = landed_code(spark, sf_dir)
+    f = corpus_scan(spark, root, ignore_paths=["pkg_2/"], extensions=(".py",))
+    return f.select(below(root, "path").alias("path"), "lang", "size", F.md5("content").alias("content_md5"))
 
 
 @register("file_text", f"""{_CF} SELECT path, CAST(length(content) AS BIGINT) AS chars,
-  CAST(len(string_split(content, chr(10))) AS BIGINT) AS lines FROM code_files""")
+  CAST(len(string_split(content, chr(10))) AS BIGINT) AS lines, md5(content) AS content_md5 FROM code_files""")
 def q_file_text(spark, sf_dir):
-    f = code_files(spark, sf_dir)
-    return f.select("path", char_count("content").alias("chars"), line_count("content").alias("lines"))
+    root = landed_code(spark, sf_dir)
+    f = file_text(spark, root)
+    return f.select(below(root, "path").alias("path"), char_count("content").alias("chars"), line_count("content").alias("lines"),
+                    F.md5("content").alias("content_md5"))
 
 
 @register("ext_filter", f"{_CF} SELECT path FROM code_files WHERE ends_with(path, '.py')")
@@ -251,13 +263,13 @@ def q_js_imports(spark, sf_dir):
 @register("py_imports", f"WITH {SQL_CODE_FILES}, {_PY_IMPORTS} SELECT src, pos, level, module FROM pyimp")
 def q_py_imports(spark, sf_dir):
     f = code_files(spark, sf_dir)
-    return py_imports(f.where(program_type("path") == "PYTHON"))
+    return parsed_imports(f.where(program_type("path") == "PYTHON"))
 
 
 @register("resolve_py", f"WITH {SQL_CODE_FILES}, {_EDGES} SELECT src, pos, module, dst FROM pyres")
 def q_resolve_py(spark, sf_dir):
     f = code_files(spark, sf_dir)
-    return resolve_py(py_imports(f.where(program_type("path") == "PYTHON")), f).select("src", "pos", "module", "dst")
+    return resolve_py(parsed_imports(f.where(program_type("path") == "PYTHON")), f).select("src", "pos", "module", "dst")
 
 
 @register("resolve_relative", f"""WITH {SQL_CODE_FILES}, {_EDGES}
@@ -266,7 +278,7 @@ def q_resolve_relative(spark, sf_dir):
     from textloom.operators.resolve import absolute_modules
 
     f = code_files(spark, sf_dir)
-    return absolute_modules(py_imports(f.where(program_type("path") == "PYTHON"))).select("src", "pos", "abs_module")
+    return absolute_modules(parsed_imports(f.where(program_type("path") == "PYTHON"))).select("src", "pos", "abs_module")
 
 
 @register("resolve_js", f"WITH {SQL_CODE_FILES}, {_EDGES} SELECT src, pos, module, dst FROM jsres")
@@ -281,7 +293,7 @@ SELECT p.src, p.pos, p.module, f.path AS dst FROM pk p JOIN code_files f
   ON regexp_extract(f.path, '^(.*)/[^/]*$', 1) = replace(p.module, '.', '/') AND ends_with(f.path, '.py')""")
 def q_package_expand(spark, sf_dir):
     f = code_files(spark, sf_dir)
-    imp = py_imports(f.where(program_type("path") == "PYTHON")).where(F.col("module").contains("."))
+    imp = parsed_imports(f.where(program_type("path") == "PYTHON")).where(F.col("module").contains("."))
     pk = imp.withColumn("module", F.regexp_replace("module", r"\.[^.]*$", ""))
     out = resolve_py(pk, f, expand_packages=True)
     return out.select("src", "pos", "module", "dst")

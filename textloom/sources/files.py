@@ -2,29 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.paths import DEFAULT_EXTENSIONS, ext_filter, not_in_ignored_dir, program_type
 from textloom.operators.predicates import ignore_filter, scope_filter
+from textloom.session import cut_lineage, ensure_checkpoint_dir
+
+HELD_CHARS = 8 << 20
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Recursive listing ``(path, size)`` through the Hadoop FileSystem API.
+    """Recursive listing ``(uri, path, size)``, one level of folders after the other: tasks list the
+    folders of a level, and what they find stays in tables.
 
     Spark's file sources hide names starting with ``_`` or ``.`` (``__init__.py``) and skip
-    zero-length files, both of which matter for code trees, so the listing is taken directly
-    (the same driver-side listing a file source's index performs)."""
-    jvm = spark._jvm
-    hp = jvm.org.apache.hadoop.fs.Path(root)
-    fs = hp.getFileSystem(spark._jsc.hadoopConfiguration())
-    it = fs.listFiles(hp, True)
-    rows = []
-    while it.hasNext():
-        st = it.next()
-        rows.append((st.getPath().toString(), int(st.getLen())))
-    df = spark.createDataFrame(rows, "uri string, size long")
-    return df.select("uri", F.regexp_replace(F.col("uri"), r"^file:(//)?", "").alias("path"), "size")
+    zero-length files, both of which matter for code trees."""
+    start = root if ":" in root else f"file:{root}"
+    schema = "uri string, size long, folder boolean"
+    level = spark.createDataFrame([(start,)], "uri string")
+    parts, n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), 1
+    files = spark.createDataFrame([], "uri string, size long")
+    while n:
+        found = cut_lineage(level.repartition(parts, "uri").mapInPandas(_list_folders, schema))
+        files = files.unionByName(found.where("not folder").select("uri", "size"))
+        level = found.where("folder").select("uri")
+        n = level.count()
+    return files.select("uri", F.regexp_replace(F.col("uri"), r"^file:(//)?", "").alias("path"), "size")
+
+
+def _list_folders(batches):
+    import pandas as pd
+    from pyarrow.fs import FileSelector, FileType
+
+    cache: dict = {}
+    for pdf in batches:
+        rows = []
+        for uri in pdf["uri"]:
+            fs, path = _fs_and_path(uri, cache)
+            stem = uri.rstrip("/")
+            for info in fs.get_file_info(FileSelector(path, allow_not_found=True)):
+                folder = info.type == FileType.Directory
+                rows.append((f"{stem}/{info.base_name}", None if folder else int(info.size), folder))
+        yield pd.DataFrame(rows, columns=["uri", "size", "folder"]).astype({"size": "Int64"})
+
+
+def land_files(files: DataFrame) -> str:
+    """Write ``files(path, content)`` as files below a new folder of the shared checkpoint folder; its root."""
+    import uuid
+
+    root = f"{ensure_checkpoint_dir(files.sparkSession).rstrip('/')}/files/{uuid.uuid4().hex}"
+    base = root if ":" in root else f"file:{root}"
+
+    def write(batches):
+        import pandas as pd
+
+        cache: dict = {}
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                fs, at = _fs_and_path(f"{base}/{path}", cache)
+                fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(at) as h:
+                    h.write((content or "").encode())
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    files.select("path", "content").mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    return root
+
+
+def below(root: str, path) -> Column:
+    """A listed path relative to its root."""
+    stem = re.sub(r"^file:(//)?", "", root).rstrip("/") + "/"
+    p = F.col(path) if isinstance(path, str) else path
+    return F.when(p.startswith(stem), p.substr(F.lit(len(stem) + 1), F.length(p))).otherwise(p)
 
 
 def _fs_and_path(uri: str, cache: dict):
@@ -49,15 +101,21 @@ def _read_contents(batches):
 
     cache: dict = {}
     for pdf in batches:
-        out = []
+        uris, out, held = [], [], 0
         for uri in pdf["uri"]:
             fs, path = _fs_and_path(uri, cache)
             try:
                 with fs.open_input_stream(path) as h:
-                    out.append(h.read().decode("utf-8", errors="replace"))
+                    text = h.read().decode("utf-8", errors="replace")
             except OSError:
-                out.append(None)
-        yield pd.DataFrame({"uri": pdf["uri"], "content": out})
+                text = None
+            uris.append(uri)
+            out.append(text)
+            held += len(text or "")
+            if held >= HELD_CHARS:  # contents are passed on as they add up, not by number of files
+                yield pd.DataFrame({"uri": uris, "content": out})
+                uris, out, held = [], [], 0
+        yield pd.DataFrame({"uri": uris, "content": out})
 
 
 def corpus_scan(
@@ -77,6 +135,7 @@ def corpus_scan(
     and decoded as UTF-8 with replacement (bad bytes never fail the job)."""
     root = root.rstrip("/") or "/"
     listed = list_files(spark, root)
+    root = re.sub(r"^file:(//)?", "", root)
     kept = corpus_filter(listed, root, scope_paths, ignore_paths, ignore_dirs, extensions)
     if not with_content:
         return kept.drop("uri")
@@ -115,11 +174,9 @@ def _abs(root: str, p: str) -> str:
     return root.rstrip("/") + "/" + p.lstrip("/")
 
 
-def file_text(spark: SparkSession, paths_or_root: str) -> DataFrame:
-    """Whole files as text with their path (``wholetext`` keeps one row per file)."""
-    df = spark.read.option("wholetext", "true").text(paths_or_root)
-    return df.select(F.regexp_replace(F.col("_metadata.file_path"), r"^file:(//)?", "").alias("path"),
-                     F.col("value").alias("content"))
+def file_text(spark: SparkSession, root: str) -> DataFrame:
+    """Every file below ``root`` as one row of text with its path, whatever its name or length."""
+    return corpus_scan(spark, root, ignore_dirs=(), extensions=()).select("path", "content")
 
 
 def page_source(pages: DataFrame) -> DataFrame:

@@ -58,12 +58,16 @@ def run_available(df: DataFrame, name: str, mode: str = "append", foreach_batch=
     return spark.read.parquet(base + "/out")
 
 
-def stream_pages(spark: SparkSession, pages_path: str, watermark_col: str | None = None) -> DataFrame:
+def stream_pages(spark: SparkSession, pages_path: str, watermark_col: str | None = None, delay: str | None = None) -> DataFrame:
     """K1: each normalized URL processed once, ever (state keeps the URLs seen). With an
-    event-time column, ``dropDuplicatesWithinWatermark`` bounds the state."""
-    s = page_stream(spark, pages_path).select("page_id", normalize_url("url").alias("url"), "html")
+    event-time column and a ``delay``, ``dropDuplicatesWithinWatermark`` bounds the state. The page of a
+    URL that comes first is the one processed."""
+    if (watermark_col is None) != (delay is None):
+        raise ValueError("a watermark needs both a column and a delay")
+    extra = [watermark_col] if watermark_col else []
+    s = page_stream(spark, pages_path).select("page_id", normalize_url("url").alias("url"), "html", *extra)
     if watermark_col:
-        s = s.withWatermark(watermark_col, "1 day").dropDuplicatesWithinWatermark(["url"])
+        s = s.withWatermark(watermark_col, delay).dropDuplicatesWithinWatermark(["url"])
     else:
         s = s.dropDuplicates(["url"])
     out = s.select("page_id", "url", url_netloc("url").alias("host"), html_text("html").alias("content"))
@@ -79,9 +83,11 @@ BUDGET_STATE = T.StructType([
 ])
 
 
-def stream_budget(pages: DataFrame, limit_token: int, limit_char: int = 999_999_999_999) -> DataFrame:
+def stream_budget(pages: DataFrame, limit_token: int | None, limit_char: int | None = None) -> DataFrame:
     """K2: per host, accept pages until the first one that would exceed a budget; then the
-    host is closed for good. Rows of a micro-batch are taken in URL order."""
+    host is closed for good. Rows of a micro-batch are taken in URL order; they are narrow, and the
+    source's ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` bounds a batch. A limit of None does not limit."""
+    over = lambda size, limit: limit is not None and size > limit
 
     def fn(key, batches, state):
         tok, ch, closed = (state.get if state.exists else (0, 0, False))
@@ -90,7 +96,7 @@ def stream_budget(pages: DataFrame, limit_token: int, limit_char: int = 999_999_
         for r in rows.itertuples(index=False):
             if closed:
                 break
-            if tok + r.token_size > limit_token or ch + r.char_size > limit_char:
+            if over(tok + r.token_size, limit_token) or over(ch + r.char_size, limit_char):
                 closed = True
                 break
             tok += int(r.token_size)
@@ -112,12 +118,15 @@ CHUNK_STATE = T.StructType([T.StructField("buffer", T.StringType()), T.StructFie
 
 def stream_chunks(chunks: DataFrame, timeout_ms: int | None = 3_600_000) -> DataFrame:
     """K3: buffer chunk texts per answer; when a chunk carries a finish reason, emit the
-    assembled text and start a new part. A processing-time timeout drops idle buffers so
-    state cannot grow without bound."""
+    assembled text and start a new part. After a processing-time timeout an idle buffer is emitted
+    with a null finish reason and its state goes, so state cannot grow without bound."""
 
     def fn(key, batches, state):
         if state.hasTimedOut:
+            buf, part = state.get
             state.remove()
+            if buf:
+                yield pd.DataFrame([(int(key[0]), int(part), buf, None)], columns=CHUNK_OUT.fieldNames())
             return
         buf, part = state.get if state.exists else ("", 0)
         rows = pd.concat(list(batches)).sort_values("seq", kind="mergesort")
@@ -138,18 +147,10 @@ def stream_chunks(chunks: DataFrame, timeout_ms: int | None = 3_600_000) -> Data
 
 
 def stream_frontier(spark: SparkSession, pages_path: str, link_scope: str = "all") -> DataFrame:
-    """K4: each micro-batch of landed pages contributes its link targets to a ``found``
-    table; only targets not yet found are appended (``left_anti`` per batch)."""
+    """K4: landed pages contribute their link targets, each target once; the state keeps the targets
+    seen, so a batch costs what it brings, not what was found before."""
     from textloom.plans.web_jobs import page_links
 
-    found_path = _scratch(spark, "found")
-    spark.createDataFrame([], "url string").write.parquet(found_path)
-
-    def per_batch(batch: DataFrame, batch_id: int):
-        pages = batch.select("page_id", normalize_url("url").alias("url"), "html")
-        links = page_links(pages, link_scope).select(F.col("link").alias("url")).distinct()
-        known = batch.sparkSession.read.parquet(found_path)
-        links.join(known, "url", "left_anti").write.mode("append").parquet(found_path)
-
-    run_available(page_stream(spark, pages_path), "frontier", foreach_batch=per_batch)
-    return spark.read.parquet(found_path)
+    pages = page_stream(spark, pages_path).select("page_id", normalize_url("url").alias("url"), "html")
+    links = page_links(pages, link_scope).select(F.col("link").alias("url"))
+    return run_available(links.dropDuplicates(["url"]), "frontier")
