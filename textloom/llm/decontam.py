@@ -4,8 +4,8 @@ The index holds the test items; training texts are the queries. A text is cut in
 passages, long enough that each item's length fits whole into one of them. An item's weight for a
 word is its BM25 part divided by the item's own whole score, so a passage scores the share of the
 item that it covers, and one threshold serves all items. A passage retrieves every item at or above
-the threshold: posting lists are walked in step with block maxima, and passages that hold none of
-the words that an item needs to reach the threshold are not walked at all. A retrieved item counts
+the threshold: posting lists are walked in step with block maxima, and passages whose essential words
+leave every item too far from the threshold, whatever else they hold, are not walked at all. A retrieved item counts
 as leaked where the passage also holds most word n-grams of its question and of its answer.
 
 The test items are cut into blocks of bounded size by a hash, and each block's index is sent to the
@@ -104,14 +104,17 @@ class ItemIndex:
                 lists[w][1].append(x / whole)
             needed.append([(x / whole, w) for w, x in part.items()])
         self.lists = {w: PostingList(*v) for w, v in lists.items()}
-        # An item's common words, short of the threshold together, cannot retrieve it: it needs another one.
+        # An item's commonest words, short of half the threshold together, cannot retrieve it: it needs the
+        # rest of the threshold from the other words, which are essential.
         self.essential = set()
         for weights in needed:
             sum_so_far = 0.0
             for x, w in sorted(weights, key=lambda p: (-found[p[1]], len(p[1]), p[1])):
                 sum_so_far += x
-                if sum_so_far >= threshold - 1e-9:
+                if sum_so_far >= threshold / 2:
                     self.essential.add(w)
+        self.need = [threshold - 1e-9 - sum(x for x, w in weights if w not in self.essential) for weights in needed]
+        self.postings = {w: list(zip(*lists[w])) for w in self.essential}
 
     def retrieve(self, words: set[str]) -> list[tuple[int, float]]:
         """All items that the words score at or above the threshold, by block-max WAND."""
@@ -154,14 +157,28 @@ class ItemIndex:
             x[1] = bisect_left(x[2].items, item, x[1])
             x[0] = x[2].items[x[1]] if x[1] < len(x[2].items) else -1
 
-    def leaks(self, words: list[str], places: list[int]) -> dict[int, tuple[float, float, float, int]]:
+    def reachable(self, words: set[str]) -> bool:
+        """Whether the essential words among these bring some item as near to the threshold as it needs."""
+        mass, postings, need = {}, self.postings, self.need
+        for w in words & self.essential:
+            for item, x in postings[w]:
+                m = mass[item] = mass.get(item, 0.0) + x
+                if m >= need[item]:
+                    return True
+        return False
+
+    def leaks(self, words: list[str]) -> dict[int, tuple[float, float, float, int]]:
         """Leaked items of a text: item number, then score, both overlaps and first word of the best passage.
-        ``places`` are where the text has essential words; passages without any are left out."""
+        Passages whose essential words bring no item near enough to the threshold are not walked."""
         hop, best = self.longest, {}
-        starts = sorted({s for p in places for s in ((p // hop) * hop, (p // hop - 1) * hop) if s >= 0})
-        for s in starts:
+        if not self.reachable(set(words)):
+            return best
+        for s in range(0, max(1, len(words) - hop), hop):
             passage = words[s : s + 2 * hop]
-            for item, score in self.retrieve(set(passage)):
+            held = set(passage)
+            if not self.reachable(held):
+                continue
+            for item, score in self.retrieve(held):
                 q, a = (overlap(part, passage) for part in self.parts[item])
                 if q >= QUESTION_OVERLAP and a >= ANSWER_OVERLAP:
                     best[item] = max(best.get(item, (0.0, 0.0, 0.0, 0)), (score, q, a, -s))
@@ -177,17 +194,12 @@ class BenchmarkIndex:
             if n := len(words_of(text)):
                 bands.setdefault(max(6, n.bit_length()), []).append((i, text))
         self.indexes = [ItemIndex(sorted(v), threshold) for _, v in sorted(bands.items())]
-        self.essential = set().union(*[x.essential for x in self.indexes])
 
     def leaks(self, text: str) -> list[tuple[int, float, float, float, int]]:
         """(item_id, score, question overlap, answer overlap, first word) of each leaked item, by item_id."""
-        words = words_of(text)
-        if self.essential.isdisjoint(words):
-            return []
-        out = []
+        words, out = words_of(text), []
         for index in self.indexes:
-            places = [k for k, w in enumerate(words) if w in index.essential]
-            out += [(index.ids[i], s, q, a, -p) for i, (s, q, a, p) in index.leaks(words, places).items()] if places else []
+            out += [(index.ids[i], s, q, a, -p) for i, (s, q, a, p) in index.leaks(words).items()]
         return sorted(out)
 
 
@@ -225,10 +237,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text holds a leaked test item; all columns stay, nothing is shuffled."""
     for index in index_blocks(benchmark):
+        docs = docs.where(clean_texts(index)(F.coalesce(docs["text"].cast("string"), F.lit(""))))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, index: BenchmarkIndex = index) -> pd.Series:
-            return pd.Series([not index.leaks(t) for t in texts], dtype=bool)
 
-        docs = docs.where(clean(F.coalesce(docs["text"].cast("string"), F.lit(""))))
-    return docs
+def clean_texts(index: BenchmarkIndex):
+    """Whether a text holds no leaked item of the index, as a column function."""
+
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not index.leaks(t) for t in texts], dtype=bool)
+
+    return clean
