@@ -32,6 +32,14 @@ def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("url").agg(F.min("page_id").alias("page_id"), F.min_by("html", "page_id").alias("html"))
 
 
+def landed_links(spark: SparkSession, sf_dir: str, link_scope: str = "all") -> DataFrame:
+    """``(url, page_id, hrefs)`` per normalized URL (smallest page_id wins). Links are taken from the HTML
+    before the de-duplication, so HTML is not moved."""
+    p = page_source(table(spark, sf_dir, "pages")).select("page_id", normalize_url("url").alias("url"), raw_links("html", link_scope).alias("hrefs"))
+    first = F.min_by(F.struct("page_id", "hrefs"), "page_id").alias("r")
+    return p.groupBy("url").agg(first).select("url", F.col("r.page_id").alias("page_id"), F.col("r.hrefs").alias("hrefs"))
+
+
 def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(page_id, url, host)`` per normalized URL (smallest page_id) without touching HTML."""
     p = page_source(table(spark, sf_dir, "pages")).select("page_id", normalize_url("url").alias("url"))
@@ -53,8 +61,10 @@ def scraped(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_links(pages: DataFrame, link_scope: str = "all", roots: list[str] | None = None,
                ignore: list[str] | None = None) -> DataFrame:
     """``(page_id, url, pos, link)``: anchors resolved against the page URL, normalized,
-    binary suffixes skipped, then URL scope and ignore rules."""
-    ex = pages.select("page_id", "url", F.posexplode(raw_links("html", link_scope)).alias("pos", "href"))
+    binary suffixes skipped, then URL scope and ignore rules. ``pages`` holds ``html``, or ``hrefs`` already
+    taken from it (:func:`landed_links`)."""
+    hrefs = F.col("hrefs") if "hrefs" in pages.columns else raw_links("html", link_scope)
+    ex = pages.select("page_id", "url", F.posexplode(hrefs).alias("pos", "href"))
     ex = ex.select("page_id", "url", F.col("pos").cast("long").alias("pos"), resolve_url("url", "href").alias("link")).where(
         ~skip_binary_url("link"))
     if isinstance(roots, DataFrame):
@@ -149,7 +159,7 @@ def q_text_stats(spark, sf_dir):
 
 @register("page_links", f"WITH {_SQL_PAGES}, {_SQL_LINKS} SELECT page_id, pos, link FROM links")
 def q_page_links(spark, sf_dir):
-    return page_links(landed_pages(spark, sf_dir), "all").select("page_id", "pos", "link")
+    return page_links(landed_links(spark, sf_dir), "all").select("page_id", "pos", "link")
 
 
 _ROOTS = ["https://blog.", "http://www."]
@@ -218,7 +228,7 @@ def q_frontier_fetch(spark, sf_dir):
 @register("not_seen", f"""WITH {_SQL_PAGES}, {_SQL_LINKS}
 SELECT DISTINCT link FROM links WHERE link NOT IN (SELECT url FROM pg)""")
 def q_not_seen(spark, sf_dir):
-    pages = landed_pages(spark, sf_dir)
+    pages = landed_links(spark, sf_dir)
     cands = page_links(pages, "all").select("link").distinct()
     return cands.join(pages.select(F.col("url").alias("link")), "link", "left_anti")
 
@@ -226,7 +236,7 @@ def q_not_seen(spark, sf_dir):
 @register("frontier_except", f"""WITH {_SQL_PAGES}, {_SQL_LINKS}
 SELECT link AS url FROM links EXCEPT SELECT url FROM pg""")
 def q_frontier_except(spark, sf_dir):
-    pages = landed_pages(spark, sf_dir)
+    pages = landed_links(spark, sf_dir)
     found = page_links(pages, "all").select(F.col("link").alias("url"))
     return found.subtract(pages.select("url"))
 
@@ -234,7 +244,7 @@ def q_frontier_except(spark, sf_dir):
 @register("seed_union", f"""WITH {_SQL_PAGES}, {_SQL_LINKS}
 SELECT url FROM pg UNION SELECT link FROM links""")
 def q_seed_union(spark, sf_dir):
-    pages = landed_pages(spark, sf_dir)
+    pages = landed_links(spark, sf_dir)
     return pages.select("url").union(page_links(pages, "all").select(F.col("link").alias("url"))).distinct()
 
 
@@ -248,7 +258,7 @@ walk(url, depth) AS (
   WHERE w.depth < 50 AND EXISTS (SELECT 1 FROM seeds s WHERE starts_with(l.link, regexp_extract(s.url, '^[a-z]+://[^/?#]*', 0))))
 SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY url""")
 def q_crawl_closure(spark, sf_dir):
-    pages = landed_pages(spark, sf_dir)
+    pages = landed_links(spark, sf_dir)
     first = pages.groupBy(url_netloc("url").alias("h")).agg(F.min_by("url", "page_id").alias("url"))
     seeds = first.select("url")
     roots = first.select(F.regexp_extract("url", r"^[a-z]+://[^/?#]*", 0).alias("root")).distinct()
@@ -417,6 +427,6 @@ def q_scrape_segments(spark, sf_dir):
 
 @register("resolve_url", f"WITH {_SQL_PAGES}, {_SQL_LINKS} SELECT page_id, pos, link AS resolved FROM links")
 def q_resolve_url(spark, sf_dir):
-    p = landed_pages(spark, sf_dir)
-    ex = p.select("page_id", "url", F.posexplode(raw_links("html", "all")).alias("pos", "href"))
+    p = landed_links(spark, sf_dir)
+    ex = p.select("page_id", "url", F.posexplode("hrefs").alias("pos", "href"))
     return ex.select("page_id", F.col("pos").cast("long").alias("pos"), resolve_url("url", "href").alias("resolved"))
