@@ -113,7 +113,7 @@ jsres AS (SELECT src, pos, module, arg_min(dst, r) AS dst FROM jscand GROUP BY 1
 edges AS (SELECT src, pos, dst FROM pyres UNION ALL SELECT src, pos, dst FROM jsres)"""
 
 
-def _closure_sql(seed_sql: str, final: str, maxd: int = 60) -> str:
+def _closure_sql(seed_sql: str, final: str, maxd: int = 60, more: str = "") -> str:
     return f"""WITH RECURSIVE {SQL_CODE_FILES}, {_EDGES},
 seeds AS ({seed_sql}),
 walk(seed, node, depth) AS (
@@ -125,7 +125,7 @@ walk(seed, node, depth) AS (
       SELECT g.path AS node, f.path AS nxt FROM code_files g JOIN code_files f ON starts_with(f.path, g.path) AND f.path <> g.path
   ) x ON x.node = w.node
   WHERE w.depth < {maxd} AND w.node IN (SELECT path FROM code_files)),
-clo AS (SELECT seed, node AS path, CAST(min(depth) AS INTEGER) AS depth FROM walk WHERE node IN (SELECT path FROM code_files) GROUP BY 1, 2)
+clo AS (SELECT seed, node AS path, CAST(min(depth) AS INTEGER) AS depth FROM walk WHERE node IN (SELECT path FROM code_files) GROUP BY 1, 2){more}
 {final}"""
 
 
@@ -337,6 +337,35 @@ def q_closure_profile(spark, sf_dir):
     return closure_of(spark, sf_dir, seeds).groupBy("depth").agg(F.count(F.lit(1)).alias("n_files"))
 
 
+_NOT_FOUND = """un AS (SELECT DISTINCT CASE WHEN i.level > 0 THEN replace(array_to_string(string_split(i.src, '/')[1:len(string_split(i.src, '/')) - i.level], '/'), '/', '.') || '.' || i.module ELSE i.module END AS name
+  FROM pyimp i JOIN clo ON clo.path = i.src WHERE NOT EXISTS (SELECT 1 FROM pyres r WHERE r.src = i.src AND r.pos = i.pos)
+  UNION SELECT DISTINCT i.module FROM jsimp i JOIN clo ON clo.path = i.src WHERE NOT EXISTS (SELECT 1 FROM jsres r WHERE r.src = i.src AND r.pos = i.pos))"""
+
+
+def closure_status(files: DataFrame, seeds: DataFrame, root: str = "", depth: int | None = None) -> DataFrame:
+    """What a closure found (E10): ``seed, name, status`` — files that imports lead to are ``covered``, files
+    that lie under a node's path are ``contained``, modules and starts without a file are ``not_found``."""
+    clo = cut_lineage(import_closure(files.select("path"), file_edges(files, root), seeds, depth))
+    # a discovery key ends in (kind, position): kind 0 is containment; a start's key has one number
+    inside = (F.size("disc") > 1) & (F.element_at("disc", -2) == 0)
+    found = clo.select("seed", F.col("path").alias("name"), F.when(inside, F.lit("contained")).otherwise(F.lit("covered")).alias("status"))
+    py = resolve_py(parsed_imports(files.where(program_type("path") == "PYTHON")), files, root, keep_unresolved=True)
+    js = resolve_js(js_imports(files.where(program_type("path") == "JAVASCRIPT")), files, root, keep_unresolved=True)
+    lost = py.where("dst is null").select("src", F.col("abs_module").alias("name")).unionByName(js.where("dst is null").select("src", F.col("module").alias("name")))
+    missing = lost.join(clo.select("seed", F.col("path").alias("src")), "src").select("seed", "name")
+    starts = seeds.select("seed", F.col("node").alias("name")).join(files.select(F.col("path").alias("name")), "name", "left_anti")
+    missing = missing.unionByName(starts.select("seed", "name")).distinct()
+    return found.unionByName(missing.withColumn("status", F.lit("not_found")))
+
+
+@register("closure_status", _closure_sql(f"SELECT '{CLOSURE_SEED}' AS seed, '{CLOSURE_SEED}' AS node",
+                                         f"""SELECT path AS name, 'covered' AS status FROM clo UNION ALL SELECT name, 'not_found' FROM un""",
+                                         more=f", {_NOT_FOUND}"))
+def q_closure_status(spark, sf_dir):
+    seeds = spark.createDataFrame([(CLOSURE_SEED, CLOSURE_SEED)], "seed string, node string")
+    return closure_status(code_files(spark, sf_dir), seeds).select("name", "status")
+
+
 @register("discovery_order")
 def q_discovery_order(spark, sf_dir):
     from pyspark.sql import Window
