@@ -47,7 +47,19 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"))
 
 
-@register("op4_ngram_join")
+_LINKS_SQL = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+sh AS (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(generate_series(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+3], ' '))) END) AS s FROM w),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM common JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+reach(d, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.d, link.y FROM reach JOIN link ON link.x = reach.r),
+comp AS (SELECT d, min(r) AS component_id FROM reach GROUP BY d)
+SELECT w.doc_id, coalesce(size.n, 0) AS n_shingles, comp.component_id FROM w LEFT JOIN size ON size.doc_id = w.doc_id LEFT JOIN comp ON comp.d = w.doc_id"""
+
+
+@register("op4_ngram_join", _LINKS_SQL)
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_documents(table(spark, sf_dir, "documents"))
 

@@ -1,18 +1,19 @@
 """N-gram Jaccard join by token-combination prefixes.
 
-A document's tokens are its distinct four-word shingles, as 64-bit hashes. One global order puts rare
-tokens before frequent ones and sorts by hash inside; frequent is what a count table of fixed size,
-filled from all documents, shows to be common. A rare token is a class by itself and is indexed
-alone. Frequent tokens are dealt to classes by hash, as many as suit the size of the document, and
-two tokens of one class are indexed together. A prefix is extended until each class loses: of c rare
-tokens c must differ, of c tokens of a pair class c - 1, before no combination is left in common; once
-these losses add up to one more than a linked document may differ by, two linked documents share a
-combination of their prefixes. So no link is lost, and a text of common phrases meets few others.
-
-A document meets the others of a combination through a leader first: the smallest it shares most
-combinations with. Verified links join documents to components; only documents of one combination
-that are still in different components are compared with one another. Links inside a component
-that is already joined change nothing and are not looked at.
+A document's tokens are its distinct four-word shingles, as 64-bit hashes, in the order of the hash.
+Each document stores the tokens that its prefix can need at most, and how many documents store a
+token is counted. A token that more than FREQUENT documents store is frequent. A rare token is a class by
+itself and is indexed alone. Frequent tokens are dealt to classes by hash, as many as suit the size
+of the document, and two tokens of one class are indexed together. A prefix is extended until what its
+classes can lose adds up: of c rare tokens c must differ, of c tokens of a pair class c - 1, before no
+combination is left in common. With EXTRA losses more than a linked document may differ by, two linked
+documents have EXTRA + 1 combinations in common, so no link is lost, accidental meetings of fewer
+combinations are not compared, and a combination of rare tokens has few documents.
+
+Near copies meet a leader first: each document that of the other component in its combinations which it
+shares most with. Verified links join documents to components; only documents of one combination that are
+still in different components are then compared with one another, by size and bitmap first. Links inside a
+component that is already joined change nothing and are not looked at.
 """
 
 from __future__ import annotations
@@ -24,19 +25,24 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import doc_columns
-from textloom.llm.sketch import cell_of, count_cells, flagged
-from textloom.session import cut_lineage
+from textloom.llm.sketch import cell_of, flagged
+from textloom.session import cut_lineage, cut_lineage_counted
 
 WORDS = 4
 PERCENT = 85
-FREQUENT_LOAD = 4  # times the mean of the count table from which a token is frequent
-FREQUENT_LEAST = 32
+FREQUENT = 16  # documents that store a token, beyond which it is indexed in pairs
 CLASS_TOKENS = 16  # tokens of a document for each class of frequent tokens
+EXTRA = 2  # losses that a prefix is extended by beyond what finds every link
+STAR_ROUNDS = 2  # in which documents are compared with leaders
+BLOCK_NODES = 256  # documents of a component in a block, whose sets are compared together
 SEEN = 1 << 16  # digests that a task remembers, to index copies that follow one another once
+BITS = 2048  # cells of a set's bitmap
+GROUP_PAIRS = 4000  # pairs that are compared in one group
+NO_ID = -(1 << 63)  # stands for a null doc_id
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -59,9 +65,9 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     if len(w) < words:
         return mixed(np.array([(w * factors[: len(w)]).sum(dtype=np.uint64) + np.uint64(len(w))], np.uint64))
     n = len(w) - words + 1
-    total = np.zeros(n, np.uint64)
-    for k in range(words):
-        total += mixed(w[k : k + n] + factors[k]) * factors[k]
+    total = w[:n] * factors[0]
+    for k in range(1, words):
+        total += w[k : k + n] * factors[k]
     return np.unique(mixed(total))
 
 
@@ -71,41 +77,49 @@ def digest(tokens: np.ndarray) -> tuple[int, bytes]:
     return int.from_bytes(d, "little", signed=True), d
 
 
-def most_different(n: int, percent: int = PERCENT) -> int:
-    """How many of n tokens may be missing from a linked document."""
-    return n - -(-percent * n // 100)
+def bands(n: int, percent: int = PERCENT) -> list[int]:
+    """Bands of sizes, from a power of two to the next, under which a document of n tokens is compared: its
+    own, and the next if a linked document may lie there."""
+    own = max(n, 1).bit_length() - 1
+    return [own, own + 1] if 100 * n >= percent << (own + 1) else [own]
 
 
-def size_key(n: int, percent: int = PERCENT) -> int:
-    """Band of a size: linked documents lie in the same or in neighbouring bands."""
-    return int(np.floor(np.log(max(n, 1)) / np.log(100 / percent) + 1e-9))
+def classes_of(band: int) -> int:
+    """Classes of frequent tokens for documents that are compared under a band."""
+    return max(1, (1 << band) // CLASS_TOKENS)
 
 
-def combinations(tokens: np.ndarray, common: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Hashes of the token combinations of a document's prefix. ``common`` marks frequent tokens."""
-    n = len(tokens)
-    need = most_different(n, percent) + 1
-    rare = tokens[~common]
-    if len(rare) >= need:
-        return rare[:need]
-    frequent, out = tokens[common], [rare]
-    for key in (size_key(n, percent), size_key(n, percent) + 1):
-        classes = max(1, int((100 / percent) ** key) // CLASS_TOKENS)
-        which = (mixed(frequent + np.uint64(key)) % np.uint64(classes)).astype(np.int64)
-        # a class's first token loses nothing, each further one loses one
-        order = np.argsort(which, kind="stable")
-        first = np.ones(len(which), bool)
-        first[order[1:]] = which[order[1:]] != which[order[:-1]]
-        losses = len(rare) + np.cumsum(~first)
-        upto = int(np.searchsorted(losses, need)) + 1
-        held, which = frequent[:upto], which[:upto]
+def needed_loss(n: int, percent: int = PERCENT) -> int:
+    """Losses that a prefix must have for linked documents to share one combination."""
+    return n - -(-percent * n // 100) + 1
+
+
+def stored(n: int, percent: int = PERCENT) -> int:
+    """Tokens that suffice for every prefix, whichever tokens are frequent: a class loses one token at most."""
+    return min(n, needed_loss(n, percent) + EXTRA + classes_of(bands(n, percent)[-1]))
+
+
+def extended(n: int, places: np.ndarray, tokens: np.ndarray, percent: int = PERCENT) -> tuple[int, int, np.ndarray]:
+    """The prefix of a document with n tokens whose frequent stored tokens, and their places, are given: its
+    length, the combinations that linked documents share at least, and its pair combinations."""
+    need, length, least, pairs = needed_loss(n, percent), 0, n, []
+    for band in bands(n, percent):
+        which = mixed(tokens + np.uint64(band)) % np.uint64(classes_of(band))
         order = np.argsort(which, kind="stable")
-        bounds = np.flatnonzero(np.r_[True, np.diff(which[order]) != 0, True]) if len(order) else np.zeros(0, np.int64)
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            group = held[order[a:b]]
+        first = np.ones(len(order), bool)  # a class's first token loses nothing
+        first[1:] = np.diff(which[order]) != 0
+        gain = np.ones(stored(n, percent), np.int64)
+        gain[places[order[first]]] = 0
+        losses = np.cumsum(gain)
+        upto = min(len(gain), int(np.searchsorted(losses, need + EXTRA)) + 1)
+        length, least = max(length, upto), min(least, int(losses[upto - 1]) - need + 1)
+        bounds = np.flatnonzero(np.r_[first, True])
+        for g in np.flatnonzero(np.diff(bounds) > 1):
+            group = order[bounds[g] : bounds[g + 1]]
+            group = tokens[group[places[group] < upto]]
             i, j = np.triu_indices(len(group), 1)
-            out.append(mixed(mixed(group[i]) * FACTORS[0] + mixed(group[j]) * FACTORS[1] + np.uint64(key)))
-    return np.unique(np.concatenate(out))
+            pairs.append(mixed(mixed(group[i]) * FACTORS[0] + mixed(group[j]) * FACTORS[1] + np.uint64(band)))
+    return length, max(1, least), np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.uint64)
 
 
 def token_batches(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -113,72 +127,126 @@ def token_batches(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield shingles(text)
 
 
-def indexed_documents(docs: DataFrame, counts: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, node, n, combos``: a row per document, its set's number and size, and its combinations;
-    a task leaves the combinations out where it gave them for an equal set shortly before."""
-    least = max(FREQUENT_LEAST, FREQUENT_LOAD * counts.sum() / len(counts))
-    common_cells = np.packbits(counts > least)
+def indexed_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, node, n, tokens``: a row per document, its set's number and size, and its stored tokens;
+    a task leaves the tokens out where it gave them for an equal set shortly before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, seen = np.unpackbits(common_cells).astype(bool), {}
+        seen: dict[int, bool] = {}
         for batch in batches:
-            nodes, sizes, combos = [], [], []
+            nodes, sizes, kept = [], [], []
             for tokens in token_batches(batch):
                 node = digest(tokens)[0]
-                again = node in seen
+                again = node in seen or len(tokens) < 2  # sets of one token link with equal sets only
                 if not again:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen[node] = True
-                c = None if again or len(tokens) < 2 else combinations(tokens, cells[cell_of(tokens)], percent)
                 nodes.append(node if len(tokens) else None)
                 sizes.append(len(tokens))
-                combos.append(None if c is None else c.view(np.int64))
+                kept.append(None if again else tokens[: stored(len(tokens), percent)].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(combos, pa.list_(pa.int64()))],
-                names=["doc_id", "node", "n", "combos"],
+                [batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(kept, pa.list_(pa.int64()))],
+                names=["doc_id", "node", "n", "tokens"],
             )
 
-    return docs.mapInArrow(run, "doc_id bigint, node bigint, n bigint, combos array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, node bigint, n bigint, tokens array<bigint>")
 
 
-def linked_sets(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """``node, tokens`` of the documents whose node falls into a wanted cell, one row for each node."""
-    packed = np.packbits(wanted)
+def prefixes(frequent: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``node, upto, least, pairs`` from each document's frequent stored tokens, ``node, n, found``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for n, found in zip(batch.column("n").to_pylist(), batch.column("found").to_pylist()):
+                places = np.array([f["pos"] for f in found], np.int64)
+                tokens = np.array([f["token"] for f in found], np.int64).view(np.uint64)
+                out.append(extended(n, places, tokens, percent))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("node"), pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()),
+                    pa.array([o[2].view(np.int64) for o in out], pa.list_(pa.int64())),
+                ], names=["node", "upto", "least", "pairs"],
+            )
+
+    return frequent.select("node", "n", "found").mapInArrow(run, "node bigint, upto int, least int, pairs array<bigint>")
+
+
+def linked_sets(texts: DataFrame, found: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``node, tokens, block`` of the nodes of ``blocks``, from the text of each node's smallest doc_id. A
+    filter of fixed size picks the texts whose shingles are made again; the join picks the right ones."""
+    ids = F.coalesce("doc_id", F.lit(NO_ID)).alias("id")
+    of = cut_lineage(found.select("node", ids).join(blocks, "node").groupBy("node", "block").agg(F.min("id").alias("id")))
+    packed = np.packbits(flagged(of, "id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, seen = np.unpackbits(packed).astype(bool), {}
         for batch in batches:
-            nodes, sets = [], []
-            for tokens in token_batches(batch):
-                node, _ = digest(tokens)
-                if len(tokens) and node not in seen and cells[cell_of(np.array([node], np.int64))[0]]:
+            some = batch.filter(pa.array(cells[cell_of(batch.column("id").to_numpy(zero_copy_only=False))]))
+            nodes, docs, sets = [], [], []
+            for doc, tokens in zip(some.column("id").to_pylist(), token_batches(some)):
+                node = digest(tokens)[0]
+                if len(tokens) and seen.get(node) != doc:
                     if len(seen) >= SEEN:
                         seen.clear()
-                    seen[node] = True
+                    seen[node] = doc
                     nodes.append(node)
+                    docs.append(doc)
                     sets.append(tokens.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(docs, pa.int64()), pa.array(sets, pa.binary())], names=["node", "id", "tokens"])
 
-    found = docs.mapInArrow(run, "node bigint, tokens binary")
-    return found.groupBy("node").agg(F.first("tokens").alias("tokens"))
+    made = texts.select(ids, "text").mapInArrow(run, "node bigint, id bigint, tokens binary")
+    return made.join(of, ["node", "id"]).select("node", "tokens", "block")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose sets link: 100 * common >= percent * all."""
+def in_blocks(nodes: DataFrame, heads: DataFrame) -> DataFrame:
+    """``node, block``: the nodes that have one leader, and it, dealt by hash to blocks of about BLOCK_NODES."""
+    named = nodes.select("node").join(heads, "node", "left").select("node", F.coalesce("head", "node").alias("head"))
+    sizes = named.groupBy("head").agg(F.ceil(F.count("*") / BLOCK_NODES).alias("blocks"))
+    return named.join(sizes, "head").select("node", F.xxhash64("head", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block"))
+
+
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Parities of the tokens in BITS cells. Two sets differ in as many tokens as their bitmaps in bits, or more."""
+    cells = (mixed(tokens) & np.uint64(BITS - 1)).astype(np.int64)
+    return np.packbits(np.bincount(cells, minlength=BITS) & 1).view(np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint")
+def linked(x: list, y: list, tokens: dict, percent: int) -> np.ndarray:
+    """For each pair of nodes whether their sets link: first by what sizes and bitmaps allow, then exactly."""
+    at = {n: k for k, n in enumerate(tokens)}
+    sets = list(tokens.values())
+    sizes, maps = np.array([len(t) for t in sets]), np.array([bitmap(t) for t in sets])
+    i, j = np.array([at[n] for n in x]), np.array([at[n] for n in y])
+    both = sizes[i] + sizes[j]
+    most = both - 2 * -(-percent * both // (100 + percent))  # tokens that a linked pair may differ in
+    keep = np.zeros(len(i), bool)
+    for k in range(0, len(i), 1 << 14):
+        part = slice(k, k + (1 << 14))
+        keep[part] = np.bitwise_count(maps[i[part]] ^ maps[j[part]]).sum(1) <= most[part]
+    for k in np.flatnonzero(keep):
+        s, t = sorted((sets[i[k]], sets[j[k]]), key=len)
+        place = np.minimum(np.searchsorted(t, s), len(t) - 1)
+        common = int((t[place] == s).sum())
+        keep[k] = 100 * common >= percent * (len(s) + len(t) - common)
+    return keep
+
+
+def verified(pairs: DataFrame, n: int, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) whose sets link: 100 * common >= percent * all. ``pairs``, n of them, name the blocks
+    of both nodes; all pairs of two blocks are compared in one group, so a set is sent once for each group."""
+    groups = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // GROUP_PAIRS))
+
+    def compare(p: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        tokens = {n: np.frombuffer(t, np.uint64) for n, t in zip(held["node"], held["tokens"])}
+        return p.loc[linked(p["a"].tolist(), p["b"].tolist(), tokens, percent), ["a", "b"]]
+
+    both = F.xxhash64(F.least("block_a", "block_b"), F.greatest("block_a", "block_b"))
+    pairs = pairs.select("a", "b", F.pmod(both, F.lit(groups)).alias("group"))
+    of = lambda side: pairs.select(F.col("group").alias("to_group"), F.col(side).alias("node")).distinct()
+    sent = of("a").union(of("b")).distinct().join(sets.select("node", "tokens"), "node")
+    return pairs.groupBy("group").cogroup(sent.groupBy("to_group")).applyInPandas(compare, "a bigint, b bigint")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -196,14 +264,14 @@ def connected(edges: DataFrame) -> DataFrame:
         moved = down.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def written(e: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        out = cut_lineage(e.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")))
+        return out, (seen.get.get("n"), seen.get.get("h"))
 
-    edges = cut_lineage(smaller(edges.where("a != b")))
-    before = mark(edges)
+    edges, before = written(smaller(edges.where("a != b")))
     while True:
-        edges = cut_lineage(smaller(larger(edges)))
-        now = mark(edges)
+        edges, now = written(smaller(larger(edges)))
         if now == before:
             break
         before = now
@@ -220,9 +288,8 @@ def join_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     its row has the smallest doc_id of its component, null if there is none. Repeated rows give repeated
     rows. An empty table gives an empty one; other columns play no part."""
     texts = doc_columns(docs)
-    counts = count_cells(texts, lambda batch: map(cell_of, token_batches(batch)))
-    found = cut_lineage(indexed_documents(texts, counts, percent))
-    comps = link_components(docs.sparkSession, texts, found, percent)
+    found = cut_lineage(indexed_documents(texts, percent))
+    comps = link_components(texts, found, percent)
     placed = found.select("doc_id", "node", "n").join(comps, "node", "left")
     placed = placed.withColumn("key", F.coalesce("comp", "node"))
     names = placed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("component"))
@@ -231,38 +298,94 @@ def join_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
 
-def link_components(spark: SparkSession, texts: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """``node, comp`` for the nodes that have links to other nodes."""
-    entries = found.where("combos is not null").select("node", "n", F.explode("combos").alias("combo"))
-    heads = entries.groupBy("combo").agg(F.min("node").alias("head"), F.max("node").alias("last"))
-    heads = cut_lineage(heads.where("head != last").select("combo", "head"))
-    # what shares a combination with another node; all else is done with
-    shared = cut_lineage(entries.join(heads, "combo").groupBy("combo", "node").agg(F.first("n").alias("n"), F.first("head").alias("head")))
-    sets = cut_lineage(linked_sets(texts, flagged(shared.select("node"), "node")))
-    met = shared.where("node != head").groupBy("head", "node").agg(F.count("*").alias("times"))
-    best = met.groupBy("node").agg(F.max_by("head", F.struct("times", -F.col("head"))).alias("head"))
-    edges = cut_lineage(verified(best.select(F.col("head").alias("a"), F.col("node").alias("b")), sets, percent))
-    comps = cut_lineage(connected(edges))
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        """Pairs of nodes that are in different components so far."""
+def index_entries(found: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``combo, node, n, least``: the combinations that more than one node has, with their nodes."""
+    entries = found.where("tokens is not null").select("node", "n", F.posexplode("tokens").alias("pos", "token"))
+    entries = entries.select("token", "node", F.expr("shiftleft(n, 32) + pos").alias("place"))  # narrow rows for the shuffle
+    counts = entries.groupBy("token").count().where("count > 1").select("token")
+    shared = entries.join(counts, "token").distinct()  # all other tokens are one document's own
+    shared = cut_lineage(shared.select("token", "node", F.expr("shiftright(place, 32)").alias("n"), F.expr("cast(place & 4294967295 as int)").alias("pos")))
+    sizes = shared.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
+    shared = shared.join(sizes, "token")
+    frequent = shared.where(F.col("size") > FREQUENT).groupBy("node", "n")
+    lists = frequent.agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("found"))  # a document's own, of bounded length
+    prefix = cut_lineage(prefixes(lists, percent))
+    need = F.expr(f"cast(n - ceil({percent} * n / 100) + 1 as int)")
+    upto = F.coalesce("upto", F.least(F.col("n").cast("int"), need + EXTRA))
+    single = shared.where(F.col("size") <= FREQUENT).join(prefix.drop("pairs"), "node", "left").where(F.col("pos") < upto)
+    single = single.select(F.col("token").alias("combo"), "node", "n", F.coalesce("least", upto - need + 1).alias("least"))
+    paired = prefix.join(shared.select("node", "n").distinct(), "node").select(F.explode("pairs").alias("combo"), "node", "n", "least")
+    many = paired.groupBy("combo").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("combo")
+    return single.unionByName(paired.join(many, "combo"))
+
+
+def with_comps(index: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """``index`` with the component of each node, the node itself where it has none."""
+    if comps is None:
+        return index.withColumn("comp", F.col("node"))
+    return index.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def leaders(index: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """``node, head``: for each node the node of another component, the first or last of a combination, that
+    it shares most combinations with, if these are as many as linked documents share."""
+    marked = with_comps(index, comps)
+    ends = marked.groupBy("combo").agg(F.min(F.struct("comp", "node")).alias("lo"), F.max(F.struct("comp", "node")).alias("hi"))
+    ends = ends.where("lo.comp != hi.comp")
+    other = F.when(F.col("comp") != F.col("lo.comp"), F.col("lo.node")).otherwise(F.col("hi.node"))
+    met = marked.join(ends, "combo").groupBy("node", other.alias("head")).agg(F.count("*").alias("times"), F.first("least").alias("least"))
+    return met.where("times >= least").groupBy("node").agg(F.max_by("head", F.struct("times", "head")).alias("head"))
+
+
+def open_pairs(index: DataFrame, comps: DataFrame | None, percent: int) -> DataFrame:
+    """``a, b, block_a, block_b``: all nodes of different components and fitting sizes that share as many
+    combinations as linked documents do."""
+    marked = with_comps(index, comps)
+    apart = marked.groupBy("combo").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("combo")
+    left = cut_lineage(marked.join(apart, "combo"))
+    a, b = (left.select("combo", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "least", "comp", "block")]) for x in "ab")
+    fits = f"a < b and comp_a != comp_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    times = a.join(b, "combo").where(fits).groupBy("a", "b").agg(
+        F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("least_a", "least_b", "block_a", "block_b")]
+    )
+    return times.where("times >= least(least_a, least_b)").select("a", "b", "block_a", "block_b")
+
+
+def link_components(texts: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """``node, comp`` for the nodes that have links to other nodes.
+
+    The sets of nodes that have a leader, and of the leaders, are gathered first; verified links with
+    leaders make components. Nodes of further pairs have their sets gathered too, where any is new."""
+    index = cut_lineage(index_entries(found, percent))
+    many = index.groupBy("node").agg(F.count("*").alias("times"), F.max("least").alias("least")).where("times >= least").select("node")
+    index = index.join(many, "node", "left_semi")
+    heads = cut_lineage(leaders(index, None))
+    nodes = heads.select("node").union(heads.select(F.col("head").alias("node"))).distinct()
+    blocks = cut_lineage(in_blocks(nodes, heads))
+    sets = cut_lineage(linked_sets(texts, found, blocks))
+    index = cut_lineage(index.join(blocks.withColumn("led", F.lit(True)), "node", "left").withColumn("block", F.coalesce("block", "node")))
+    edges = comps = None
+    for k in range(STAR_ROUNDS):
+        met = heads if k == 0 else leaders(index.where("led"), comps)
+        pairs = met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
         for side in ("a", "b"):
-            c = comps.select(F.col("node").alias(side), F.col("comp").alias(f"comp_{side}"))
-            pairs = pairs.join(c, side, "left").withColumn(f"comp_{side}", F.coalesce(f"comp_{side}", side))
-        return pairs.where("comp_a != comp_b").select("a", "b")
-
-    # each node with its other leaders, then the nodes of a combination that are in different components
-    others = met.select(F.col("head").alias("a"), F.col("node").alias("b"))
-    edges = edges.union(cut_lineage(verified(apart(others), sets, percent)))
-    comps = cut_lineage(connected(edges))
-    marked = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("combo", "node", "n", "comp")
-    mixed_combos = marked.groupBy("combo").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("combo")
-    left = cut_lineage(marked.join(mixed_combos, "combo"))
-    a = left.select("combo", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    b = left.select("combo", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    fits = f"a < b and ca != cb and 100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    rest = cut_lineage(a.join(b, "combo").where(fits).select("a", "b").distinct())
-    return connected(edges.union(cut_lineage(verified(rest, sets, percent))))
+            pairs = pairs.join(blocks.select(F.col("node").alias(side), F.col("block").alias(f"block_{side}")), side)
+        pairs, n = cut_lineage_counted(pairs)
+        new, n = cut_lineage_counted(verified(pairs, n, sets, percent))
+        if not n:
+            break
+        edges = new if edges is None else edges.union(new)
+        comps = cut_lineage(connected(edges))
+    pairs, n_pairs = cut_lineage_counted(open_pairs(index, comps, percent))
+    others = index.where("led is null").select("node", "block").distinct()
+    named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    others, n = cut_lineage_counted(others.join(named, "node", "left_semi"))
+    if n:
+        sets = sets.union(cut_lineage(linked_sets(texts, found, others)))
+    rest, n = cut_lineage_counted(verified(pairs, n_pairs, sets, percent))
+    if comps is None or n:
+        comps = cut_lineage(connected(rest if edges is None else edges.union(rest)))
+    return comps
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
