@@ -37,7 +37,7 @@ PERCENT = 85
 FREQUENT = 16  # documents that store a token, beyond which it is indexed in pairs
 CLASS_TOKENS = 16  # tokens of a document for each class of frequent tokens
 EXTRA = 2  # losses that a prefix is extended by beyond what finds every link
-STAR_ROUNDS = 2  # in which documents are compared with leaders
+STAR_ROUNDS = 1  # in which documents are compared with leaders
 BLOCK_NODES = 256  # documents of a component in a block, whose sets are compared together
 SEEN = 1 << 16  # digests that a task remembers, to index copies that follow one another once
 BITS = 2048  # cells of a set's bitmap
