@@ -26,8 +26,8 @@ from textloom.llm.common import doc_columns, map_columns, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-PAIRS_KEPT = 1 << 19  # entries of the memo of pair tests; beyond that it starts anew
-CHUNKS_KEPT = 3 << 17  # chunks in the younger of the memo's two generations; the older is dropped when it is full
+PAIRS_KEPT = 1 << 18  # entries of the memo of pair tests; beyond that it starts anew
+CHUNKS_KEPT = 1 << 18  # chunks in the younger of the memo's two generations; the older is dropped when it is full
 SIGNS = "\n\t.,;:!?#$%&*|()[]{}<>\"/\\"
 LONG_CHUNK = 64  # longer chunks are encoded each time and not kept
 BEGIN = 1 << 19  # stands before the first piece
@@ -230,15 +230,12 @@ def encode_pieces(docs: DataFrame, model: str | None = None, keep_ids: bool = Fa
     one; other columns of ``docs`` play no part. A map over rows: nothing is shuffled."""
 
     def run(doc_ids: list, texts: list) -> list[list]:
-        c = coder(model or tokenizer_path(MODEL))
-        both = [c.coded(t) for t in texts]
-        out = [
-            doc_ids,
-            [len(b) // 4 for b, _ in both],
-            [hashlib.sha256(b).hexdigest() for b, _ in both],
-            [hashlib.sha256(t.encode()).hexdigest() for _, t in both],
-        ]
-        return out + [[np.frombuffer(b, "<u4").tolist() for b, _ in both]] * keep_ids
+        c, out = coder(model or tokenizer_path(MODEL)), []
+        for text in texts:
+            raw, decoded = c.coded(text)
+            made = len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+            out.append((*made, np.frombuffer(raw, "<i4")) if keep_ids else made)
+        return [doc_ids, *map(list, zip(*out))] if out else [[] for _ in range(4 + keep_ids)]
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return map_columns(doc_columns(docs), run, schema)
