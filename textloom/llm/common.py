@@ -11,6 +11,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
+BATCH_ROWS = 1000
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public vocabulary file on this machine (installed on every worker)."""
     import public_tokenizers
@@ -18,8 +21,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def small_batches(df: DataFrame) -> None:
+    """Documents are long: fewer rows in an Arrow batch of this session keep a task's memory small."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+
+
 def doc_columns(docs: DataFrame) -> DataFrame:
     """Only ``doc_id`` and ``text`` (null text: empty), whatever else the table holds."""
+    small_batches(docs)
     return docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
 
 

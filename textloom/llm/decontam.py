@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import doc_columns, map_columns
+from textloom.llm.common import doc_columns, map_columns, small_batches
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5  # share of an item's own score
@@ -236,6 +236,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text holds a leaked test item; all columns stay, nothing is shuffled."""
+    small_batches(docs)
     for index in index_blocks(benchmark):
         docs = docs.where(clean_texts(index)(F.coalesce(docs["text"].cast("string"), F.lit(""))))
     return docs

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import doc_columns, map_columns
+from textloom.llm.common import doc_columns, map_columns, small_batches
 
 CHUNK = 512
 HOP = 448
@@ -33,7 +33,8 @@ EPOCHS = 8
 LEAST_STEPS = 480  # of training, so that a small sample is gone over more often
 BATCH = 64  # texts in a training step
 RATE = 0.01
-SCORED_CHUNKS = 1024  # chunks scored at once
+SCORED_CHUNKS = 256  # chunks scored at once
+SCORED_BYTES = 1 << 20  # of text cut into chunks at once, a longer text by itself
 
 
 def chunks_of(raw: bytes) -> np.ndarray:
@@ -100,14 +101,14 @@ class ByteNetwork:
             out[full] = np.hstack([np.maximum.reduceat(answers, starts), np.add.reduceat(answers, starts) / counts[full, None]])
         return out
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """Probability of label 1 for each text."""
+    def scores(self, texts: list[str] | list[bytes]) -> np.ndarray:
+        """Probability of label 1 for each text, some texts at a time."""
         out, at = np.zeros(len(texts)), 0
         while at < len(texts):
             to, held = at, 0
-            while to < len(texts) and (to == at or held + len(texts[to]) < 4 << 20):
+            while to < len(texts) and (to == at or held + len(texts[to]) < SCORED_BYTES):
                 held, to = held + len(texts[to]), to + 1
-            parts = [chunks_of(t) for t in texts[at:to]]
+            parts = [chunks_of(t.encode() if isinstance(t, str) else t) for t in texts[at:to]]
             counts = np.array([len(c) for c in parts])
             chunks = np.concatenate(parts)
             full = np.hstack([self.pooled_answers(chunks), echoes(chunks)])
@@ -201,7 +202,7 @@ def score_quality(docs: DataFrame, network: ByteNetwork) -> DataFrame:
     def run(ids: list, texts: list) -> list[list]:
         net = ByteNetwork.__new__(ByteNetwork)
         net.p = params
-        score = net.scores([t.encode() for t in texts])
+        score = net.scores(texts)
         held = [i is not None and zlib.crc32(str(i).encode()) % 3 == 1 for i in ids]
         return [ids, held, score.tolist(), (score >= 0.5).astype(int).tolist()]
 
@@ -212,12 +213,13 @@ def keep_good(docs: DataFrame, network: ByteNetwork, threshold: float = 0.5) ->
     """``docs`` without the rows whose text scores below ``threshold``; all columns stay. Rows are judged
     where they lie: nothing is joined or shuffled."""
     params = network.p
+    small_batches(docs)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         net = ByteNetwork.__new__(ByteNetwork)
         net.p = params
         for texts in batches:
-            yield pd.Series(net.scores([t.encode() for t in texts]))
+            yield pd.Series(net.scores(texts.tolist()))
 
     return docs.where(score(F.coalesce(docs["text"].cast("string"), F.lit(""))) >= threshold)
