@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.decontam import find_leaks
 from textloom.llm.licenses import scan_licenses
-from textloom.llm.lm_scores import score_documents
+from textloom.llm.lm_scores import score_all_words
 from textloom.llm.multi_index import nearest
 from textloom.llm.ngram_join import join_documents
 from textloom.llm.pieces import encode_pieces
@@ -39,7 +39,7 @@ def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op2_lm_scores")
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations"))
+    return score_all_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations"))
 
 
 @register("op3_pieces")
