@@ -13,7 +13,8 @@ combinations are not compared, and a combination of rare tokens has few document
 Near copies meet a leader first: each document that of the other component in its combinations which it
 shares most with. Verified links join documents to components; only documents of one combination that are
 still in different components are then compared with one another, by size and bitmap first. Links inside a
-component that is already joined change nothing and are not looked at.
+component that is already joined change nothing there and are not looked at. Where the number of links is
+asked for, all documents that share enough combinations are compared, whatever their component.
 """
 
 from __future__ import annotations
@@ -279,9 +280,10 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(roots)
 
 
-def join_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def join_documents(docs: DataFrame, percent: int = PERCENT, links: bool = False) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of ``percent`` or more:
-    ``doc_id, n_shingles, component_id``.
+    ``doc_id, n_shingles, component_id``, and with ``links`` also ``n_links``, the number of other rows
+    that the row is linked with.
 
     One row per input row. Null, empty and blank texts have no shingles and are linked with nothing:
     their component is their own doc_id. Equal sets are always linked. A null doc_id names no component:
@@ -289,13 +291,49 @@ def join_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows. An empty table gives an empty one; other columns play no part."""
     texts = doc_columns(docs)
     found = cut_lineage(indexed_documents(texts, percent))
-    comps = link_components(texts, found, percent)
+    edges = None
+    if links:
+        edges = cut_lineage(all_links(texts, found, percent))
+        comps = cut_lineage(connected(edges))
+    else:
+        comps = link_components(texts, found, percent)
     placed = found.select("doc_id", "node", "n").join(comps, "node", "left")
     placed = placed.withColumn("key", F.coalesce("comp", "node"))
     names = placed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("component"))
+    if edges is not None:
+        placed = placed.join(link_numbers(found, edges), "node", "left")
     return placed.join(names, "key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
+        *([] if edges is None else [F.coalesce("n_links", F.lit(0)).alias("n_links")]),
+    )
+
+
+def link_numbers(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, n_links``: how many rows link with a row of each set, its own copies and those of linked sets."""
+    copies = found.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"))
+    ends = edges.select(F.col("a").alias("at"), F.col("b").alias("node")).union(edges.select(F.col("b").alias("at"), F.col("a").alias("node")))
+    others = ends.join(copies, "node").groupBy(F.col("at").alias("node")).agg(F.sum("copies").alias("others"))
+    return copies.join(others, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+
+
+def likely_index(found: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """:func:`index_entries` of the nodes that have as many combinations as linked documents share."""
+    index = cut_lineage(index_entries(found, percent))
+    many = index.groupBy("node").agg(F.count("*").alias("times"), F.max("least").alias("least")).where("times >= least").select("node")
+    return index.join(many, "node", "left_semi")
+
+
+def all_links(texts: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: every two different sets that link, a < b, also inside components. Their number, and the
+    comparisons, grow with the square of a group of near copies."""
+    index = likely_index(found, percent)
+    heads = cut_lineage(leaders(index, None))
+    nodes = heads.select("node").union(heads.select(F.col("head").alias("node"))).distinct()
+    index = index.join(in_blocks(nodes, heads), "node", "left").withColumn("block", F.coalesce("block", "node"))
+    pairs, n = cut_lineage_counted(open_pairs(cut_lineage(index), None, percent))
+    sides = (pairs.select(F.col(x).alias("node"), F.col(f"block_{x}").alias("block")) for x in "ab")
+    sets = cut_lineage(linked_sets(texts, found, cut_lineage(next(sides).union(next(sides)).distinct())))
+    return verified(pairs, n, sets, percent)
 
 
 def index_entries(found: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -356,9 +394,7 @@ def link_components(texts: DataFrame, found: DataFrame, percent: int) -> DataFra
 
     The sets of nodes that have a leader, and of the leaders, are gathered first; verified links with
     leaders make components. Nodes of further pairs have their sets gathered too, where any is new."""
-    index = cut_lineage(index_entries(found, percent))
-    many = index.groupBy("node").agg(F.count("*").alias("times"), F.max("least").alias("least")).where("times >= least").select("node")
-    index = index.join(many, "node", "left_semi")
+    index = likely_index(found, percent)
     heads = cut_lineage(leaders(index, None))
     nodes = heads.select("node").union(heads.select(F.col("head").alias("node"))).distinct()
     blocks = cut_lineage(in_blocks(nodes, heads))
