@@ -6,7 +6,7 @@ from edge import edge_docs, no_docs
 from test_ngram_join import brute
 
 from textloom.llm import ngram_join
-from textloom.llm.ngram_join import join_documents
+from textloom.llm.ngram_join import join_documents, keep_one
 
 
 def plain_links(rows):
@@ -54,3 +54,15 @@ def test_edges(spark):
     assert sorted((r["doc_id"], r["n_links"]) for r in found.where("n_links > 0").collect()) == [(4, 2), (4, 2), (5, 2)]
     assert join_documents(no_docs(spark), links=True).count() == 0
     assert join_documents(edge_docs(spark)).columns == ["doc_id", "n_shingles", "component_id"]
+
+
+def test_number_of_words_of_a_shingle(spark):
+    """One word of 48 changed: of 44 shingles of five words 39 stay, 39 / 49 is under 80 %; of 50, 41 / 51 is over."""
+    word = [f"w{k}" for k in range(50)]
+    change = lambda n: " ".join([*word[: n // 2], "other", *word[n // 2 + 1 : n]])
+    rows = [(1, " ".join(word)), (2, change(50)), (11, "x " + " ".join(w + "y" for w in word[:47])), (12, "x " + change(48).replace(" ", "y ") + "y")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
+    assert ids(keep_one(docs)) == [1, 2, 11, 12]
+    assert ids(keep_one(docs, percent=80, words=5)) == [1, 11, 12]
+    assert [r["n_shingles"] for r in join_documents(docs.where("doc_id = 1"), words=5).collect()] == [46]

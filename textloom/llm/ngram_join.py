@@ -123,12 +123,12 @@ def extended(n: int, places: np.ndarray, tokens: np.ndarray, percent: int = PERC
     return length, max(1, least), np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.uint64)
 
 
-def token_batches(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+def token_batches(batch: pa.RecordBatch, words: int = WORDS) -> Iterator[np.ndarray]:
     for text in batch.column("text").to_pylist():
-        yield shingles(text)
+        yield shingles(text, words)
 
 
-def indexed_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def indexed_documents(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """``doc_id, node, n, tokens``: a row per document, its set's number and size, and its stored tokens;
     a task leaves the tokens out where it gave them for an equal set shortly before."""
 
@@ -136,7 +136,7 @@ def indexed_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         seen: dict[int, bool] = {}
         for batch in batches:
             nodes, sizes, kept = [], [], []
-            for tokens in token_batches(batch):
+            for tokens in token_batches(batch, words):
                 node = digest(tokens)[0]
                 again = node in seen or len(tokens) < 2  # sets of one token link with equal sets only
                 if not again:
@@ -174,7 +174,7 @@ def prefixes(frequent: DataFrame, percent: int = PERCENT) -> DataFrame:
     return frequent.select("node", "n", "found").mapInArrow(run, "node bigint, upto int, least int, pairs array<bigint>")
 
 
-def linked_sets(texts: DataFrame, found: DataFrame, blocks: DataFrame) -> DataFrame:
+def linked_sets(texts: DataFrame, found: DataFrame, blocks: DataFrame, words: int = WORDS) -> DataFrame:
     """``node, tokens, block`` of the nodes of ``blocks``, from the text of each node's smallest doc_id. A
     filter of fixed size picks the texts whose shingles are made again; the join picks the right ones."""
     ids = F.coalesce("doc_id", F.lit(NO_ID)).alias("id")
@@ -186,7 +186,7 @@ def linked_sets(texts: DataFrame, found: DataFrame, blocks: DataFrame) -> DataFr
         for batch in batches:
             some = batch.filter(pa.array(cells[cell_of(batch.column("id").to_numpy(zero_copy_only=False))]))
             nodes, docs, sets = [], [], []
-            for doc, tokens in zip(some.column("id").to_pylist(), token_batches(some)):
+            for doc, tokens in zip(some.column("id").to_pylist(), token_batches(some, words)):
                 node = digest(tokens)[0]
                 if len(tokens) and seen.get(node) != doc:
                     if len(seen) >= SEEN:
@@ -280,23 +280,23 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(roots)
 
 
-def join_documents(docs: DataFrame, percent: int = PERCENT, links: bool = False) -> DataFrame:
+def join_documents(docs: DataFrame, percent: int = PERCENT, links: bool = False, words: int = WORDS) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of ``percent`` or more:
     ``doc_id, n_shingles, component_id``, and with ``links`` also ``n_links``, the number of other rows
-    that the row is linked with.
+    that the row is linked with. A shingle has ``words`` words.
 
     One row per input row. Null, empty and blank texts have no shingles and are linked with nothing:
     their component is their own doc_id. Equal sets are always linked. A null doc_id names no component:
     its row has the smallest doc_id of its component, null if there is none. Repeated rows give repeated
     rows. An empty table gives an empty one; other columns play no part."""
     texts = doc_columns(docs)
-    found = cut_lineage(indexed_documents(texts, percent))
+    found = cut_lineage(indexed_documents(texts, percent, words))
     edges = None
     if links:
-        edges = cut_lineage(all_links(texts, found, percent))
+        edges = cut_lineage(all_links(texts, found, percent, words))
         comps = cut_lineage(connected(edges))
     else:
-        comps = link_components(texts, found, percent)
+        comps = link_components(texts, found, percent, words)
     placed = found.select("doc_id", "node", "n").join(comps, "node", "left")
     placed = placed.withColumn("key", F.coalesce("comp", "node"))
     names = placed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("component"))
@@ -323,7 +323,7 @@ def likely_index(found: DataFrame, percent: int = PERCENT) -> DataFrame:
     return index.join(many, "node", "left_semi")
 
 
-def all_links(texts: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def all_links(texts: DataFrame, found: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
     """``a, b``: every two different sets that link, a < b, also inside components. Their number, and the
     comparisons, grow with the square of a group of near copies."""
     index = likely_index(found, percent)
@@ -332,7 +332,7 @@ def all_links(texts: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     index = index.join(in_blocks(nodes, heads), "node", "left").withColumn("block", F.coalesce("block", "node"))
     pairs, n = cut_lineage_counted(open_pairs(cut_lineage(index), None, percent))
     sides = (pairs.select(F.col(x).alias("node"), F.col(f"block_{x}").alias("block")) for x in "ab")
-    sets = cut_lineage(linked_sets(texts, found, cut_lineage(next(sides).union(next(sides)).distinct())))
+    sets = cut_lineage(linked_sets(texts, found, cut_lineage(next(sides).union(next(sides)).distinct()), words))
     return verified(pairs, n, sets, percent)
 
 
@@ -389,7 +389,7 @@ def open_pairs(index: DataFrame, comps: DataFrame | None, percent: int) -> DataF
     return times.where("times >= least(least_a, least_b)").select("a", "b", "block_a", "block_b")
 
 
-def link_components(texts: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def link_components(texts: DataFrame, found: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
     """``node, comp`` for the nodes that have links to other nodes.
 
     The sets of nodes that have a leader, and of the leaders, are gathered first; verified links with
@@ -398,7 +398,7 @@ def link_components(texts: DataFrame, found: DataFrame, percent: int) -> DataFra
     heads = cut_lineage(leaders(index, None))
     nodes = heads.select("node").union(heads.select(F.col("head").alias("node"))).distinct()
     blocks = cut_lineage(in_blocks(nodes, heads))
-    sets = cut_lineage(linked_sets(texts, found, blocks))
+    sets = cut_lineage(linked_sets(texts, found, blocks, words))
     index = cut_lineage(index.join(blocks.withColumn("led", F.lit(True)), "node", "left").withColumn("block", F.coalesce("block", "node")))
     edges = comps = None
     for k in range(STAR_ROUNDS):
@@ -417,20 +417,20 @@ def link_components(texts: DataFrame, found: DataFrame, percent: int) -> DataFra
     named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     others, n = cut_lineage_counted(others.join(named, "node", "left_semi"))
     if n:
-        sets = sets.union(cut_lineage(linked_sets(texts, found, others)))
+        sets = sets.union(cut_lineage(linked_sets(texts, found, others, words)))
     rest, n = cut_lineage_counted(verified(pairs, n_pairs, sets, percent))
     if comps is None or n:
         comps = cut_lineage(connected(rest if edges is None else edges.union(rest)))
     return comps
 
 
-def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """``docs`` with one document of each component of :func:`join_documents`: the one whose doc_id names
     it, once if its row is repeated. Rows without doc_id and texts without shingles stay. All columns stay.
 
     Only rows that a filter of fixed size marks as possibly repeated or named by another document are
     joined, so most texts are not moved."""
-    joined = join_documents(docs, percent)
+    joined = join_documents(docs, percent, words=words)
     rows = joined.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(
         F.count("*").alias("times"), F.max(F.col("doc_id") == F.col("component_id")).alias("names")
     )
