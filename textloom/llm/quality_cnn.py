@@ -29,6 +29,8 @@ FILTERS = 16
 LAGS = tuple(range(1, 25))
 PER_CLASS = 1500  # labelled rows of each class in the training sample
 SAMPLE_BYTES = 12 << 20  # bytes of text of each class in the training sample
+SHARES = 16  # texts that the bytes of a class suffice for, however long they are
+STRETCHES = 16  # of a text longer than its share that teach, from its first bytes to its last
 EPOCHS = 8
 LEAST_STEPS = 480  # of training, so that a small sample is gone over more often
 BATCH = 64  # texts in a training step
@@ -173,17 +175,22 @@ def held_out(doc_id):
 
 def train_network(docs: DataFrame, labels: DataFrame) -> ByteNetwork:
     """A network trained on at most PER_CLASS rows and SAMPLE_BYTES of each label, the first in the order
-    of a hash. Only rows with a label 0 or 1 that are not held out teach."""
+    of a hash. Only rows with a label 0 or 1 that are not held out teach. Of a text longer than a SHARES-th of
+    the bytes, STRETCHES stretches spread over it teach, which are that long together."""
     known = labels.select(labels["doc_id"].alias("id"), labels["quality"].cast("int").alias("quality"))
     known = known.where(F.col("quality").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
     order = Window.partitionBy("quality").orderBy(F.xxhash64("id"), "id")
     picked = known.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= PER_CLASS)  # bounded
     texts = doc_columns(docs).join(F.broadcast(picked), F.col("doc_id") == F.col("id")).where("text != ''")
+    raw, size, stretch = F.col("text").cast("binary"), F.octet_length("text").cast("bigint"), SAMPLE_BYTES // (SHARES * STRETCHES)
+    starts = [F.floor((size - stretch) * k / (STRETCHES - 1)).cast("int") + 1 for k in range(STRETCHES)]
+    spread = F.concat(*[raw.substr(start, F.lit(stretch)) for start in starts])
+    texts = texts.withColumn("text", F.when(size > stretch * STRETCHES, spread).otherwise(raw))
     upto = F.sum(F.octet_length("text").cast("bigint")).over(order.orderBy("n", "text"))
     sample = texts.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).select("id", "quality", "text").orderBy("quality", "n", "text")
     net, batches, y = ByteNetwork(), [], []
     for r in sample.toLocalIterator():
-        batches.append(r["text"].encode())
+        batches.append(bytes(r["text"]))
         y.append(r["quality"])
     if len(set(y)) == 2:
         net.train(batches, np.array(y))
