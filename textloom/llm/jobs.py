@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.decontam import find_leaks
+from textloom.llm.fill_middle import fill_middle_digest
 from textloom.llm.licenses import scan_licenses
 from textloom.llm.lm_scores import score_all_words
 from textloom.llm.multi_index import nearest
@@ -15,7 +16,9 @@ from textloom.llm.pieces import encode_pieces
 from textloom.llm.pii import pii_digest
 from textloom.llm.quality_cnn import score_quality, train_network
 from textloom.llm.sharding import shard_documents
+from textloom.llm.spelling import spelling_groups
 from textloom.llm.token_counts import token_counts
+from textloom.llm.token_store import stored_tokens
 from textloom.session import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +97,18 @@ def op9_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_token_counts")
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
+
+
+@register("op11_token_store")
+def op11_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_tokens(spark, table(spark, sf_dir, "documents"))
+
+
+@register("op12_fill_middle")
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle_digest(table(spark, sf_dir, "documents"))
+
+
+@register("op13_spelling")
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"))
