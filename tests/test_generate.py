@@ -2,7 +2,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from conftest import SF
+from sf_tables import SF
 
 
 def _last_user(spark):

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import SF
+from sf_tables import SF
 from textloom.functions.html import html_text, html_text_parsed
 from textloom.operators.structure import (
     class_inventory, classes_with_kind, compose_edges, enum_members, inherit_edges, methods_for, mine_structure, own_fields,

@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from textloom.operators import packing
 from textloom.operators.ordered import assign_segments, budget_cutoff, effective_limits, pack_segments, segment_labels
 
 
@@ -113,14 +116,62 @@ def test_running_totals_of_a_hot_key_with_a_wide_column(spark, tmp_path):
     assert budget_cutoff(df.withColumn("one", F.lit(1)), ["k"], ["o"], "one", "one").count() == 240_000
 
 
-def test_stream_budget_equals_batch(spark):
-    import os
-
-    from conftest import SF
-    from textloom.plans.web_jobs import scraped
-    from textloom.streaming.streams import run_available, stream_budget, stream_pages
-
-    batch = budget_cutoff(scraped(spark, SF), ["host"], ["url"], limit_token=1500)
-    stream = run_available(stream_budget(stream_pages(spark, os.path.join(SF, "pages.parquet")), 1500), "t_budget")
-    key = lambda df: sorted((r.host, r.url) for r in df.select("host", "url").collect())
-    assert key(batch) == key(stream)
+@pytest.mark.parametrize("limits", [(10, 20), (10, 0), (0, 9), (0, 0), (40, 7), (-1, 50), (200, 100)])
+def test_runs_composed_in_any_order_leave_what_the_plain_rule_leaves(limits):
+    rnd, bounds = random.Random(sum(limits)), tuple(map(packing._bound, limits))
+    for _ in range(60):
+        sizes = [(rnd.choice([0, 0, 1, 3, 8, 13, 40]), rnd.choice([0, 2, 7, 30])) for _ in range(rnd.randint(1, 60))]
+        cuts = sorted({0, len(sizes), *(rnd.randrange(len(sizes)) for _ in range(4))})
+        parts = [np.array(sizes[a:b]).T for a, b in zip(cuts, cuts[1:])]
+        steps = [packing.Steps.of(packing.Run.of(p, bounds)) for p in parts]
+        whole = steps[0]
+        for s in steps[1:]:
+            whole = s.after(whole, bounds)
+        pairs = steps[:]
+        while len(pairs) > 1:
+            pairs = [pairs[k + 1].after(pairs[k], bounds) if k + 1 < len(pairs) else pairs[k] for k in range(0, len(pairs), 2)]
+        for found in [(0, 0), (3, 2), (9, 9), (41, 0), (7, 33)]:
+            t, c = found
+            for a, b in sizes:
+                t, c = t + a, c + b
+                if t > bounds[0] or c > bounds[1]:
+                    t, c = a, b
+            one = np.array(found)[:, None]
+            assert whole(one, bounds)[:, 0].tolist() == pairs[0](one, bounds)[:, 0].tolist() == [t, c]
+
+
+@pytest.mark.parametrize("limits", [(10, 20, False), (0, 0, False), (300, 100, True), (40, 0, True)])
+def test_hot_groups_in_short_runs(spark, monkeypatch, limits):
+    """Groups of several runs over several partitions, with every size of segment, against the plain rule."""
+    monkeypatch.setattr(packing, "RUN_ITEMS", 7)
+    rnd = random.Random(11)
+    sizes = lambda n: [(rnd.choice([0, 1, 3, 5, 8, 13, 40]), rnd.choice([0, 2, 7, 30])) for _ in range(n)]
+    cases = [("hot", sizes(500)), ("warm", sizes(90)), *((f"c{k}", sizes(rnd.randint(1, 16))) for k in range(25)), ("big", [(900, 1)] * 20), ("zero", [(0, 0)] * 40)]
+    df = _items(spark, cases).repartition(5)
+    mt, mc, wrap = limits
+    keep = mt != 10
+    got = {(r.grp, r.ord): (r.seg, r.empty_first) for r in assign_segments(df, ["grp"], ["ord"], mt, mc, wrap, keep).collect()}
+    for g, sizes_of in cases:
+        exp, first_over = greedy(sizes_of, *effective_limits(mt, mc, wrap))
+        shift = 1 if first_over and not keep else 0
+        assert [got[(g, i)] for i in range(len(sizes_of))] == [(e - shift, keep and first_over) for e in exp], (g, limits, keep)
+
+
+def test_two_keys_with_nulls_in_short_runs(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RUN_ITEMS", 3)
+    rows = [(a, b, i, i % 4, 1, "x") for a in (None, "p") for b in (None, 2) for i in range(17)]
+    df = spark.createDataFrame(rows, "a string, b int, ord long, token long, chars long, content string")
+    got = {}
+    for r in assign_segments(df, ["a", "b"], ["ord"], 6, 0).collect():
+        got.setdefault((r.a, r.b), {})[r.ord] = r.seg
+    want, _ = greedy([(i % 4, 1) for i in range(17)], 6, 0)
+    assert len(got) == 4 and all([g[i] for i in range(17)] == want for g in got.values())
+
+
+def test_a_hot_group_spreads_over_tasks(spark):
+    """One group with nearly all rows is cut into runs of several partitions."""
+    df = spark.range(50_000).select(F.lit("hot").alias("grp"), "id", (F.col("id") % 7).alias("token"), F.lit(1).alias("chars"))
+    narrow = df.select("grp", "id", F.col("id").alias("__id"), F.col("token").alias("__tok"), F.col("chars").cast("long").alias("__chr"))
+    seg = packing.greedy_segments(narrow, ["grp"], ["id"], 1000, 0, partitions=8, run_items=500)
+    want, _ = greedy([(i % 7, 1) for i in range(50_000)], 1000, 0)
+    assert [r.seg for r in seg.orderBy("__id").collect()] == want

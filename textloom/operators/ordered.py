@@ -7,9 +7,9 @@ Scale notes
   running sums, and the blocks' totals (at most #groups + #blocks rows) give each block its
   offset. The written table is what both sides read, so they agree on the blocks. A hot key
   that holds a third of all rows spreads over many blocks; every size takes this path.
-* Greedy packing is sequential by definition. ``assign_segments`` streams narrow rows (item
-  number and two sizes) in order through tasks that hold one running state, so a group of any
-  size needs constant memory. Texts are joined only per segment, which the budget bounds.
+* Greedy packing takes narrow rows (item number and two sizes) through :mod:`textloom.operators.packing`:
+  runs of bounded length, whose effect on the open segment is composed by pointer doubling, so that
+  a hot group spreads over all tasks. Texts are joined only per segment, which the budget bounds.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.packing import greedy_segments
 from textloom.session import cut_lineage
 
 DEFAULT_MAX_TOKEN = 25_000
@@ -111,35 +112,6 @@ def effective_limits(max_token: int | None, max_char: int | None, with_prompt: b
     return mt, mc
 
 
-def _greedy_stream(keys: list[str], mt: int, mc: int, keep_empty: bool):
-    """Segment numbers of rows that come sorted by keys and order; only the state of the group at hand is
-    kept from one batch to the next. A limit of 0 means no limit; a negative one is always exceeded."""
-    import pandas as pd
-
-    def over(tt: int, tc: int) -> bool:
-        return (mt != 0 and mt < tt) or (mc != 0 and mc < tc)
-
-    def run(batches):
-        group, seg, tt, tc, empty = None, 0, 0, 0, False
-        for pdf in batches:
-            key_rows = pdf[keys].astype(object).where(pdf[keys].notna(), None).itertuples(index=False, name=None)
-            segs, empties = [], []
-            for key, t, c in zip(key_rows, pdf["__tok"].tolist(), pdf["__chr"].tolist()):
-                if group is None or key != group[0]:
-                    group, tt, tc = (key,), t, c
-                    empty = over(t, c) and keep_empty
-                    seg = int(empty)
-                else:
-                    tt, tc = tt + t, tc + c
-                    if over(tt, tc):
-                        seg, tt, tc = seg + 1, t, c
-                segs.append(seg)
-                empties.append(empty)
-            yield pd.DataFrame({"__id": pdf["__id"], "seg": segs, "empty_first": empties})
-
-    return run
-
-
 def numbered(items: DataFrame) -> DataFrame:
     """``items`` written once with a number for each row, so that rows can be told apart whatever they hold."""
     return cut_lineage(items.withColumn("__id", F.monotonically_increasing_id()))
@@ -147,12 +119,11 @@ def numbered(items: DataFrame) -> DataFrame:
 
 def _segments_by_id(items: DataFrame, keys, order, max_token, max_char, with_prompt, keep_empty, token_col, char_col) -> DataFrame:
     mt, mc = effective_limits(max_token, max_char, with_prompt)
-    size = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0))
+    size = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long"))
     narrow = items.select(*keys, *order, "__id", size(token_col).alias("__tok"), size(char_col).alias("__chr"))
-    dealt = narrow.repartition(*keys).sortWithinPartitions(*keys, *order, "__id")
-    return dealt.select(*keys, "__id", "__tok", "__chr").mapInPandas(
-        _greedy_stream(keys, mt, mc, keep_empty), "__id bigint, seg bigint, empty_first boolean"
-    )
+    seg = greedy_segments(narrow, keys, order, mt, mc, _n_blocks(items, None))
+    empty = F.col("first_over") if keep_empty else F.lit(False)
+    return seg.select("__id", (F.col("seg") + empty.cast("long")).alias("seg"), empty.alias("empty_first"))
 
 
 def assign_segments(
