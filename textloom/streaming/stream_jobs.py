@@ -25,7 +25,7 @@ run AS (SELECT *, sum(token_size) OVER (PARTITION BY host ORDER BY url ROWS UNBO
 SELECT host, url, token_size, char_size FROM run WHERE ct <= 2000""")
 def q_stream_budget(spark, sf_dir):
     pages = stream_pages(spark, os.path.join(sf_dir, "pages.parquet"))
-    return run_available(stream_budget(pages, 2000), "budget")
+    return stream_budget(pages, 2000)
 
 
 @register("stream_chunks", f"""WITH {SQL_CHUNKS},
