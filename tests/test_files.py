@@ -39,3 +39,117 @@ def test_containment_is_by_literal_prefix(spark):
     nodes = ["d/component_one.ts", "d", "d/e", "d/component_", "x"]
     got = {(r.node, r.path) for r in contains_expand(spark.createDataFrame([(n,) for n in nodes], "node string"), files).collect()}
     assert got == {(n, p) for n in nodes for p in paths if p.startswith(n) and p != n}
+
+
+def _trees(root):
+    from textloom.sources.file_tree import Wanted, _Tree
+
+    tree = _Tree({"path": root, "partitions": "2"})
+    return tree, Wanted
+
+
+def test_pieces_hold_each_file_once(spark, monkeypatch):
+    from textloom.sources import file_tree
+
+    _, root = _tree(spark)
+    for each, folders in ((1000, 4), (2, 1), (1, 100)):
+        monkeypatch.setattr(file_tree, "FILES_EACH", each)
+        monkeypatch.setattr(file_tree, "FOLDERS_EACH", folders)
+        tree, wanted = _trees(root)
+        pieces = tree.plan(wanted())
+        stem = root.removeprefix("file:").rstrip("/") + "/"
+        got = [r["path"].removeprefix(stem) for p in pieces for b in tree.rows(p) for r in b.to_pylist()]
+        assert sorted(got) == sorted(TREE), (each, folders)
+
+
+def test_filters_reach_the_source(spark):
+    from pyspark.sql import functions as F
+
+    from textloom.sources.file_tree import file_tree
+
+    _, root = _tree(spark)
+    stem = root.removeprefix("file:").rstrip("/") + "/"
+    t = file_tree(spark, root)
+    names = lambda df: sorted(r.path.removeprefix(stem) for r in df.select("path").collect())
+    ends = t.where(F.col("path").endswith(".py") & ~F.col("path").endswith("a.py") & F.col("path").startswith(stem + "pkg/"))
+    plan = ends._jdf.queryExecution().executedPlan().toString()
+    assert "EndsWith" not in plan.split("BatchScan")[0], plan  # nothing is left for Spark to filter
+    assert names(ends) == sorted(p for p in TREE if p.endswith(".py") and not p.endswith("a.py") and p.startswith("pkg/"))
+    assert names(t.where(F.col("path") == stem + "web/a.ts")) == ["web/a.ts"]
+    assert names(t.where(F.col("path") != stem + "web/a.ts")) == sorted(set(TREE) - {"web/a.ts"})
+    assert names(t.where(F.col("path").contains("sub") | F.col("path").endswith(".txt"))) == ["notes.txt", "pkg/sub/__init__.py", "pkg/sub/c.py"]
+    assert names(t.where(~F.col("path").startswith(stem + "pkg"))) == ["notes.txt", "web/a.ts", "web/a.tsx"]
+    listed = file_tree(spark, root, content="false", ignoreDirs=["sub"], extensions=[".py", ".ts"], scope=[stem + "pkg", stem + "we"])
+    assert listed.columns == ["path", "size", "modified"]
+    assert names(listed) == sorted(p for p in TREE if p.endswith((".py", ".ts")) and "/sub/" not in p)
+
+
+def test_folders_that_cannot_match_are_not_walked():
+    from textloom.sources.file_tree import Wanted
+
+    w = Wanted(begins=[("/r/pk",)], not_begins=["/r/pkg/old/"], skip_dirs=frozenset({"node_modules"}))
+    assert w.folder("/r/pkg", "pkg") and w.folder("/r", "r") and w.folder("/r/pkg/new", "new")
+    assert not w.folder("/r/web", "web") and not w.folder("/r/pkg/old", "old") and not w.folder("/r/pkg/node_modules", "node_modules")
+    assert not Wanted(equal=["/r/a/b.py"]).folder("/r/c", "c") and Wanted(equal=["/r/a/b.py"]).folder("/r/a", "a")
+
+
+def test_files_that_cannot_be_read_are_marked(spark, tmp_path, monkeypatch):
+    from textloom.sources import file_tree
+
+    (tmp_path / "good.py").write_text("x")
+    (tmp_path / "bad.py").write_bytes(b"\xff\xfe")
+    (tmp_path / "gone.py").write_text("y")
+    real = file_tree.file_system
+
+    class Failing:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def get_file_info(self, selector):
+            return self.fs.get_file_info(selector)
+
+        def open_input_stream(self, path):
+            if path.endswith("gone.py"):
+                raise FileNotFoundError(path)
+            return self.fs.open_input_stream(path)
+
+    def failing(uri, cache):
+        fs, path = real(uri, cache)
+        return Failing(fs), path
+
+    monkeypatch.setattr(file_tree, "file_system", failing)
+    tree, wanted = _trees(str(tmp_path))
+    rows = {r["path"].rsplit("/", 1)[1]: r for p in tree.plan(wanted()) for b in tree.rows(p) for r in b.to_pylist()}
+    assert rows["good.py"]["content"] == "x" and rows["good.py"]["error"] is None
+    assert rows["bad.py"]["content"] == "\ufffd\ufffd" and rows["bad.py"]["error"] is None
+    assert rows["gone.py"]["content"] is None and rows["gone.py"]["error"].startswith("FileNotFoundError")
+    monkeypatch.undo()
+    assert {r.content: r.error for r in file_text(spark, str(tmp_path)).collect()} == {"x": None, "y": None, "\ufffd\ufffd": None}
+    assert file_text(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_a_stream_gives_new_and_changed_files(spark, tmp_path):
+    import os
+    import time
+
+    from textloom.sources.file_tree import file_tree
+
+    tree, base = tmp_path / "tree", str(tmp_path / "s")
+    (tree / "d").mkdir(parents=True)
+
+    def drain():
+        s = file_tree(spark, str(tree), stream=True, extensions=[".py"])
+        q = s.select("path", "content").writeStream.option("checkpointLocation", base + "/c").format("parquet").option("path", base + "/out")
+        q.trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.path.rsplit("/", 1)[1], r.content) for r in spark.read.schema("path string, content string").parquet(base + "/out").collect())
+
+    (tree / "a.py").write_text("1")
+    (tree / "d" / "b.py").write_text("2")
+    (tree / "d" / "b.txt").write_text("no")
+    os.makedirs(base + "/out")
+    assert drain() == [("a.py", "1"), ("b.py", "2")]
+    time.sleep(0.01)
+    (tree / "d" / "c.py").write_text("3")
+    (tree / "a.py").write_text("4")
+    assert drain() == [("a.py", "1"), ("a.py", "4"), ("b.py", "2"), ("c.py", "3")]
+    assert drain() == [("a.py", "1"), ("a.py", "4"), ("b.py", "2"), ("c.py", "3")]

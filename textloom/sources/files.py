@@ -7,46 +7,10 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions.paths import DEFAULT_EXTENSIONS, ext_filter, not_in_ignored_dir, program_type
+from textloom.functions.paths import DEFAULT_EXTENSIONS, DEFAULT_IGNORE_DIRS, EXTRA_IGNORE_DIRS, ext_filter, not_in_ignored_dir, program_type
 from textloom.operators.predicates import ignore_filter, scope_filter
-from textloom.session import cut_lineage, ensure_checkpoint_dir
-
-HELD_CHARS = 8 << 20
-
-
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Recursive listing ``(uri, path, size)``, one level of folders after the other: tasks list the
-    folders of a level, and what they find stays in tables.
-
-    Spark's file sources hide names starting with ``_`` or ``.`` (``__init__.py``) and skip
-    zero-length files, both of which matter for code trees."""
-    start = root if ":" in root else f"file:{root}"
-    schema = "uri string, size long, folder boolean"
-    level = spark.createDataFrame([(start,)], "uri string")
-    parts, n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), 1
-    files = spark.createDataFrame([], "uri string, size long")
-    while n:
-        found = cut_lineage(level.repartition(parts, "uri").mapInPandas(_list_folders, schema))
-        files = files.unionByName(found.where("not folder").select("uri", "size"))
-        level = found.where("folder").select("uri")
-        n = level.count()
-    return files.select("uri", F.regexp_replace(F.col("uri"), r"^file:(//)?", "").alias("path"), "size")
-
-
-def _list_folders(batches):
-    import pandas as pd
-    from pyarrow.fs import FileSelector, FileType
-
-    cache: dict = {}
-    for pdf in batches:
-        rows = []
-        for uri in pdf["uri"]:
-            fs, path = _fs_and_path(uri, cache)
-            stem = uri.rstrip("/")
-            for info in fs.get_file_info(FileSelector(path, allow_not_found=True)):
-                folder = info.type == FileType.Directory
-                rows.append((f"{stem}/{info.base_name}", None if folder else int(info.size), folder))
-        yield pd.DataFrame(rows, columns=["uri", "size", "folder"]).astype({"size": "Int64"})
+from textloom.session import ensure_checkpoint_dir
+from textloom.sources.file_tree import file_system, file_tree
 
 
 def land_files(files: DataFrame) -> str:
@@ -62,7 +26,7 @@ def land_files(files: DataFrame) -> str:
         cache: dict = {}
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
-                fs, at = _fs_and_path(f"{base}/{path}", cache)
+                fs, at = file_system(f"{base}/{path}", cache)
                 fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
                 with fs.open_output_stream(at) as h:
                     h.write((content or "").encode())
@@ -79,45 +43,6 @@ def below(root: str, path) -> Column:
     return F.when(p.startswith(stem), p.substr(F.lit(len(stem) + 1), F.length(p))).otherwise(p)
 
 
-def _fs_and_path(uri: str, cache: dict):
-    """pyarrow filesystem + in-filesystem path for a Hadoop-style URI (one client per
-    filesystem per task)."""
-    from pyarrow import fs as pafs
-
-    if uri.startswith("file:"):
-        fs = cache.setdefault("file", pafs.LocalFileSystem())
-        return fs, "/" + uri.split(":", 1)[1].lstrip("/")
-    u = uri.replace("s3a://", "s3://", 1)
-    scheme, rest = u.split("://", 1)
-    authority, _, path = rest.partition("/")
-    key = f"{scheme}://{authority}"
-    if key not in cache:
-        cache[key] = pafs.FileSystem.from_uri(key + "/")[0]
-    return cache[key], (f"{authority}/{path}" if scheme in ("s3", "gs", "gcs") else "/" + path)
-
-
-def _read_contents(batches):
-    import pandas as pd
-
-    cache: dict = {}
-    for pdf in batches:
-        uris, out, held = [], [], 0
-        for uri in pdf["uri"]:
-            fs, path = _fs_and_path(uri, cache)
-            try:
-                with fs.open_input_stream(path) as h:
-                    text = h.read().decode("utf-8", errors="replace")
-            except OSError:
-                text = None
-            uris.append(uri)
-            out.append(text)
-            held += len(text or "")
-            if held >= HELD_CHARS:  # contents are passed on as they add up, not by number of files
-                yield pd.DataFrame({"uri": uris, "content": out})
-                uris, out, held = [], [], 0
-        yield pd.DataFrame({"uri": uris, "content": out})
-
-
 def corpus_scan(
     spark: SparkSession,
     root: str,
@@ -128,20 +53,21 @@ def corpus_scan(
     with_content: bool = True,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Recursive listing under ``root`` → ``files(path, size, lang[, content])``.
+    """Recursive listing under ``root`` → ``files(path, size, lang[, content, error])``, read through the
+    ``filetree`` source.
 
-    Extension, ignored-folder, scope and ignore predicates run on the listing (paths only);
-    contents are read afterwards, only for the files kept, spread over ``partitions`` tasks
-    and decoded as UTF-8 with replacement (bad bytes never fail the job)."""
+    Extension, ignored-folder, scope and ignore predicates keep folders from being walked and files from
+    being opened; contents are decoded as UTF-8 with replacement (bad bytes never fail the job), and a file that
+    cannot be read has a null content and says why in ``error``."""
     root = root.rstrip("/") or "/"
-    listed = list_files(spark, root)
-    root = re.sub(r"^file:(//)?", "", root)
-    kept = corpus_filter(listed, root, scope_paths, ignore_paths, ignore_dirs, extensions)
-    if not with_content:
-        return kept.drop("uri")
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    contents = kept.select("uri").repartition(n, "uri").mapInPandas(_read_contents, "uri string, content string")
-    return kept.join(contents, "uri").drop("uri")
+    at = re.sub(r"^file:(//)?", "", root)
+    skipped = (DEFAULT_IGNORE_DIRS + EXTRA_IGNORE_DIRS) if ignore_dirs is None else tuple(ignore_dirs)
+    tree = file_tree(
+        spark, root, content=str(with_content).lower(), extensions=extensions or None, ignoreDirs=skipped or None,
+        scope=[_abs(at, p) for p in scope_paths] if scope_paths else None,
+        ignore=[_abs(at, p) for p in ignore_paths] if ignore_paths else None, partitions=partitions,
+    )
+    return corpus_filter(tree, at, scope_paths, ignore_paths, ignore_dirs, extensions).drop("modified")
 
 
 def corpus_filter(
@@ -175,8 +101,9 @@ def _abs(root: str, p: str) -> str:
 
 
 def file_text(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below ``root`` as one row of text with its path, whatever its name or length."""
-    return corpus_scan(spark, root, ignore_dirs=(), extensions=()).select("path", "content")
+    """Every file below ``root`` as one row of text with its path, whatever its name or length, and why it could
+    not be read where it could not: ``path, content, error``."""
+    return corpus_scan(spark, root, ignore_dirs=(), extensions=()).select("path", "content", "error")
 
 
 def page_source(pages: DataFrame) -> DataFrame:
