@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from textloom.operators.closure import import_closure
+from textloom.operators.closure import discovery_index, import_closure
 from textloom.operators.resolve import contains_expand
 
 
@@ -70,13 +70,51 @@ def test_collect_files_paths_and_segments(spark):
 
 
 def test_discovery_order(spark):
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
     files = ["a.py", "b.py", "c.py", "d.py"]
     edges = [("a.py", "b.py"), ("a.py", "c.py"), ("b.py", "d.py"), ("c.py", "b.py")]
     st = spark.createDataFrame([("s", "a.py")], "seed string, node string")
-    out = import_closure(_files(spark, files), _edges(spark, edges), st)
-    order = [r.path for r in out.orderBy(F.col("depth").desc(), F.col("disc").desc()).collect()]
+    out = discovery_index(import_closure(_files(spark, files), _edges(spark, edges), st, order=True))
     # discovered a, then b and c (import order), then d; listed newest first
-    assert order == ["d.py", "c.py", "b.py", "a.py"]
+    assert [r.path for r in out.orderBy("ord").collect()] == ["d.py", "c.py", "b.py", "a.py"]
+
+
+def _walk(files, edges, starts, depth=None):
+    """Level by level: each node by the least (place of its parent, contained before imported, position, name)."""
+    files, out, level = set(files), {}, sorted(starts)
+    for n in level:
+        out[n] = (0, None)
+    order, d = list(level), 0
+    while level and (depth is None or d < depth):
+        found = {}
+        for rank, node in enumerate(level):
+            inside = [(0, 0, f) for f in files if f.startswith(node) and f != node]
+            imported = [(1, pos, dst) for pos, (src, dst) in enumerate(edges) if src == node and node in files]
+            for kind, pos, nxt in inside + imported:
+                if nxt not in out:
+                    found[nxt] = min(found.get(nxt, (rank, kind, pos)), (rank, kind, pos))
+        d += 1
+        level = sorted(found, key=lambda n: (found[n], n))
+        out |= {n: (d, found[n][1]) for n in level}
+        order += level
+    listed = [n for n in reversed(order) if n in files]
+    return {(n, *out[n], k + 1) for k, n in enumerate(listed)}
+
+
+def test_discovery_order_of_random_graphs(spark):
+    """Kinds, depths and places of seeds over one graph, with folders, prefixes, cycles and names without a file."""
+    import random
+
+    rnd = random.Random(8)
+    files = sorted({f"{rnd.choice(['p', 'q', 'p2'])}/{rnd.choice('ab')}{rnd.randint(0, 6)}{rnd.choice(['.ts', '.tsx', '.py'])}" for _ in range(45)})
+    edges = [(rnd.choice(files), rnd.choice([*files, "gone/x.py"])) for _ in range(60)]
+    seeds = {"one": [files[0]], "many": [files[3], files[7], "p/a", "nothing"], "folder": ["q"]}
+    st = spark.createDataFrame([(s, n) for s, nodes in seeds.items() for n in nodes], "seed string, node string")
+    for depth in (None, 2):
+        out = discovery_index(import_closure(_files(spark, files), _edges(spark, edges), st, depth, order=True))
+        got = {}
+        for r in out.collect():
+            got.setdefault(r.seed, set()).add((r.path, r.depth, r.kind, r.ord))
+        assert got == {s: _walk(files, edges, nodes, depth) for s, nodes in seeds.items()}
+    plain = import_closure(_files(spark, files), _edges(spark, edges), st)
+    assert plain.columns == ["seed", "path", "depth"]
+    assert {tuple(r) for r in plain.where("seed = 'many'").select("path", "depth").collect()} == {(n, d) for n, d, _, _ in _walk(files, edges, seeds["many"])}

@@ -10,21 +10,32 @@ node appears.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.ordered import row_index
 from textloom.operators.resolve import contains_expand, prepare_contains
 from textloom.session import cut_lineage, cut_lineage_counted
 
 COMPACT_EVERY = 8
 
 
+def _ranked(level: DataFrame) -> DataFrame:
+    """A level's nodes with numbers in the order of their discovery: by the number of the parent that found
+    them first, contained before imported, by position, then by name. Numbers have gaps and one width at any
+    depth; they come from the ranges of one sort, so that a level spreads over tasks."""
+    by = ["parent", "kind", "pos", "node"]
+    dealt = level.repartitionByRange(*by).sortWithinPartitions(*by)
+    return cut_lineage(dealt.withColumn("rank", F.monotonically_increasing_id()).select("seed", "node", "depth", "kind", "rank"))
+
+
 def import_closure(
     files: DataFrame,
     edges: DataFrame,
     starts: DataFrame | None,
     depth: int | None = None,
     contains: bool = True,
+    order: bool = False,
 ) -> DataFrame:
     """Breadth-first closure per seed.
 
@@ -34,24 +45,21 @@ def import_closure(
             empty ⇒ every file (depth 0).
     Rules: depth 0 ⇒ starts verbatim, present or not; depth d ⇒ levels 0..d; a start not in
     the file set is dropped but still contributes its contained files (D5); each node is
-    reported at its smallest depth. Returns ``(seed, path, depth, disc)``; ``(depth, disc)``
-    ascending is discovery order (``disc`` = parent's key + [0 contained | 1 imported, position],
-    first discovery wins). Results are listed in reverse discovery order.
+    reported at its smallest depth. Returns ``(seed, path, depth)``, with ``order`` also ``kind`` (what the
+    first discovery was: 0 contained, 1 imported, null a start) and ``rank``; ``(depth, rank)`` ascending
+    is discovery order. Results are listed in reverse discovery order.
     """
     spark = files.sparkSession
     fileset = cut_lineage(files.select("path").distinct())
+    no_kind, columns = F.lit(None).cast("int"), ["seed", "path", "depth", *(["kind", "rank"] if order else [])]
     if starts is None or starts.isEmpty():
-        return fileset.select(
-            F.lit(None).cast("string").alias("seed"), "path", F.lit(0).alias("depth"),
-            F.array(F.lit(0).cast("long")).alias("disc"),
-        )
-    starts = starts.select("seed", F.col("node"))
-    level = starts.select(
-        "seed", "node",
-        F.array(F.row_number().over(Window.partitionBy("seed").orderBy("node")).cast("long")).alias("disc"),
-    )
+        every = fileset.select(F.lit(None).cast("string").alias("seed"), "path", F.lit(0).alias("depth"), no_kind.alias("kind"), F.lit(0).cast("long").alias("rank"))
+        return every.select(*columns)
+    first = starts.select("seed", "node").distinct().withColumn("depth", F.lit(0))
+    zero = F.lit(0).cast("long")
+    seen = _ranked(first.select("*", no_kind.alias("kind"), zero.alias("parent"), zero.alias("pos"))) if order else cut_lineage(first)
     if depth == 0:
-        return level.select("seed", F.col("node").alias("path"), F.lit(0).alias("depth"), "disc")
+        return seen.withColumnRenamed("node", "path").select(*columns)
 
     # only edges leaving files matter (a node outside the file set is "not found" and has no
     # imports), so the per-level semi-join against the file set happens once, here
@@ -67,32 +75,29 @@ def import_closure(
         later = fileset.select(F.col("path").alias("node")).unionByName(
             e.select(F.col("dst").alias("node"))).distinct()
         pairs, n_pairs = cut_lineage_counted(contains_expand(later, fileset, "node", [], prepared))
-    seen = cut_lineage(level.withColumn("depth", F.lit(0)))
     frontier = seen
     d = 0
     while depth is None or d < depth:
-        deps = frontier.join(e, "node").select(
-            "seed", F.col("dst").alias("next"), F.concat("disc", F.array(F.lit(1).cast("long"), "pos")).alias("disc")
+        # (parent, kind, pos) says how a node was found; the least wins
+        found = lambda df, nxt, kind, pos: df.select(
+            "seed", F.col(nxt).alias("node"), *([F.col("rank").alias("parent"), F.lit(kind).alias("kind"), pos.alias("pos")] if order else [])
         )
-        parts = [deps]
-        if contains:
-            if d == 0:
-                inside = contains_expand(frontier.select("seed", "node"), fileset, "node", ["seed"], prepared)
-            elif n_pairs > 0:
-                inside = frontier.select("seed", "node").join(pairs, "node").select("seed", "node", "path")
-            else:
-                inside = None  # no file or edge target is a proper prefix of another file
-        if contains and inside is not None:
-            inside = inside.join(frontier.select("seed", "node", "disc"), ["seed", "node"]).select(
-                "seed", F.col("path").alias("next"), F.concat("disc", F.array(F.lit(0).cast("long"), F.lit(0).cast("long"))).alias("disc")
-            )
-            parts.append(inside)
-        cand = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        cand = cand.groupBy("seed", "next").agg(F.min("disc").alias("disc")).withColumnRenamed("next", "node")
+        cand = found(frontier.join(e, "node"), "dst", 1, F.col("pos"))
+        if contains and d == 0:
+            inside = contains_expand(frontier.select("seed", "node"), fileset, "node", ["seed"], prepared)
+            cand = cand.unionByName(found(inside.join(frontier, ["seed", "node"]), "path", 0, zero))
+        elif contains and n_pairs > 0:  # else no file or edge target is a proper prefix of another file
+            cand = cand.unionByName(found(frontier.join(pairs, "node"), "path", 0, zero))
+        if order:
+            cand = cand.groupBy("seed", "node").agg(F.min(F.struct("parent", "kind", "pos")).alias("how")).select("seed", "node", "how.*")
+        else:
+            cand = cand.distinct()
         new = cand.join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
         new, n_new = cut_lineage_counted(new.withColumn("depth", F.lit(d + 1)))
         if n_new == 0:
             break
+        if order:
+            new = _ranked(new)
         # seen is a union of written level tables (lineage one level deep), compacted into
         # one table every COMPACT_EVERY levels so the anti-join does not scan a growing list
         seen = seen.unionByName(new.select(*seen.columns))
@@ -101,7 +106,14 @@ def import_closure(
         frontier = new
         d += 1
     out = seen.join(fileset.withColumnRenamed("path", "node"), "node", "left_semi")
-    return out.select("seed", F.col("node").alias("path"), "depth", "disc")
+    return out.withColumnRenamed("node", "path").select(*columns)
+
+
+def discovery_index(closure: DataFrame) -> DataFrame:
+    """``ord``: place of each file in its seed's listing, the last discovered first, numbered by range blocks.
+    Takes a closure with its order."""
+    at = closure.withColumns({"__depth": -F.col("depth"), "__rank": -F.col("rank")})
+    return row_index(at, ["seed"], ["__depth", "__rank"], "ord").drop("__depth", "__rank")
 
 
 def crawl_closure(

@@ -3,7 +3,7 @@ dependency closures, and the import-collector job (closure → tree → contents
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom import sqltext as Q
@@ -21,7 +21,7 @@ from textloom.functions.paths import (
     rel_path,
 )
 from textloom.functions.text import char_count, count_tokens, format_content, line_count, strip_doc, strip_js_doc, strip_py_doc
-from textloom.operators.closure import import_closure
+from textloom.operators.closure import discovery_index, import_closure
 from textloom.operators.ordered import pack_segments, segment_labels
 from textloom.operators.predicates import exact_exclude, ignore_filter, scope_filter
 from textloom.operators.resolve import contains_expand, resolve_js, resolve_py
@@ -53,9 +53,9 @@ def edges(spark: SparkSession, sf_dir: str, root: str = "") -> DataFrame:
     return file_edges(code_files(spark, sf_dir), root)
 
 
-def closure_of(spark: SparkSession, sf_dir: str, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+def closure_of(spark: SparkSession, sf_dir: str, seeds: DataFrame, depth: int | None = None, order: bool = False) -> DataFrame:
     files = code_files(spark, sf_dir)
-    return import_closure(files.select("path"), edges(spark, sf_dir), seeds, depth)
+    return import_closure(files.select("path"), edges(spark, sf_dir), seeds, depth, order=order)
 
 
 def file_edges(files: DataFrame, root: str = "") -> DataFrame:
@@ -71,9 +71,8 @@ def collect_files(files: DataFrame, seeds: DataFrame, depth: int | None = COLLEC
                   root: str = "") -> DataFrame:
     """Per seed: closure, directory tree header, formatted file contents (reverse discovery
     order), packed into segments. ``output='path'`` gives one string of paths and no packing."""
-    clo = cut_lineage(import_closure(files.select("path"), file_edges(files, root), seeds, depth))
-    ordered = clo.withColumn("ord", F.row_number().over(
-        Window.partitionBy("seed").orderBy(F.col("depth").desc(), F.col("disc").desc())))
+    clo = import_closure(files.select("path"), file_edges(files, root), seeds, depth, order=True)
+    ordered = cut_lineage(discovery_index(clo))
     if output == "path":
         return ordered.groupBy("seed").agg(
             F.expr("listagg(path, ' ') WITHIN GROUP (ORDER BY ord)").alias("content")
@@ -113,19 +112,25 @@ jsres AS (SELECT src, pos, module, arg_min(dst, r) AS dst FROM jscand GROUP BY 1
 edges AS (SELECT src, pos, dst FROM pyres UNION ALL SELECT src, pos, dst FROM jsres)"""
 
 
-def _closure_sql(seed_sql: str, final: str, maxd: int = 60, more: str = "") -> str:
+def _closure_sql(seed_sql: str, final: str, more: str = "", depth: int | None = None) -> str:
+    """Closures in SQL: each node enters once, at its smallest depth, with the least (parent's rank, kind, position)."""
+    limit = "" if depth is None else f"w.depth < {depth} AND "
     return f"""WITH RECURSIVE {SQL_CODE_FILES}, {_EDGES},
 seeds AS ({seed_sql}),
-walk(seed, node, depth) AS (
-  SELECT seed, node, 0 FROM seeds
+x AS MATERIALIZED (
+  SELECT src AS node, dst AS nxt, 1 AS kind, pos FROM edges
+  UNION ALL
+  SELECT g.node, f.path, 0, 0 FROM (SELECT path AS node FROM code_files UNION SELECT node FROM seeds) g
+  JOIN code_files f ON starts_with(f.path, g.node) AND f.path <> g.node),
+walk(seed, node, depth, kind, rank) USING KEY (seed, node) AS (
+  SELECT seed, node, 0, CAST(NULL AS INTEGER), row_number() OVER (PARTITION BY seed ORDER BY node) FROM (SELECT DISTINCT seed, node FROM seeds)
   UNION
-  SELECT w.seed, x.nxt, w.depth + 1 FROM walk w JOIN (
-      SELECT e.src AS node, e.dst AS nxt FROM edges e
-      UNION ALL
-      SELECT g.path AS node, f.path AS nxt FROM code_files g JOIN code_files f ON starts_with(f.path, g.path) AND f.path <> g.path
-  ) x ON x.node = w.node
-  WHERE w.depth < {maxd} AND w.node IN (SELECT path FROM code_files)),
-clo AS (SELECT seed, node AS path, CAST(min(depth) AS INTEGER) AS depth FROM walk WHERE node IN (SELECT path FROM code_files) GROUP BY 1, 2){more}
+  SELECT seed, node, depth, how.k, row_number() OVER (PARTITION BY seed ORDER BY how, node) FROM (
+    SELECT w.seed, x.nxt AS node, min(w.depth) + 1 AS depth, min({{'r': w.rank, 'k': x.kind, 'p': x.pos}}) AS how
+    FROM walk w JOIN x ON x.node = w.node
+    WHERE {limit}NOT EXISTS (SELECT 1 FROM recurring.walk r WHERE r.seed = w.seed AND r.node = x.nxt)
+    GROUP BY w.seed, x.nxt)),
+clo AS (SELECT seed, node AS path, CAST(depth AS INTEGER) AS depth, kind, rank FROM walk WHERE node IN (SELECT path FROM code_files)){more}
 {final}"""
 
 
@@ -323,7 +328,7 @@ def q_import_closure(spark, sf_dir):
 
 @register("multi_closure", _closure_sql(
     "SELECT path AS seed, path AS node FROM code_files WHERE starts_with(path, 'pkg_0/sub_0/')",
-    "SELECT seed, path, depth FROM clo WHERE depth <= 2"))
+    "SELECT seed, path, depth FROM clo", depth=2))
 def q_multi_closure(spark, sf_dir):
     f = code_files(spark, sf_dir)
     seeds = f.where(F.col("path").startswith("pkg_0/sub_0/")).select(F.col("path").alias("seed"), F.col("path").alias("node"))
@@ -337,43 +342,58 @@ def q_closure_profile(spark, sf_dir):
     return closure_of(spark, sf_dir, seeds).groupBy("depth").agg(F.count(F.lit(1)).alias("n_files"))
 
 
-_NOT_FOUND = """un AS (SELECT DISTINCT CASE WHEN i.level > 0 THEN replace(array_to_string(string_split(i.src, '/')[1:len(string_split(i.src, '/')) - i.level], '/'), '/', '.') || '.' || i.module ELSE i.module END AS name
+# names that lead to no file, at the depth where they were looked for
+_NOT_FOUND = """un AS (SELECT name, CAST(min(depth) AS INTEGER) AS depth FROM (
+  SELECT CASE WHEN i.level > 0 THEN replace(array_to_string(string_split(i.src, '/')[1:len(string_split(i.src, '/')) - i.level], '/'), '/', '.') || '.' || i.module ELSE i.module END AS name, clo.depth + 1 AS depth
   FROM pyimp i JOIN clo ON clo.path = i.src WHERE NOT EXISTS (SELECT 1 FROM pyres r WHERE r.src = i.src AND r.pos = i.pos)
-  UNION SELECT DISTINCT i.module FROM jsimp i JOIN clo ON clo.path = i.src WHERE NOT EXISTS (SELECT 1 FROM jsres r WHERE r.src = i.src AND r.pos = i.pos))"""
+  UNION ALL SELECT i.module, clo.depth + 1 FROM jsimp i JOIN clo ON clo.path = i.src WHERE NOT EXISTS (SELECT 1 FROM jsres r WHERE r.src = i.src AND r.pos = i.pos)
+  UNION ALL SELECT node, 0 FROM seeds WHERE node NOT IN (SELECT path FROM code_files)) GROUP BY name),
+status AS (SELECT path AS name, CASE WHEN kind = 0 THEN 'contained' ELSE 'covered' END AS status, depth FROM clo
+  UNION ALL SELECT name, 'not_found', depth FROM un)"""
 
 
 def closure_status(files: DataFrame, seeds: DataFrame, root: str = "", depth: int | None = None) -> DataFrame:
-    """What a closure found (E10): ``seed, name, status`` — files that imports lead to are ``covered``, files
-    that lie under a node's path are ``contained``, modules and starts without a file are ``not_found``."""
-    clo = cut_lineage(import_closure(files.select("path"), file_edges(files, root), seeds, depth))
-    # a discovery key ends in (kind, position): kind 0 is containment; a start's key has one number
-    inside = (F.size("disc") > 1) & (F.element_at("disc", -2) == 0)
-    found = clo.select("seed", F.col("path").alias("name"), F.when(inside, F.lit("contained")).otherwise(F.lit("covered")).alias("status"))
+    """What a closure found at each depth (E10): ``seed, name, status, depth`` — files that imports lead to are
+    ``covered``, files that lie under a node's path are ``contained``, modules and starts without a file are
+    ``not_found`` at the least depth where they were looked for. ``depth`` limits the closure."""
+    clo = cut_lineage(import_closure(files.select("path"), file_edges(files, root), seeds, depth, order=True))
+    inside = F.col("kind").eqNullSafe(0)
+    found = clo.select("seed", F.col("path").alias("name"), F.when(inside, F.lit("contained")).otherwise(F.lit("covered")).alias("status"), "depth")
     py = resolve_py(parsed_imports(files.where(program_type("path") == "PYTHON")), files, root, keep_unresolved=True)
     js = resolve_js(js_imports(files.where(program_type("path") == "JAVASCRIPT")), files, root, keep_unresolved=True)
     lost = py.where("dst is null").select("src", F.col("abs_module").alias("name")).unionByName(js.where("dst is null").select("src", F.col("module").alias("name")))
-    missing = lost.join(clo.select("seed", F.col("path").alias("src")), "src").select("seed", "name")
+    missing = lost.join(clo.select("seed", F.col("path").alias("src"), "depth"), "src").select("seed", "name", (F.col("depth") + 1).alias("depth"))
     starts = seeds.select("seed", F.col("node").alias("name")).join(files.select(F.col("path").alias("name")), "name", "left_anti")
-    missing = missing.unionByName(starts.select("seed", "name")).distinct()
-    return found.unionByName(missing.withColumn("status", F.lit("not_found")))
+    missing = missing.unionByName(starts.select("seed", "name", F.lit(0).alias("depth"))).groupBy("seed", "name").agg(F.min("depth").alias("depth"))
+    return found.unionByName(missing.select("seed", "name", F.lit("not_found").alias("status"), "depth"))
 
 
-@register("closure_status", _closure_sql(f"SELECT '{CLOSURE_SEED}' AS seed, '{CLOSURE_SEED}' AS node",
-                                         f"""SELECT path AS name, 'covered' AS status FROM clo UNION ALL SELECT name, 'not_found' FROM un""",
-                                         more=f", {_NOT_FOUND}"))
+STATUS_FOLDER = "pkg_4/sub_1/mod_1"  # a start that is no file, only the beginning of files' paths
+_STATUS_SEEDS = f"SELECT 's' AS seed, unnest(['{CLOSURE_SEED}', '{STATUS_FOLDER}']) AS node"
+
+
+def _status_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeds = spark.createDataFrame([("s", CLOSURE_SEED), ("s", STATUS_FOLDER)], "seed string, node string")
+    return closure_status(code_files(spark, sf_dir), seeds)
+
+
+@register("closure_status", _closure_sql(_STATUS_SEEDS, "SELECT name, status, depth FROM status", more=f", {_NOT_FOUND}"))
 def q_closure_status(spark, sf_dir):
-    seeds = spark.createDataFrame([(CLOSURE_SEED, CLOSURE_SEED)], "seed string, node string")
-    return closure_status(code_files(spark, sf_dir), seeds).select("name", "status")
+    return _status_of(spark, sf_dir).select("name", "status", "depth")
 
 
-@register("discovery_order")
-def q_discovery_order(spark, sf_dir):
-    from pyspark.sql import Window
+@register("closure_report", _closure_sql(_STATUS_SEEDS, "SELECT depth, status, count(*) AS n FROM status GROUP BY depth, status", more=f", {_NOT_FOUND}"))
+def q_closure_report(spark, sf_dir):
+    """The report of a closure (E10): how many names were covered, contained and not found at each depth."""
+    return _status_of(spark, sf_dir).groupBy("depth", "status").agg(F.count(F.lit(1)).alias("n"))
 
-    seeds = spark.createDataFrame([(CLOSURE_SEED, CLOSURE_SEED)], "seed string, node string")
-    c = closure_of(spark, sf_dir, seeds)
-    return c.select("path", "depth", F.row_number().over(
-        Window.partitionBy("seed").orderBy(F.col("depth").desc(), F.col("disc").desc())).alias("ord"))
+
+@register("discovery_order", _closure_sql(
+    f"SELECT '{CLOSURE_SEED}' AS seed, unnest(['{CLOSURE_SEED}', 'pkg_1/sub_']) AS node",
+    "SELECT path, depth, row_number() OVER (ORDER BY depth DESC, rank DESC) AS ord FROM clo"))
+def q_discovery_order(spark, sf_dir):
+    seeds = spark.createDataFrame([(CLOSURE_SEED, CLOSURE_SEED), (CLOSURE_SEED, "pkg_1/sub_")], "seed string, node string")
+    return discovery_index(closure_of(spark, sf_dir, seeds, order=True)).select("path", "depth", "ord")
 
 
 @register("common_path", f"""{_CF}, sp AS (SELECT split_part(path, '/', 1) AS top, string_split(path, '/') AS s FROM code_files),
