@@ -1,16 +1,21 @@
 """Snapshot comparison: changed paths, line-level differences, review and commit bundles.
 
-Two states of a tree are tables ``(path, content)``. The textual diff is relational: lines
-are exploded with their position and compared as multisets per path: of a line that a state
-holds more often than the other, the later occurrences are the added or removed ones. It
-partitions by path and line and never gathers a whole tree.
+Two states of a tree are tables ``(path, content)``. The textual diff is relational: lines of
+changed files are exploded with their position, divided by anchors that keep their order, and
+compared as multisets between them. It partitions by path and never gathers a whole tree.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.session import cut_lineage
+
 
 def snapshot_join(old: DataFrame, new: DataFrame) -> DataFrame:
     """``(path, status)`` with status added / removed / modified / same (D11). A null content is a content
@@ -35,23 +40,60 @@ def changed_paths(old: DataFrame, new: DataFrame, scope: str | None = None) -> D
     return s
 
 
-def _lines(df: DataFrame) -> DataFrame:
-    return df.select("path", F.posexplode(F.split("content", "\n", -1)).alias("pos", "line"))
+def longest_run(places: list[int]) -> list[int]:
+    """Indexes of a longest increasing run of distinct numbers: of all the longest, the one whose elements,
+    from the last to the first, come latest."""
+    tops, ends, before = [], [], []
+    for i, x in enumerate(places):
+        k = bisect_left(ends, x)
+        before.append(tops[k - 1] if k else -1)
+        if k == len(ends):
+            ends.append(x)
+            tops.append(i)
+        else:
+            ends[k], tops[k] = x, i
+    out, i = [], tops[-1] if tops else -1
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return out[::-1]
+
+
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each file's anchors (positions in both states, in the order of the old one) those that keep their order."""
+    for batch in batches:
+        runs = [(a, longest_run([x["new_pos"] for x in a])) for a in batch.column("anchors").to_pylist()]
+        of = lambda name: pa.array([[a[i][name] for i in run] for a, run in runs], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column("path"), of("old_pos"), of("new_pos")], names=["path", "old_pos", "new_pos"])
 
 
 def diff_lines(old: DataFrame, new: DataFrame) -> DataFrame:
     """``(path, sign, pos, line)``: lines removed (``-``, 0-based position in the old state) and added
-    (``+``, position in the new state) (I6). Of a line that one state has k times more often, its last k
-    occurrences count."""
-
-    def occurrences(df: DataFrame, pos: str) -> DataFrame:
-        nth = F.row_number().over(Window.partitionBy("path", "line").orderBy("pos"))
-        return _lines(df).withColumn("nth", nth).withColumnRenamed("pos", pos)
-
-    j = occurrences(old, "old_pos").join(occurrences(new, "new_pos"), ["path", "line", "nth"], "full_outer")
-    j = j.where(F.col("old_pos").isNull() | F.col("new_pos").isNull())
-    sign = F.when(F.col("new_pos").isNull(), F.lit("-")).otherwise(F.lit("+"))
-    return j.select("path", sign.alias("sign"), F.coalesce("old_pos", "new_pos").alias("pos"), "line")
+    (``+``, position in the new state), in order (I6).
+
+    Lines that each state holds once are anchors; a longest run of anchors in the order of both states is kept
+    (:func:`longest_run`) and divides both into gaps. Inside a gap, of a line that one state has k times more
+    often, its last k occurrences count. A moved line is thus removed in one place and added in another. Only
+    files that changed are taken apart; their lines move once, by path."""
+    changed = cut_lineage(snapshot_join(old, new).where(F.col("status") != "same").select("path"))
+
+    def side(df: DataFrame, sign: str) -> DataFrame:
+        there = df.select("path", "content").join(changed, "path", "left_semi")
+        return there.select("path", F.lit(sign).alias("sign"), F.posexplode(F.split("content", "\n", -1)).alias("pos", "line"))
+
+    lines = side(old, "-").unionByName(side(new, "+")).repartition("path")
+    times = lambda sign: F.count(F.when(F.col("sign") == sign, 1))
+    at = lambda sign: F.min(F.when(F.col("sign") == sign, F.col("pos")))
+    once = lines.groupBy("path", "line").agg(times("-").alias("o"), times("+").alias("n"), at("-").alias("old_pos"), at("+").alias("new_pos"))
+    anchors = once.where("o = 1 and n = 1").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("old_pos", "new_pos"))).alias("anchors"))
+    kept = anchors.mapInArrow(_kept, "path string, old_pos array<int>, new_pos array<int>")
+    marks = kept.select("path", F.explode(F.array(F.struct(F.lit("-").alias("sign"), F.col("old_pos").alias("at")), F.struct(F.lit("+").alias("sign"), F.col("new_pos").alias("at")))).alias("m"))
+    marks = marks.select("path", "m.sign", F.explode("m.at").alias("pos"), F.lit(1).alias("mark"))
+    upto = Window.partitionBy("path", "sign").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = lines.join(marks, ["path", "sign", "pos"], "left").withColumn("gap", F.coalesce(F.sum("mark").over(upto), F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy("path", "sign", "gap", "line").orderBy("pos"))
+    pairs = placed.withColumn("nth", nth).groupBy("path", "gap", "line", "nth").agg(F.count("*").alias("sides"), F.min("sign").alias("sign"), F.min("pos").alias("pos"))
+    return pairs.where("sides = 1").select("path", "sign", "pos", "line")
 
 
 def line_diff(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -65,6 +65,14 @@ def file_edges(files: DataFrame, root: str = "") -> DataFrame:
     return py.select("src", "pos", "dst").unionByName(js.select("src", "pos", "dst"))
 
 
+def closure_context(files: DataFrame, changed: DataFrame, depth: int | None = 1, root: str = "") -> DataFrame:
+    """``path, ord, node``: the files that each of ``changed(path)`` depends on, by its own closure over ``files``, in
+    the order of a listing (last discovered first)."""
+    seeds = changed.select(F.col("path").alias("seed"), F.col("path").alias("node"))
+    clo = discovery_index(import_closure(files.select("path"), file_edges(files, root), seeds, depth, order=True))
+    return clo.where("path <> seed").select(F.col("seed").alias("path"), "ord", F.col("path").alias("node"))
+
+
 def collect_files(files: DataFrame, seeds: DataFrame, depth: int | None = COLLECT_DEFAULT_DEPTH,
                   output: str = "code", no_comment: bool = False, with_prompt: bool = False,
                   max_char: int | None = COLLECT_DEFAULT_MAX_CHAR, max_token: int | None = COLLECT_DEFAULT_MAX_TOKEN,
@@ -112,10 +120,11 @@ jsres AS (SELECT src, pos, module, arg_min(dst, r) AS dst FROM jscand GROUP BY 1
 edges AS (SELECT src, pos, dst FROM pyres UNION ALL SELECT src, pos, dst FROM jsres)"""
 
 
-def _closure_sql(seed_sql: str, final: str, more: str = "", depth: int | None = None) -> str:
-    """Closures in SQL: each node enters once, at its smallest depth, with the least (parent's rank, kind, position)."""
+def _closure_sql(seed_sql: str, final: str, more: str = "", depth: int | None = None, before: str = "") -> str:
+    """Closures in SQL: each node enters once, at its smallest depth, with the least (parent's rank, kind, position).
+    ``before`` and ``more`` are views that stand before the seeds and after the closure ``clo``."""
     limit = "" if depth is None else f"w.depth < {depth} AND "
-    return f"""WITH RECURSIVE {SQL_CODE_FILES}, {_EDGES},
+    return f"""WITH RECURSIVE {SQL_CODE_FILES}, {_EDGES},{before}
 seeds AS ({seed_sql}),
 x AS MATERIALIZED (
   SELECT src AS node, dst AS nxt, 1 AS kind, pos FROM edges

@@ -18,21 +18,38 @@ from textloom.operators.structure import (
     mine_structure,
     own_fields,
 )
+from textloom.plans.code_jobs import _closure_sql, closure_context
 from textloom.registry import register
 from textloom.session import cut_lineage
-from textloom.sources.views import SQL_CODE_FILES, SQL_SNAP_NEW, SQL_SNAP_OLD, code_files, snap_new, snap_old
+from textloom.sources.views import SQL_CODE_FILES, SQL_CODE_OLD, SQL_SNAP_NEW, SQL_SNAP_OLD, code_files, code_old, snap_new, snap_old
 
-_SNAPS = f"WITH {SQL_SNAP_OLD}, {SQL_SNAP_NEW}"
-_JOIN_SQL = f"""{_SNAPS},
-j AS (SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed'
+_SNAPS = f"WITH RECURSIVE {SQL_SNAP_OLD}, {SQL_SNAP_NEW}"
+_JOIN = """j AS (SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed'
   WHEN sha256(o.content) <> sha256(n.content) THEN 'modified' ELSE 'same' END AS status
   FROM snap_old o FULL OUTER JOIN snap_new n ON o.path = n.path)"""
-_LINES_SQL = """lo AS (SELECT path, unnest(string_split(content, chr(10))) AS line, unnest(generate_series(1, len(string_split(content, chr(10))))) - 1 AS pos FROM snap_old),
-ln AS (SELECT path, unnest(string_split(content, chr(10))) AS line, unnest(generate_series(1, len(string_split(content, chr(10))))) - 1 AS pos FROM snap_new),
-oo AS (SELECT *, row_number() OVER (PARTITION BY path, line ORDER BY pos) AS nth FROM lo),
-nn AS (SELECT *, row_number() OVER (PARTITION BY path, line ORDER BY pos) AS nth FROM ln),
-d AS (SELECT path, '-' AS sign, pos, line FROM oo ANTI JOIN nn USING (path, line, nth)
-      UNION ALL SELECT path, '+', pos, line FROM nn ANTI JOIN oo USING (path, line, nth)),
+_JOIN_SQL = f"{_SNAPS},\n{_JOIN}"
+# anchors, a longest run of them (of each length the latest), gaps, and multisets of lines in each gap
+_LINES_SQL = """lo AS (SELECT path, unnest(string_split(content, chr(10))) AS line, unnest(generate_series(1, len(string_split(content, chr(10))))) - 1 AS pos
+  FROM snap_old SEMI JOIN (SELECT path FROM j WHERE status <> 'same') USING (path)),
+ln AS (SELECT path, unnest(string_split(content, chr(10))) AS line, unnest(generate_series(1, len(string_split(content, chr(10))))) - 1 AS pos
+  FROM snap_new SEMI JOIN (SELECT path FROM j WHERE status <> 'same') USING (path)),
+anchor AS (SELECT path, o.pos AS op, n.pos AS np, row_number() OVER (PARTITION BY path ORDER BY o.pos) AS i
+  FROM (SELECT path, line, min(pos) AS pos FROM lo GROUP BY 1, 2 HAVING count(*) = 1) o
+  JOIN (SELECT path, line, min(pos) AS pos FROM ln GROUP BY 1, 2 HAVING count(*) = 1) n USING (path, line)),
+lis(path, i, np, len) USING KEY (path, i) AS (
+  SELECT path, i, np, 1 FROM anchor WHERE i = 1
+  UNION SELECT a.path, a.i, a.np, 1 + coalesce(max(r.len), 0) FROM lis w JOIN anchor a ON a.path = w.path AND a.i = w.i + 1
+  LEFT JOIN recurring.lis r ON r.path = a.path AND r.np < a.np GROUP BY a.path, a.i, a.np),
+back(path, i, len) AS (
+  SELECT path, max(i), len FROM lis l WHERE len = (SELECT max(len) FROM lis m WHERE m.path = l.path) GROUP BY path, len
+  UNION ALL SELECT b.path, max(l.i), b.len - 1 FROM back b JOIN lis l ON l.path = b.path AND l.len = b.len - 1 AND l.i < b.i GROUP BY b.path, b.len),
+kept AS (SELECT path, op, np FROM anchor JOIN back USING (path, i)),
+og AS (SELECT lo.path, lo.line, lo.pos, count(k.op) AS gap FROM lo LEFT JOIN kept k ON k.path = lo.path AND k.op <= lo.pos GROUP BY 1, 2, 3),
+ng AS (SELECT ln.path, ln.line, ln.pos, count(k.np) AS gap FROM ln LEFT JOIN kept k ON k.path = ln.path AND k.np <= ln.pos GROUP BY 1, 2, 3),
+oo AS (SELECT *, row_number() OVER (PARTITION BY path, gap, line ORDER BY pos) AS nth FROM og),
+nn AS (SELECT *, row_number() OVER (PARTITION BY path, gap, line ORDER BY pos) AS nth FROM ng),
+d AS (SELECT path, '-' AS sign, pos, line FROM oo ANTI JOIN nn USING (path, gap, line, nth)
+      UNION ALL SELECT path, '+', pos, line FROM nn ANTI JOIN oo USING (path, gap, line, nth)),
 dt AS (SELECT path, string_agg(sign || line, chr(10) ORDER BY pos, sign DESC) AS diff FROM d GROUP BY path)"""
 
 # The code tree's classes by the rule that its view follows.
@@ -165,28 +182,27 @@ def q_changed_scope(spark, sf_dir):
     return changed_paths(snap_old(spark, sf_dir), snap_new(spark, sf_dir), "src1")
 
 
-@register("line_diff", f"{_SNAPS}, {_LINES_SQL} SELECT path, sign, CAST(pos AS INTEGER) AS pos, md5(line) AS line_md5 FROM d")
+@register("line_diff", f"{_JOIN_SQL}, {_LINES_SQL} SELECT path, sign, CAST(pos AS INTEGER) AS pos, md5(line) AS line_md5 FROM d")
 def q_line_diff(spark, sf_dir):
     d = diff_lines(snap_old(spark, sf_dir), snap_new(spark, sf_dir))
     return d.select("path", "sign", "pos", F.md5("line").alias("line_md5"))
 
 
-def _related(df):
-    """Files that a document's file depends on: that of a third of its number (same rule in the SQL)."""
-    number = F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long")
-    nodes = df.select(F.col("path").alias("node"), number.alias("third"))
-    return df.select("path", F.floor(number / 3).cast("long").alias("third"), F.lit(1).alias("ord")).join(nodes, "third")
-
-
-@register("review_bundle", f"""{_JOIN_SQL}, {_LINES_SQL},
-num AS (SELECT path, content, CAST(regexp_extract(path, '(\\d+)\\.txt$', 1) AS BIGINT) AS i FROM snap_new),
-ctx AS (SELECT a.path, chr(10) || 'File ' || b.path || ':' || chr(10) || b.content || chr(10) AS context FROM num a JOIN num b ON b.i = a.i // 3)
-SELECT j.path, md5('Review the change to ' || j.path || '.' || chr(10) || 'Diff:' || chr(10) || coalesce(dt.diff, '') || chr(10)
+@register("review_bundle", _closure_sql(
+    "SELECT path AS seed, path AS node FROM j WHERE status = 'modified'",
+    """SELECT j.path, md5('Review the change to ' || j.path || '.' || chr(10) || 'Diff:' || chr(10) || coalesce(dt.diff, '') || chr(10)
   || chr(10) || 'File ' || j.path || ':' || chr(10) || n.content || chr(10) || coalesce(ctx.context, '')) AS prompt_md5
-FROM j JOIN snap_new n ON n.path = j.path LEFT JOIN dt ON dt.path = j.path LEFT JOIN ctx ON ctx.path = j.path WHERE j.status = 'modified'""")
+FROM j JOIN snap_new n ON n.path = j.path LEFT JOIN dt ON dt.path = j.path LEFT JOIN ctx ON ctx.seed = j.path WHERE j.status = 'modified'""",
+    depth=1, before=f"\n{SQL_CODE_OLD},\nsnap_new AS (SELECT path, content FROM code_files),\n{_JOIN},",
+    more=f""",
+{_LINES_SQL},
+ctx AS (SELECT c.seed, string_agg(chr(10) || 'File ' || c.path || ':' || chr(10) || f.content || chr(10), '' ORDER BY c.depth DESC, c.rank DESC) AS context
+  FROM clo c JOIN code_files f ON f.path = c.path WHERE c.path <> c.seed GROUP BY c.seed)"""))
 def q_review_bundle(spark, sf_dir):
-    new = snap_new(spark, sf_dir)
-    r = review_bundle(snap_old(spark, sf_dir), new, _related(new))
+    """Changes of the code tree, each with the files that it imports or contains."""
+    old, new = code_old(spark, sf_dir), code_files(spark, sf_dir).select("path", "content")
+    modified = cut_lineage(changed_paths(old, new).where(F.col("status") == "modified").select("path"))
+    r = review_bundle(old, new, closure_context(new, modified))
     return r.select("path", F.md5("prompt").alias("prompt_md5"))
 
 

@@ -67,6 +67,16 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def code_old(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An earlier state of the code tree: files that were not there yet, others with another note, and some that
+    have gone since."""
+    f, i = code_files(spark, sf_dir), F.col("doc_id")
+    kept = f.where(i % 11 != 0).select(
+        "path", F.when(i % 10 == 1, F.replace("content", F.lit("note "), F.lit("earlier note "))).otherwise(F.col("content")).alias("content")
+    )
+    return kept.unionByName(f.where(i % 13 == 0).select(F.concat(F.lit("gone/"), "path").alias("path"), "content"))
+
+
 def snap_old(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.where(F.col("doc_id") % 11 != 0).select(
@@ -77,12 +87,19 @@ def snap_old(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snap_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.where(F.col("doc_id") % 13 != 0).select(
-        F.concat("source", F.lit("/"), "lang", F.lit("/"), _s(F.col("doc_id")), F.lit(".txt")).alias("path"),
-        F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("\nedited")))
-        .when(F.col("doc_id") % 5 == 1, F.regexp_replace("text", "\n[^\n]*$", ""))
-        .when(F.col("doc_id") % 5 == 2, F.concat("text", F.lit("\n"), F.regexp_extract("text", "[^\n]*$", 0)))
-        .otherwise(F.col("text")).alias("content"),
+    i, text = F.col("doc_id"), F.col("text")
+    several = text.contains("\n")
+    last, first = F.substring_index(text, "\n", -1), F.substring_index(text, "\n", 1)
+    but_last = F.when(several, F.substring(text, F.lit(1), F.length(text) - F.length(last) - 1)).otherwise(text)
+    but_first = F.when(several, F.substring(text, F.length(first) + 2, F.length(text))).otherwise(text)
+    return d.where(i % 13 != 0).select(
+        F.concat("source", F.lit("/"), "lang", F.lit("/"), _s(i), F.lit(".txt")).alias("path"),
+        F.when(i % 5 == 0, F.concat(text, F.lit("\nedited")))
+        .when(i % 5 == 1, but_last)
+        .when(i % 5 == 2, F.concat(text, F.lit("\n"), last))
+        .when(i % 10 == 3, F.array_join(F.reverse(F.split(text, "\n", -1)), "\n"))
+        .when(i % 20 == 8, F.concat(but_first, F.lit("\n"), first))
+        .otherwise(text).alias("content"),
     )
 
 
@@ -155,6 +172,10 @@ SELECT doc_id,
        END AS content
 FROM (SELECT doc_id, translate(coalesce(text, ''), '\\"''*', '') AS body FROM documents))"""
 
+SQL_CODE_OLD = """snap_old AS (
+SELECT path, CASE WHEN doc_id % 10 = 1 THEN replace(content, 'note ', 'earlier note ') ELSE content END AS content FROM code_files WHERE doc_id % 11 <> 0
+UNION ALL SELECT 'gone/' || path, content FROM code_files WHERE doc_id % 13 = 0)"""
+
 SQL_SNAP_OLD = """snap_old AS (
 SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, text AS content FROM documents WHERE doc_id % 11 <> 0)"""
 
@@ -162,7 +183,9 @@ SQL_SNAP_NEW = """snap_new AS (
 SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path,
        CASE WHEN doc_id % 5 = 0 THEN text || chr(10) || 'edited'
             WHEN doc_id % 5 = 1 THEN regexp_replace(text, '\n[^\n]*$', '')
-            WHEN doc_id % 5 = 2 THEN text || chr(10) || regexp_extract(text, '[^\n]*$') ELSE text END AS content
+            WHEN doc_id % 5 = 2 THEN text || chr(10) || regexp_extract(text, '[^\n]*$')
+            WHEN doc_id % 10 = 3 THEN array_to_string(list_reverse(string_split(text, chr(10))), chr(10))
+            WHEN doc_id % 20 = 8 THEN regexp_replace(text, '^[^\n]*\n', '') || chr(10) || regexp_extract(text, '^[^\n]*') ELSE text END AS content
 FROM documents WHERE doc_id % 13 <> 0)"""
 
 SQL_ANSWERS = """answers AS (
