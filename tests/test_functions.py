@@ -88,9 +88,29 @@ def test_corpus_scan_and_prefix_join(spark, tmp_path):
     assert ign == ["b/__init__.py", "b/y.py", "ts_mock/j.ts", "ts_mock2/k.ts"]
     urls = spark.createDataFrame([("https://a.com/x",), ("https://a.com.evil/y",), ("https://b.com/z",)], "u string")
     roots = spark.createDataFrame([("https://a.com",)], "root string")
-    small = sorted(r.u for r in prefix_join(urls, "u", roots, "root", "left_semi").collect())
-    assert small == ["https://a.com.evil/y", "https://a.com/x"]
-    big = sorted(r.u for r in prefix_join(urls, "u", roots, "root", "left_semi", broadcast_limit=0).collect())
-    assert big == small  # same literal-prefix result on the join path
-    anti = sorted(r.u for r in prefix_join(urls, "u", roots, "root", "left_anti", broadcast_limit=0).collect())
+    kept = sorted(r.u for r in prefix_join(urls, "u", roots, "root", "left_semi").collect())
+    assert kept == ["https://a.com.evil/y", "https://a.com/x"]
+    anti = sorted(r.u for r in prefix_join(urls, "u", roots, "root", "left_anti").collect())
     assert anti == ["https://b.com/z"]
+
+
+def test_prefixes_by_sorted_ranges(spark):
+    """Nested, equal and empty prefixes that reach over several ranges, against every pair."""
+    import random
+
+    from textloom.operators.prefixes import longest_prefix, prefix_pairs
+
+    rnd = random.Random(6)
+    word = lambda n: "".join(rnd.choices("abé中", k=rnd.randint(0, n)))
+    prefixes, values = {word(4) for _ in range(120)} | {"", "a"}, {word(7) for _ in range(700)} | {"a", "ab"}
+    frame = lambda rows, name: spark.createDataFrame([(r,) for r in [*rows, None, *list(rows)[:3]]], f"{name} string").repartition(3)
+    p, v = frame(prefixes, "prefix"), frame(values, "value")
+    want = sorted((a, b) for a in prefixes for b in values if b.startswith(a))
+    assert sorted(tuple(r) for r in prefix_pairs(p, v).collect()) == want
+    assert sorted(tuple(r) for r in prefix_pairs(p, v, proper=True).collect()) == [(a, b) for a, b in want if a != b]
+    longest = {}
+    for a, b in want:
+        longest[b] = max(longest.get(b, ""), a, key=len)
+    assert {r.value: r.prefix for r in longest_prefix(p, v).collect()} == longest
+    none = p.where("prefix = 'no such'")
+    assert prefix_pairs(none, v).count() == 0 and prefix_pairs(p, v.where("value = 'no such'")).count() == 0

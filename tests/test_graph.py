@@ -118,3 +118,35 @@ def test_discovery_order_of_random_graphs(spark):
     plain = import_closure(_files(spark, files), _edges(spark, edges), st)
     assert plain.columns == ["seed", "path", "depth"]
     assert {tuple(r) for r in plain.where("seed = 'many'").select("path", "depth").collect()} == {(n, d) for n, d, _, _ in _walk(files, edges, seeds["many"])}
+
+
+LUA = [
+    ("main.lua", 'local a = require "lib.a"\nlocal b = require "lib.b"\nrequire "gone"\n'),
+    ("lib/a.lua", 'require "lib.c"\n'), ("lib/b/init.lua", ""), ("lib/c.lua", None), ("lib/c/init.lua", 'require "main"'),
+    ("other.rb", 'require "lib.a"\n'), ("x.py", "from y import z\n"), ("y.py", ""),
+]
+
+
+def test_a_third_language_reaches_the_closure(spark, monkeypatch):
+    """Imports of a registered language are followed and reported; a language that no analyzer knows has none."""
+    import pytest
+
+    from textloom.operators import analyzers
+    from textloom.plans.code_jobs import closure_status
+
+    monkeypatch.setattr(analyzers, "ANALYZERS", dict(analyzers.ANALYZERS))
+    files = spark.createDataFrame(LUA, "path string, content string")
+    edges = lambda: {(r.src, r.dst) for r in analyzers.file_edges(files).collect()}
+    assert edges() == {("x.py", "y.py")}
+    path = lambda name: F.translate(name, ".", "/")
+    lua = analyzers.by_columns(
+        "LUA", (".lua",), lambda text: F.regexp_extract_all(text, F.lit('require "([^"]+)"'), 1),
+        lambda src, name: F.array(F.concat(path(name), F.lit(".lua")), F.concat(path(name), F.lit("/init.lua"))),
+    )
+    analyzers.register_analyzer(lua)
+    assert edges() == {("main.lua", "lib/a.lua"), ("main.lua", "lib/b/init.lua"), ("lib/a.lua", "lib/c.lua"), ("lib/c/init.lua", "main.lua"), ("x.py", "y.py")}
+    seeds = spark.createDataFrame([("s", "main.lua")], "seed string, node string")
+    got = {(r.name, r.status, r.depth) for r in closure_status(files, seeds).collect()}
+    assert got == {("main.lua", "covered", 0), ("lib/a.lua", "covered", 1), ("lib/b/init.lua", "covered", 1), ("lib/c.lua", "covered", 2), ("gone", "not_found", 1)}
+    with pytest.raises(ValueError):
+        analyzers.register_analyzer(analyzers.by_columns("OTHER", (".py",), lua.imports, lua.resolve))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators.ordered import row_index
-from textloom.operators.resolve import contains_expand, prepare_contains
+from textloom.operators.resolve import contains_expand
 from textloom.session import cut_lineage, cut_lineage_counted
 
 COMPACT_EVERY = 8
@@ -66,15 +66,12 @@ def import_closure(
     e = edges.select(F.col("src").alias("node"), F.col("pos").cast("long").alias("pos"), "dst")
     e = e.join(fileset.select(F.col("path").alias("node")), "node", "left_semi")
     e = cut_lineage(e)
-    prepared = None
-    pairs = None
+    n_pairs = 0
     if contains:
-        prepared = prepare_contains(fileset)
-        # Every node after level 0 is a file or an edge target, so containment pairs for all
-        # of them are computed once; each level is then one equi-join against this table.
-        later = fileset.select(F.col("path").alias("node")).unionByName(
-            e.select(F.col("dst").alias("node"))).distinct()
-        pairs, n_pairs = cut_lineage_counted(contains_expand(later, fileset, "node", [], prepared))
+        # every node is a start, a file or an edge target, so containment pairs are computed once
+        # for all of them; each level is then one equi-join against this table
+        nodes = fileset.select(F.col("path").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).unionByName(first.select("node"))
+        pairs, n_pairs = cut_lineage_counted(contains_expand(nodes, fileset))
     frontier = seen
     d = 0
     while depth is None or d < depth:
@@ -83,10 +80,7 @@ def import_closure(
             "seed", F.col(nxt).alias("node"), *([F.col("rank").alias("parent"), F.lit(kind).alias("kind"), pos.alias("pos")] if order else [])
         )
         cand = found(frontier.join(e, "node"), "dst", 1, F.col("pos"))
-        if contains and d == 0:
-            inside = contains_expand(frontier.select("seed", "node"), fileset, "node", ["seed"], prepared)
-            cand = cand.unionByName(found(inside.join(frontier, ["seed", "node"]), "path", 0, zero))
-        elif contains and n_pairs > 0:  # else no file or edge target is a proper prefix of another file
+        if n_pairs:  # else no node is a proper prefix of a file
             cand = cand.unionByName(found(frontier.join(pairs, "node"), "path", 0, zero))
         if order:
             cand = cand.groupBy("seed", "node").agg(F.min(F.struct("parent", "kind", "pos")).alias("how")).select("seed", "node", "how.*")

@@ -1,10 +1,8 @@
 """Row predicates: prefix scope / ignore, substring ignore, exact exclusion, routing rules.
 
 Prefix lists given as Python lists are parameters (a handful of entries) and compile to an
-OR-chain of ``startswith`` inside the scan's filter. Prefix *tables* are joined: when the
-table is small (row count checked against ``broadcast_limit``) it is broadcast to a
-nested-loop semi/anti join; otherwise the literal-prefix match runs as equi-joins on
-(folder, bounded name prefix), with the same result.
+OR-chain of ``startswith`` inside the scan's filter. Prefix *tables* are met through sorted
+ranges (:mod:`textloom.operators.prefixes`), whatever their size.
 """
 
 from __future__ import annotations
@@ -15,8 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import _c
-
-BROADCAST_PREFIX_LIMIT = 10_000
+from textloom.operators.prefixes import longest_prefix
 
 
 def any_prefix(col, prefixes: list[str]) -> Column:
@@ -43,21 +40,11 @@ def ignore_filter(df: DataFrame, col: str, prefixes: list[str]) -> DataFrame:
     return df.where(~any_prefix(col, prefixes)) if prefixes else df
 
 
-def prefix_join(df: DataFrame, col: str, prefixes: DataFrame, prefix_col: str, how: str = "left_semi",
-                broadcast_limit: int = BROADCAST_PREFIX_LIMIT) -> DataFrame:
-    """Semi/anti join on ``df[col].startswith(prefixes[prefix_col])``.
-
-    Small prefix tables (checked count) are broadcast to a nested-loop join; large ones use
-    the exact literal-prefix equi-join of :func:`contains_expand` (same result either way)."""
-    p = prefixes.select(F.col(prefix_col).alias("__prefix")).distinct()
-    if p.limit(broadcast_limit + 1).count() <= broadcast_limit:
-        return df.join(F.broadcast(p), F.col(col).startswith(F.col("__prefix")), how)
-    from textloom.operators.resolve import contains_expand
-
-    vals = df.select(F.col(col).alias("path")).distinct()
-    longer = contains_expand(p.select(F.col("__prefix").alias("node")), vals, "node").select(F.col("path").alias("__v"))
-    equal = vals.join(p, F.col("path") == F.col("__prefix"), "left_semi").select(F.col("path").alias("__v"))
-    hit = longer.unionByName(equal).distinct()
+def prefix_join(df: DataFrame, col: str, prefixes: DataFrame, prefix_col: str, how: str = "left_semi") -> DataFrame:
+    """Semi/anti join on ``df[col].startswith(prefixes[prefix_col])``, through sorted ranges of both sides'
+    distinct strings at every size. A null value begins with nothing."""
+    values = df.select(F.col(col).alias("value"))
+    hit = longest_prefix(prefixes.select(F.col(prefix_col).alias("prefix")), values).select(F.col("value").alias("__v"))
     return df.join(hit, F.col(col) == F.col("__v"), how)
 
 

@@ -1,7 +1,8 @@
 """Module resolution joins: imports → file paths (Python absolute/relative, JS/TS by
 extension priority, package expansion) and literal-prefix containment.
 
-All lookups are equi-joins against the file table; nothing probes a file system.
+Lookups are equi-joins against the file table, containment goes through sorted ranges; nothing probes a
+file system.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.paths import JAVASCRIPT_EXTS, dirname
+from textloom.operators.prefixes import prefix_pairs
 
 # Fixed value: extension priority when resolving JS/TS imports (first hit wins).
 JS_RESOLVE_ORDER = JAVASCRIPT_EXTS
@@ -73,38 +75,11 @@ def resolve_js(js_imports: DataFrame, files: DataFrame, root: str = "", keep_unr
     return best
 
 
-def prepare_contains(files: DataFrame):
-    """Folder-entry tables for :func:`contains_expand`, built once per file set."""
-    segs = F.split(F.col("path"), "/", -1)
-    anc = files.select("path", F.explode(F.sequence(F.lit(0), F.size(segs) - 1)).alias("__lvl")).select(
-        "path",
-        F.when(F.col("__lvl") == 0, F.lit("")).otherwise(
-            F.concat(F.array_join(F.slice(F.split(F.col("path"), "/", -1), 1, F.col("__lvl")), "/"), F.lit("/"))
-        ).alias("__d"),
-        F.element_at(F.split(F.col("path"), "/", -1), F.col("__lvl") + 1).alias("__s"),
-    )
-    dirents = anc.select("__d", "__s").distinct()
-    # every prefix of an entry's name, so that a node's exact name finds the entries that begin with it
-    keyed = dirents.withColumn("__j", F.explode(F.sequence(F.lit(0), F.length("__s")))).select(
-        "__d", "__s", F.expr("substr(__s, 1, __j)").alias("__key")
-    )
-    return anc, keyed
-
-
-def contains_expand(frontier: DataFrame, files: DataFrame, node_col: str = "node", keys: list[str] | None = None,
-                    prepared=None) -> DataFrame:
+def contains_expand(frontier: DataFrame, files: DataFrame, node_col: str = "node", keys: list[str] | None = None) -> DataFrame:
     """Files whose path has a frontier node as a proper string prefix (D5, literal semantics:
-    ``a.ts`` also pulls ``a.tsx``, ``dir`` also pulls ``dir2/x``).
-
-    Exact and join-based: every file lists its folder entries ``(folder/, entry)`` once
-    per level, and each entry all prefixes of its name; a node ``folder/name`` joins the entries that
-    list its exact name in the same folder, and then every file under a matched entry. Returns ``(keys..., node, path)``."""
-    keys = keys or []
-    anc, keyed = prepared if prepared is not None else prepare_contains(files)
-    n = frontier.select(*keys, F.col(node_col).alias("node")).distinct()
-    n = n.withColumn("__nd", F.regexp_extract("node", r"^(.*/)", 1)).withColumn(
-        "__nb", F.regexp_extract("node", r"([^/]*)$", 1)
-    )
-    ents = n.join(keyed, (n["__nd"] == keyed["__d"]) & (n["__nb"] == keyed["__key"]))
-    under = ents.select(*keys, "node", "__d", "__s").join(anc, ["__d", "__s"])
-    return under.where(F.col("path") != F.col("node")).select(*keys, "node", "path").distinct()
+    ``a.ts`` also pulls ``a.tsx``, ``dir`` also pulls ``dir2/x``), by sorted ranges
+    (:mod:`textloom.operators.prefixes`). Returns ``(keys..., node, path)``."""
+    nodes = frontier.select(*(keys or []), F.col(node_col).alias("node")).distinct()
+    found = prefix_pairs(nodes.select(F.col("node").alias("prefix")), files.select(F.col("path").alias("value")), proper=True)
+    found = found.select(F.col("prefix").alias("node"), F.col("value").alias("path"))
+    return nodes.join(found, "node").select(*keys, "node", "path") if keys else found

@@ -21,6 +21,7 @@ from textloom.functions.paths import (
     rel_path,
 )
 from textloom.functions.text import char_count, count_tokens, format_content, line_count, strip_doc, strip_js_doc, strip_py_doc
+from textloom.operators.analyzers import all_imports, file_edges
 from textloom.operators.closure import discovery_index, import_closure
 from textloom.operators.ordered import pack_segments, segment_labels
 from textloom.operators.predicates import exact_exclude, ignore_filter, scope_filter
@@ -58,13 +59,6 @@ def closure_of(spark: SparkSession, sf_dir: str, seeds: DataFrame, depth: int |
     return import_closure(files.select("path"), edges(spark, sf_dir), seeds, depth, order=order)
 
 
-def file_edges(files: DataFrame, root: str = "") -> DataFrame:
-    """Resolved import edges ``(src, pos, dst)`` of any ``files(path, content)`` table."""
-    py = resolve_py(parsed_imports(files.where(program_type("path") == "PYTHON")), files, root)
-    js = resolve_js(js_imports(files.where(program_type("path") == "JAVASCRIPT")), files, root)
-    return py.select("src", "pos", "dst").unionByName(js.select("src", "pos", "dst"))
-
-
 def closure_context(files: DataFrame, changed: DataFrame, depth: int | None = 1, root: str = "") -> DataFrame:
     """``path, ord, node``: the files that each of ``changed(path)`` depends on, by its own closure over ``files``, in
     the order of a listing (last discovered first)."""
@@ -368,9 +362,7 @@ def closure_status(files: DataFrame, seeds: DataFrame, root: str = "", depth: in
     clo = cut_lineage(import_closure(files.select("path"), file_edges(files, root), seeds, depth, order=True))
     inside = F.col("kind").eqNullSafe(0)
     found = clo.select("seed", F.col("path").alias("name"), F.when(inside, F.lit("contained")).otherwise(F.lit("covered")).alias("status"), "depth")
-    py = resolve_py(parsed_imports(files.where(program_type("path") == "PYTHON")), files, root, keep_unresolved=True)
-    js = resolve_js(js_imports(files.where(program_type("path") == "JAVASCRIPT")), files, root, keep_unresolved=True)
-    lost = py.where("dst is null").select("src", F.col("abs_module").alias("name")).unionByName(js.where("dst is null").select("src", F.col("module").alias("name")))
+    lost = all_imports(files, root).where("dst is null").select("src", "name")
     missing = lost.join(clo.select("seed", F.col("path").alias("src"), "depth"), "src").select("seed", "name", (F.col("depth") + 1).alias("depth"))
     starts = seeds.select("seed", F.col("node").alias("name")).join(files.select(F.col("path").alias("name")), "name", "left_anti")
     missing = missing.unionByName(starts.select("seed", "name", F.lit(0).alias("depth"))).groupBy("seed", "name").agg(F.min("depth").alias("depth"))
