@@ -1,7 +1,4 @@
-"""Classifier on held-out rows, neighbours against brute force, language models against plain counts, licenses."""
-
-from collections import Counter
-from math import log
+"""Classifier on held-out rows, neighbours against brute force, licenses."""
 
 import numpy as np
 import pytest
@@ -9,7 +6,6 @@ from edge import ROWS, edge_docs, no_docs
 
 from textloom.llm import multi_index
 from textloom.llm.licenses import TEMPLATES, Scanner, align, longest_run, scan_licenses
-from textloom.llm.lm_scores import NAMED, TOKENS, WEIGHT, Vocabulary, score_documents, words_of
 from textloom.llm.multi_index import nearest
 from textloom.llm.quality_cnn import CHUNK, HOP, ByteNetwork, chunks_of, keep_good, score_quality, train_network
 from textloom.session import table
@@ -109,43 +105,6 @@ def test_equal_and_unusable_vectors(spark, monkeypatch):
     assert nearest(table_.where("vec_id in (300, 400)"), table_).count() == 0
 
 
-def test_language_models_against_plain_counts(spark):
-    docs, target = table(spark, SF, "documents").limit(200).cache(), table(spark, SF, "conversations").limit(100).cache()
-    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    n = Counter(w for _, t in texts for w in words_of(t))
-    words = [w for w, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[: NAMED - 1]]
-    v = Vocabulary(words)
-
-    def model(all_texts):
-        pairs, after, single = Counter(), Counter(), Counter()
-        for t in all_texts:
-            ids = v.tokens(t).tolist()
-            pairs.update(zip(ids, ids[1:]))
-            after.update(ids[:-1])
-            single.update(ids[1:])
-        total = sum(single.values()) + TOKENS
-        return lambda a, b: -log((pairs[a, b] + WEIGHT * (single[b] + 1) / total) / (after[a] + WEIGHT))
-
-    there, here = model([r["text"] or "" for r in target.collect()]), model([t for _, t in texts])
-    got = {r["doc_id"]: r for r in score_documents(docs, target).collect()}
-    for i, t in texts[:60]:
-        ids = v.tokens(t).tolist()
-        if len(ids) == 1:
-            assert got[i]["score"] is None
-            continue
-        a, b = (sum(m(x, y) for x, y in zip(ids, ids[1:])) / (len(ids) - 1) for m in (there, here))
-        assert got[i]["n_tokens"] == len(ids) - 1
-        assert (got[i]["target_loss"], got[i]["background_loss"]) == pytest.approx((a, b), abs=1e-4)
-
-
-def test_language_model_edges(spark):
-    rows = score_documents(edge_docs(spark), edge_docs(spark)).collect()
-    assert len(rows) == len(ROWS) and all(r["score"] is None or abs(r["score"]) < 1e-6 for r in rows)
-    assert all((r["score"] is None) == (r["n_tokens"] == 0) for r in rows)
-    assert score_documents(no_docs(spark), edge_docs(spark)).count() == 0
-    assert score_documents(edge_docs(spark), no_docs(spark)).count() == len(ROWS)
-
-
 def test_alignment():
     assert longest_run([(0, 3), (1, 1), (2, 2), (3, 0), (4, 4)]) == [(1, 1), (2, 2), (4, 4)]
     a, b = "the cat sat on the mat today".split(), "so the cat then sat on a mat today ok".split()

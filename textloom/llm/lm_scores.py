@@ -1,22 +1,17 @@
 """Language-model scores by cross-entropy difference.
 
-A target and a background bigram model share one vocabulary: the background's commonest words, and
-for all other words classes by their ending. As the vocabulary has a fixed size, so have the models,
-which are counted exactly over all texts of both corpora, and the tables of losses that tasks get. A
-document's score is the mean over its tokens of the loss under the target model less the loss under
-the background model: the lower, the closer to the target.
-
-``score_documents`` holds models of a fixed size. ``score_all_words`` gives every word of both corpora a
-token of its own, and what it counts grows with the texts: tasks count the words and word pairs of chunks
-of texts, the counts are added up in buckets by hash, and each chunk gets back the sums of what it holds.
-A chunk sends a word pair once, however often it occurs, so no bucket is filled by a frequent one.
+A target and a background bigram model share one vocabulary, every word of both corpora. A document's
+score is the mean over its tokens of the loss under the target model less the loss under the
+background model: the lower, the closer to the target.
+
+What is counted grows with the texts: tasks count the words and word pairs of chunks of texts, the
+counts are added up in buckets by hash, and each chunk gets back the sums of what it holds. A chunk
+sends a word pair once, however often it occurs, so no bucket is filled by a frequent one.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,17 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import doc_columns, map_columns
+from textloom.llm.common import doc_columns
 from textloom.llm.ngram_join import FACTORS, mixed
-from textloom.llm.sketch import count_cells
 from textloom.session import cut_lineage
 
-NAMED = 1024  # words with a token of their own; token 0 is the start of a text
-CLASSES = 1024  # of other words
-TOKENS = NAMED + CLASSES
-ENDING = 3  # letters that choose a class
 WEIGHT = 50.0  # of the unigram model in the bigram model, in counts
-HELD = 400_000  # words that a task counts before it passes them on
 CHUNK_TOKENS = 1_000_000  # of a chunk of texts; longer texts are divided
 CHUNK_TEXTS = 50_000
 BUCKET_BITS = 11  # of a key that name its bucket, at least
@@ -51,93 +40,6 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def common_words(texts: DataFrame) -> list[str]:
-    """The NAMED - 1 commonest words of all texts, ties to the smaller word. Tasks count their own words
-    first, Spark adds the counts up."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def passed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(counts.keys()), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"]
-            )
-
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                counts.update(words_of(text))
-                if len(counts) >= HELD:
-                    yield passed()
-                    counts.clear()
-        yield passed()
-
-    sums = texts.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in sums.orderBy(F.desc("n"), "word").limit(NAMED - 1).collect()]
-
-
-class Vocabulary(dict):
-    """Token of each word; other words get the class of their ending."""
-
-    def __init__(self, words: list[str]):
-        super().__init__((w, k + 1) for k, w in enumerate(words))
-
-    def __missing__(self, word: str) -> int:
-        return NAMED + zlib.crc32(word[-ENDING:].encode()) % CLASSES
-
-    def tokens(self, text: str) -> np.ndarray:
-        """Tokens of a text, with the start before the first."""
-        words = words_of(text)
-        out = np.zeros(len(words) + 1, np.int64)
-        out[1:] = list(map(self.__getitem__, words))
-        return out
-
-
-def bigram_counts(texts: DataFrame, words: list[str]) -> np.ndarray:
-    """Counts of each token after each other token, over all texts."""
-
-    def cells(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        vocabulary = Vocabulary(words)
-        for text in batch.column("text").to_pylist():
-            t = vocabulary.tokens(text)
-            yield t[:-1] * TOKENS + t[1:]
-
-    return count_cells(texts.select("text"), cells, TOKENS * TOKENS).reshape(TOKENS, TOKENS)
-
-
-def losses(counts: np.ndarray) -> np.ndarray:
-    """Loss of each token after each other: bigram counts smoothed by the unigram model, and that by one
-    count for each token."""
-    single = counts.sum(0) + 1.0
-    single /= single.sum()
-    after = counts.sum(1, keepdims=True)
-    return -np.log((counts + WEIGHT * single) / (after + WEIGHT)).astype(np.float32)
-
-
-def score_documents(docs: DataFrame, target: DataFrame, text_col: str = "text") -> DataFrame:
-    """Scores of every whole text: ``doc_id, n_tokens, target_loss, background_loss, score``, losses a
-    token in nats; the background model is counted over all of ``docs``, the target model over all of
-    ``target``.
-
-    One row per input row. Texts without words (null, empty) have 0 tokens and null losses and score; a
-    null doc_id stays null; equal texts get equal scores; empty tables give an empty result or a model
-    that knows the vocabulary only; other columns play no part."""
-    texts = doc_columns(docs)
-    wanted = target.select(F.coalesce(target[text_col].cast("string"), F.lit("")).alias("text"))
-    words = common_words(texts)
-    tables = [losses(bigram_counts(t, words)) for t in (wanted, texts)]
-
-    def run(ids: list, rows: list) -> list[list]:
-        vocabulary, found = Vocabulary(words), []
-        for text in rows:
-            t = vocabulary.tokens(text)
-            n = len(t) - 1
-            a, b = (float(table[t[:-1], t[1:]].mean(dtype=np.float64)) if n else None for table in tables)
-            found.append((n, a, b, a - b if n else None))
-        return [ids, *map(list, zip(*found))] if found else [[] for _ in range(5)]
-
-    return map_columns(texts, run, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
-
-
 def narrow(values: np.ndarray) -> bytes:
     """Counts as bytes, in the smallest unsigned type that holds them all."""
     return values.astype(np.min_scalar_type(int(values.max(initial=0)))).tobytes()
