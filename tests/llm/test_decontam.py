@@ -2,10 +2,11 @@
 
 import random
 import re
+from collections import Counter
 
 from edge import edge_docs, no_docs
 
-from textloom.llm.decontam import THRESHOLD, BenchmarkIndex, ItemIndex, drop_leaks, find_leaks, question_and_answer, words_of
+from textloom.llm.decontam import THRESHOLD, BandCounts, BenchmarkIndex, ItemIndex, drop_leaks, find_leaks, question_and_answer, words_of
 from textloom.session import table
 
 SF = "/root/testdata/sf0.01"
@@ -64,3 +65,34 @@ def test_edges(spark):
     docs = spark.createDataFrame([(5, "so a b c d it is"), (5, "so a b c d it is"), (None, "a b c d")], "doc_id bigint, text string")
     assert sorted(map(str, (r["doc_id"] for r in find_leaks(docs, twice).collect()))) == ["5", "5", "None"]
     assert re.match(r"0\.\d", str(THRESHOLD))
+
+
+def test_blocks_change_nothing(spark, monkeypatch):
+    """Partly changed items near the threshold, found with their scores by one index as by many."""
+    from textloom.llm import decontam
+
+    rng = random.Random(12)
+    items = table(spark, SF, "benchmark")
+    pool = [r["text"] for r in items.orderBy("item_id").collect()]
+    docs = []
+    for k in range(400):
+        words = rng.choice(pool).split()
+        changed = [w if rng.random() < 0.75 else rng.choice(rng.choice(pool).split()) for w in words]
+        docs.append((k, " ".join(["start", "of", "it"] * 5 + changed + ["and", "more"] * 9)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    rows = lambda: sorted((r["doc_id"], r["item_id"], round(r["score"], 9), r["first_word"]) for r in find_leaks(df, items).collect())
+    whole = rows()
+    total = sum(len(t.encode()) for t in pool)
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", total // 6)
+    assert 20 < len(whole) < 400 and rows() == whole
+
+
+def test_band_counts_are_those_of_one_index():
+    items = [(k, " ".join(f"w{(k * j) % 23}" for j in range(1, 9))) for k in range(12)]
+    whole = ItemIndex(items, 0.3)
+    band = BandCounts.of([Counter(words_of(t)) for _, t in items])
+    halves = [ItemIndex(items[:5], 0.3, band), ItemIndex(items[5:], 0.3, band)]
+    for _, text in items:
+        asked = set(words_of(text)[:5])
+        ids = lambda x: {x.ids[i]: round(s, 9) for i, s in x.retrieve(asked)}
+        assert ids(whole) == ids(halves[0]) | ids(halves[1])

@@ -18,6 +18,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from math import log
 
 import pandas as pd
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import doc_columns, map_columns, small_batches
+from textloom.session import cut_lineage
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5  # share of an item's own score
@@ -81,20 +83,35 @@ class PostingList:
         self.block_most = [max(weights[k : k + POSTINGS]) for k in range(0, len(items), POSTINGS)]
 
 
+@dataclass
+class BandCounts:
+    """What all test items of one length band hold, in whatever block they stand: how many there are, their mean
+    and greatest number of words, and in how many each word occurs."""
+
+    n: int
+    mean: float
+    longest: int
+    found: dict[str, int]
+
+    @classmethod
+    def of(cls, counts: list[Counter]) -> BandCounts:
+        sizes = [sum(c.values()) for c in counts]
+        return cls(len(counts), sum(sizes) / len(sizes), max(sizes), Counter(w for c in counts for w in c))
+
+
 class ItemIndex:
-    """Index of test items of similar length."""
+    """Index of test items of similar length, weighted by the counts of their whole band (their own, unless given)."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float):
+    def __init__(self, items: list[tuple[int, str]], threshold: float, band: BandCounts | None = None):
         self.threshold = threshold
         self.ids = [i for i, _ in items]
         self.parts = [question_and_answer(t) for _, t in items]
         counts = [Counter(words_of(t)) for _, t in items]
         lengths = [sum(c.values()) for c in counts]
-        self.longest = max(lengths)
-        mean = sum(lengths) / len(lengths)
-        found = Counter(w for c in counts for w in c)
-        idf = {w: log(1 + (len(items) - n + 0.5) / (n + 0.5)) for w, n in found.items()}
-        lists: dict[str, tuple[list, list]] = {w: ([], []) for w in found}
+        band = band or BandCounts.of(counts)
+        self.longest, mean, found = band.longest, band.mean, band.found
+        idf = {w: log(1 + (band.n - found[w] + 0.5) / (found[w] + 0.5)) for c in counts for w in c}
+        lists: dict[str, tuple[list, list]] = {w: ([], []) for w in idf}
         needed: list[list[tuple[float, str]]] = []
         for k, (c, size) in enumerate(zip(counts, lengths)):
             part = {w: idf[w] * n * (K1 + 1) / (n + K1 * (1 - B + B * size / mean)) for w, n in c.items()}
@@ -185,15 +202,19 @@ class ItemIndex:
         return best
 
 
+def band_of(n_words: int) -> int:
+    return max(6, n_words.bit_length())
+
+
 class BenchmarkIndex:
     """Indexes of a block's items by length band, so that a passage suits the items it may hold."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, counts: dict[int, BandCounts] | None = None):
         bands: dict[int, list] = {}
         for i, text in items:
             if n := len(words_of(text)):
-                bands.setdefault(max(6, n.bit_length()), []).append((i, text))
-        self.indexes = [ItemIndex(sorted(v), threshold) for _, v in sorted(bands.items())]
+                bands.setdefault(band_of(n), []).append((i, text))
+        self.indexes = [ItemIndex(sorted(v), threshold, (counts or {}).get(b)) for b, v in sorted(bands.items())]
 
     def leaks(self, text: str) -> list[tuple[int, float, float, float, int]]:
         """(item_id, score, question overlap, answer overlap, first word) of each leaked item, by item_id."""
@@ -203,15 +224,34 @@ class BenchmarkIndex:
         return sorted(out)
 
 
+def counted_items(items: DataFrame) -> DataFrame:
+    """``i, t, band, size, words`` of the items that have words; ``words`` are the different ones."""
+
+    def run(ids: list, texts: list) -> list[list]:
+        out = [(i, t, band_of(len(ws)), len(ws), sorted(set(ws))) for i, t in zip(ids, texts) if (ws := words_of(t))]
+        return [list(c) for c in zip(*out)] if out else [[] for _ in range(5)]
+
+    return map_columns(items.select("i", "t"), run, "i bigint, t string, band int, size bigint, words array<string>")
+
+
 def index_blocks(benchmark: DataFrame, threshold: float = THRESHOLD) -> Iterator[BenchmarkIndex]:
-    """Indexes of the test items, BLOCK_BYTES of text each at most on average; one at a time is on the driver."""
+    """Indexes of the test items, BLOCK_BYTES of text each at most on average. Their weights come from counts over
+    all items of a band, so that what is retrieved does not depend on the division into blocks; a block
+    gets the counts of its own words."""
     items = benchmark.select(benchmark["item_id"].cast("bigint").alias("i"), benchmark["text"].cast("string").alias("t"))
-    items = items.where("i is not null and t is not null").distinct()
+    items = cut_lineage(counted_items(items.where("i is not null and t is not null").distinct()))
     size = items.agg(F.sum(F.octet_length("t").cast("bigint"))).first()[0] or 0
     n = max(1, -(-size // BLOCK_BYTES))
+    sizes = {r["band"]: r for r in items.groupBy("band").agg(F.count("*").alias("n"), F.avg("size").alias("mean"), F.max("size").alias("longest")).collect()}
+    each = items.select("band", F.explode("words").alias("word"), F.pmod(F.xxhash64("i", "t"), F.lit(n)).alias("block"))
+    found = each.groupBy("band", "word").agg(F.count("*").alias("n"), F.collect_set("block").alias("blocks"))
+    found = cut_lineage(found) if n > 1 else found
     for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).orderBy("i", "t").collect()
-        yield BenchmarkIndex([(r["i"], r["t"]) for r in rows], threshold)
+        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).orderBy("i", "t").select("i", "t").collect()
+        counts = {b: BandCounts(r["n"], r["mean"], r["longest"], {}) for b, r in sizes.items()}
+        for r in found.where(F.array_contains("blocks", F.lit(k).cast("bigint"))).select("band", "word", "n").collect():
+            counts[r["band"]].found[r["word"]] = r["n"]
+        yield BenchmarkIndex([(r["i"], r["t"]) for r in rows], threshold, counts)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -220,7 +260,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Null and empty texts, and test items that are null or without words, have no leaks; a null doc_id
     stays null; repeated rows and items give repeated rows; an empty table on either side gives an empty
-    result; other columns play no part. A map over rows: no text is shuffled."""
+    result; other columns play no part; texts of any length are read whole, in passages that overlap by half.
+    A map over rows: no text is shuffled."""
     texts, schema = doc_columns(docs), "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double, first_word int"
     out = None
     for index in index_blocks(benchmark):
@@ -235,7 +276,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text holds a leaked test item; all columns stay, nothing is shuffled."""
+    """``docs`` without the rows whose text holds a leaked test item; all columns stay, no text is shuffled.
+
+    Null and empty texts hold none and stay with a null text; rows that repeat stay or go together; null doc_ids
+    play no part; an empty table on either side drops nothing; texts of any length are read whole."""
     small_batches(docs)
     for index in index_blocks(benchmark):
         docs = docs.where(clean_texts(index)(F.coalesce(docs["text"].cast("string"), F.lit(""))))
