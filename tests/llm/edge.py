@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 LONG = " ".join(f"word{k % 977} und {k}" for k in range(30_000))
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_tokens string, spans int, node string, score string, h int, shard string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_tokens string, spans int, node string, score string, h int, shard string, __marked string, __id int, __text string, __email int"
 ROWS = [
     (1, None), (2, ""), (3, " \t\n "), (None, "a null id with words enough to count"), (None, None),
     (4, "same text twice in the table, row for row"), (4, "same text twice in the table, row for row"),
@@ -13,7 +13,7 @@ ROWS = [
 
 
 def edge_docs(spark):
-    rows = [(i, t, None, "s", None, "clash", 1, "clash", "clash", 2, "clash") for i, t in ROWS]
+    rows = [(i, t, None, "s", None, "clash", 1, "clash", "clash", 2, "clash", "m", 3, "x", 4) for i, t in ROWS]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 

@@ -426,7 +426,9 @@ def link_components(texts: DataFrame, found: DataFrame, percent: int, words: int
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """``docs`` with one document of each component of :func:`join_documents`: the one whose doc_id names
-    it, once if its row is repeated. Rows without doc_id and texts without shingles stay. All columns stay.
+    it, once if its row is repeated. Rows without doc_id and texts without shingles stay. All columns stay,
+    whatever their names. Decisions are taken by doc_id: of an id that stands with several texts, all stay if one
+    of them names its component.
 
     Only rows that a filter of fixed size marks as possibly repeated or named by another document are
     joined, so most texts are not moved."""
@@ -446,13 +448,16 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> Dat
             out[known] = cells[cell_of(ids[known].astype("int64").to_numpy())]
             yield out
 
-    # by name: columns of docs may be called like anything else
-    held = docs.select(*[F.col(f"`{c}`") for c in docs.columns], marked(docs["doc_id"].cast("bigint")).alias("__marked"))
-    clear = held.where(~F.col("__marked")).drop("__marked")
-    some = held.where("__marked").drop("__marked")
-    names = doubtful.select(F.col("doc_id").alias("__id"), F.col("names").alias("__names"))
-    some = some.join(names, some["doc_id"] == names["__id"], "left").where("__names is null or __names")
-    once = Window.partitionBy("__id", F.xxhash64("text")).orderBy(F.lit(1))
+    own = "__"
+    while any(c.lower().startswith(own) for c in docs.columns):  # names that the table does not have
+        own += "_"
+    mark, key, named, nth = (f"{own}{x}" for x in ("marked", "id", "names", "n"))
+    held = docs.select(*[F.col(f"`{c}`") for c in docs.columns], marked(docs["doc_id"].cast("bigint")).alias(mark))
+    clear = held.where(~F.col(mark)).drop(mark)
+    some = held.where(mark).drop(mark)
+    names = doubtful.select(F.col("doc_id").alias(key), F.col("names").alias(named))
+    some = some.join(names, some["doc_id"] == names[key], "left").where(F.col(named).isNull() | F.col(named))
+    once = Window.partitionBy(key, F.xxhash64("text")).orderBy(F.lit(1))
     empty = F.trim(F.coalesce("text", F.lit(""))) == ""
-    some = some.withColumn("__n", F.row_number().over(once)).where(F.col("__names").isNull() | (F.col("__n") == 1) | empty)
+    some = some.withColumn(nth, F.row_number().over(once)).where(F.col(named).isNull() | (F.col(nth) == 1) | empty)
     return clear.union(some.select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -177,12 +177,17 @@ def pii_digest(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of personal data in ``text`` replaced by its kind in square brackets;
-    overlapping spans become one, named after the first. All columns stay; a null text stays null;
-    ``n_chars``, where there is such a column, becomes the new length."""
-    df = docs.withColumn("__text", F.coalesce(docs["text"].cast("string"), F.lit("")))
+    overlapping spans become one, named after the first. All columns stay, whatever their names; a null text
+    stays null, an empty one empty; rows that repeat change alike; an empty table stays empty; ``n_chars``, where
+    there is such a column, becomes the new length. Texts are taken whole; the work of one text grows with the
+    square of its number of spans."""
+    own = "__"
+    while any(c.lower().startswith(own) for c in docs.columns):  # names that the table does not have
+        own += "_"
+    df = docs.withColumn(f"{own}text", F.coalesce(docs["text"].cast("string"), F.lit("")))
     for k in KINDS:
-        df = with_spans(df, "__text", k, f"__{k.name}")
-    spans = F.array_sort(F.transform(F.concat(*[F.col(f"__{k.name}") for k in KINDS]), lambda s: F.struct(s["start"], s["end"], s["kind"])))
+        df = with_spans(df, f"{own}text", k, f"{own}{k.name}")
+    spans = F.array_sort(F.transform(F.concat(*[F.col(f"{own}{k.name}") for k in KINDS]), lambda s: F.struct(s["start"], s["end"], s["kind"])))
     last = lambda a: F.get(a, F.size(a) - 1)
     # spans that begin before an earlier one ends add to it
     joined = F.aggregate(
@@ -195,14 +200,15 @@ def redact(docs: DataFrame) -> DataFrame:
             ),
         ).otherwise(F.concat(a, F.array(s))),
     )
-    df = df.withColumn("__spans", joined)
-    text, ends = F.col("__text"), F.concat(F.array(F.lit(0)), F.transform("__spans", lambda s: s["end"]))
-    zipped = F.arrays_zip(F.col("__spans").alias("span"), F.slice(ends, F.lit(1), F.size("__spans")).alias("at"))
+    held = f"{own}spans"
+    df = df.withColumn(held, joined)
+    text, ends = F.col(f"{own}text"), F.concat(F.array(F.lit(0)), F.transform(held, lambda s: s["end"]))
+    zipped = F.arrays_zip(F.col(held).alias("span"), F.slice(ends, F.lit(1), F.size(held)).alias("at"))
     part = lambda x: F.concat(
         text.substr(x["at"] + 1, x["span"]["start"] - x["at"]), F.lit("["), F.upper(x["span"]["kind"]), F.lit("]")
     )
     tail = text.substr(F.element_at(ends, -1) + 1, F.length(text))
-    new = F.when(F.size("__spans") > 0, F.concat(F.array_join(F.transform(zipped, part), ""), tail)).otherwise(F.col("text"))
+    new = F.when(F.size(held) > 0, F.concat(F.array_join(F.transform(zipped, part), ""), tail)).otherwise(F.col("text"))
     cols = [new.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     out = df.select(*cols)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
