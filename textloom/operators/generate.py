@@ -53,11 +53,11 @@ def batch_generate(
     messages_col: str = "messages",
     options: dict | None = None,
     retry: tuple = SHORT_RETRY,
-    max_rounds: int = 1,
+    max_rounds: int | None = 1,
     sleep: Callable[[float], None] = time.sleep,
 ) -> DataFrame:
     """Run ``generate`` over every request row (J1), with retries (J2) and, when
-    ``max_rounds > 1``, continuation of answers cut at the length limit (J3): the partial
+    ``max_rounds > 1`` or None (no bound), continuation of answers cut at the length limit (J3): the partial
     answer and a continue turn are appended and the call repeats; texts are concatenated."""
     opts = dict(options or {})
     in_cols = [*keys, messages_col]
@@ -72,7 +72,7 @@ def batch_generate(
                 raw = rec[messages_col]
                 msgs = [] if raw is None else [dict(role=m["role"], content=m["content"]) for m in raw]
                 text, reason, tries_total, err, rounds = "", None, 0, None, 0
-                while rounds < max_rounds:
+                while max_rounds is None or rounds < max_rounds:
                     res, tries, err = _call_with_retry(generate, msgs, opts, retry, sleep)
                     tries_total += tries
                     rounds += 1

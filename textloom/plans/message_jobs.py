@@ -166,7 +166,7 @@ SELECT c.conv_id, CAST(greatest(1, ceil(length(coalesce(t, '')) / 64.0)) AS INTE
   CAST(length(coalesce(t, '')) AS INTEGER) AS answer_chars FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN f USING (conv_id)""")
 def q_continue_answers(spark, sf_dir):
     out = batch_generate(_requests(spark, sf_dir), continuing_client, ["conv_id"], options={"max_tokens": 64},
-                         max_rounds=1000, sleep=_no_sleep)
+                         max_rounds=None, sleep=_no_sleep)
     return out.select("conv_id", "rounds", "finish_reason", F.length("answer").alias("answer_chars"))
 
 
