@@ -10,11 +10,13 @@ combination is left in common. With EXTRA losses more than a linked document may
 documents have EXTRA + 1 combinations in common, so no link is lost, accidental meetings of fewer
 combinations are not compared, and a combination of rare tokens has few documents.
 
-Near copies meet a leader first: each document that of the other component in its combinations which it
-shares most with. Verified links join documents to components; only documents of one combination that are
-still in different components are then compared with one another, by size and bitmap first. Links inside a
-component that is already joined change nothing there and are not looked at. Where the number of links is
-asked for, all documents that share enough combinations are compared, whatever their component.
+Near copies meet a leader first: each document that of its combinations' ends which it shares most with.
+Verified links with leaders join documents to components. Documents that leaders connect are dealt to blocks,
+and what is left to compare is found by block: two blocks meet when they share enough combinations among
+different components. A task compares the bitmaps of two blocks' sets in place, so that only pairs whose sizes
+and bitmaps allow a link become rows, however many near copies a group holds; these are verified exactly. Links
+inside a component that is already joined change nothing there and are not looked at. Where the number of links
+is asked for, blocks are compared whatever the components.
 """
 
 from __future__ import annotations
@@ -38,8 +40,10 @@ PERCENT = 85
 FREQUENT = 16  # documents that store a token, beyond which it is indexed in pairs
 CLASS_TOKENS = 16  # tokens of a document for each class of frequent tokens
 EXTRA = 2  # losses that a prefix is extended by beyond what finds every link
-STAR_ROUNDS = 1  # in which documents are compared with leaders
-BLOCK_NODES = 256  # documents of a component in a block, whose sets are compared together
+BLOCK_NODES = 512  # documents of a block, whose bitmaps are compared together
+BLOCK_PAIRS = 16  # pairs of blocks that are compared in one group
+SLICE = 64  # documents of a block that are held against the whole other block at once
+SCREEN = 8  # words of a bitmap that are compared first
 SEEN = 1 << 16  # digests that a task remembers, to index copies that follow one another once
 BITS = 2048  # cells of a set's bitmap
 GROUP_PAIRS = 4000  # pairs that are compared in one group
@@ -201,11 +205,17 @@ def linked_sets(texts: DataFrame, found: DataFrame, blocks: DataFrame, words: in
     return made.join(of, ["node", "id"]).select("node", "tokens", "block")
 
 
-def in_blocks(nodes: DataFrame, heads: DataFrame) -> DataFrame:
-    """``node, block``: the nodes that have one leader, and it, dealt by hash to blocks of about BLOCK_NODES."""
-    named = nodes.select("node").join(heads, "node", "left").select("node", F.coalesce("head", "node").alias("head"))
-    sizes = named.groupBy("head").agg(F.ceil(F.count("*") / BLOCK_NODES).alias("blocks"))
-    return named.join(sizes, "head").select("node", F.xxhash64("head", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block"))
+def in_blocks(heads: DataFrame) -> DataFrame:
+    """``node, block``: all nodes that leaders connect, dealt to blocks of about BLOCK_NODES. Nodes of one leader
+    stay together: a leader with more is divided by hash, smaller ones that are connected share blocks."""
+    clusters = connected(heads.select(F.col("node").alias("a"), F.col("head").alias("b")))
+    named = cut_lineage(clusters.join(heads, "node", "left").select("node", "comp", F.coalesce("head", "node").alias("head")))
+    led = named.groupBy("comp", "head").agg(F.count("*").alias("size"))
+    shared = led.where(F.col("size") < BLOCK_NODES).groupBy("comp").agg(F.ceil(F.sum("size") / BLOCK_NODES).alias("bins"))
+    led = led.join(shared, "comp", "left").select("head", "size", "bins")
+    own = F.xxhash64("comp", "head", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK_NODES)))
+    bin_of = F.xxhash64("comp", F.pmod(F.xxhash64("head"), F.col("bins")))
+    return named.join(led, "head").select("node", F.when(F.col("size") < BLOCK_NODES, bin_of).otherwise(own).alias("block"))
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -214,14 +224,18 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(cells, minlength=BITS) & 1).view(np.uint64)
 
 
+def most_apart(both: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Tokens that a linked pair may differ in, from the sum of its sizes."""
+    return both - 2 * -(-percent * both // (100 + percent))
+
+
 def linked(x: list, y: list, tokens: dict, percent: int) -> np.ndarray:
     """For each pair of nodes whether their sets link: first by what sizes and bitmaps allow, then exactly."""
     at = {n: k for k, n in enumerate(tokens)}
     sets = list(tokens.values())
     sizes, maps = np.array([len(t) for t in sets]), np.array([bitmap(t) for t in sets])
     i, j = np.array([at[n] for n in x]), np.array([at[n] for n in y])
-    both = sizes[i] + sizes[j]
-    most = both - 2 * -(-percent * both // (100 + percent))  # tokens that a linked pair may differ in
+    most = most_apart(sizes[i] + sizes[j], percent)
     keep = np.zeros(len(i), bool)
     for k in range(0, len(i), 1 << 14):
         part = slice(k, k + (1 << 14))
@@ -234,6 +248,65 @@ def linked(x: list, y: list, tokens: dict, percent: int) -> np.ndarray:
     return keep
 
 
+def signatures(sets: DataFrame) -> DataFrame:
+    """``node, block, n, map``: size and bitmap of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.frombuffer(t, np.uint64) for t in batch.column("tokens").to_pylist()]
+            columns = [batch.column("node"), batch.column("block"), pa.array([len(t) for t in held], pa.int64()), pa.array([bitmap(t).tobytes() for t in held], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "block", "n", "map"])
+
+    return sets.select("node", "block", "tokens").mapInArrow(run, "node bigint, block bigint, n bigint, map binary")
+
+
+def near_in_blocks(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, comps: np.ndarray, maps: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i of x, j of y) of different components whose sizes and bitmaps allow a link; of a block with
+    itself each pair once. A bitmap's first words tell most pairs apart."""
+    of_x, of_y = [], []
+    for k in range(0, len(x), SLICE):
+        i, ni, nj = x[k : k + SLICE], sizes[x[k : k + SLICE], None], sizes[None, y]
+        fits = (comps[i, None] != comps[None, y]) & (100 * np.minimum(ni, nj) >= percent * np.maximum(ni, nj))
+        if x is y:
+            fits &= i[:, None] < y[None]
+        most = most_apart(ni + nj, percent)
+        if not fits.any():
+            continue
+        fits &= np.bitwise_count(maps[i, None, :SCREEN] ^ maps[None, y, :SCREEN]).sum(2, dtype=np.int64) <= most
+        p, q = np.nonzero(fits)
+        for m in range(0, len(p), 1 << 14):
+            u, v = p[m : m + (1 << 14)], q[m : m + (1 << 14)]
+            near = np.bitwise_count(maps[i[u]] ^ maps[y[v]]).sum(1, dtype=np.int64) <= most[u, v]
+            of_x.append(i[u[near]])
+            of_y.append(y[v[near]])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *of_x]), np.concatenate([none, *of_y])
+
+
+def near_pairs(blocks: DataFrame, n: int, marks: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``a, b, block_a, block_b``: the pairs of nodes of n pairs of blocks that sizes, components and bitmaps
+    leave. ``marks``: ``node, block, n, map, comp``. A block is sent once to each group of pairs."""
+    groups = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // BLOCK_PAIRS))
+
+    def compare(p: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(held):
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("a", "b", "block_a", "block_b")})
+        nodes, own, sizes, comps = (held[c].to_numpy() for c in ("node", "block", "n", "comp"))
+        maps, at = np.frombuffer(b"".join(held["map"]), np.uint64).reshape(len(held), -1), held.groupby("block").indices
+        found = []
+        for s, t in zip(p["block_a"], p["block_b"]):
+            if s in at and t in at:
+                found.append(near_in_blocks(at[s], at[s] if s == t else at[t], sizes, comps, maps, percent))
+        none = np.zeros(0, np.int64)
+        i, j = (np.concatenate([none, *(f[side] for f in found)]) for side in (0, 1))
+        return pd.DataFrame({"a": nodes[i], "b": nodes[j], "block_a": own[i], "block_b": own[j]})
+
+    pairs = blocks.select("block_a", "block_b", F.pmod(F.xxhash64("block_a", "block_b"), F.lit(groups)).alias("group"))
+    of = lambda side: pairs.select(F.col("group").alias("to_group"), F.col(side).alias("block"))
+    sent = of("block_a").union(of("block_b")).distinct().join(marks, "block")
+    return pairs.groupBy("group").cogroup(sent.groupBy("to_group")).applyInPandas(compare, "a bigint, b bigint, block_a bigint, block_b bigint")
+
+
 def verified(pairs: DataFrame, n: int, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose sets link: 100 * common >= percent * all. ``pairs``, n of them, name the blocks
     of both nodes; all pairs of two blocks are compared in one group, so a set is sent once for each group."""
@@ -324,16 +397,13 @@ def likely_index(found: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def all_links(texts: DataFrame, found: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
-    """``a, b``: every two different sets that link, a < b, also inside components. Their number, and the
-    comparisons, grow with the square of a group of near copies."""
+    """``a, b``: every two different sets that link, also inside components. The links, and the comparisons in
+    tasks, grow with the square of a group of near copies."""
     index = likely_index(found, percent)
-    heads = cut_lineage(leaders(index, None))
-    nodes = heads.select("node").union(heads.select(F.col("head").alias("node"))).distinct()
-    index = index.join(in_blocks(nodes, heads), "node", "left").withColumn("block", F.coalesce("block", "node"))
-    pairs, n = cut_lineage_counted(open_pairs(cut_lineage(index), None, percent))
-    sides = (pairs.select(F.col(x).alias("node"), F.col(f"block_{x}").alias("block")) for x in "ab")
-    sets = cut_lineage(linked_sets(texts, found, cut_lineage(next(sides).union(next(sides)).distinct()), words))
-    return verified(pairs, n, sets, percent)
+    blocks = cut_lineage(in_blocks(cut_lineage(leaders(index))))
+    index = cut_lineage(index.join(blocks.withColumn("led", F.lit(True)), "node", "left").withColumn("block", F.coalesce("block", "node")))
+    sets = cut_lineage(linked_sets(texts, found, blocks, words))
+    return open_links(texts, found, index, sets, None, percent, words)
 
 
 def index_entries(found: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -364,64 +434,70 @@ def with_comps(index: DataFrame, comps: DataFrame | None) -> DataFrame:
     return index.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def leaders(index: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """``node, head``: for each node the node of another component, the first or last of a combination, that
-    it shares most combinations with, if these are as many as linked documents share."""
-    marked = with_comps(index, comps)
-    ends = marked.groupBy("combo").agg(F.min(F.struct("comp", "node")).alias("lo"), F.max(F.struct("comp", "node")).alias("hi"))
-    ends = ends.where("lo.comp != hi.comp")
-    other = F.when(F.col("comp") != F.col("lo.comp"), F.col("lo.node")).otherwise(F.col("hi.node"))
-    met = marked.join(ends, "combo").groupBy("node", other.alias("head")).agg(F.count("*").alias("times"), F.first("least").alias("least"))
+def leaders(index: DataFrame) -> DataFrame:
+    """``node, head``: for each node the other node, the first or last of a combination, that it shares most
+    combinations with, if these are as many as linked documents share."""
+    ends = index.groupBy("combo").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi")
+    other = F.when(F.col("node") != F.col("lo"), F.col("lo")).otherwise(F.col("hi"))
+    met = index.join(ends, "combo").groupBy("node", other.alias("head")).agg(F.count("*").alias("times"), F.first("least").alias("least"))
     return met.where("times >= least").groupBy("node").agg(F.max_by("head", F.struct("times", "head")).alias("head"))
 
 
-def open_pairs(index: DataFrame, comps: DataFrame | None, percent: int) -> DataFrame:
-    """``a, b, block_a, block_b``: all nodes of different components and fitting sizes that share as many
-    combinations as linked documents do."""
-    marked = with_comps(index, comps)
-    apart = marked.groupBy("combo").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("combo")
-    left = cut_lineage(marked.join(apart, "combo"))
-    a, b = (left.select("combo", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "least", "comp", "block")]) for x in "ab")
-    fits = f"a < b and comp_a != comp_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-    times = a.join(b, "combo").where(fits).groupBy("a", "b").agg(
-        F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("least_a", "least_b", "block_a", "block_b")]
+def open_blocks(index: DataFrame, comps: DataFrame | None, percent: int) -> DataFrame:
+    """``block_a, block_b, single``: the pairs of blocks, a block with itself included, that may hold nodes of
+    different components and fitting sizes with as many common combinations as linked documents have. ``single``:
+    both are nodes without a block."""
+    held = with_comps(index, comps).groupBy("combo", "block").agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("least").alias("least"), F.min("comp").alias("first"), F.max("comp").alias("last"),
+        F.max(F.coalesce("led", F.lit(False))).alias("led"),
+    )
+    held = cut_lineage(held)
+    apart = held.groupBy("combo").agg(F.min("first").alias("lo"), F.max("last").alias("hi")).where("lo != hi").select("combo")
+    held = cut_lineage(held.join(apart, "combo"))
+    a, b = (held.select("combo", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "lo", "hi", "least", "first", "last", "led")]) for x in "ab")
+    fits = (
+        f"block_a <= block_b and least(first_a, first_b) != greatest(last_a, last_b) "
+        f"and 100 * hi_a >= {percent} * lo_b and 100 * hi_b >= {percent} * lo_a"
     )
-    return times.where("times >= least(least_a, least_b)").select("a", "b", "block_a", "block_b")
+    times = a.join(b, "combo").where(fits).groupBy("block_a", "block_b").agg(
+        F.count("*").alias("times"), F.min(F.least("least_a", "least_b")).alias("least"), F.max(F.expr("led_a or led_b")).alias("led")
+    )
+    return times.where("times >= least").select("block_a", "block_b", F.expr("not led").alias("single"))
 
 
-def link_components(texts: DataFrame, found: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
-    """``node, comp`` for the nodes that have links to other nodes.
+def open_links(texts: DataFrame, found: DataFrame, index: DataFrame, sets: DataFrame, comps: DataFrame | None, percent: int, words: int) -> DataFrame:
+    """``a, b``: the links between nodes of different components, between any two without ``comps``. ``sets`` are
+    those of the nodes in blocks; the sets of further nodes are gathered where they are compared."""
+    blocks = cut_lineage(open_blocks(index, comps, percent))
+    named = blocks.select(F.col("block_a").alias("block")).union(blocks.select(F.col("block_b").alias("block"))).distinct()
+    others = index.where("led is null").select("node", "block").distinct()
+    others, n = cut_lineage_counted(others.join(named, "block", "left_semi").select("node", "block"))
+    if n:
+        sets = sets.union(cut_lineage(linked_sets(texts, found, others, words).select(*sets.columns)))
+    marks = with_comps(signatures(sets), comps)
+    pairs, n = cut_lineage_counted(blocks.where("not single").select("block_a", "block_b"))
+    near = near_pairs(pairs, n, cut_lineage(marks), percent)
+    alone = blocks.where("single").select(F.col("block_a").alias("a"), F.col("block_b").alias("b"), "block_a", "block_b")
+    pairs, n = cut_lineage_counted(near.unionByName(alone))
+    return verified(pairs, n, sets, percent)
 
-    The sets of nodes that have a leader, and of the leaders, are gathered first; verified links with
-    leaders make components. Nodes of further pairs have their sets gathered too, where any is new."""
+
+def link_components(texts: DataFrame, found: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
+    """``node, comp`` for the nodes that have links to other nodes: by verified links with leaders first, then by
+    those between blocks that hold different components."""
     index = likely_index(found, percent)
-    heads = cut_lineage(leaders(index, None))
-    nodes = heads.select("node").union(heads.select(F.col("head").alias("node"))).distinct()
-    blocks = cut_lineage(in_blocks(nodes, heads))
+    heads = cut_lineage(leaders(index))
+    blocks = cut_lineage(in_blocks(heads))
     sets = cut_lineage(linked_sets(texts, found, blocks, words))
     index = cut_lineage(index.join(blocks.withColumn("led", F.lit(True)), "node", "left").withColumn("block", F.coalesce("block", "node")))
-    edges = comps = None
-    for k in range(STAR_ROUNDS):
-        met = heads if k == 0 else leaders(index.where("led"), comps)
-        pairs = met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-        for side in ("a", "b"):
-            pairs = pairs.join(blocks.select(F.col("node").alias(side), F.col("block").alias(f"block_{side}")), side)
-        pairs, n = cut_lineage_counted(pairs)
-        new, n = cut_lineage_counted(verified(pairs, n, sets, percent))
-        if not n:
-            break
-        edges = new if edges is None else edges.union(new)
-        comps = cut_lineage(connected(edges))
-    pairs, n_pairs = cut_lineage_counted(open_pairs(index, comps, percent))
-    others = index.where("led is null").select("node", "block").distinct()
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    others, n = cut_lineage_counted(others.join(named, "node", "left_semi"))
-    if n:
-        sets = sets.union(cut_lineage(linked_sets(texts, found, others, words)))
-    rest, n = cut_lineage_counted(verified(pairs, n_pairs, sets, percent))
-    if comps is None or n:
-        comps = cut_lineage(connected(rest if edges is None else edges.union(rest)))
-    return comps
+    pairs = heads.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(blocks.select(F.col("node").alias(side), F.col("block").alias(f"block_{side}")), side)
+    pairs, n = cut_lineage_counted(pairs)
+    edges, n = cut_lineage_counted(verified(pairs, n, sets, percent))
+    comps = cut_lineage(connected(edges)) if n else None
+    rest, more = cut_lineage_counted(open_links(texts, found, index, sets, comps, percent, words))
+    return cut_lineage(connected(edges.union(rest))) if more or comps is None else comps
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
