@@ -285,14 +285,18 @@ def near_in_blocks(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, comps: np.nd
 
 def near_pairs(blocks: DataFrame, n: int, marks: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``a, b, block_a, block_b``: the pairs of nodes of n pairs of blocks that sizes, components and bitmaps
-    leave. ``marks``: ``node, block, n, map, comp``. A block is sent once to each group of pairs."""
+    leave. ``marks``: ``node, block, n, map, comp``. A block, about BLOCK_NODES bitmaps, is one row, sent once to
+    each group of pairs."""
     groups = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // BLOCK_PAIRS))
 
     def compare(p: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(p) or not len(held):
             return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("a", "b", "block_a", "block_b")})
-        nodes, own, sizes, comps = (held[c].to_numpy() for c in ("node", "block", "n", "comp"))
-        maps, at = np.frombuffer(b"".join(held["map"]), np.uint64).reshape(len(held), -1), held.groupby("block").indices
+        nodes, sizes, comps = (np.concatenate(held[c].tolist()) for c in ("node", "n", "comp"))
+        counts = held["node"].map(len).to_numpy()
+        own, ends = np.repeat(held["block"].to_numpy(), counts), np.cumsum(counts)
+        maps = np.frombuffer(b"".join(m for of in held["map"] for m in of), np.uint64).reshape(len(nodes), -1)
+        at = {block: np.arange(end - k, end) for block, k, end in zip(held["block"], counts, ends)}
         found = []
         for s, t in zip(p["block_a"], p["block_b"]):
             if s in at and t in at:
@@ -303,7 +307,9 @@ def near_pairs(blocks: DataFrame, n: int, marks: DataFrame, percent: int = PERCE
 
     pairs = blocks.select("block_a", "block_b", F.pmod(F.xxhash64("block_a", "block_b"), F.lit(groups)).alias("group"))
     of = lambda side: pairs.select(F.col("group").alias("to_group"), F.col(side).alias("block"))
-    sent = of("block_a").union(of("block_b")).distinct().join(marks, "block")
+    columns = ("node", "n", "comp", "map")
+    packed = marks.groupBy("block").agg(F.collect_list(F.struct(*columns)).alias("held")).select("block", *[F.col(f"held.{c}").alias(c) for c in columns])
+    sent = of("block_a").union(of("block_b")).distinct().join(packed, "block")
     return pairs.groupBy("group").cogroup(sent.groupBy("to_group")).applyInPandas(compare, "a bigint, b bigint, block_a bigint, block_b bigint")
 
 
@@ -390,10 +396,12 @@ def link_numbers(found: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def likely_index(found: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """:func:`index_entries` of the nodes that have as many combinations as linked documents share."""
-    index = cut_lineage(index_entries(found, percent))
-    many = index.groupBy("node").agg(F.count("*").alias("times"), F.max("least").alias("least")).where("times >= least").select("node")
-    return index.join(many, "node", "left_semi")
+    """``node, n, least, combos``: the combinations (:func:`index_entries`) of each node that has as many as
+    linked documents share. A node's own list is bounded by its prefix, and moves as one row."""
+    listed = index_entries(found, percent).groupBy("node").agg(
+        F.first("n").alias("n"), F.max("least").alias("least"), F.collect_list("combo").alias("combos")
+    )
+    return cut_lineage(listed.where("size(combos) >= least"))
 
 
 def all_links(texts: DataFrame, found: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
@@ -437,6 +445,7 @@ def with_comps(index: DataFrame, comps: DataFrame | None) -> DataFrame:
 def leaders(index: DataFrame) -> DataFrame:
     """``node, head``: for each node the other node, the first or last of a combination, that it shares most
     combinations with, if these are as many as linked documents share."""
+    index = index.select(F.explode("combos").alias("combo"), "node", "least")
     ends = index.groupBy("combo").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi")
     other = F.when(F.col("node") != F.col("lo"), F.col("lo")).otherwise(F.col("hi"))
     met = index.join(ends, "combo").groupBy("node", other.alias("head")).agg(F.count("*").alias("times"), F.first("least").alias("least"))
@@ -447,7 +456,8 @@ def open_blocks(index: DataFrame, comps: DataFrame | None, percent: int) -> Data
     """``block_a, block_b, single``: the pairs of blocks, a block with itself included, that may hold nodes of
     different components and fitting sizes with as many common combinations as linked documents have. ``single``:
     both are nodes without a block."""
-    held = with_comps(index, comps).groupBy("combo", "block").agg(
+    entries = with_comps(index, comps).select(F.explode("combos").alias("combo"), "block", "n", "least", "comp", "led")
+    held = entries.groupBy("combo", "block").agg(
         F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("least").alias("least"), F.min("comp").alias("first"), F.max("comp").alias("last"),
         F.max(F.coalesce("led", F.lit(False))).alias("led"),
     )
@@ -470,7 +480,7 @@ def open_links(texts: DataFrame, found: DataFrame, index: DataFrame, sets: DataF
     those of the nodes in blocks; the sets of further nodes are gathered where they are compared."""
     blocks = cut_lineage(open_blocks(index, comps, percent))
     named = blocks.select(F.col("block_a").alias("block")).union(blocks.select(F.col("block_b").alias("block"))).distinct()
-    others = index.where("led is null").select("node", "block").distinct()
+    others = index.where("led is null").select("node", "block")
     others, n = cut_lineage_counted(others.join(named, "block", "left_semi").select("node", "block"))
     if n:
         sets = sets.union(cut_lineage(linked_sets(texts, found, others, words).select(*sets.columns)))
