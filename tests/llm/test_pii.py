@@ -102,6 +102,15 @@ def test_redaction_replaces_all_spans(spark, random_docs):
         assert r["text"] == "".join(out) + text[at:]
 
 
+def test_redaction_of_many_spans(spark):
+    text = "é😀 a@b.cc +49 30 1234567 x 10.0.0.1@x.yz " * 5000 + "end"  # an address begins as an ip and goes on as an email
+    docs = spark.createDataFrame([(1, text), (2, "a@b.cc"), (3, "x" * 4096 + "a@b.cc" + "y" * 4090)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in redact(docs).collect()}
+    assert got[1] == "é😀 [EMAIL] [PHONE] x [IP] " * 5000 + "end"
+    assert got[2] == "[EMAIL]"
+    assert got[3] == "[EMAIL]"
+
+
 def test_edges(spark):
     assert pii_digest(no_docs(spark)).count() == 0
     got = redact(edge_docs(spark))

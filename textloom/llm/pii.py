@@ -21,6 +21,7 @@ from textloom.llm.common import doc_columns
 NEAR = 40  # characters on either side in which context words count
 THRESHOLD = 0.5  # least score of an added span
 BLOCK = 64  # running sums are made in blocks, so that a text with many matches costs little more a match
+CUT = 4096  # code points of a piece that redaction cuts from
 
 # Possessive quantifiers and look-behinds leave the leftmost matches as they are and keep long runs linear:
 # inside a run of a pattern's first class no later start can match where the run's start could not.
@@ -122,6 +123,21 @@ def running_sums(values: Column) -> Column:
     return let(let(values, in_blocks), joined)
 
 
+def running_maxima(values: Column) -> Column:
+    """Greatest of the elements up to each place, in two levels of blocks. ``values`` are at least 0, and not empty."""
+
+    def in_blocks(xs: Column) -> Column:
+        last = F.floor((F.size(xs) - 1) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(xs, b * BLOCK + 1, BLOCK))
+
+    def joined(blocks: Column) -> Column:
+        before = lambda tops: F.transform(tops, lambda _, k: F.coalesce(F.array_max(F.slice(tops, F.lit(1), k)), F.lit(0)))
+        within = lambda block, least: F.transform(block, lambda _, k: F.greatest(least, F.array_max(F.slice(block, F.lit(1), k + 1))))
+        return F.flatten(F.zip_with(blocks, let(F.transform(blocks, F.array_max), before), within))
+
+    return let(let(values, in_blocks), joined)
+
+
 def with_spans(df: DataFrame, text: str, kind: Kind, to: str) -> DataFrame:
     """Add the confirmed spans of one kind as an array column."""
     hits, gaps = f"{to}_hits", f"{to}_gaps"
@@ -179,8 +195,8 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of personal data in ``text`` replaced by its kind in square brackets;
     overlapping spans become one, named after the first. All columns stay, whatever their names; a null text
     stays null, an empty one empty; rows that repeat change alike; an empty table stays empty; ``n_chars``, where
-    there is such a column, becomes the new length. Texts are taken whole; the work of one text grows with the
-    square of its number of spans."""
+    there is such a column, becomes the new length. Texts are taken whole, and cut
+    from pieces of CUT code points, so that a cut's work does not grow with its place in the text."""
     own = "__"
     while any(c.lower().startswith(own) for c in docs.columns):  # names that the table does not have
         own += "_"
@@ -188,27 +204,22 @@ def redact(docs: DataFrame) -> DataFrame:
     for k in KINDS:
         df = with_spans(df, f"{own}text", k, f"{own}{k.name}")
     spans = F.array_sort(F.transform(F.concat(*[F.col(f"{own}{k.name}") for k in KINDS]), lambda s: F.struct(s["start"], s["end"], s["kind"])))
-    last = lambda a: F.get(a, F.size(a) - 1)
+    text, held, reach, pieces = (F.col(f"{own}{x}") for x in ("text", "spans", "reach", "pieces"))
+    df = df.withColumn(f"{own}spans", spans)
+    ends = F.transform(held, lambda s: s["end"])
+    df = df.withColumn(f"{own}reach", F.when(F.size(held) > 0, running_maxima(ends)).otherwise(F.array().cast("array<int>")))
+    df = df.withColumn(f"{own}pieces", F.when(F.size(held) > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))))
+
+    def cut(lo: Column, hi: Column) -> Column:
+        at, to = F.floor(lo / CUT).cast("int"), F.ceil(hi / CUT).cast("int")
+        return F.array_join(F.slice(pieces, at + 1, F.greatest(to - at, F.lit(0))), "").substr(lo - at * CUT + 1, hi - lo)
+
     # spans that begin before an earlier one ends add to it
-    joined = F.aggregate(
-        spans, F.array().cast("array<struct<start:int,end:int,kind:string>>"),
-        lambda a, s: F.when(
-            (F.size(a) > 0) & (last(a)["end"] > s["start"]),
-            F.concat(
-                F.slice(a, F.lit(1), F.size(a) - 1),
-                F.array(F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["end"], s["end"]).alias("end"), last(a)["kind"].alias("kind"))),
-            ),
-        ).otherwise(F.concat(a, F.array(s))),
-    )
-    held = f"{own}spans"
-    df = df.withColumn(held, joined)
-    text, ends = F.col(f"{own}text"), F.concat(F.array(F.lit(0)), F.transform(held, lambda s: s["end"]))
-    zipped = F.arrays_zip(F.col(held).alias("span"), F.slice(ends, F.lit(1), F.size(held)).alias("at"))
-    part = lambda x: F.concat(
-        text.substr(x["at"] + 1, x["span"]["start"] - x["at"]), F.lit("["), F.upper(x["span"]["kind"]), F.lit("]")
-    )
-    tail = text.substr(F.element_at(ends, -1) + 1, F.length(text))
-    new = F.when(F.size(held) > 0, F.concat(F.array_join(F.transform(zipped, part), ""), tail)).otherwise(F.col("text"))
+    zipped = F.arrays_zip(held.alias("span"), F.slice(F.concat(F.array(F.lit(0)), reach), F.lit(1), F.size(held)).alias("at"))
+    first = F.filter(zipped, lambda x: x["span"]["start"] >= x["at"])
+    part = lambda x: F.concat(cut(x["at"], x["span"]["start"]), F.lit("["), F.upper(x["span"]["kind"]), F.lit("]"))
+    tail = cut(F.element_at(reach, -1), F.length(text))
+    new = F.when(F.size(held) > 0, F.concat(F.array_join(F.transform(first, part), ""), tail)).otherwise(F.col("text"))
     cols = [new.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     out = df.select(*cols)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
