@@ -368,6 +368,11 @@ def join_documents(docs: DataFrame, percent: int = PERCENT, links: bool = False,
     their component is their own doc_id. Equal sets are always linked. A null doc_id names no component:
     its row has the smallest doc_id of its component, null if there is none. Repeated rows give repeated
     rows. An empty table gives an empty one; other columns play no part."""
+    return placed_documents(docs, percent, links, words).drop("node")
+
+
+def placed_documents(docs: DataFrame, percent: int = PERCENT, links: bool = False, words: int = WORDS) -> DataFrame:
+    """The rows of :func:`join_documents` with ``node``, the number of the row's set."""
     texts = doc_columns(docs)
     found = cut_lineage(indexed_documents(texts, percent, words))
     edges = None
@@ -382,7 +387,7 @@ def join_documents(docs: DataFrame, percent: int = PERCENT, links: bool = False,
     if edges is not None:
         placed = placed.join(link_numbers(found, edges), "node", "left")
     return placed.join(names, "key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
+        "node", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
         *([] if edges is None else [F.coalesce("n_links", F.lit(0)).alias("n_links")]),
     )
 
@@ -513,16 +518,16 @@ def link_components(texts: DataFrame, found: DataFrame, percent: int, words: int
 def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """``docs`` with one document of each component of :func:`join_documents`: the one whose doc_id names
     it, once if its row is repeated. Rows without doc_id and texts without shingles stay. All columns stay,
-    whatever their names. Decisions are taken by doc_id: of an id that stands with several texts, all stay if one
-    of them names its component.
+    whatever their names. Decisions are taken by row: of an id that stands with several texts, each is judged by
+    the component of its own text.
 
     Only rows that a filter of fixed size marks as possibly repeated or named by another document are
     joined, so most texts are not moved."""
-    joined = join_documents(docs, percent, words=words)
-    rows = joined.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(
+    placed = placed_documents(docs, percent, words=words)
+    rows = placed.where("doc_id is not null and n_shingles > 0").groupBy("doc_id", "node").agg(
         F.count("*").alias("times"), F.max(F.col("doc_id") == F.col("component_id")).alias("names")
     )
-    doubtful = cut_lineage(rows.where("times > 1 or not names").select("doc_id", "names"))
+    doubtful = cut_lineage(rows.where("times > 1 or not names").select("doc_id", "node", "names"))
     packed = np.packbits(flagged(doubtful, "doc_id"))
 
     @F.pandas_udf("boolean")
@@ -534,16 +539,23 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> Dat
             out[known] = cells[cell_of(ids[known].astype("int64").to_numpy())]
             yield out
 
+    @F.pandas_udf("bigint")
+    def node_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            sets = [shingles(t, words) for t in texts.fillna("")]
+            yield pd.Series([digest(t)[0] if len(t) else None for t in sets], index=texts.index, dtype="Int64")
+
     own = "__"
     while any(c.lower().startswith(own) for c in docs.columns):  # names that the table does not have
         own += "_"
-    mark, key, named, nth = (f"{own}{x}" for x in ("marked", "id", "names", "n"))
+    mark, key, node, held_node, named, nth = (f"{own}{x}" for x in ("marked", "id", "node", "held", "names", "n"))
     held = docs.select(*[F.col(f"`{c}`") for c in docs.columns], marked(docs["doc_id"].cast("bigint")).alias(mark))
     clear = held.where(~F.col(mark)).drop(mark)
     some = held.where(mark).drop(mark)
-    names = doubtful.select(F.col("doc_id").alias(key), F.col("names").alias(named))
-    some = some.join(names, some["doc_id"] == names[key], "left").where(F.col(named).isNull() | F.col(named))
-    once = Window.partitionBy(key, F.xxhash64("text")).orderBy(F.lit(1))
-    empty = F.trim(F.coalesce("text", F.lit(""))) == ""
-    some = some.withColumn(nth, F.row_number().over(once)).where(F.col(named).isNull() | (F.col(nth) == 1) | empty)
+    some = some.withColumn(held_node, node_of(F.col("text").cast("string")))
+    names = doubtful.select(F.col("doc_id").alias(key), F.col("node").alias(node), F.col("names").alias(named))
+    some = some.join(names, (some["doc_id"] == names[key]) & (some[held_node] == names[node]), "left")
+    single = some.where(F.col(named).isNull())
+    once = Window.partitionBy(key, node).orderBy(F.xxhash64("text"))
+    some = some.where(named).withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).unionByName(single, allowMissingColumns=True)
     return clear.union(some.select(*[F.col(f"`{c}`") for c in docs.columns]))
