@@ -158,24 +158,34 @@ def indexed_documents(docs: DataFrame, percent: int = PERCENT, words: int = WORD
     return docs.mapInArrow(run, "doc_id bigint, node bigint, n bigint, tokens array<bigint>")
 
 
-def prefixes(frequent: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``node, upto, least, pairs`` from each document's frequent stored tokens, ``node, n, found``."""
+def combinations(listed: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``node, n, least, combos`` from each document's shared stored tokens, ``node, n, found``: its rare tokens
+    within the prefix and its pairs of frequent ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for n, found in zip(batch.column("n").to_pylist(), batch.column("found").to_pylist()):
-                places = np.array([f["pos"] for f in found], np.int64)
-                tokens = np.array([f["token"] for f in found], np.int64).view(np.uint64)
-                out.append(extended(n, places, tokens, percent))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("node"), pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()),
-                    pa.array([o[2].view(np.int64) for o in out], pa.list_(pa.int64())),
-                ], names=["node", "upto", "least", "pairs"],
-            )
+            found = batch.column("found")
+            ends, flat = np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False)), found.flatten()
+            pos, tokens, often = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "token", "often"))
+            least, combos, start = [], [], 0
+            for n, end in zip(batch.column("n").to_pylist(), ends):
+                own = slice(start, end)
+                order = np.argsort(pos[own], kind="stable")
+                p, t, f, start = pos[own][order], tokens[own][order], often[own][order], end
+                if f.any():
+                    upto, shares, pairs = extended(n, p[f].astype(np.int64), t[f].view(np.uint64), percent)
+                    combos.append(np.concatenate([t[~f & (p < upto)], pairs.view(np.int64)]))
+                else:
+                    upto = min(n, needed_loss(n, percent) + EXTRA)
+                    shares = upto - needed_loss(n, percent) + 1
+                    combos.append(t[p < upto])
+                least.append(shares)
+            held = pa.ListArray.from_arrays(
+                pa.array(np.cumsum([0, *map(len, combos)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *combos]))
+            )
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array(least, pa.int32()), held], names=["node", "n", "least", "combos"])
 
-    return frequent.select("node", "n", "found").mapInArrow(run, "node bigint, upto int, least int, pairs array<bigint>")
+    return listed.select("node", "n", "found").mapInArrow(run, "node bigint, n bigint, least int, combos array<bigint>")
 
 
 def linked_sets(texts: DataFrame, found: DataFrame, blocks: DataFrame, words: int = WORDS) -> DataFrame:
@@ -401,12 +411,16 @@ def link_numbers(found: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def likely_index(found: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``node, n, least, combos``: the combinations (:func:`index_entries`) of each node that has as many as
-    linked documents share. A node's own list is bounded by its prefix, and moves as one row."""
-    listed = index_entries(found, percent).groupBy("node").agg(
-        F.first("n").alias("n"), F.max("least").alias("least"), F.collect_list("combo").alias("combos")
-    )
-    return cut_lineage(listed.where("size(combos) >= least"))
+    """``node, n, least, combos``: the combinations of each node that has as many as linked documents share. Only
+    tokens that more than one row stores play a part; how many do says whether one is frequent, alike for every
+    document. Counts are summed before the shuffle, tokens move to their counts once and to their nodes once."""
+    entries = found.where("tokens is not null").select("node", "n", F.posexplode("tokens").alias("pos", "token"))
+    entries = entries.select("token", "node", F.expr("shiftleft(n, 32) + pos").alias("place"))  # narrow rows for the shuffle
+    counts = entries.groupBy("token").count().where("count > 1")
+    shared = entries.join(counts.select("token", (F.col("count") > FREQUENT).alias("often")), "token").distinct()
+    shared = cut_lineage(shared.select("node", F.expr("shiftright(place, 32)").alias("n"), F.struct(F.expr("cast(place & 4294967295 as int)").alias("pos"), "token", "often").alias("at")))
+    listed = shared.groupBy("node", "n").agg(F.collect_list("at").alias("found"))  # a document's own, of bounded length
+    return cut_lineage(combinations(listed, percent).where("size(combos) >= least"))
 
 
 def all_links(texts: DataFrame, found: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
@@ -419,27 +433,6 @@ def all_links(texts: DataFrame, found: DataFrame, percent: int, words: int = WOR
     return open_links(texts, found, index, sets, None, percent, words)
 
 
-def index_entries(found: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``combo, node, n, least``: the combinations that more than one node has, with their nodes."""
-    entries = found.where("tokens is not null").select("node", "n", F.posexplode("tokens").alias("pos", "token"))
-    entries = entries.select("token", "node", F.expr("shiftleft(n, 32) + pos").alias("place"))  # narrow rows for the shuffle
-    counts = entries.groupBy("token").count().where("count > 1").select("token")
-    shared = entries.join(counts, "token").distinct()  # all other tokens are one document's own
-    shared = cut_lineage(shared.select("token", "node", F.expr("shiftright(place, 32)").alias("n"), F.expr("cast(place & 4294967295 as int)").alias("pos")))
-    sizes = shared.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-    shared = shared.join(sizes, "token")
-    frequent = shared.where(F.col("size") > FREQUENT).groupBy("node", "n")
-    lists = frequent.agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("found"))  # a document's own, of bounded length
-    prefix = cut_lineage(prefixes(lists, percent))
-    need = F.expr(f"cast(n - ceil({percent} * n / 100) + 1 as int)")
-    upto = F.coalesce("upto", F.least(F.col("n").cast("int"), need + EXTRA))
-    single = shared.where(F.col("size") <= FREQUENT).join(prefix.drop("pairs"), "node", "left").where(F.col("pos") < upto)
-    single = single.select(F.col("token").alias("combo"), "node", "n", F.coalesce("least", upto - need + 1).alias("least"))
-    paired = prefix.join(shared.select("node", "n").distinct(), "node").select(F.explode("pairs").alias("combo"), "node", "n", "least")
-    many = paired.groupBy("combo").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("combo")
-    return single.unionByName(paired.join(many, "combo"))
-
-
 def with_comps(index: DataFrame, comps: DataFrame | None) -> DataFrame:
     """``index`` with the component of each node, the node itself where it has none."""
     if comps is None:
