@@ -523,29 +523,25 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> Dat
     doubtful = cut_lineage(rows.where("times > 1 or not names").select("doc_id", "node", "names"))
     packed = np.packbits(flagged(doubtful, "doc_id"))
 
-    @F.pandas_udf("boolean")
-    def marked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("marked boolean, node bigint")
+    def placed_at(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         cells = np.unpackbits(packed).astype(bool)
-        for ids in batches:
-            known = ids.notna()
-            out = pd.Series(False, index=ids.index)
-            out[known] = cells[cell_of(ids[known].astype("int64").to_numpy())]
-            yield out
-
-    @F.pandas_udf("bigint")
-    def node_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            sets = [shingles(t, words) for t in texts.fillna("")]
-            yield pd.Series([digest(t)[0] if len(t) else None for t in sets], index=texts.index, dtype="Int64")
+        for ids, texts in batches:
+            known = ids.notna().to_numpy()
+            mark = np.zeros(len(ids), bool)
+            mark[known] = cells[cell_of(ids[known].astype("int64").to_numpy())]
+            sets = [shingles(t, words) if m else () for m, t in zip(mark, texts.fillna(""))]
+            nodes = [digest(t)[0] if len(t) else None for t in sets]
+            yield pd.DataFrame({"marked": mark, "node": pd.array(nodes, "Int64")})
 
     own = "__"
     while any(c.lower().startswith(own) for c in docs.columns):  # names that the table does not have
         own += "_"
     mark, key, node, held_node, named, nth = (f"{own}{x}" for x in ("marked", "id", "node", "held", "names", "n"))
-    held = docs.select(*[F.col(f"`{c}`") for c in docs.columns], marked(docs["doc_id"].cast("bigint")).alias(mark))
-    clear = held.where(~F.col(mark)).drop(mark)
-    some = held.where(mark).drop(mark)
-    some = some.withColumn(held_node, node_of(F.col("text").cast("string")))
+    at = placed_at(docs["doc_id"].cast("bigint"), docs["text"].cast("string")).alias(mark)
+    held = docs.select(*[F.col(f"`{c}`") for c in docs.columns], at)
+    clear = held.where(~F.col(f"{mark}.marked")).drop(mark)
+    some = held.where(f"{mark}.marked").withColumn(held_node, F.col(f"{mark}.node")).drop(mark)
     names = doubtful.select(F.col("doc_id").alias(key), F.col("node").alias(node), F.col("names").alias(named))
     some = some.join(names, (some["doc_id"] == names[key]) & (some[held_node] == names[node]), "left")
     single = some.where(F.col(named).isNull())
