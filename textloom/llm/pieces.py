@@ -26,8 +26,8 @@ from textloom.llm.common import doc_columns, map_columns, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-PAIRS_KEPT = 1 << 18  # entries of the memo of pair tests; beyond that it starts anew
-CHUNKS_KEPT = 1 << 18  # chunks in the younger of the memo's two generations; the older is dropped when it is full
+PAIRS_KEPT = 1 << 17  # entries of the memo of pair tests; beyond that it starts anew
+CHUNKS_KEPT = 1 << 17  # chunks in the younger of the memo's two generations; the older is dropped when it is full
 SIGNS = "\n\t.,;:!?#$%&*|()[]{}<>\"/\\"
 LONG_CHUNK = 64  # longer chunks are encoded each time and not kept
 BEGIN = 1 << 19  # stands before the first piece
