@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from sf_tables import SF
 from textloom.functions.html import html_text, html_text_parsed
 from textloom.operators.structure import (
-    class_inventory, classes_with_kind, compose_edges, enum_members, inherit_edges, methods_for, mine_structure, own_fields,
+    class_inventory, classes_with_kind, compose_edges, enum_members, inherit_edges, inherit_lines, methods_for, mine_structure, own_fields,
 )
 from textloom.operators.tree import tree_map
 
@@ -140,6 +140,26 @@ def test_homonyms_imports_and_whole_ancestry(spark):
     assert {(r.class_name, r.name, r.value_type) for r in enum_members(m).collect()} == {("Mark", "A", "int"), ("Kind", "B", "float")}
 
 
+def test_scope_and_lines_of_inheritance(spark):
+    """Analysed bases always count, others under the root unless ignored; interfaces have dotted lines."""
+    files = spark.createDataFrame(
+        [
+            ("app/a.py", "from typing import Protocol\nfrom lib.b import Far\nfrom lib.gen.c import Made\nfrom ext.d import Out\n"
+             "class Port(Protocol):\n    def go(self): ...\nclass One(Port): ...\nclass Two(Far): ...\nclass Three(Made): ...\nclass Four(Out): ...\n"),
+            ("lib/b.py", "class Top: ...\nclass Far(Top): ...\n"), ("lib/gen/c.py", "class Made: ...\n"), ("ext/d.py", "class Out: ...\n"),
+        ], "path string, content string",
+    )
+    mined, app = mine_structure(files).cache(), files.where("path = 'app/a.py'")
+    found = lambda *a: {(r.class_name, r.base, r.line) for r in inherit_lines(mined, *a).collect()}
+    inside, far, made, out = ("One", "Port", "dotted"), ("Two", "Far", "solid"), ("Three", "Made", "solid"), ("Four", "Out", "solid")
+    assert found() == {inside, far, made, out, ("Far", "Top", "solid")}
+    assert found(app) == found(app, "nowhere/") == {inside}
+    assert found(app, "lib/") == {inside, far, made}
+    assert found(app, "lib/", ("lib/gen",)) == {inside, far}
+    assert found(app, "", ("lib/gen", "app/")) == {inside, far, out}
+    assert found(app.limit(0), "lib/") == set()
+
+
 def test_entry_smoke(spark):
     import __spark_entry__ as E
 

@@ -242,10 +242,33 @@ def enum_members(mined: DataFrame) -> DataFrame:
     return members.join(enums, ["path", "class_name"], "left_semi")
 
 
-def inherit_edges(mined: DataFrame) -> DataFrame:
-    """(path, class_name, base_path, base) where the base is one of the analysed classes (D8)."""
+def inherit_edges(mined: DataFrame, analysed: DataFrame | None = None, root: str | None = None, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """(path, class_name, base_path, base) where the base is one of the mined classes (D8).
+
+    ``analysed`` (path) names the files whose classes are analysed, all mined ones without it. A base outside
+    them counts where its path begins with ``root`` and with none of ``ignore``; without a root it does not."""
     refs = base_refs(mined).where("to_class is not null")
-    return refs.select("path", "class_name", F.col("to_path").alias("base_path"), F.col("to_class").alias("base")).distinct()
+    edges = refs.select("path", "class_name", F.col("to_path").alias("base_path"), F.col("to_class").alias("base")).distinct()
+    if analysed is None:
+        return edges
+    files = analysed.select("path").distinct()
+    edges = edges.join(files, "path", "left_semi")
+    edges = edges.join(files.select(F.col("path").alias("base_path"), F.lit(True).alias("__in")), "base_path", "left")
+    counts = F.col("__in").isNotNull()
+    if root is not None:
+        under = F.col("base_path").startswith(root)
+        for prefix in ignore:
+            under &= ~F.col("base_path").startswith(prefix)
+        counts |= under
+    return edges.where(counts).select("path", "class_name", "base_path", "base")
+
+
+def inherit_lines(mined: DataFrame, analysed: DataFrame | None = None, root: str | None = None, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """:func:`inherit_edges` with ``line``: dotted where the base is an interface, else solid."""
+    kinds = classes_with_kind(mined).select(F.col("path").alias("base_path"), F.col("class_name").alias("base"), "class_type")
+    line = F.when(F.col("class_type") == "INTERFACE", F.lit("dotted")).otherwise(F.lit("solid"))
+    edges = inherit_edges(mined, analysed, root, ignore).join(kinds, ["base_path", "base"], "left")
+    return edges.select("path", "class_name", "base_path", "base", line.alias("line"))
 
 
 def compose_edges(mined: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from textloom.operators.structure import (
     compose_edges,
     enum_members,
     inherit_edges,
+    inherit_lines,
     methods_for,
     mine_structure,
     own_fields,
@@ -111,13 +112,11 @@ def q_mine_methods(spark, sf_dir):
     return methods_for(_mined(spark, sf_dir), "all").select("path", "class_name", "name", "signature", "defined_path", "defined_in")
 
 
-@register("public_methods", f"""{_CLS}
-SELECT path, class_name, name, (name = '__init__' OR NOT starts_with(name, '_')) AS public
-FROM cls, (VALUES ('__init__'), ('_hidden'), ('run')) t(name)""")
+@register("public_methods", f"""{_CLS}, named AS (SELECT path, class_name, name FROM methods UNION ALL SELECT path, 'Thing' || i, '_hidden' FROM py)
+SELECT path, class_name, name, (name = '__init__' OR NOT starts_with(name, '_')) AS public FROM named""")
 def q_public_methods(spark, sf_dir):
-    c = _mined(spark, sf_dir).where(F.col("kind") == "class").select("path", "class_name")
-    probe = F.array(F.lit("__init__"), F.lit("_hidden"), F.lit("run"))  # literal probe names, no join
-    return c.withColumn("name", F.explode(probe)).select("path", "class_name", "name", public_member("name").alias("public"))
+    m = methods_for(_mined(spark, sf_dir), "defined", public_only=False)
+    return m.select("path", "class_name", "name", public_member("name").alias("public"))
 
 
 @register("method_display", f"{_CLS} SELECT path, class_name, name, class_name AS defined_in FROM methods")
@@ -146,6 +145,16 @@ def q_inherit_edges(spark, sf_dir):
     return inherit_edges(_mined(spark, sf_dir))
 
 
+@register("inherit_scope", f"""{_CLS}, edges AS (SELECT path, 'Thing' || i AS class_name, p_path AS base_path, 'Thing' || p AS base FROM par
+  UNION ALL SELECT path, 'Oops' || i, path, 'Error' || i FROM py)
+SELECT path, class_name, base_path, base, 'solid' AS line FROM edges WHERE path < 'pkg_3'
+  AND (base_path < 'pkg_3' OR (starts_with(base_path, 'pkg_') AND NOT starts_with(base_path, 'pkg_4/')))""")
+def q_inherit_scope(spark, sf_dir):
+    """Bases of the classes of some packages: these packages, and a further one that is under the root and not ignored."""
+    mined = _mined(spark, sf_dir)
+    return inherit_lines(mined, mined.where("path < 'pkg_3'").select("path"), "pkg_", ("pkg_4/",))
+
+
 @register("compose_edges", f"""{_CLS} SELECT path, 'Thing' || i AS class_name, path AS target_path, 'Config' AS target, '0..*' AS multiplicity FROM py
 UNION ALL SELECT path, 'Thing' || i, p_path, 'Thing' || p, '0..*' FROM imported
 UNION ALL SELECT path, 'Config', path, 'Thing' || i, '1' FROM py""")
