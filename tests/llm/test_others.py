@@ -7,7 +7,7 @@ from edge import ROWS, edge_docs, no_docs
 from textloom.llm import multi_index
 from textloom.llm.licenses import TEMPLATES, Scanner, align, longest_run, scan_licenses
 from textloom.llm.multi_index import nearest
-from textloom.llm.quality_cnn import CHUNK, HOP, ByteNetwork, chunks_of, keep_good, score_quality, train_network
+from textloom.llm.quality_cnn import CHUNK, DEPTH, FILTERS, HOP, LAGS, STRIDE, WIDTH, ByteNetwork, chunks_of, keep_good, score_quality, train_network
 from textloom.session import table
 
 SF = "/root/testdata/sf0.01"
@@ -43,6 +43,37 @@ def test_gradients_are_the_slopes_of_the_loss():
         assert (up - down) / 1e-2 == pytest.approx(float(g[name][at]), rel=0.1, abs=1e-3), name
 
 
+def plain_score(net, raw):
+    """The network's score by loops over chunks, filters and places."""
+    p, rows, start = net.p, [], 0
+    while raw and (start == 0 or start + CHUNK - HOP < len(raw)):
+        chunk = raw[start : start + CHUNK].ljust(CHUNK, b"\0")
+        answers = []
+        for f in range(FILTERS):
+            weights = [[float(p["filters"][k * DEPTH + d, f]) for d in range(DEPTH)] for k in range(WIDTH)]
+            best = max(
+                sum(float(p["embed"][chunk[at + k], d]) * weights[k][d] for k in range(WIDTH) for d in range(DEPTH))
+                for at in range(0, CHUNK - WIDTH + 1, STRIDE)
+            )
+            answers.append(max(best + float(p["bias"][f]), 0.0))
+        real = max(sum(c != 0 for c in chunk), 1)
+        answers.append(max(sum(chunk[k] == chunk[k - lag] != 0 for k in range(lag, CHUNK)) / real for lag in LAGS))
+        rows.append(answers)
+        start += HOP
+    n = FILTERS + 1
+    x = [max(r[k] for r in rows) for k in range(n)] + [sum(r[k] for r in rows) / len(rows) for k in range(n)] if rows else [0.0] * 2 * n
+    z = sum(v * float(w) for v, w in zip(x, p["out"])) + float(p["shift"][0])
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scores_are_those_of_plain_loops():
+    net = ByteNetwork(3)
+    net.p["bias"][:] = np.linspace(-1, 1, FILTERS)
+    net.p["shift"][:] = 0.3
+    texts = ["", "x", "abc def ghi " * 70, "Grüße, \u4e2d\u6587 " + "word %$ " * 57, "".join(chr(33 + k * k % 90) for k in range(HOP + CHUNK + 1))]
+    assert net.scores(texts) == pytest.approx([plain_score(net, t.encode()) for t in texts], abs=1e-5)
+
+
 def test_held_out_accuracy(spark):
     docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     net = train_network(docs, labels)
