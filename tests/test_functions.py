@@ -114,3 +114,26 @@ def test_prefixes_by_sorted_ranges(spark):
     assert {r.value: r.prefix for r in longest_prefix(p, v).collect()} == longest
     none = p.where("prefix = 'no such'")
     assert prefix_pairs(none, v).count() == 0 and prefix_pairs(p, v.where("value = 'no such'")).count() == 0
+
+
+def test_parsed_files_go_on_in_small_batches():
+    import pyarrow as pa
+
+    from textloom.functions import code
+    from textloom.operators.structure import MINED_SCHEMA, _mine_file
+
+    text = "import os\nfrom a.b import c\n" + "".join(f"class C{k}(c):\n    x: int\n    def m(self): ...\n" for k in range(50))
+    taken = []
+
+    def parse(path, content):
+        taken.append(path)
+        return _mine_file(path, content)
+
+    files = pa.RecordBatch.from_pydict({"path": [f"{k}.py" for k in range(300)], "content": [None if k % 10 == 9 else text for k in range(300)]})
+    per_file, got, most = len(_mine_file("x", text)), [], 0
+    for batch in code.parse_files(iter([files]), parse, MINED_SCHEMA):
+        got += batch.to_pylist()
+        most = max(most, batch.num_rows)
+        assert len(taken) * per_file - len(got) <= per_file  # nothing is held beyond what was handed on
+    assert most < code.PARSED_ROWS + per_file
+    assert [tuple(r.values()) for r in got] == [r for k in range(300) if k % 10 != 9 for r in _mine_file(f"{k}.py", text)]
