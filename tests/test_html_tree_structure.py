@@ -166,3 +166,19 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_kinds_follow_marks_only(spark, monkeypatch):
+    """Marks go down through a cycle, from two parents and past a plain class, and no other ancestry is followed."""
+    from textloom.operators import structure
+
+    code = "import enum\nclass E(enum.Enum): ...\nclass X(ValueError): ...\nclass P(Protocol): ...\nclass A(B): ...\nclass B(A): ...\nclass M(E, X): ...\nclass N(M): ...\nclass Q(P): ...\nclass R(A, N): ...\nclass K0: ...\n"
+    code += "".join(f"class K{k + 1}(K{k}): ...\n" for k in range(12))
+    mined = mine_structure(spark.createDataFrame([("a.py", code), ("b.py", "class E(A): ...\nclass F(E): ...\n")], "path string, content string"))
+    runs = []
+    counted = structure.cut_lineage_counted
+    monkeypatch.setattr(structure, "cut_lineage_counted", lambda df: runs.append(1) or counted(df))
+    got = {(r.path, r.class_name): (r.is_enum, r.is_exception, r.is_protocol) for r in classes_with_kind(mined).collect()}
+    marked = {"E": (True, False, False), "X": (False, True, False), "P": (False, False, True), "M": (True, True, False), "N": (True, True, False), "R": (True, True, False)}
+    assert got == {("a.py", c): marked.get(c, (False, False, False)) for c in [*"EXPABMNQR", *(f"K{k}" for k in range(13))]} | {("b.py", c): (False, False, False) for c in "EF"}
+    assert len(runs) <= 5  # R is three steps below E; K12 is twelve below K0
