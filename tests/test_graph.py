@@ -150,3 +150,23 @@ def test_a_third_language_reaches_the_closure(spark, monkeypatch):
     assert got == {("main.lua", "covered", 0), ("lib/a.lua", "covered", 1), ("lib/b/init.lua", "covered", 1), ("lib/c.lua", "covered", 2), ("gone", "not_found", 1)}
     with pytest.raises(ValueError):
         analyzers.register_analyzer(analyzers.by_columns("OTHER", (".py",), lua.imports, lua.resolve))
+
+
+def test_a_popular_package_spreads_over_tasks(spark, monkeypatch):
+    """All imports name one folder; the pairs come from several tasks, none is lost or doubled, and files and modules keep their ways."""
+    from textloom.operators import resolve
+
+    monkeypatch.setattr(resolve, "PIECE", 16, raising=False)
+    files = [f"pkg/sub/f{k}.py" for k in range(50)] + ["pkg/one.py", "pkg/sub/deep/g.py", "pkg/sub/t.ts", "other/h.py"]
+    imports = [(f"s{k}.py", p, 0, m) for k in range(100) for p, m in enumerate(["pkg.sub", "pkg.one", "no.such"])] + [("s0.py", 3, 0, None)]
+    imp = spark.createDataFrame(imports, "src string, pos long, level int, module string")
+    out = resolve.resolve_py(imp, _files(spark, files))
+    assert out.columns == ["src", "pos", "level", "module", "abs_module", "dst"]
+    inside = [f for f in files if f.startswith("pkg/sub/f")]
+    exp = {(s, p, f) for s, p, _, m in imports for f in (inside if m == "pkg.sub" else ["pkg/one.py"] if m == "pkg.one" else [])}
+    rows = out.select("src", "pos", "dst").collect()
+    assert {tuple(r) for r in rows} == exp and len(rows) == len(exp)
+    kept = resolve.resolve_py(imp, _files(spark, files), keep_unresolved=True).select("src", "pos", "dst").collect()
+    assert {tuple(r) for r in kept if r.dst} == exp and len(kept) == len(exp) + 101
+    tasks = out.where("module = 'pkg.sub'").groupBy(F.spark_partition_id().alias("t")).count().collect()
+    assert len(tasks) > 4 and max(r["count"] for r in tasks) < 5000 / 3
