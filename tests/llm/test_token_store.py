@@ -133,3 +133,25 @@ def test_query_and_single_places_over_the_table(spark, library, tmp_path):
     assert got == sorted((p, every[p]) for p in asked if p is not None and 0 <= p < total)
     first = files.where("start = 0").first()
     assert opened(first["path"]).ids(0, 50).tolist() == every[:50]
+
+
+def test_ascii_parts_are_the_librarys_and_need_no_whole_encoding():
+    import random
+
+    from textloom.llm.common import tokenizer_path
+    from textloom.llm.token_store import VOCABULARY, TextEncoder
+
+    e = TextEncoder(tokenizer_path(VOCABULARY))
+    whole, asked = e.library, []
+
+    class Counted:
+        def encode(self, text, **kw):
+            asked.append(text)
+            return whole.encode(text, **kw)
+
+    e.chunks.library = Counted()
+    rng = random.Random(5)
+    bits = ["don't", "'s", "'S", "''ll", "x_1", "a1b2", "3.14", "--", "'", "'re've", "we'd!", "(f(x))", " ", "\n", "  ", "\t", "\x1c", "\x7f", "é", "naïve's", "٣", "e'", '"q"', "http://a.b/c?d=1"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(1, 9))) for _ in range(5000)] + [" ".join(rng.choices(bits, k=20)) for _ in range(500)]
+    assert [np.frombuffer(e.encode(t), "<u4").tolist() for t in texts] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not any(t.isascii() and t.isprintable() and t.strip() == t for t in asked)

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -47,11 +48,18 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 # Parts of a text that the library encodes alike alone and in place: each is one or more whole pre-tokens.
 CHUNK = re.compile(f" ?[{LETTERS}]+(?=[{WHITE}.,;:!?)\"]|\\Z)| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
+# Pre-tokens of printable ASCII without white space but a space at the start; each is one pre-token also when it stands alone.
+ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+")
+
 
 class _Uneven(Exception):
     """A part between single spaces that begins or ends with white space, or is empty."""
 
 
+def _raw(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Chunks(dict):
     """Ids (as little-endian bytes) of parts of texts, by the library."""
 
@@ -60,11 +68,14 @@ class _Chunks(dict):
         self.library, self.model = library, library.model
 
     def __missing__(self, chunk: str) -> bytes:
-        if chunk.isascii() and chunk.lstrip(" ").isalpha():  # one pre-token, and its bytes stand for themselves
-            ids = [t.id for t in self.model.tokenize(chunk.replace(" ", "Ġ"))]
+        if chunk.isascii() and chunk.isprintable() and not chunk.endswith(" "):  # bytes stand for themselves
+            parts = ASCII_PARTS.findall(chunk)
+            if len(parts) > 1:
+                raw = b"".join(map(self.__getitem__, parts))
+            else:
+                raw = _raw([t.id for t in self.model.tokenize(chunk.replace(" ", "Ġ"))])
         else:
-            ids = self.library.encode(chunk, add_special_tokens=False).ids
-        raw = np.array(ids, "<u4").tobytes()
+            raw = _raw(self.library.encode(chunk, add_special_tokens=False).ids)
         if len(chunk) <= KEPT_LENGTH:
             if len(self) >= CHUNKS_KEPT:
                 self.clear()
