@@ -93,7 +93,10 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         if not word or word[0].isspace() or word[-1].isspace():
             raise _Uneven
-        raw = b"".join(map(self.chunks.__getitem__, CHUNK.findall(" " + word)))
+        if word.isascii() and word.isalpha():  # one part
+            raw = self.chunks[" " + word]
+        else:
+            raw = b"".join(map(self.chunks.__getitem__, CHUNK.findall(" " + word)))
         if len(word) <= KEPT_LENGTH:
             if len(self) >= WORDS_KEPT:
                 self.clear()
