@@ -5,6 +5,7 @@ import pytest
 from edge import ROWS, edge_docs, no_docs
 
 from textloom.llm import multi_index
+from textloom.llm.common import give_back
 from textloom.llm.licenses import TEMPLATES, Scanner, align, longest_run, scan_licenses
 from textloom.llm.multi_index import nearest
 from textloom.llm.quality_cnn import CHUNK, DEPTH, FILTERS, HOP, LAGS, STRIDE, WIDTH, ByteNetwork, chunks_of, keep_good, score_quality, train_network
@@ -167,3 +168,13 @@ def test_licenses_of_the_table_and_edges(spark):
     assert scan_licenses(no_docs(spark)).count() == 0 and scan_licenses(edge_docs(spark)).count() == 0
     two = spark.createDataFrame([(1, "All rights reserved. All rights reserved.")] * 2, "doc_id bigint, text string")
     assert scan_licenses(two).count() == 4
+
+
+def test_freed_arrays_leave_the_process():
+    """Small arrays below one that stays are kept by the allocator until they are given back."""
+    held = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+    arrays = [np.ones(12_000) for _ in range(2000)]
+    full, last = held(), arrays[-1]
+    arrays.clear()
+    give_back()
+    assert last[0] == 1 and full - held() > 150 << 20

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import doc_columns, map_columns, small_batches
+from textloom.llm.common import doc_columns, give_back, map_columns, small_batches
 
 CHUNK = 512
 HOP = 448
@@ -194,6 +194,8 @@ def train_network(docs: DataFrame, labels: DataFrame) -> ByteNetwork:
         y.append(r["quality"])
     if len(set(y)) == 2:
         net.train(batches, np.array(y))
+        batches.clear()
+        give_back()  # the driver's Python goes on without the training's memory
     return net
 
 
