@@ -177,6 +177,10 @@ class PieceCoder:
         decoded = text if not odd else "".join([odd.get(k, c) for k, c in enumerate(chunks)])[1:]
         return b"".join([self.bos_raw, *parts, self.eos_raw]), decoded.replace(MARK, " ")
 
+    def forget(self) -> None:
+        """The memos start anew."""
+        self.pairs, self.chunks, self.older = {}, {}, {}
+
     def kept(self, k: int, chunk: str, odd: dict[int, str]) -> bytes:
         """Ids of the k-th chunk, kept from now on; in ``odd`` its decoding if that is not the chunk."""
         raw = self.chunks.get(chunk) or self.older.get(chunk)
@@ -237,5 +241,8 @@ def encode_pieces(docs: DataFrame, model: str | None = None, keep_ids: bool = Fa
             out.append((*made, np.frombuffer(raw, "<i4")) if keep_ids else made)
         return [doc_ids, *map(list, zip(*out))] if out else [[] for _ in range(4 + keep_ids)]
 
+    def end() -> None:
+        coder(model or tokenizer_path(MODEL)).forget()  # a task's memos would stand beside other stages' memory
+
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return map_columns(doc_columns(docs), run, schema)
+    return map_columns(doc_columns(docs), run, schema, end)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import doc_columns, give_back, map_columns, small_batches
+from textloom.llm.common import doc_columns, give_back, map_columns, small_batches, tidied
 
 CHUNK = 512
 HOP = 448
@@ -228,7 +228,6 @@ def keep_good(docs: DataFrame, network: ByteNetwork, threshold: float = 0.5) ->
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         net = ByteNetwork.__new__(ByteNetwork)
         net.p = params
-        for texts in batches:
-            yield pd.Series(net.scores(texts.tolist()))
+        yield from tidied(lambda given: (pd.Series(net.scores(texts.tolist())) for texts in given))(batches)
 
     return docs.where(score(F.coalesce(docs["text"].cast("string"), F.lit(""))) >= threshold)
